@@ -7,15 +7,17 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import percent
+
 
 def _growth(now: Column, before: Column) -> Column:
-    return F.lit(100.0) * (now - before) / F.nullif(before, F.lit(0.0))
+    """Percentage change; the difference is exact before it becomes a ratio."""
+    return percent((now - before).cast("double"), before.cast("double"))
 
 
 def _covered(days: DataFrame, totals: DataFrame) -> DataFrame:
     """Calendar attributes with totals; both sides hold one row per date."""
-    value = F.col("positive_sales_gbp").cast("double").alias("value")
-    return days.join(F.broadcast(totals.select("date", "units", value)), "date")
+    return days.join(F.broadcast(totals.select("date", "units", "positive_sales_gbp")), "date")
 
 
 def monthly_trends(days: DataFrame, totals: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def monthly_trends(days: DataFrame, totals: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("covered_calendar_days"),
         F.bool_and("complete_month").alias("complete_month"),
         F.sum("units").alias("positive_units"),
-        F.sum("value").alias("positive_sales_gbp"),
+        F.sum("positive_sales_gbp").alias("positive_sales_gbp"),
     )
     by_month = Window.orderBy("month_start")
     lagged = months.withColumns({
@@ -52,8 +54,9 @@ def weekday_seasonality(days: DataFrame, totals: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("covered_calendar_days"),
             F.sum("units").alias("positive_units"),
             F.avg("units").alias("average_daily_units"),
-            F.sum("value").alias("positive_sales_gbp"),
-            F.avg("value").alias("average_daily_sales_gbp"),
+            F.sum("positive_sales_gbp").alias("positive_sales_gbp"),
+            (F.sum("positive_sales_gbp").cast("double") / F.count(F.lit(1)))
+            .alias("average_daily_sales_gbp"),
         )
         .orderBy("weekday_number")
     )
@@ -68,7 +71,7 @@ def comparable_growth(days: DataFrame, totals: DataFrame, last_month: int = 11)
             F.countDistinct("month_start").alias("covered_months"),
             F.bool_and("complete_month").alias("complete_period"),
             F.sum("units").alias("positive_units"),
-            F.sum("value").alias("positive_sales_gbp"),
+            F.sum("positive_sales_gbp").alias("positive_sales_gbp"),
         )
         .filter((F.col("covered_months") == last_month) & F.col("complete_period"))
     )
