@@ -33,7 +33,6 @@ REASONS = [
 ]
 REPLICA = "cross_sheet_replica"
 RETAINED = "retained"
-TYPED = ["sold_at", "date", "units", "unit_price", "product_id", "invoice_id"]
 
 
 def coerce_types(raw: DataFrame) -> DataFrame:
@@ -86,52 +85,51 @@ def first_reason(flags: dict[str, Column], names: list[str]) -> Column:
 # --- matching between sources -------------------------------------------------
 
 
-def shared_days(typed: DataFrame, source: str, day: str = "date") -> DataFrame:
+def shared_days(typed: DataFrame, source: str, sources: list[str], day: str = "date") -> DataFrame:
     """Days on which more than one source has lines.
 
     A replica shares its date with its original, so no other day can hold one.
     The result has at most one row per calendar day.
     """
+    seen = [F.max(F.when(F.col(source) == s, 1).otherwise(0)).alias(f"_s{i}")
+            for i, s in enumerate(sources)]
     return (
-        typed.groupBy(day)
-        .agg(F.min(source).alias("lo"), F.max(source).alias("hi"))
-        .filter(F.col("lo") != F.col("hi"))
+        typed.groupBy(day).agg(*seen)
+        .filter(sum((F.col(f"_s{i}") for i in range(len(sources))), F.lit(0)) > 1)
         .select(day)
     )
 
 
 def distinct_lines(
-    typed: DataFrame, fields: list[str], source: str, position: list[str],
+    raw: DataFrame, fields: list[str], source: str, sources: list[str], position: str | None = None,
 ) -> DataFrame:
     """Distinct raw lines with ``raw_rows``, surviving ``copies`` and ``last_position``.
 
     A line listed n times in one source and m times in another survives max(n, m)
     times. The last surviving copy is the earliest of the final copies among the
-    sources that hold the maximum, which is a minimum over (-count, position).
+    sources that hold the maximum. Counts and last positions are kept per named
+    source, so one hash aggregation with numeric buffers answers everything, and
+    parsing is left to the distinct lines.
     """
-    typed_columns = [c for c in TYPED if c in typed.columns]
-    per_source = typed.groupBy(*fields, source).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.struct(*position)).alias("last"),
-        *[F.first(c).alias(c) for c in typed_columns if c not in fields],
-    )
-    return (
-        per_source.groupBy(*fields)
-        .agg(
-            F.sum("n").alias("raw_rows"),
-            F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("last"))).alias("keep"),
-            *[F.first(c).alias(c) for c in typed_columns if c not in fields],
-        )
-        .withColumns({
-            "copies": -F.col("keep.minus_n"),
-            "last_position": F.col("keep.last"),
-        })
-        .drop("keep")
-    )
+    per_source = []
+    for i, name in enumerate(sources):
+        here = F.col(source) == name
+        per_source.append(F.count_if(here).alias(f"_n{i}"))
+        if position is not None:
+            per_source.append(F.max(F.when(here, F.col(position))).alias(f"_p{i}"))
+    counted = raw.groupBy(*fields).agg(*per_source)
+    counts = [F.col(f"_n{i}") for i in range(len(sources))]
+    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    lines = counted.withColumns({"raw_rows": sum(counts[1:], counts[0]), "copies": most})
+    if position is not None:
+        finals = [F.when(n == F.col("copies"), F.col(f"_p{i}")) for i, n in enumerate(counts)]
+        lines = lines.withColumn(
+            "last_position", F.least(*finals) if len(finals) > 1 else finals[0])
+    return lines.drop(*[c for c in counted.columns if c not in fields])
 
 
 def surviving_lines(
-    typed: DataFrame, fields: list[str], source: str, position: list[str],
+    raw: DataFrame, fields: list[str], source: str, sources: list[str], position: str,
 ) -> DataFrame:
     """As ``distinct_lines`` for building facts, matching only on shared days.
 
@@ -139,18 +137,15 @@ def surviving_lines(
     each, so only the overlap is shuffled. The day list is one row per calendar
     date and is broadcast.
     """
-    days = F.broadcast(shared_days(typed, source).withColumn("shared", F.lit(True)))
-    tagged = typed.join(days, typed["date"].eqNullSafe(days["date"]), "left").drop(days["date"])
-    alone = tagged.filter(F.col("shared").isNull()).drop("shared")
-    both = tagged.filter("shared").drop("shared")
-    passed = alone.select(
-        *fields,
-        F.lit(1).cast("long").alias("raw_rows"),
-        *[c for c in TYPED if c in alone.columns and c not in fields],
-        F.lit(1).cast("long").alias("copies"),
-        F.struct(*position).alias("last_position"),
-    )
-    return distinct_lines(both, fields, source, position).unionByName(passed)
+    typed = coerce_types(raw)
+    days = F.broadcast(shared_days(typed, source, sources).select(
+        F.col("date").alias("_day"), F.lit(True).alias("_shared")))
+    tagged = typed.join(days, F.col("date").eqNullSafe(F.col("_day")), "left")
+    one = F.lit(1).cast("long")
+    alone = tagged.filter(F.col("_shared").isNull()).select(
+        *fields, one.alias("raw_rows"), one.alias("copies"), F.col(position).alias("last_position"))
+    both = tagged.filter("_shared").select(*fields, source, position)
+    return distinct_lines(both, fields, source, sources, position).unionByName(alone)
 
 
 def flag_replicas(
@@ -200,7 +195,7 @@ def flag_lines(lines: DataFrame, final_day: Column) -> DataFrame:
 
 
 def flag_distinct(lines: DataFrame, final_day: Column) -> DataFrame:
-    """Flags on distinct lines, with the reason before and after the replica test.
+    """Flags on typed distinct lines, with the reason before and after the replica test.
 
     All copies of a line share every other flag, so ``early_reason`` (tests ranked
     above the replica test) claims all of them, the matched surplus is the replica
@@ -222,8 +217,8 @@ def retained(flagged: DataFrame) -> DataFrame:
 
 
 def merchandise(flagged: DataFrame) -> DataFrame:
-    return retained(flagged).select(
-        "product_id", "date", "units", "unit_price", "description", "copies", "last_position")
+    kept = ["product_id", "date", "units", "unit_price", "description", "copies", "last_position"]
+    return retained(flagged).select(*[c for c in kept if c in flagged.columns])
 
 
 def _long(row: DataFrame, name: str, counts: list[str]) -> DataFrame:

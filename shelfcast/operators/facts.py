@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_true, money
 from ..schemas import DEFAULT_DESCRIPTION
+from ..session import fit_partitions
 
 
 def product_day_sales(lines: DataFrame) -> DataFrame:
     """Units, value, line count and last description per product and day.
 
-    Line value is taken before aggregation. Every aggregate combines on the map
-    side, so a product holding a third of all lines reaches the shuffle as one row
-    per task and day. ``copies`` weights lines that stand for several.
+    Line value is taken before aggregation. The first grouping includes the
+    description, so every buffer is numeric and lines are hash-combined on the map
+    side: a product holding a third of all lines reaches the shuffle as a few rows
+    per task and day. The second grouping sees one row per distinct description.
+    ``copies`` weights lines that stand for several.
     """
     copies = F.col("copies") if "copies" in lines.columns else F.lit(1).cast("long")
     value = money(F.col("units") * F.col("unit_price")) * copies
+    worded = lines.groupBy("product_id", "date", "description").agg(
+        F.sum(F.col("units") * copies).alias("units"),
+        F.sum(value).alias("value"),
+        F.sum(copies).alias("lines"),
+        F.max("last_position").alias("last_position"),
+    )
     described = F.when(F.col("description").isNotNull(), F.struct("last_position", "description"))
     return (
-        lines.groupBy("product_id", "date")
+        worded.groupBy("product_id", "date")
         .agg(
-            F.sum(F.col("units") * copies).alias("units"),
-            F.sum(value).alias("positive_sales_gbp"),
-            F.sum(copies).alias("transaction_lines"),
+            F.sum("units").alias("units"),
+            F.sum("value").cast("decimal(38,4)").alias("positive_sales_gbp"),
+            F.sum("lines").alias("transaction_lines"),
             F.max(described).alias("_last"),
         )
         .select(
@@ -36,8 +45,9 @@ def product_day_sales(lines: DataFrame) -> DataFrame:
 
 def latest_description(sales: DataFrame) -> DataFrame:
     """Most recent description per product, or the default text."""
+    worded = sales.groupBy("product_id", "description").agg(F.max("date").alias("date"))
     described = F.when(F.col("description").isNotNull(), F.struct("date", "description"))
-    return sales.groupBy("product_id").agg(
+    return worded.groupBy("product_id").agg(
         F.coalesce(F.max(described)["description"], F.lit(DEFAULT_DESCRIPTION)).alias("description"))
 
 
@@ -84,12 +94,12 @@ def daily_totals(sales: DataFrame, days: DataFrame) -> DataFrame:
 def dense_daily_grid(sales: DataFrame, products: DataFrame, days: DataFrame) -> DataFrame:
     """Units for every listed product and calendar day, zeros explicit.
 
-    Each product row is widened by the calendar (one row per date, broadcast), so
-    the grid is built where the product ids live; only aggregated units are
-    shuffled to it. The list itself may be a top-N or a whole dimension.
+    Ids are spread over a fixed number of tasks and each is widened by the calendar
+    (one row per date, broadcast), so a short list is not expanded in one task and
+    a long one may be a whole dimension. Only aggregated units are joined to it.
     """
     ids = products.select("product_id")
-    grid = ids.crossJoin(F.broadcast(days.select("date")))
+    grid = ids.repartition(fit_partitions(sales.sparkSession), "product_id").crossJoin(F.broadcast(days.select("date")))
     sold = (
         sales.join(ids, "product_id", "left_semi")
         .groupBy("product_id", "date").agg(F.sum("units").alias("units"))

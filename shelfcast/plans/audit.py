@@ -21,11 +21,11 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.typed_lines(tables.messy_lines(spark, sf_dir))
 
 
-def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = typed(spark, sf_dir)
-    last = cleaning.coverage_bounds(lines).select("final_day").scalar()
-    distinct = cleaning.distinct_lines(lines, RAW_FIELDS, tables.SOURCE, tables.POSITION)
-    return cleaning.flag_distinct(distinct, last)
+def flagged(spark: SparkSession, sf_dir: str, position: str | None = None) -> DataFrame:
+    raw = tables.messy_lines(spark, sf_dir)
+    last = cleaning.coverage_bounds(cleaning.coerce_types(raw)).select("final_day").scalar()
+    distinct = cleaning.distinct_lines(raw, RAW_FIELDS, tables.SOURCE, tables.SOURCES, position)
+    return cleaning.flag_distinct(cleaning.typed_lines(distinct), last)
 
 
 def line_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,8 @@ def a2(spark, sf_dir):
 @query("a3_materialize_by_content_hash", SALES, "SELECT * FROM sales")
 def a3(spark, sf_dir):
     path = f"{sf_dir}/lineitem.parquet"
-    return files.materialize_by_content(spark, path, lambda _: tables.sales(spark, sf_dir))[0]
+    return files.materialize_by_content(
+        spark, path, "product-day-sales", lambda: tables.sales(spark, sf_dir))[0]
 
 
 @query("a4_parquet_io", SALES, "SELECT * FROM sales")
@@ -264,12 +265,12 @@ def b20(spark, sf_dir):
 @query("c1_product_day_sales", SALES,
        """SELECT product_id, date, SUM(units) AS units,
   SUM(CAST(units * unit_price AS DECIMAL(18,4))) AS positive_sales_gbp, COUNT(*) AS transaction_lines,
-  last(description ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)
+  last(description ORDER BY l_orderkey * 8 + l_linenumber, description)
     FILTER (WHERE description IS NOT NULL) AS description
 FROM merchandise GROUP BY product_id, date""")
 def c1(spark, sf_dir):
     """From raw text lines to the product/day fact."""
-    return facts.product_day_sales(cleaning.merchandise(flagged(spark, sf_dir)))
+    return facts.product_day_sales(cleaning.merchandise(flagged(spark, sf_dir, "position")))
 
 
 @query("h1_credential_pattern_scan", "doc_id:i kind:s",

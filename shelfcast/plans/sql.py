@@ -84,7 +84,7 @@ FROM lineitem""",
 SELECT {_CODE} AS product_id, CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS units,
   SUM(CAST(l_quantity * l_extendedprice AS DECIMAL(18,4))) AS positive_sales_gbp,
   COUNT(*) AS transaction_lines,
-  last({_DESCRIBED} ORDER BY {_ORDER}) FILTER (WHERE {_DESCRIBED} IS NOT NULL) AS description
+  last({_DESCRIBED} ORDER BY l_orderkey * 8 + l_linenumber, {_DESCRIBED}) FILTER (WHERE {_DESCRIBED} IS NOT NULL) AS description
 FROM lineitem, bounds WHERE CAST(l_shipdate AS DATE) <= last_day GROUP BY 1, 2""",
     "part_sales": """
 SELECT CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_shipdate AS DATE) AS date,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import pandas as pd
@@ -135,17 +135,20 @@ def content_key(spark: SparkSession, path: str) -> str:
     return file_checksums(spark, path).agg(F.sha2(digests, 256).alias("key")).first()["key"]
 
 
-def materialize_by_content(spark: SparkSession, path: str, build) -> tuple[DataFrame, bool]:
+def materialize_by_content(
+    spark: SparkSession, path: str, label: str, build: Callable[[], DataFrame],
+) -> tuple[DataFrame, bool]:
     """Reuse the Parquet copy named after the input's content, or build and write it.
 
+    ``label`` names what is built, so two results of one input do not collide.
     Returns the frame and whether it was reused. The write commits by its success
     marker, so a half-written copy is never taken for a finished one.
     """
-    target = os.path.join(shared_dir(spark), "shelfcast", f"cache-{content_key(spark, path)}")
+    target = os.path.join(shared_dir(spark), "shelfcast", f"{label}-{content_key(spark, path)}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(target, "_SUCCESS"))
     reused = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if not reused:
-        build(spark.read.parquet(path)).write.mode("overwrite").parquet(target)
+        build().write.mode("overwrite").parquet(target)
     return spark.read.parquet(target), reused
 
 

@@ -20,12 +20,17 @@ PROTOCOL = Protocol(
     forecast_starts=tuple(date(1998, m, 1) for m in (1, 3, 5, 7, 9, 11)),
     expanding_start=date(1995, 2, 1),
 )
-SOURCE = "source"
+SOURCE, SOURCES = "source", ["F", "O"]
 POSITION = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 # Orders per run of input order; bounds the longest window when numbering copies.
 CHUNK_ORDERS = 1 << 20
 
 
+def position() -> Column:
+    """Place in the input order as one number; lines of an order follow each other."""
+    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +58,7 @@ def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_linestatus").alias(SOURCE),
         *POSITION,
+        position().alias("position"),
         F.when((tax == 0.04) & (off == 0.10), "  ")
         .when((F.col("l_returnflag") == "R") & (tax == 0.0), F.concat(F.lit(" c"), key))
         .otherwise(key).alias("invoice"),
@@ -95,7 +101,7 @@ def sale_lines(spark: SparkSession, sf_dir: str, product: str = "l_suppkey") ->
         F.col("l_quantity").alias("units"),
         F.col("l_extendedprice").alias("unit_price"),
         described(code).alias("description"),
-        F.struct(*POSITION).alias("last_position"),
+        position().alias("last_position"),
     )
 
 
