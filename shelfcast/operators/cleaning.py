@@ -35,26 +35,40 @@ REPLICA = "cross_sheet_replica"
 RETAINED = "retained"
 
 
-def coerce_types(raw: DataFrame) -> DataFrame:
-    """Parse dates and numbers; malformed text becomes null, never an error."""
+def _dates() -> dict[str, Column]:
     sold_at = F.col("invoice_date").try_cast("timestamp_ntz")
-    return raw.withColumns({
-        "sold_at": sold_at,
-        "date": F.to_date(sold_at),
-        "units": number_or_null(F.col("quantity")),
-        "unit_price": number_or_null(F.col("price")),
-    })
+    return {"sold_at": sold_at, "date": F.to_date(sold_at)}
 
 
-def normalize_keys(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({
+def _numbers() -> dict[str, Column]:
+    return {"units": number_or_null(F.col("quantity")), "unit_price": number_or_null(F.col("price"))}
+
+
+def _keys() -> dict[str, Column]:
+    return {
         "product_id": normalized_code(F.col("stock_code")),
         "invoice_id": strip(F.col("invoice")),
-    })
+    }
+
+
+def coerce_types(raw: DataFrame) -> DataFrame:
+    """Parse dates and numbers; malformed text becomes null, never an error."""
+    return raw.withColumns(_dates() | _numbers())
+
+
+def normalize_keys(raw: DataFrame) -> DataFrame:
+    return raw.withColumns(_keys())
 
 
 def typed_lines(raw: DataFrame) -> DataFrame:
-    return normalize_keys(coerce_types(raw))
+    """Parsed values and normalised keys beside the raw fields.
+
+    Each flag refers to several of these columns. They are produced by a generator
+    of one row, which the optimizer does not merge with what follows, so text is
+    parsed once per line instead of once per use.
+    """
+    parsed = [c.alias(n) for n, c in (_dates() | _numbers() | _keys()).items()]
+    return raw.select("*", F.inline(F.array(F.struct(*parsed))))
 
 
 def coverage_bounds(typed: DataFrame) -> DataFrame:
@@ -157,17 +171,21 @@ def flag_replicas(
     decrease along ``position``). Copies are numbered inside a chunk and shifted by
     the count in earlier chunks, so the longest window is one chunk even when a
     single line makes up a third of the table. The second window holds one row per
-    source.
+    source. A hash of the line leads every key to make sorting cheap; the line
+    itself stays in the key, so equal hashes never merge different lines.
     """
-    chunked = lines.withColumn("_chunk", chunk)
-    run = [*fields, source, "_chunk"]
+    chunked = lines.withColumns({"_key": F.xxhash64(*fields), "_chunk": chunk})
+    line = ["_key", *fields]
+    run = [*line, source, "_chunk"]
     earlier = (
-        Window.partitionBy(*fields, source).orderBy("_chunk")
+        Window.partitionBy(*line, source).orderBy("_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         chunked.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        # Runs without earlier copies need no shift, and they are nearly all of them.
+        .filter(F.col("_before") > 0)
         .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(run)], "_before")
     )
     same = reduce(
@@ -176,12 +194,13 @@ def flag_replicas(
     )
     within = Window.partitionBy(*run).orderBy(*position)
     numbered = (
-        chunked.join(offsets, same)
-        .withColumn("occurrence", F.col("_before") + F.row_number().over(within) - 1)
-        .drop("_chunk", "_before", *[f"_k{i}" for i in range(len(run))])
+        chunked.join(offsets, same, "left")
+        .withColumn(
+            "occurrence", F.coalesce("_before", F.lit(0)) + F.row_number().over(within) - 1)
     )
-    listed = Window.partitionBy(*fields, "occurrence").orderBy(*position)
-    return numbered.withColumn("is_replica", F.row_number().over(listed) > 1)
+    listed = Window.partitionBy(*line, "occurrence").orderBy(*position)
+    return numbered.withColumn("is_replica", F.row_number().over(listed) > 1).drop(
+        "_key", "_chunk", "_before", *[f"_k{i}" for i in range(len(run))])
 
 
 def flag_lines(lines: DataFrame, final_day: Column) -> DataFrame:

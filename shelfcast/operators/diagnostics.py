@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -287,8 +289,13 @@ def findings(growth: DataFrame, rankings: DataFrame, weekdays: DataFrame) -> Dat
 # --- views over saved frames ----------------------------------------------------------
 
 
-def slice_by_origin_product(predictions: DataFrame, start, product: str) -> DataFrame:
-    """One product under one origin; prunes folders when saved by ``forecast_start``."""
+def slice_by_origin_product(
+    predictions: DataFrame, start: date, product: str | Column,
+) -> DataFrame:
+    """One product under one origin; prunes folders when saved by ``forecast_start``.
+
+    The product may be a name or a scalar subquery that picks one.
+    """
     return predictions.filter(
         (F.col("forecast_start") == F.lit(start)) & (F.col("product_id") == product))
 

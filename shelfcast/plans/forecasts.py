@@ -526,9 +526,13 @@ def f24(spark, sf_dir):
 
 
 @query("g3_slice_by_origin_product", f"model:s {DAY} horizon_day:i actual:f prediction:f",
-       "SELECT * FROM predictions WHERE forecast_start = DATE '1998-05-01' AND product_id = '00003'")
+       "SELECT * FROM predictions WHERE forecast_start = DATE '1998-05-01' AND product_id = "
+       "(SELECT product_id FROM cohort ORDER BY initial_units DESC, product_id LIMIT 1)")
 def g3(spark, sf_dir):
-    return diagnostics.slice_by_origin_product(predictions(spark, sf_dir), date(1998, 5, 1), "00003")
+    """The cohort's largest product under the third origin."""
+    largest = tables.chosen(spark, sf_dir).orderBy(F.desc("initial_units"), "product_id").limit(1)
+    return diagnostics.slice_by_origin_product(
+        predictions(spark, sf_dir), date(1998, 5, 1), largest.select("product_id").scalar())
 
 
 @query("g5_long_series_union", f"{DAY} units:f series:s",
