@@ -11,8 +11,6 @@ Two exact forms are offered.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,9 +172,12 @@ def flag_replicas(
     source. A hash of the line leads every key to make sorting cheap; the line
     itself stays in the key, so equal hashes never merge different lines.
     """
-    chunked = lines.withColumns({"_key": F.xxhash64(*fields), "_chunk": chunk})
-    line = ["_key", *fields]
-    run = [*line, source, "_chunk"]
+    others = [c for c in lines.columns if c not in fields]
+    packed = F.struct(*fields)
+    # Fields of a struct compare with null equal to null, so plain equality will do.
+    chunked = lines.select(
+        F.xxhash64(packed).alias("_key"), packed.alias("_line"), chunk.alias("_chunk"), *others)
+    line, run = ["_key", "_line"], ["_key", "_line", source, "_chunk"]
     earlier = (
         Window.partitionBy(*line, source).orderBy("_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -185,22 +186,14 @@ def flag_replicas(
         chunked.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         # Runs without earlier copies need no shift, and they are nearly all of them.
-        .filter(F.col("_before") > 0)
-        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(run)], "_before")
-    )
-    same = reduce(
-        lambda a, b: a & b,
-        [chunked[c].eqNullSafe(offsets[f"_k{i}"]) for i, c in enumerate(run)],
+        .filter(F.col("_before") > 0).drop("_n")
     )
     within = Window.partitionBy(*run).orderBy(*position)
-    numbered = (
-        chunked.join(offsets, same, "left")
-        .withColumn(
-            "occurrence", F.coalesce("_before", F.lit(0)) + F.row_number().over(within) - 1)
-    )
+    numbered = chunked.join(offsets, run, "left").withColumn(
+        "occurrence", F.coalesce("_before", F.lit(0)) + F.row_number().over(within) - 1)
     listed = Window.partitionBy(*line, "occurrence").orderBy(*position)
-    return numbered.withColumn("is_replica", F.row_number().over(listed) > 1).drop(
-        "_key", "_chunk", "_before", *[f"_k{i}" for i in range(len(run))])
+    return numbered.withColumn("is_replica", F.row_number().over(listed) > 1).select(
+        "_line.*", *others, "occurrence", "is_replica")
 
 
 def flag_lines(lines: DataFrame, final_day: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -36,11 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        named = tempfile.mkdtemp(prefix="shelfcast-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _scratch()
     return named.rstrip("/")
 
 
+@functools.cache
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="shelfcast-")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path for one written result under the shared folder."""
     return os.path.join(shared_dir(spark), "shelfcast", f"{name}-{uuid.uuid4().hex}")

@@ -74,32 +74,34 @@ def _digest_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
-        digests = []
+        digests, lengths = [], []
         for uri in batch["path"]:
-            found, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1)
-                                                 if uri.startswith("file:/") and not uri.startswith("file://")
-                                                 else uri)
-            digest = hashlib.sha256()
+            if uri.startswith("file:/") and not uri.startswith("file://"):
+                uri = "file://" + uri[len("file:"):]
+            found, path = fs.FileSystem.from_uri(uri)
+            digest, length = hashlib.sha256(), 0
             with found.open_input_stream(path) as stream:
                 while block := stream.read(CHUNK_BYTES):
                     digest.update(block)
+                    length += len(block)
             digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)
+            lengths.append(length)
+        yield batch.assign(length=lengths, sha256=digests)
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, one task per file, read in blocks.
+    """SHA-256 per file, read in blocks, so a file of any size fits.
 
-    Only names and sizes come from the listing; the content is streamed, so a file
-    of any size fits.
+    Spark's file index gives the names (a scan would leave out empty files); the
+    names are spread over tasks and each task streams its files.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", "length")
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    names = [(name,) for name in index.inputFiles()]
+    tasks = max(1, min(len(names), 10_000))
+    return (
+        spark.createDataFrame(names, "path string").repartition(tasks, "path")
+        .mapInPandas(_digest_stream, "path string, length long, sha256 string")
     )
-    files = max(1, min(len(listed.inputFiles()), 10_000))
-    return listed.repartition(files, "path").mapInPandas(
-        _digest_stream, "path string, length long, sha256 string")
 
 
 def relative_key(key: Column) -> Column:
