@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 PRODUCT_CODE = "^[0-9]{5}[A-Z]{0,2}$"
 
-# What counts as a credential in published text.
+# What counts as a credential in published text, and the plain text
+# that any match must contain.
 CREDENTIAL_PATTERNS = {
-    "code_host_token": "gh[pousr]_[A-Za-z0-9]{30,}",
-    "fine_grained_token": "github_pat_[A-Za-z0-9_]{60,}",
-    "secret_key": "sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}",
-    "cloud_access_key": "(?:AKIA|ASIA)[A-Z0-9]{16}",
-    "private_key_header": "-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "gh[pousr]_[A-Za-z0-9]{30,}": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "github_pat_[A-Za-z0-9_]{60,}": ["github_pat_"],
+    "sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}": ["sk-"],
+    "(?:AKIA|ASIA)[A-Z0-9]{16}": ["AKIA", "ASIA"],
+    "-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----": ["PRIVATE KEY-----"],
 }
 
 

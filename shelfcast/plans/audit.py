@@ -14,7 +14,7 @@ from .registry import query
 
 ROW = "l_orderkey:i l_linenumber:i l_partkey:i l_extendedprice:f"
 SALES = ("product_id:s date:d units:f positive_sales_gbp:f transaction_lines:i description:s")
-PLANTED = r'token = "[0-9a-f]{40}"'
+PATTERNS = CREDENTIAL_PATTERNS | {'token = "[0-9a-f]{40}"': ['token = "']}
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,8 @@ def a5(spark, sf_dir):
        "SELECT * FROM weekdays")
 def a6(spark, sf_dir):
     path = fresh_path(spark, "weekdays-json")
-    found = reports.weekday_seasonality(tables.days(spark, sf_dir), tables.totals(spark, sf_dir))
+    shop = tables.Shop.read(spark, sf_dir)
+    found = reports.weekday_seasonality(shop.days, shop.totals())
     record = found.select("weekday", F.struct(
         "covered_calendar_days", "average_daily_units", "average_daily_sales_gbp").alias("values"))
     files.write_json(record, path)
@@ -105,10 +106,11 @@ def a6(spark, sf_dir):
 FROM sales s JOIN days USING (date) JOIN products USING (product_id)
 WHERE complete_month GROUP BY 1""")
 def a7(spark, sf_dir):
-    sold, calendar = tables.sales(spark, sf_dir), tables.days(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir)
     names = {
-        "sales": sold.drop("description"), "product_metadata": facts.product_dimension(sold),
-        "calendar": calendar, "daily_totals": facts.daily_totals(sold, calendar),
+        "sales": shop.sales.drop("description"),
+        "product_metadata": facts.product_dimension(shop.sales),
+        "calendar": shop.days, "daily_totals": shop.totals(),
     }
     text = """
         SELECT quarter(s.date) AS quarter, COUNT(DISTINCT s.product_id) AS products,
@@ -275,8 +277,8 @@ def c1(spark, sf_dir):
 
 @query("h1_credential_pattern_scan", "doc_id:i kind:s",
        "SELECT doc_id, 'credential-pattern; contents withheld' AS kind FROM documents "
-       "WHERE regexp_matches(text, '" + "|".join([*CREDENTIAL_PATTERNS.values(), PLANTED]) + "')")
+       "WHERE regexp_matches(text, '" + "|".join(PATTERNS) + "')")
 def h1(spark, sf_dir):
     return hygiene.credential_findings(
         tables.table(spark, sf_dir, "documents"), "doc_id", "text",
-        [*CREDENTIAL_PATTERNS.values(), PLANTED])
+        PATTERNS)

@@ -36,12 +36,20 @@ LONG = ("model:s product_id:s forecast_start:d forecast_end:d date:d origin:d ho
 DAY = "product_id:s forecast_start:d date:d"
 
 
+def grid_of(spark, sf_dir) -> DataFrame:
+    return tables.Shop.read(spark, sf_dir).grid()
+
+
 def predictions(spark, sf_dir) -> DataFrame:
-    return backtest.backtest_long_frame(tables.grid(spark, sf_dir), P)
+    return backtest.backtest_long_frame(grid_of(spark, sf_dir), P)
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    grid = tables.grid(spark, sf_dir)
+    return labelled_in(tables.Shop.read(spark, sf_dir))
+
+
+def labelled_in(shop) -> DataFrame:
+    grid = shop.grid()
     return backtest.window_backtest_frame(grid, P, diagnostics.spike_thresholds(grid, P))
 
 
@@ -50,14 +58,9 @@ def smoothing_protocol(methods: dict[str, int | None]):
                        smoothing=methods)
 
 
-def fits(spark, sf_dir, methods=None, form="hw_weekly") -> DataFrame:
-    """Fits are written once: the long frame, the records and the events all read them."""
-    protocol = P if methods is None else smoothing_protocol(methods)
-    return written(backtest.smoothing_fits(tables.grid(spark, sf_dir), protocol, form), "fits")
-
-
 def all_methods(spark, sf_dir) -> DataFrame:
-    grid = written(tables.grid(spark, sf_dir), "grid")
+    """Grid and fits are written once: fitting is never repeated by a later stage."""
+    grid = written(grid_of(spark, sf_dir), "grid")
     found = written(backtest.smoothing_fits(grid, P), "fits")
     return backtest.window_backtest_frame(grid, P, diagnostics.spike_thresholds(grid, P), found)
 
@@ -66,13 +69,14 @@ def products(spark, sf_dir, *period) -> DataFrame:
     return scoring.product_summaries(predictions(spark, sf_dir), *period)
 
 
-def detail(spark, sf_dir) -> DataFrame:
-    return scoring.product_comparisons(products(spark, sf_dir), PAIRS, P.tie_tolerance)
+def detail(spark, sf_dir, pairs=PAIRS) -> DataFrame:
+    return scoring.product_comparisons(products(spark, sf_dir), pairs, P.tie_tolerance)
 
 
-def names(spark, sf_dir) -> DataFrame:
-    return cohort.cohort_metadata(
-        tables.chosen(spark, sf_dir), tables.sales(spark, sf_dir), tables.CUTOFF)
+def detail_and_names(spark, sf_dir, pairs=PAIRS) -> tuple[DataFrame, DataFrame]:
+    shop = tables.Shop.read(spark, sf_dir)
+    scored = scoring.product_summaries(backtest.backtest_long_frame(shop.grid(), P))
+    return scoring.product_comparisons(scored, pairs, P.tie_tolerance), shop.names()
 
 
 def staged(spark, sf_dir) -> DataFrame:
@@ -95,7 +99,8 @@ _STAGED = ("(SELECT *, CASE WHEN forecast_start < DATE '1998-07-01' THEN 'valida
   forecast_start - 1 AS train_end, forecast_start, forecast_start + 27 AS forecast_end,
   forecast_start - first_day AS training_days, 28 AS horizon_days FROM origins, bounds""")
 def e1(spark, sf_dir):
-    return cohort.rolling_origin_splits(spark, P, tables.day_bounds(spark, sf_dir))
+    return cohort.rolling_origin_splits(
+        spark, P, tables.bounds_frame(spark, *tables.day_bounds(spark, sf_dir)))
 
 
 @query("e2_training_windows",
@@ -112,7 +117,7 @@ def e2(spark, sf_dir):
     """Each window's days and units; windows are expanded to days for an equality join."""
     windows = backtest.training_windows(spark, P).select(
         "model", "forecast_start", F.explode(F.sequence("train_start", "train_end")).alias("date"))
-    return tables.grid(spark, sf_dir).join(F.broadcast(windows), "date").groupBy(
+    return grid_of(spark, sf_dir).join(F.broadcast(windows), "date").groupBy(
         "product_id", "model", "forecast_start").agg(
         F.min("date").alias("train_start"), F.max("date").alias("train_end"),
         F.count(F.lit(1)).alias("training_observations"), F.sum("units").alias("history_units"))
@@ -132,7 +137,7 @@ def e4(spark, sf_dir):
 
 @query("e5_forecast_weekly_smoothing", LONG)
 def e5(spark, sf_dir):
-    grid = written(tables.grid(spark, sf_dir), "grid")
+    grid = written(grid_of(spark, sf_dir), "grid")
     protocol = smoothing_protocol({"hw_weekly": None})
     found = backtest.smoothing_fits(grid, protocol)
     return backtest.backtest_long_frame(grid, protocol, found).filter(F.col("model") == "hw_weekly")
@@ -142,7 +147,7 @@ def e5(spark, sf_dir):
        "product_id:s model:s forecast_start:d train_start:d train_end:d training_observations:i "
        "status:s level_gain:f seasonal_gain:f sse:f")
 def e6(spark, sf_dir):
-    return backtest.smoothing_fits(tables.grid(spark, sf_dir), P)
+    return backtest.smoothing_fits(grid_of(spark, sf_dir), P)
 
 
 @query("e7_fallback_policy", f"{DAY} status:s prediction:f",
@@ -156,7 +161,7 @@ JOIN (SELECT product_id, forecast_start, SUM(prediction) AS total FROM predictio
 WHERE p.model = 'weekday_mean_8w' AND n.model = 'seasonal_naive'""")
 def e7(spark, sf_dir):
     """The policy on a method whose status is derived from the data."""
-    support = backtest.baseline_support(tables.grid(spark, sf_dir), P)
+    support = backtest.baseline_support(grid_of(spark, sf_dir), P)
     last_week = support.groupBy("product_id", "forecast_start").agg(
         F.sum(backtest.NAIVE).alias("total"))
     own = F.col("weekday_mean_8w")
@@ -174,7 +179,7 @@ def e7(spark, sf_dir):
        "GREATEST(prediction - 20, 0) AS prediction FROM predictions WHERE model = 'weekday_mean_4w'")
 def e8(spark, sf_dir):
     """Forecasts lowered by 20 units, so that some fall below the floor."""
-    support = backtest.baseline_support(tables.grid(spark, sf_dir), P)
+    support = backtest.baseline_support(grid_of(spark, sf_dir), P)
     return support.withColumn("shifted", F.col("weekday_mean_4w") - 20).withColumn(
         "prediction", backtest.clip_nonnegative(F.col("shifted"), P))
 
@@ -214,7 +219,7 @@ def e11(spark, sf_dir):
        "model:s product_id:s forecast_start:d training_observations:i status:s warnings:s "
        "negative_predictions_clipped:i")
 def e11_events(spark, sf_dir):
-    records = backtest.fit_records(backtest.smoothing_fits(tables.grid(spark, sf_dir), P), P)
+    records = backtest.fit_records(backtest.smoothing_fits(grid_of(spark, sf_dir), P), P)
     return backtest.fit_events(records).withColumn("warnings", F.concat_ws("; ", "warnings"))
 
 
@@ -225,16 +230,17 @@ FROM (SELECT product_id, forecast_start, date FROM predictions
       GROUP BY ALL HAVING COUNT(*) < 3) AS d GROUP BY product_id, forecast_start""")
 def e12(spark, sf_dir):
     """Predictions with one method's highest values taken out: only coverage may suffer."""
-    rows = labelled(spark, sf_dir).filter(
+    shop = tables.Shop.read(spark, sf_dir)
+    rows = labelled_in(shop).filter(
         ~((F.col("model") == "weekday_mean_8w") & (F.col("prediction") > 25)))
-    return checks.support_validation(rows, tables.chosen(spark, sf_dir), BASELINES, P)
+    return checks.support_validation(rows, shop.chosen(), BASELINES, P)
 
 
 @query("e13_forecast_simple_and_damped",
        "product_id:s model:s forecast_start:d status:s level_gain:f seasonal_gain:f trend_gain:f "
        "damping:f sse:f horizon_day:i prediction:f")
 def e13(spark, sf_dir):
-    grid = tables.grid(spark, sf_dir)
+    grid = written(grid_of(spark, sf_dir), "grid")
     both = [backtest.smoothing_fits(grid, smoothing_protocol({form: None}), form)
             for form in ("ses", "hw_damped_weekly")]
     return both[0].unionByName(both[1]).select(
@@ -315,7 +321,7 @@ def f8_smoothing(spark, sf_dir):
        "product_id:s forecast_start:d train_start:d train_end:d training_observations:i threshold_99:f",
        "SELECT * FROM thresholds")
 def f9(spark, sf_dir):
-    return diagnostics.spike_thresholds(tables.grid(spark, sf_dir), P)
+    return diagnostics.spike_thresholds(grid_of(spark, sf_dir), P)
 
 
 @query("f10_spike_label", f"model:s {DAY} actual:f spike_threshold:f is_spike:b", "SELECT * FROM labelled")
@@ -340,7 +346,8 @@ def f11(spark, sf_dir):
        """SELECT l.*, n.description FROM (SELECT * FROM labelled WHERE model = 'weekday_mean_4w' AND is_spike
   ORDER BY actual DESC, product_id, date, forecast_start LIMIT 10) l JOIN cohort_names n USING (product_id)""")
 def f12(spark, sf_dir):
-    return diagnostics.spike_examples(labelled(spark, sf_dir), names(spark, sf_dir), CANDIDATE)
+    shop = tables.Shop.read(spark, sf_dir)
+    return diagnostics.spike_examples(labelled_in(shop), shop.names(), CANDIDATE)
 
 
 _CONTRIBUTION = """SELECT d.*, n.description,
@@ -355,7 +362,7 @@ FROM detail d JOIN cohort_names n USING (product_id) WINDOW w AS (PARTITION BY d
        f"{DETAIL} description:s actual_units:f absolute_error_sum:f signed_bias:f "
        "share_of_actual_units_pct:f share_of_model_error_pct:f", _CONTRIBUTION)
 def f13(spark, sf_dir):
-    return diagnostics.product_contributions(detail(spark, sf_dir), names(spark, sf_dir))
+    return diagnostics.product_contributions(*detail_and_names(spark, sf_dir))
 
 
 @query("f14_benchmark_error_decomposition",
@@ -364,12 +371,10 @@ def f13(spark, sf_dir):
        "share_of_model_absolute_error_pct:f share_of_net_error_reduction_pct:f",
        f"SELECT *, share_of_model_error_pct AS share_of_model_absolute_error_pct FROM ({_CONTRIBUTION}) AS c")
 def f14(spark, sf_dir):
-    return diagnostics.error_decomposition(detail(spark, sf_dir), names(spark, sf_dir))
+    return diagnostics.error_decomposition(*detail_and_names(spark, sf_dir))
 
 
-def one_pair(spark, sf_dir):
-    return scoring.product_comparisons(
-        products(spark, sf_dir), [(CANDIDATE, COMPARATOR)], P.tie_tolerance)
+ONE_PAIR = [(CANDIDATE, COMPARATOR)]
 
 
 _PAIR = "SELECT * FROM detail WHERE model = 'weekday_mean_4w' AND baseline = 'seasonal_naive'"
@@ -378,13 +383,13 @@ _PAIR = "SELECT * FROM detail WHERE model = 'weekday_mean_4w' AND baseline = 'se
 @query("f15_largest_improvements", "product_id:s error_reduction_units:f",
        f"{_PAIR} AND error_reduction_units > 0 ORDER BY error_reduction_units DESC, product_id LIMIT 5")
 def f15(spark, sf_dir):
-    return diagnostics.largest_improvements(one_pair(spark, sf_dir))
+    return diagnostics.largest_improvements(detail(spark, sf_dir, ONE_PAIR))
 
 
 @query("f15_largest_deteriorations", "product_id:s error_reduction_units:f",
        f"{_PAIR} AND error_reduction_units < 0 ORDER BY error_reduction_units, product_id LIMIT 5")
 def f15_down(spark, sf_dir):
-    return diagnostics.largest_deteriorations(one_pair(spark, sf_dir))
+    return diagnostics.largest_deteriorations(detail(spark, sf_dir, ONE_PAIR))
 
 
 @query("f16_daily_errors",
@@ -394,7 +399,8 @@ def f15_down(spark, sf_dir):
   prediction - actual AS signed_error, spike_threshold AS spike_threshold_units
 FROM labelled l JOIN cohort_names n USING (product_id)""")
 def f16(spark, sf_dir):
-    return diagnostics.daily_errors(labelled(spark, sf_dir), names(spark, sf_dir))
+    shop = tables.Shop.read(spark, sf_dir)
+    return diagnostics.daily_errors(labelled_in(shop), shop.names())
 
 
 _CLOSE = ("NOT COALESCE(ABS(l.{c} - r.{c}) <= 1e-8 + 1e-10 * ABS(r.{c}) OR l.{c} IS NOT DISTINCT FROM r.{c}, "
@@ -530,9 +536,10 @@ def f24(spark, sf_dir):
        "(SELECT product_id FROM cohort ORDER BY initial_units DESC, product_id LIMIT 1)")
 def g3(spark, sf_dir):
     """The cohort's largest product under the third origin."""
-    largest = tables.chosen(spark, sf_dir).orderBy(F.desc("initial_units"), "product_id").limit(1)
+    shop = tables.Shop.read(spark, sf_dir)
+    largest = shop.chosen().orderBy(F.desc("initial_units"), "product_id").limit(1)
     return diagnostics.slice_by_origin_product(
-        predictions(spark, sf_dir), date(1998, 5, 1), largest.select("product_id").scalar())
+        backtest.backtest_long_frame(shop.grid(), P), date(1998, 5, 1), largest.select("product_id").scalar())
 
 
 @query("g5_long_series_union", f"{DAY} units:f series:s",
@@ -560,7 +567,7 @@ FROM (SELECT * FROM ({_CONTRIBUTION}) AS c
   ORDER BY actual_units DESC, product_id LIMIT 5) AS top""")
 def g7(spark, sf_dir):
     return diagnostics.volume_leaders_share(
-        diagnostics.product_contributions(one_pair(spark, sf_dir), names(spark, sf_dir)))
+        diagnostics.product_contributions(*detail_and_names(spark, sf_dir, ONE_PAIR)))
 
 
 @query("g8_period_win_count", "model:s baseline:s periods_won:i periods:i",
@@ -585,7 +592,7 @@ def g9(spark, sf_dir):
        "model:s fits:i fits_with_warnings:i fallback_fits:i clipped_observations:i")
 def g9_smoothing(spark, sf_dir):
     return diagnostics.fit_diagnostics(
-        backtest.fit_records(backtest.smoothing_fits(tables.grid(spark, sf_dir), P), P))
+        backtest.fit_records(backtest.smoothing_fits(grid_of(spark, sf_dir), P), P))
 
 
 @query("g10_distinct_top_products", "product_id:s",

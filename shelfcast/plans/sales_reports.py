@@ -16,9 +16,8 @@ ELIGIBLE = ("product_id:s first_sale:d last_sale:d initial_units:f active_days:i
 WIDER = CohortRules(product_count=12, min_active_day_fraction=0.15, min_recent_active_day_fraction=0.2)
 
 
-def rankings(spark, sf_dir):
-    sold = tables.sales(spark, sf_dir)
-    return ranking.product_rankings(sold, facts.product_dimension(sold))
+def rankings(shop):
+    return ranking.product_rankings(shop.sales, facts.product_dimension(shop.sales))
 
 
 @query("c2_product_dimension", "product_id:s description:s", "SELECT * FROM products")
@@ -29,36 +28,35 @@ def c2(spark, sf_dir):
 @query("c3_calendar_dimension",
        "date:d month_start:d weekday_number:i weekday:s complete_month:b", "SELECT * FROM days")
 def c3(spark, sf_dir):
-    return tables.days(spark, sf_dir)
+    return facts.calendar(tables.bounds_frame(spark, *tables.day_bounds(spark, sf_dir)))
 
 
 @query("c4_daily_totals_zero_filled",
        "date:d units:f positive_sales_gbp:f transaction_lines:i", "SELECT * FROM totals")
 def c4(spark, sf_dir):
-    return tables.totals(spark, sf_dir)
+    return tables.Shop.read(spark, sf_dir).totals()
 
 
 @query("c5_cohort_eligibility", ELIGIBLE, "SELECT * FROM eligible")
 def c5(spark, sf_dir):
-    return tables.eligibility(spark, sf_dir)
+    return tables.Shop.read(spark, sf_dir).eligibility()
 
 
 @query("c6_cohort_top_n", f"{ELIGIBLE} selected:b",
        "SELECT e.*, e.product_id IN (SELECT product_id FROM cohort) AS selected FROM eligible e")
 def c6(spark, sf_dir):
-    return cohort.select_cohort(tables.eligibility(spark, sf_dir), tables.RULES)
+    return cohort.select_cohort(tables.Shop.read(spark, sf_dir).eligibility(), tables.RULES)
 
 
 @query("c7_cohort_metadata", f"{ELIGIBLE} description:s",
        "SELECT c.*, n.description FROM cohort c JOIN cohort_names n USING (product_id)")
 def c7(spark, sf_dir):
-    return cohort.cohort_metadata(
-        tables.chosen(spark, sf_dir), tables.sales(spark, sf_dir), tables.CUTOFF)
+    return tables.Shop.read(spark, sf_dir).names()
 
 
 @query("c8_dense_daily_grid", "product_id:s date:d units:f", "SELECT * FROM grid")
 def c8(spark, sf_dir):
-    return tables.grid(spark, sf_dir)
+    return tables.Shop.read(spark, sf_dir).grid()
 
 
 @query("c9_grid_preflight", "check:s product_id:s forecast_start:d rows:i",
@@ -70,8 +68,9 @@ GROUP BY c.product_id, o.forecast_start
 HAVING o.forecast_start + 27 - DATE '1995-02-01' + 1 > COUNT(s.date)""")
 def c9(spark, sf_dir):
     """The fact itself as a grid: every day without sales is a gap."""
-    chosen = tables.chosen(spark, sf_dir)
-    sold = tables.sales(spark, sf_dir).join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi")
+    shop = tables.Shop.read(spark, sf_dir)
+    chosen = shop.chosen()
+    sold = shop.sales.join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi")
     return checks.grid_preflight(sold.select("product_id", "date", "units"), chosen, tables.PROTOCOL)
 
 
@@ -83,7 +82,8 @@ FROM cohort n FULL JOIN (SELECT product_id FROM eligible WHERE eligible
   AND recent_active_day_fraction >= 0.2 ORDER BY initial_units DESC, product_id LIMIT 12) o
   ON o.product_id = n.product_id""")
 def c10(spark, sf_dir):
-    return cohort.compare_cohorts(tables.chosen(spark, sf_dir), tables.chosen(spark, sf_dir, WIDER))
+    shop = tables.Shop.read(spark, sf_dir)
+    return cohort.compare_cohorts(shop.chosen(), shop.chosen(WIDER))
 
 
 @query("d1_product_rankings", RANKED, "SELECT * FROM part_rankings")
@@ -100,14 +100,16 @@ def d1(spark, sf_dir):
        "previous_month:d previous_complete:n previous_value:f comparable_monthly_growth_pct:f",
        "SELECT * FROM monthly_trends")
 def d2(spark, sf_dir):
-    return reports.monthly_trends(tables.days(spark, sf_dir), tables.totals(spark, sf_dir))
+    shop = tables.Shop.read(spark, sf_dir)
+    return reports.monthly_trends(shop.days, shop.totals())
 
 
 @query("d3_weekday_seasonality",
        "weekday_number:i weekday:s covered_calendar_days:i positive_units:f average_daily_units:f "
        "positive_sales_gbp:f average_daily_sales_gbp:f", "SELECT * FROM weekdays")
 def d3(spark, sf_dir):
-    return reports.weekday_seasonality(tables.days(spark, sf_dir), tables.totals(spark, sf_dir))
+    shop = tables.Shop.read(spark, sf_dir)
+    return reports.weekday_seasonality(shop.days, shop.totals())
 
 
 @query("d4_comparable_growth",
@@ -115,7 +117,8 @@ def d3(spark, sf_dir):
        "previous_year:i previous_value:f previous_units:f value_growth_pct:f units_growth_pct:f",
        "SELECT * FROM growth")
 def d4(spark, sf_dir):
-    return reports.comparable_growth(tables.days(spark, sf_dir), tables.totals(spark, sf_dir))
+    shop = tables.Shop.read(spark, sf_dir)
+    return reports.comparable_growth(shop.days, shop.totals())
 
 
 @query("f23_findings", "id:s subject:s value:f numerator:f denominator:f",
@@ -130,16 +133,16 @@ UNION ALL SELECT * FROM (SELECT 'weekday_pattern', weekday, average_daily_sales_
     CAST(covered_calendar_days AS DOUBLE)
   FROM weekdays ORDER BY average_daily_sales_gbp DESC, weekday_number LIMIT 1)""")
 def f23(spark, sf_dir):
-    calendar, totals = tables.days(spark, sf_dir), tables.totals(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir)
     return diagnostics.findings(
-        reports.comparable_growth(calendar, totals), rankings(spark, sf_dir),
-        reports.weekday_seasonality(calendar, totals))
+        reports.comparable_growth(shop.days, shop.totals()), rankings(shop),
+        reports.weekday_seasonality(shop.days, shop.totals()))
 
 
 @query("g1_top_n_by_metric", RANKED,
        "SELECT * FROM rankings ORDER BY positive_sales_gbp DESC, product_id LIMIT 8")
 def g1(spark, sf_dir):
-    return ranking.top_n_by_metric(rankings(spark, sf_dir), "positive_sales_gbp")
+    return ranking.top_n_by_metric(rankings(tables.Shop.read(spark, sf_dir)), "positive_sales_gbp")
 
 
 @query("g2_coverage_label", "month_start:d complete_month:b positive_sales_gbp:f coverage:s",
@@ -155,14 +158,14 @@ def g2(spark, sf_dir):
 def g4(spark, sf_dir):
     origins = cohort.split_rows(spark, tables.PROTOCOL).select(
         F.date_sub("forecast_start", 1).alias("origin"))
-    return diagnostics.history_context(tables.grid(spark, sf_dir), origins)
+    return diagnostics.history_context(tables.Shop.read(spark, sf_dir).grid(), origins)
 
 
 @query("g11_active_days_and_span", "product_id:s first_date:d last_date:d positive_sales_days:i",
        "SELECT product_id, MIN(date) AS first_date, MAX(date) AS last_date, "
        "COUNT(*) FILTER (WHERE units > 0) AS positive_sales_days FROM grid GROUP BY product_id")
 def g11(spark, sf_dir):
-    return facts.active_days_and_span(tables.grid(spark, sf_dir))
+    return facts.active_days_and_span(tables.Shop.read(spark, sf_dir).grid())
 
 
 @query("i1_sales_summary",
@@ -173,4 +176,4 @@ FROM (SELECT *, SUM(units) OVER (PARTITION BY product_id ORDER BY date
         RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS week FROM grid) AS t
 GROUP BY product_id""")
 def i1(spark, sf_dir):
-    return facts.sales_summary(tables.grid(spark, sf_dir))
+    return facts.sales_summary(tables.Shop.read(spark, sf_dir).grid())

@@ -6,13 +6,15 @@ the same rows as untyped text with the defects a cleaning job has to find.
 
 from __future__ import annotations
 
-from datetime import date
+from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohort, facts
 from ..schemas import CohortRules, Protocol
+from ..session import written
 
 CUTOFF = date(1998, 1, 1)
 RULES = CohortRules(min_active_day_fraction=0.15, min_recent_active_day_fraction=0.15)
@@ -83,19 +85,29 @@ def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def day_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First day and last kept day, from one column of the table."""
-    return table(spark, sf_dir, "lineitem").agg(
-        F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi")).select(
-        F.to_date("lo").alias("start"), F.date_sub(F.to_date("hi"), 1).alias("end"))
+def day_bounds(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """First day and last raw day: two dates from one column of the table.
 
+    They become constants of the plans, so date limits reach every scan.
+    """
+    row = table(spark, sf_dir, "lineitem").agg(
+        F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
+    return row[0], row[1]
 
-def sale_lines(spark: SparkSession, sf_dir: str, product: str = "l_suppkey") -> DataFrame:
-    """Typed lines without the final day; the day limit reaches the scan."""
-    lines = table(spark, sf_dir, "lineitem")
-    final = lines.agg(F.date_trunc("day", F.max("l_shipdate")).cast("timestamp_ntz").alias("final_day"))
+
+def bounds_frame(spark: SparkSession, first: date, final: date) -> DataFrame:
+    """One constant row: first day and last kept day."""
+    return spark.range(1).select(
+        F.lit(first).alias("start"), F.lit(final - timedelta(days=1)).alias("end"))
+
+
+def sale_lines(
+    spark: SparkSession, sf_dir: str, final: date, product: str = "l_suppkey",
+) -> DataFrame:
+    """Typed lines before the final day; the day limit reaches the scan."""
     code = product_code(F.col(product)) if product == "l_suppkey" else F.col(product).cast("string")
-    return lines.filter(F.col("l_shipdate") < final.scalar()).select(
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.filter(F.col("l_shipdate") < F.lit(final).cast("timestamp_ntz")).select(
         code.alias("product_id"),
         F.to_date("l_shipdate").alias("date"),
         F.col("l_quantity").alias("units"),
@@ -106,25 +118,40 @@ def sale_lines(spark: SparkSession, sf_dir: str, product: str = "l_suppkey") ->
 
 
 def sales(spark: SparkSession, sf_dir: str, product: str = "l_suppkey") -> DataFrame:
-    return facts.product_day_sales(sale_lines(spark, sf_dir, product))
+    final = day_bounds(spark, sf_dir)[1]
+    return facts.product_day_sales(sale_lines(spark, sf_dir, final, product))
 
 
-def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.calendar(day_bounds(spark, sf_dir))
+@dataclass(frozen=True)
+class Shop:
+    """The product/day fact of one run with its calendar.
 
+    The fact is written once to the shared folder: lines are scanned and shuffled a
+    single time, and cohort, grid and reports all start from the small table.
+    """
 
-def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.daily_totals(sales(spark, sf_dir), days(spark, sf_dir))
+    sales: DataFrame
+    bounds: DataFrame
+    days: DataFrame
 
+    @classmethod
+    def read(cls, spark: SparkSession, sf_dir: str) -> "Shop":
+        first, final = day_bounds(spark, sf_dir)
+        bounds = bounds_frame(spark, first, final)
+        fact = facts.product_day_sales(sale_lines(spark, sf_dir, final))
+        return cls(written(fact, "sales"), bounds, facts.calendar(bounds))
 
-def eligibility(spark: SparkSession, sf_dir: str, rules: CohortRules = RULES) -> DataFrame:
-    return cohort.cohort_eligibility(sales(spark, sf_dir), day_bounds(spark, sf_dir), CUTOFF, rules)
+    def totals(self) -> DataFrame:
+        return facts.daily_totals(self.sales, self.days)
 
+    def eligibility(self, rules: CohortRules = RULES) -> DataFrame:
+        return cohort.cohort_eligibility(self.sales, self.bounds, CUTOFF, rules)
 
-def chosen(spark: SparkSession, sf_dir: str, rules: CohortRules = RULES) -> DataFrame:
-    return cohort.selected_products(eligibility(spark, sf_dir, rules), rules)
+    def chosen(self, rules: CohortRules = RULES) -> DataFrame:
+        return cohort.selected_products(self.eligibility(rules), rules)
 
+    def names(self) -> DataFrame:
+        return cohort.cohort_metadata(self.chosen(), self.sales, CUTOFF)
 
-def grid(spark: SparkSession, sf_dir: str, rules: CohortRules = RULES) -> DataFrame:
-    return facts.dense_daily_grid(
-        sales(spark, sf_dir), chosen(spark, sf_dir, rules), days(spark, sf_dir))
+    def grid(self) -> DataFrame:
+        return facts.dense_daily_grid(self.sales, self.chosen(), self.days)
