@@ -19,12 +19,14 @@ def product_day_sales(lines: DataFrame) -> DataFrame:
     per task and day. The second grouping sees one row per distinct description.
     ``copies`` weights lines that stand for several.
     """
-    copies = F.col("copies") if "copies" in lines.columns else F.lit(1).cast("long")
-    value = money(F.col("units") * F.col("unit_price")) * copies
+    units, value, count = F.col("units"), money(F.col("units") * F.col("unit_price")), F.count(F.lit(1))
+    if "copies" in lines.columns:
+        copies = F.col("copies")
+        units, value, count = units * copies, value * copies, F.sum(copies)
     worded = lines.groupBy("product_id", "date", "description").agg(
-        F.sum(F.col("units") * copies).alias("units"),
+        F.sum(units).alias("units"),
         F.sum(value).alias("value"),
-        F.sum(copies).alias("lines"),
+        count.alias("lines"),
         F.max("last_position").alias("last_position"),
     )
     described = F.when(F.col("description").isNotNull(), F.struct("last_position", "description"))
