@@ -11,31 +11,34 @@ from ..session import fit_partitions
 
 
 def product_day_sales(lines: DataFrame) -> DataFrame:
-    """Units, value, line count and last description per product and day.
+    """Units, value, line count and, where lines carry one, the last description.
 
-    Line value is taken before aggregation. The first grouping includes the
-    description, so every buffer is numeric and lines are hash-combined on the map
-    side: a product holding a third of all lines reaches the shuffle as a few rows
-    per task and day. The second grouping sees one row per distinct description.
-    ``copies`` weights lines that stand for several.
+    One row per product and day. Line value is taken before aggregation. With
+    descriptions the first grouping includes them, so every buffer is numeric and
+    lines are hash-combined on the map side: a product holding a third of all lines
+    reaches the shuffle as a few rows per task and day. The second grouping sees one
+    row per distinct description. ``copies`` weights lines that stand for several.
     """
     units, value, count = F.col("units"), money(F.col("units") * F.col("unit_price")), F.count(F.lit(1))
     if "copies" in lines.columns:
         copies = F.col("copies")
         units, value, count = units * copies, value * copies, F.sum(copies)
-    worded = lines.groupBy("product_id", "date", "description").agg(
+    sums = [
         F.sum(units).alias("units"),
-        F.sum(value).alias("value"),
-        count.alias("lines"),
-        F.max("last_position").alias("last_position"),
-    )
+        F.sum(value).cast("decimal(38,4)").alias("positive_sales_gbp"),
+        count.alias("transaction_lines"),
+    ]
+    if "description" not in lines.columns:
+        return lines.groupBy("product_id", "date").agg(*sums)
+    worded = lines.groupBy("product_id", "date", "description").agg(
+        *sums, F.max("last_position").alias("last_position"))
     described = F.when(F.col("description").isNotNull(), F.struct("last_position", "description"))
     return (
         worded.groupBy("product_id", "date")
         .agg(
             F.sum("units").alias("units"),
-            F.sum("value").cast("decimal(38,4)").alias("positive_sales_gbp"),
-            F.sum("lines").alias("transaction_lines"),
+            F.sum("positive_sales_gbp").cast("decimal(38,4)").alias("positive_sales_gbp"),
+            F.sum("transaction_lines").alias("transaction_lines"),
             F.max(described).alias("_last"),
         )
         .select(

@@ -90,7 +90,7 @@ def a5(spark, sf_dir):
        "SELECT * FROM weekdays")
 def a6(spark, sf_dir):
     path = fresh_path(spark, "weekdays-json")
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.AMOUNTS)
     found = reports.weekday_seasonality(shop.days, shop.totals())
     record = found.select("weekday", F.struct(
         "covered_calendar_days", "average_daily_units", "average_daily_sales_gbp").alias("values"))
@@ -106,7 +106,7 @@ def a6(spark, sf_dir):
 FROM sales s JOIN days USING (date) JOIN products USING (product_id)
 WHERE complete_month GROUP BY 1""")
 def a7(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.DESCRIBED)
     names = {
         "sales": shop.sales.drop("description"),
         "product_metadata": facts.product_dimension(shop.sales),

@@ -37,7 +37,7 @@ DAY = "product_id:s forecast_start:d date:d"
 
 
 def grid_of(spark, sf_dir) -> DataFrame:
-    return tables.Shop.read(spark, sf_dir).grid()
+    return tables.Shop.read(spark, sf_dir, tables.UNITS).grid()
 
 
 def predictions(spark, sf_dir) -> DataFrame:
@@ -45,7 +45,7 @@ def predictions(spark, sf_dir) -> DataFrame:
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    return labelled_in(tables.Shop.read(spark, sf_dir))
+    return labelled_in(tables.Shop.read(spark, sf_dir, tables.UNITS))
 
 
 def labelled_in(shop) -> DataFrame:
@@ -74,7 +74,7 @@ def detail(spark, sf_dir, pairs=PAIRS) -> DataFrame:
 
 
 def detail_and_names(spark, sf_dir, pairs=PAIRS) -> tuple[DataFrame, DataFrame]:
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.NAMED)
     scored = scoring.product_summaries(backtest.backtest_long_frame(shop.grid(), P))
     return scoring.product_comparisons(scored, pairs, P.tie_tolerance), shop.names()
 
@@ -230,7 +230,7 @@ FROM (SELECT product_id, forecast_start, date FROM predictions
       GROUP BY ALL HAVING COUNT(*) < 3) AS d GROUP BY product_id, forecast_start""")
 def e12(spark, sf_dir):
     """Predictions with one method's highest values taken out: only coverage may suffer."""
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
     rows = labelled_in(shop).filter(
         ~((F.col("model") == "weekday_mean_8w") & (F.col("prediction") > 25)))
     return checks.support_validation(rows, shop.chosen(), BASELINES, P)
@@ -346,7 +346,7 @@ def f11(spark, sf_dir):
        """SELECT l.*, n.description FROM (SELECT * FROM labelled WHERE model = 'weekday_mean_4w' AND is_spike
   ORDER BY actual DESC, product_id, date, forecast_start LIMIT 10) l JOIN cohort_names n USING (product_id)""")
 def f12(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.NAMED)
     return diagnostics.spike_examples(labelled_in(shop), shop.names(), CANDIDATE)
 
 
@@ -399,7 +399,7 @@ def f15_down(spark, sf_dir):
   prediction - actual AS signed_error, spike_threshold AS spike_threshold_units
 FROM labelled l JOIN cohort_names n USING (product_id)""")
 def f16(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.NAMED)
     return diagnostics.daily_errors(labelled_in(shop), shop.names())
 
 
@@ -536,7 +536,7 @@ def f24(spark, sf_dir):
        "(SELECT product_id FROM cohort ORDER BY initial_units DESC, product_id LIMIT 1)")
 def g3(spark, sf_dir):
     """The cohort's largest product under the third origin."""
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
     largest = shop.chosen().orderBy(F.desc("initial_units"), "product_id").limit(1)
     return diagnostics.slice_by_origin_product(
         backtest.backtest_long_frame(shop.grid(), P), date(1998, 5, 1), largest.select("product_id").scalar())

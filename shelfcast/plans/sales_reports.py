@@ -22,7 +22,7 @@ def rankings(shop):
 
 @query("c2_product_dimension", "product_id:s description:s", "SELECT * FROM products")
 def c2(spark, sf_dir):
-    return facts.product_dimension(tables.sales(spark, sf_dir))
+    return facts.product_dimension(tables.sales(spark, sf_dir, tables.NAMED))
 
 
 @query("c3_calendar_dimension",
@@ -34,29 +34,29 @@ def c3(spark, sf_dir):
 @query("c4_daily_totals_zero_filled",
        "date:d units:f positive_sales_gbp:f transaction_lines:i", "SELECT * FROM totals")
 def c4(spark, sf_dir):
-    return tables.Shop.read(spark, sf_dir).totals()
+    return tables.Shop.read(spark, sf_dir, tables.AMOUNTS).totals()
 
 
 @query("c5_cohort_eligibility", ELIGIBLE, "SELECT * FROM eligible")
 def c5(spark, sf_dir):
-    return tables.Shop.read(spark, sf_dir).eligibility()
+    return tables.Shop.read(spark, sf_dir, tables.UNITS).eligibility()
 
 
 @query("c6_cohort_top_n", f"{ELIGIBLE} selected:b",
        "SELECT e.*, e.product_id IN (SELECT product_id FROM cohort) AS selected FROM eligible e")
 def c6(spark, sf_dir):
-    return cohort.select_cohort(tables.Shop.read(spark, sf_dir).eligibility(), tables.RULES)
+    return cohort.select_cohort(tables.Shop.read(spark, sf_dir, tables.UNITS).eligibility(), tables.RULES)
 
 
 @query("c7_cohort_metadata", f"{ELIGIBLE} description:s",
        "SELECT c.*, n.description FROM cohort c JOIN cohort_names n USING (product_id)")
 def c7(spark, sf_dir):
-    return tables.Shop.read(spark, sf_dir).names()
+    return tables.Shop.read(spark, sf_dir, tables.NAMED).names()
 
 
 @query("c8_dense_daily_grid", "product_id:s date:d units:f", "SELECT * FROM grid")
 def c8(spark, sf_dir):
-    return tables.Shop.read(spark, sf_dir).grid()
+    return tables.Shop.read(spark, sf_dir, tables.UNITS).grid()
 
 
 @query("c9_grid_preflight", "check:s product_id:s forecast_start:d rows:i",
@@ -68,7 +68,7 @@ GROUP BY c.product_id, o.forecast_start
 HAVING o.forecast_start + 27 - DATE '1995-02-01' + 1 > COUNT(s.date)""")
 def c9(spark, sf_dir):
     """The fact itself as a grid: every day without sales is a gap."""
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
     chosen = shop.chosen()
     sold = shop.sales.join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi")
     return checks.grid_preflight(sold.select("product_id", "date", "units"), chosen, tables.PROTOCOL)
@@ -82,7 +82,7 @@ FROM cohort n FULL JOIN (SELECT product_id FROM eligible WHERE eligible
   AND recent_active_day_fraction >= 0.2 ORDER BY initial_units DESC, product_id LIMIT 12) o
   ON o.product_id = n.product_id""")
 def c10(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
     return cohort.compare_cohorts(shop.chosen(), shop.chosen(WIDER))
 
 
@@ -91,7 +91,7 @@ def d1(spark, sf_dir):
     """Rankings of every part; the part table names them."""
     names = tables.table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("description"))
-    sold = tables.sales(spark, sf_dir, "l_partkey")
+    sold = tables.sales(spark, sf_dir, tables.AMOUNTS, "l_partkey")
     return ranking.in_rank_order(ranking.product_rankings(sold, names))
 
 
@@ -100,7 +100,7 @@ def d1(spark, sf_dir):
        "previous_month:d previous_complete:n previous_value:f comparable_monthly_growth_pct:f",
        "SELECT * FROM monthly_trends")
 def d2(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.AMOUNTS)
     return reports.monthly_trends(shop.days, shop.totals())
 
 
@@ -108,7 +108,7 @@ def d2(spark, sf_dir):
        "weekday_number:i weekday:s covered_calendar_days:i positive_units:f average_daily_units:f "
        "positive_sales_gbp:f average_daily_sales_gbp:f", "SELECT * FROM weekdays")
 def d3(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.AMOUNTS)
     return reports.weekday_seasonality(shop.days, shop.totals())
 
 
@@ -117,7 +117,7 @@ def d3(spark, sf_dir):
        "previous_year:i previous_value:f previous_units:f value_growth_pct:f units_growth_pct:f",
        "SELECT * FROM growth")
 def d4(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.AMOUNTS)
     return reports.comparable_growth(shop.days, shop.totals())
 
 
@@ -133,7 +133,7 @@ UNION ALL SELECT * FROM (SELECT 'weekday_pattern', weekday, average_daily_sales_
     CAST(covered_calendar_days AS DOUBLE)
   FROM weekdays ORDER BY average_daily_sales_gbp DESC, weekday_number LIMIT 1)""")
 def f23(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir)
+    shop = tables.Shop.read(spark, sf_dir, tables.DESCRIBED)
     return diagnostics.findings(
         reports.comparable_growth(shop.days, shop.totals()), rankings(shop),
         reports.weekday_seasonality(shop.days, shop.totals()))
@@ -142,7 +142,7 @@ def f23(spark, sf_dir):
 @query("g1_top_n_by_metric", RANKED,
        "SELECT * FROM rankings ORDER BY positive_sales_gbp DESC, product_id LIMIT 8")
 def g1(spark, sf_dir):
-    return ranking.top_n_by_metric(rankings(tables.Shop.read(spark, sf_dir)), "positive_sales_gbp")
+    return ranking.top_n_by_metric(rankings(tables.Shop.read(spark, sf_dir, tables.DESCRIBED)), "positive_sales_gbp")
 
 
 @query("g2_coverage_label", "month_start:d complete_month:b positive_sales_gbp:f coverage:s",
@@ -158,14 +158,14 @@ def g2(spark, sf_dir):
 def g4(spark, sf_dir):
     origins = cohort.split_rows(spark, tables.PROTOCOL).select(
         F.date_sub("forecast_start", 1).alias("origin"))
-    return diagnostics.history_context(tables.Shop.read(spark, sf_dir).grid(), origins)
+    return diagnostics.history_context(tables.Shop.read(spark, sf_dir, tables.UNITS).grid(), origins)
 
 
 @query("g11_active_days_and_span", "product_id:s first_date:d last_date:d positive_sales_days:i",
        "SELECT product_id, MIN(date) AS first_date, MAX(date) AS last_date, "
        "COUNT(*) FILTER (WHERE units > 0) AS positive_sales_days FROM grid GROUP BY product_id")
 def g11(spark, sf_dir):
-    return facts.active_days_and_span(tables.Shop.read(spark, sf_dir).grid())
+    return facts.active_days_and_span(tables.Shop.read(spark, sf_dir, tables.UNITS).grid())
 
 
 @query("i1_sales_summary",
@@ -176,4 +176,4 @@ FROM (SELECT *, SUM(units) OVER (PARTITION BY product_id ORDER BY date
         RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS week FROM grid) AS t
 GROUP BY product_id""")
 def i1(spark, sf_dir):
-    return facts.sales_summary(tables.Shop.read(spark, sf_dir).grid())
+    return facts.sales_summary(tables.Shop.read(spark, sf_dir, tables.UNITS).grid())

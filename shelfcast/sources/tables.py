@@ -24,6 +24,11 @@ PROTOCOL = Protocol(
 )
 SOURCE, SOURCES = "source", ["F", "O"]
 POSITION = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+# Fact columns by use.
+UNITS = ("units",)
+AMOUNTS = ("units", "positive_sales_gbp", "transaction_lines")
+NAMED = ("units", "description")
+DESCRIBED = (*AMOUNTS, "description")
 # Orders per run of input order; bounds the longest window when numbering copies.
 CHUNK_ORDERS = 1 << 20
 
@@ -117,9 +122,21 @@ def sale_lines(
     )
 
 
-def sales(spark: SparkSession, sf_dir: str, product: str = "l_suppkey") -> DataFrame:
-    final = day_bounds(spark, sf_dir)[1]
-    return facts.product_day_sales(sale_lines(spark, sf_dir, final, product))
+def fact(
+    spark: SparkSession, sf_dir: str, final: date, columns: tuple[str, ...],
+    product: str = "l_suppkey",
+) -> DataFrame:
+    """The product/day fact with the asked columns; the scan reads no others."""
+    lines = sale_lines(spark, sf_dir, final, product)
+    if "description" not in columns:
+        lines = lines.drop("description", "last_position")
+    return facts.product_day_sales(lines).select("product_id", "date", *columns)
+
+
+def sales(
+    spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = DESCRIBED, product: str = "l_suppkey",
+) -> DataFrame:
+    return fact(spark, sf_dir, day_bounds(spark, sf_dir)[1], columns, product)
 
 
 @dataclass(frozen=True)
@@ -127,7 +144,8 @@ class Shop:
     """The product/day fact of one run with its calendar.
 
     The fact is written once to the shared folder: lines are scanned and shuffled a
-    single time, and cohort, grid and reports all start from the small table.
+    single time, and cohort, grid and reports all start from the small table. Ask only
+    for the columns that are used: the write would otherwise keep the rest alive.
     """
 
     sales: DataFrame
@@ -135,11 +153,11 @@ class Shop:
     days: DataFrame
 
     @classmethod
-    def read(cls, spark: SparkSession, sf_dir: str) -> "Shop":
+    def read(cls, spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> "Shop":
         first, final = day_bounds(spark, sf_dir)
         bounds = bounds_frame(spark, first, final)
-        fact = facts.product_day_sales(sale_lines(spark, sf_dir, final))
-        return cls(written(fact, "sales"), bounds, facts.calendar(bounds))
+        sold = written(fact(spark, sf_dir, final, columns), "sales")
+        return cls(sold, bounds, facts.calendar(bounds))
 
     def totals(self) -> DataFrame:
         return facts.daily_totals(self.sales, self.days)
