@@ -58,10 +58,14 @@ def smoothing_protocol(methods: dict[str, int | None]):
                        smoothing=methods)
 
 
-def all_methods(spark, sf_dir) -> DataFrame:
+def grid_and_fits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Grid and fits are written once: fitting is never repeated by a later stage."""
     grid = written(grid_of(spark, sf_dir), "grid")
-    found = written(backtest.smoothing_fits(grid, P), "fits")
+    return grid, written(backtest.smoothing_fits(grid, P), "fits")
+
+
+def all_methods(spark, sf_dir) -> DataFrame:
+    grid, found = grid_and_fits(spark, sf_dir)
     return backtest.window_backtest_frame(grid, P, diagnostics.spike_thresholds(grid, P), found)
 
 
@@ -312,7 +316,8 @@ def f8(spark, sf_dir):
 
 @query("f8_all_pairs_smoothing", PAIRWISE)
 def f8_smoothing(spark, sf_dir):
-    scored = scoring.product_summaries(all_methods(spark, sf_dir))
+    grid, found = grid_and_fits(spark, sf_dir)
+    scored = scoring.product_summaries(backtest.backtest_long_frame(grid, P, found))
     pairs = scoring.pair_list(P.smoothing, P.methods)
     return scoring.comparison_summary(scoring.product_comparisons(scored, pairs, P.tie_tolerance))
 
