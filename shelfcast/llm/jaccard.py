@@ -33,7 +33,14 @@ from .components import components
 
 WORDS_HELD = 300_000
 # N-grams in a block; what a task holds at a time.
-BLOCK_NGRAMS = 1 << 21
+BLOCK_NGRAMS = 1 << 20
+# Entries of a product that are added up at a time.
+PRODUCT_ENTRIES = 1 << 20
+# Counters of the column order; their number is fixed, whatever the number of columns.
+COUNTERS = 1 << 18
+COUNTER_PART = 1 << 12
+# Up to so many rows of two numbers are sent to every task; beyond that both sides are shuffled.
+SENT_ROWS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,14 +116,15 @@ def _in_order(found: np.ndarray) -> np.ndarray:
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
 SETS = "doc_id long, size long, row long, row2 long, leading binary"
-ROWS = "row long, size long, columns binary, leading array<bigint>"
+ROWS = "row long, size long, columns binary"
+LEADING = "row long, column long"
 
 
 def document_sets(docs: DataFrame, join: Join) -> DataFrame:
@@ -225,9 +233,16 @@ class Block:
         """Counts of shared columns with each row of the block."""
         at = np.minimum(np.searchsorted(self.column, columns), max(0, len(self.column) - 1))
         at = at[self.column[at] == columns] if len(self.column) else at[:0]
-        start, n = self.start[at], self.n[at]
-        shift = np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n) if len(n) else np.empty(0, np.int64)
-        return np.bincount(self.holder[shift + np.arange(len(shift))], minlength=len(self.rows))
+        found, begin = np.zeros(len(self.rows), np.int64), 0
+        total = np.cumsum(self.n[at])
+        while begin < len(at):
+            done = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + PRODUCT_ENTRIES)))
+            start, n = self.start[at[begin:end]], self.n[at[begin:end]]
+            shift = np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n)
+            found += np.bincount(self.holder[shift + np.arange(len(shift))], minlength=len(self.rows))
+            begin = end
+        return found
 
     def center(self) -> int:
         """The row whose columns are held most often on average."""
@@ -281,9 +296,59 @@ def block_links(stored: list[tuple[int, np.ndarray]], asking: list[tuple[int, np
                 yield row, other
 
 
-def clusters(rows: DataFrame) -> DataFrame:
+def column_counts(rows: DataFrame) -> np.ndarray:
+    """How many entries fall on each counter, a column's counter being part of its hash.
+
+    A fixed number of counters comes to the driver, in parts that were added up before. They
+    only order the columns: any order gives the same links, one with common columns at the
+    end the fewest clusters.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column("columns"):
+                seen += np.bincount(np.frombuffer(x.as_buffer(), np.int64) & (COUNTERS - 1), minlength=COUNTERS)
+        yield _batch("part long, counts binary", range(COUNTERS // COUNTER_PART),
+                     [x.tobytes() for x in seen.reshape(-1, COUNTER_PART)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[k] = held.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        if held:
+            yield _batch("part long, counts binary", [*held], [x.tobytes() for x in held.values()])
+
+    kind = "part long, counts binary"
+    added = rows.select("columns").mapInArrow(count, kind).repartition(COUNTERS // COUNTER_PART, "part").mapInArrow(add, kind)
+    found = np.zeros((COUNTERS // COUNTER_PART, COUNTER_PART), np.int64)
+    for k, x in added.collect():
+        found[k] = np.frombuffer(x, np.int64)
+    return found.reshape(-1)
+
+
+def leading_columns(rows: DataFrame, join: Join) -> DataFrame:
+    """``row`` and ``column``: the first columns of each row, rarest first, of which any linked
+    pair shares at least one."""
+    held = rows.sparkSession.sparkContext.broadcast(column_counts(rows))
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for batch in batches:
+            found = []
+            for x in batch.column("columns"):
+                columns = np.frombuffer(x.as_buffer(), np.int64)
+                by = np.lexsort((columns, counts[columns & (COUNTERS - 1)]))
+                found.append(columns[by[: len(columns) - join.least(len(columns)) + 1]])
+            own = np.repeat(batch.column("row").to_numpy(), [len(f) for f in found])
+            yield _batch(LEADING, own, np.concatenate(found) if found else [])
+
+    return rows.select("row", "columns").mapInArrow(lead, LEADING)
+
+
+def clusters(rows: DataFrame, join: Join) -> DataFrame:
     """``row`` and ``cluster``: rows that share leading columns, directly or by others."""
-    leading = rows.select("row", F.explode("leading").alias("column"))
+    leading = shared.written(leading_columns(rows, join), "leading")
     pivot = leading.groupBy("column").agg(F.min("row").alias("v"), F.max("row").alias("_last")).filter("v <> _last")
     edges = leading.join(pivot.select("column", "v"), "column").select(F.col("row").alias("u"), "v").distinct()
     return components(edges).select(F.col("id").alias("row"), F.col("root").alias("cluster"))
@@ -298,7 +363,7 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
     """
     spark = rows.sparkSession
     rows = shared.written(rows, "rows")
-    grouped = shared.written(rows.join(clusters(rows), "row").drop("leading"), "clustered")
+    grouped = shared.written(rows.join(clusters(rows, join), "row"), "clustered")
     weight = grouped.groupBy("cluster").agg(
         F.sum("size").alias("weight"), F.max(F.struct(F.col("common") / F.col("size"), "row")).alias("best"))
     weight = weight.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_NGRAMS).cast("int"))
@@ -363,28 +428,33 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     set and is linked with nothing. Rows with the same id are one node of the graph if their
     texts are alike; a null id keeps a null component unless it has copies with an id.
     """
-    sets = shared.written(document_sets(docs, join), "sets")
-    rows = shared.written(sets.filter("size > 0").groupBy("row", "row2", "size").agg(
-        F.min("doc_id").alias("first"), F.first("leading").alias("leading")), "classes")
+    wide = shared.written(document_sets(docs, join), "sets")
+    spark = docs.sparkSession
+    sets = shared.written(wide.drop("leading"), "names")
     size = F.col("size")
     least = F.ceil(F.lit(join.percent) * size / 100)
     needed = F.greatest(F.lit(1), F.floor(least / 20))
-    alive = rows.select("row", "first", "size").join(shared_counts(rows, "leading"), "row").filter(F.col("n") >= needed)
+    # Copies share all their columns; that keeps a row they do not need, and loses none.
+    counts = shared_counts(wide.filter("size > 0"), "leading")
+    rows = shared.written(sets.filter("size > 0").groupBy("row", "row2", "size").agg(
+        F.min("doc_id").alias("first")), "classes")
+    alive = rows.select("row", "first", "size").join(counts, "row").filter(F.col("n") >= needed)
     alive = shared.written(alive.select("row", "first"), "alive")
+    shared.removed(spark, wide)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams(join.n)
         for batch in batches:
             found = [ngrams.of(t) for t in batch.column("text").to_pylist()]
             kept = [(r, s) for r, s in zip(batch.column("row").to_pylist(), found) if _row_id(s)[0] == r]
-            yield _batch(ROWS, [r for r, _ in kept], [len(s) for _, s in kept], [s.tobytes() for _, s in kept],
-                         [_in_order(s)[: len(s) - join.least(len(s)) + 1] for _, s in kept])
+            yield _batch(ROWS, [r for r, _ in kept], [len(s) for _, s in kept], [s.tobytes() for _, s in kept])
 
+    few = alive.count() <= SENT_ROWS
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
-        alive.withColumnRenamed("first", "doc_id"), "doc_id").select("row", "text")
+        _sent(alive.withColumnRenamed("first", "doc_id"), few), "doc_id").select("row", "text")
     full = shared.written(texts.mapInArrow(whole, ROWS), "whole")
     counts = shared_counts(full, "columns").withColumnRenamed("n", "common")
-    full = full.join(counts, "row").filter(F.col("common") >= least)
+    full = full.join(_sent(counts, few), "row").filter(F.col("common") >= least)
     linked = components(shared.written(links(full, join), "links"))
     joined = rows.select("row", "row2", "first").join(
         linked.withColumnRenamed("id", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
@@ -394,6 +464,11 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return _back(sets, named)
 
 
+def _sent(rows: DataFrame, few: bool) -> DataFrame:
+    """To be joined by broadcast if it is known to have at most ``SENT_ROWS`` rows."""
+    return F.broadcast(rows) if few else rows
+
+
 def _back(sets: DataFrame, named: DataFrame) -> DataFrame:
     """Every document with its class's component.
 
