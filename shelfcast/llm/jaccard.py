@@ -187,10 +187,10 @@ def shared_counts(rows: DataFrame, columns: str) -> DataFrame:
             order, _, size = _groups(column[entry])
             several = np.repeat(size > 1, size)
             single = n[entry][order] == 0
-            found = np.concatenate([row[so_far], row[entry][order][several & single]])
-            times = np.concatenate([n[so_far], np.ones(len(found) - int(so_far.sum()), np.int64)])
-            own, at = np.unique(found, return_inverse=True)
-            return _batch(COUNT, own, np.bincount(at, times, len(own)).astype(np.int64))
+            # One row per shared column: partial sums here would grow with the number of tasks.
+            found = row[entry][order][several & single]
+            return _batch(COUNT, np.concatenate([row[so_far], found]),
+                          np.concatenate([n[so_far], np.ones(len(found), np.int64)]))
 
         for batch in batches:
             held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
