@@ -193,8 +193,7 @@ def fit_histories(histories: list[np.ndarray], form: Form, horizon: int) -> list
         level, season, trend, damping = (float(g[0]) for g in _gains(point[None, :]))
         used = (level, season if form.seasonal else None, trend if form.damped_trend else None,
                 damping if form.damped_trend else None)
-        edge = [n for n, v in zip(["level", "seasonal"], used) if v is not None and v in (0.0, 1.0)]
-        fits[i] = Fit(path, sse, used, [f"Boundary coefficient: {n}" for n in edge])
+        fits[i] = Fit(path, sse, used, [])
         if not np.isfinite(path).all():
             fits[i].forecast, fits[i].error = None, "Nonfinite forecast"
     return fits

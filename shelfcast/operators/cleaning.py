@@ -123,6 +123,10 @@ def distinct_lines(
     source, so one hash aggregation with numeric buffers answers everything, and
     parsing is left to the distinct lines.
     """
+    # A line of a source that is not named would count nowhere, so it stops the run.
+    unnamed = F.raise_error(F.concat(F.lit("a line comes from a source that is not named: "),
+                                     F.coalesce(F.col(source), F.lit("null"))))
+    raw = raw.withColumn(source, F.when(F.col(source).isin(sources), F.col(source)).otherwise(unnamed))
     per_source = []
     for i, name in enumerate(sources):
         here = F.col(source) == name

@@ -9,8 +9,6 @@ from ..functions.numbers import percent
 from ..session import written
 
 RANK_BUCKETS = 256
-# Up to this many measured rows a plain window is one modest task.
-ONE_WINDOW_ROWS = 500_000
 
 
 def rank_cutpoints(values: DataFrame, column: str, buckets: int) -> list:
@@ -28,7 +26,8 @@ def dense_rank_desc(rows: DataFrame, column: str, rank: str, buckets: int = RANK
     """Add the dense rank of ``column``, largest first.
 
     Distinct values are cut into ranges, ranked inside each range, and shifted by
-    the number of values in higher ranges, so no window sees the whole column.
+    the number of values in higher ranges, so no window sees the whole column. A null
+    has no rank.
     """
     values = rows.select(column).filter(F.col(column).isNotNull()).distinct()
     cuts = rank_cutpoints(values, column, buckets)
@@ -59,12 +58,8 @@ def product_rankings(sales: DataFrame, products: DataFrame) -> DataFrame:
     # are written once instead of scanning the fact five times.
     described = written(totals.join(products, "product_id"), "product-totals")
     ranked = described
-    small = described.limit(ONE_WINDOW_ROWS + 1).count() <= ONE_WINDOW_ROWS
     for column, rank in [("positive_units", "units_rank"), ("positive_sales_gbp", "value_rank")]:
-        if small:
-            ranked = ranked.withColumn(rank, F.dense_rank().over(Window.orderBy(F.desc(column))))
-        else:
-            ranked = dense_rank_desc(ranked, column, rank)
+        ranked = dense_rank_desc(ranked, column, rank)
     whole = described.agg(F.sum("positive_sales_gbp").alias("v")).select(F.col("v").cast("double"))
     return ranked.withColumn(
         "value_share_pct",

@@ -188,7 +188,8 @@ def best_methods(overall: DataFrame, smoothing: Iterable[str]) -> DataFrame:
 def validation_selection(predictions: DataFrame, stage: str = "validation") -> DataFrame:
     """The method with the lowest pooled ratio over the validation origins."""
     pooled_scores = scores(predictions.filter(F.col("stage") == stage), "model")
-    return pooled_scores.agg(F.min(F.struct("wape", "model")).alias("b")).select(
+    # A method without a defined ratio cannot be chosen.
+    return pooled_scores.filter(F.col("wape").isNotNull()).agg(F.min(F.struct("wape", "model")).alias("b")).select(
         F.col("b.model").alias("selected_model"), F.col("b.wape").alias("validation_wape"))
 
 

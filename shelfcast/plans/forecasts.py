@@ -115,7 +115,7 @@ def e1(spark, sf_dir):
 FROM origins o CROSS JOIN (SELECT * FROM methods UNION ALL VALUES ('hw_expanding', NULL),
   ('hw_182d', 182), ('hw_365d', 365)) m
 JOIN grid g ON g.date < o.forecast_start
-  AND g.date >= COALESCE(o.forecast_start - m.history, DATE '1995-02-01')
+  AND g.date >= COALESCE(o.forecast_start - m.history, DATE '1995-01-02')
 GROUP BY 1, 2, 3""")
 def e2(spark, sf_dir):
     """Each window's days and units; windows are expanded to days for an equality join."""
@@ -460,7 +460,8 @@ def f19(spark, sf_dir):
     overall = scoring.overall_summaries(predictions(spark, sf_dir))
     best = scoring.best_methods(overall, P.smoothing)
     placed = scoring.method_ranking(overall).agg(
-        F.array_sort(F.collect_list(F.struct("wape", "model"))).alias("all")).select(
+        F.array_sort(F.collect_list(F.struct(
+            F.col("wape").isNull().alias("undefined"), "wape", "model"))).alias("all")).select(
         F.posexplode("all").alias("at", "m"))
     return placed.crossJoin(F.broadcast(best)).select(
         "m.model", "m.wape", (F.col("at") + 1).alias("position"),

@@ -61,11 +61,11 @@ def c8(spark, sf_dir):
 
 @query("c9_grid_preflight", "check:s product_id:s forecast_start:d rows:i",
        """SELECT 'incomplete_calendar' AS "check", c.product_id, o.forecast_start,
-  o.forecast_start + 27 - DATE '1995-02-01' + 1 - COUNT(s.date) AS "rows"
+  o.forecast_start + 27 - DATE '1995-01-02' + 1 - COUNT(s.date) AS "rows"
 FROM cohort c CROSS JOIN origins o LEFT JOIN sales s ON s.product_id = c.product_id
-  AND s.date BETWEEN DATE '1995-02-01' AND o.forecast_start + 27
+  AND s.date BETWEEN DATE '1995-01-02' AND o.forecast_start + 27
 GROUP BY c.product_id, o.forecast_start
-HAVING o.forecast_start + 27 - DATE '1995-02-01' + 1 > COUNT(s.date)""")
+HAVING o.forecast_start + 27 - DATE '1995-01-02' + 1 > COUNT(s.date)""")
 def c9(spark, sf_dir):
     """The fact itself as a grid: every day without sales is a gap."""
     shop = tables.Shop.read(spark, sf_dir, tables.UNITS)

@@ -194,7 +194,7 @@ GROUP BY m.model, m.history, o.forecast_start, h.product_id, h.date, h.units""",
     "thresholds": """
 SELECT product_id, forecast_start, MIN(date) AS train_start, MAX(date) AS train_end,
   COUNT(*) AS training_observations, quantile_cont(units, 0.99) AS threshold_99
-FROM grid JOIN origins ON date < forecast_start WHERE date >= DATE '1995-02-01' GROUP BY 1, 2""",
+FROM grid JOIN origins ON date < forecast_start WHERE date >= DATE '1995-01-02' GROUP BY 1, 2""",
     "labelled": """
 SELECT p.*, t.threshold_99 AS spike_threshold, p.actual > t.threshold_99 AS is_spike
 FROM predictions p JOIN thresholds t USING (product_id, forecast_start)""",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +27,11 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a scratch folder; anywhere else a
-    missing setting is an error, because a machine-local path would be lost with
-    its executor.
+    Without the setting it lies under the warehouse, which executors share as well; no
+    machine-local folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        named = _scratch()
-    return named.rstrip("/")
-
-
-@functools.cache
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="shelfcast-")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

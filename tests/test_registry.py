@@ -25,7 +25,8 @@ with_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are
 
 
 def test_every_query_has_sql_unless_it_cannot():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == NO_SQL
+    own = {name for name in contract.queries() if not name.startswith("op") and name != "pipeline"}
+    assert own - set(contract.oracle_sql()) == NO_SQL
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
