@@ -494,10 +494,17 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     A document without an id stays.
     """
-    found = similar_documents(docs, join)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    return stay.dropDuplicates()
+    found = shared.written(similar_documents(docs, join), "components")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    # Texts travel only if too many documents go for their ids to be sent to every task.
+    stay = docs.join(_sent(gone, gone.count() <= SENT_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    again = shared.written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1"), "again")
+    n = again.count()
+    if not n:
+        return stay
+    again = _sent(again.select("doc_id"), n <= SENT_ROWS)
+    twice = stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
+    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
