@@ -290,7 +290,7 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
     columns = [F.when(some, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     out = ready.select(*columns, "_entities", some.alias("_some"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when("_some", F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col("_some"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(
             F.col("n_chars")))
     return out.drop("_some")
 

@@ -205,6 +205,9 @@ def test_surrogates(docs, none):
     for k in (1, 2, 3, 4, 6, 9):
         assert rows[k].text == dict(TEXTS)[k]
     assert surrogates.with_surrogates(none).count() == 0
+    counted = surrogates.with_surrogates(docs.selectExpr("doc_id", "text", "2L * length(text) AS n_chars"))
+    for r in counted.filter("text IS NOT NULL").collect():
+        assert r.n_chars == (len(r.text) if r._entities else 2 * len(r.text))
 
 
 def test_warc_round_trip(spark, tmp_path):
