@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import components
 
-WORDS_HELD = 300_000
+WORDS_HELD = 100_000
 # N-grams in a block; what a task holds at a time.
 BLOCK_NGRAMS = 1 << 20
 # Entries of a product that are added up at a time.

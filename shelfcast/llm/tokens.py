@@ -12,8 +12,8 @@ import public_tokenizers
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 # Python counts these four as white space, the tokenizer's expressions do not.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-WORDS_HELD = 300_000
-PARTS_HELD = 1_000_000
+WORDS_HELD = 150_000
+PARTS_HELD = 400_000
 LONGEST_HELD = 64
 # What the splitter keeps together among letters that normalisation only lower-cases: runs of
 # letters, single digits, runs of marks. Apostrophes start rules of their own and are left out.
