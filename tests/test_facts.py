@@ -84,6 +84,6 @@ def test_rankings_share_and_order(spark):
     assert [r.units_rank for r in ranked] == [units.index(r.positive_units) + 1 for r in ranked]
     assert [r.units_rank for r in ranked] == sorted(r.units_rank for r in ranked)
     assert sum(r.value_share_pct for r in ranked) == pytest.approx(100)
-    assert [r.product_id for r in small][:2] == ["p3", "p7"] and small[0].active_calendar_days == 2
+    assert [r.product_id for r in ranked][:2] == ["p3", "p7"] and ranked[0].active_calendar_days == 2
     top = ranking.top_n_by_metric(ranking.product_rankings(sales, names), "positive_sales_gbp", 2)
     assert {r.product_id for r in top.collect()} == {"p8", "p7"}
