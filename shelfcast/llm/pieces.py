@@ -5,6 +5,9 @@ candidate merge that comes up is skipped with a given probability, by a hash of
 variant, the word and the place of the merge; so a run with the same seed cuts every
 document alike wherever it is processed, while other variants cut it in other ways. What is
 not merged falls back to characters and bytes, so every cut decodes to the text itself.
+
+The words of a block of texts that are not known yet are merged side by side: one row of a
+matrix is one word, and each round takes the best candidate of every row's agenda.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from itertools import islice
 
@@ -29,8 +33,16 @@ SEED = 20240229
 DROPOUT = 0.1
 VARIANTS = 4
 WORDS_HELD = 400_000
-NEVER = float("-inf")
+# Characters of the texts whose new words are merged together; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 21
 LONGEST_HELD = 64
+# Widths of the matrices; longer words have an agenda each.
+WIDTHS = (8, 12, 16, 24, LONGEST_HELD)
+CELLS = 1 << 19
+ALL_BITS = (1 << 64) - 1
+# Odd multipliers that spread the three places of a candidate, and those of the finishing steps.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+FINISH = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SPACE = "▁"
 # A run of spaces and the word after it: no piece of the model has a space behind a letter.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -53,12 +65,37 @@ class PieceModel:
             raise ValueError("a piece spans words; words cannot be cut one by one")
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """Numbers for pieces, then for single characters that only occur inside pieces; one
+        more stands for all else. Pairs of numbers that make a piece are sorted for look-up."""
+        symbols = {p: k for k, p in enumerate(self.ids)}
+        self.n_pieces = len(symbols)
+        for c in sorted({c for p in self.ids for c in p}.difference(symbols)):
+            symbols[c] = len(symbols)
+        self.other = len(symbols)
+        self.piece_ids = np.array(list(self.ids.values()), "<u4")
+        self.of_char = np.full(sys.maxunicode + 1, self.other, np.int32)
+        for c, k in symbols.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = k
+        pairs = sorted(
+            (symbols[p[:k]] * (self.other + 1) + symbols[p[k:]], whole, self.scores[p])
+            for p, whole in symbols.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
+        self.pairs = np.array([x[0] for x in pairs], np.int64)
+        self.wholes = np.array([x[1] for x in pairs], np.int32)
+        self.pair_scores = np.array([x[2] for x in pairs], np.float32)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of the piece that two symbols make; minus infinity if none."""
+        wanted = left.astype(np.int64) * (self.other + 1) + right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.pair_scores[at], -np.inf), self.wholes[at]
 
     def merged(self, word: str, seed: int, variant: int, dropout: float) -> list[str]:
         """The pieces of a word from single characters, best score first, then from the left."""
-        if len(word) <= LONGEST_HELD:
-            return self._merged_short(word, f"{seed}\0{variant}\0{word}\0", int(dropout * (1 << 64)))
-        size, limit = len(word), int(dropout * (1 << 64))
+        size, limit, key = len(word), skip_limit(dropout), word_key(word, seed, variant)
         start, end = list(range(size)), list(range(1, size + 1))
         before, after = [k - 1 for k in range(size)], [k + 1 for k in range(size)]
         agenda: list[tuple[float, int, int, int]] = []
@@ -71,13 +108,12 @@ class PieceModel:
 
         for k in range(size - 1):
             propose(k, k + 1)
-        salt = f"{seed}\0{variant}\0{word}\0" if limit else ""
         alive = [True] * size
         while agenda:
             _, left, middle, right = heapq.heappop(agenda)
             if not alive[left] or end[left] != middle or middle >= size or not alive[middle] or end[middle] != right:
                 continue  # one of the two has been merged since
-            if limit and xxhash.xxh3_64_intdigest(f"{salt}{left},{middle},{right}") < limit:
+            if limit and place_hash(key, left, middle, right) < limit:
                 continue
             alive[middle], end[left] = False, right
             after[left] = after[middle]
@@ -87,32 +123,80 @@ class PieceModel:
             propose(left, after[left])
         return [word[k: end[k]] for k in range(size) if alive[k]]
 
-    def _merged_short(self, word: str, salt: str, limit: int) -> list[str]:
-        """As ``merged`` with the agenda as a plain list, which is quicker while it is short."""
-        score, digest = self.scores.get, xxhash.xxh3_64_intdigest
-        parts, starts = list(word), [*range(len(word) + 1)]
-        agenda = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        while agenda:
-            best = max(agenda)
-            if best == NEVER:
-                break
-            k = agenda.index(best)
-            if limit and digest(f"{salt}{starts[k]},{starts[k + 1]},{starts[k + 2]}") < limit:
-                agenda[k] = NEVER
-                continue
-            parts[k] += parts.pop(k + 1)
-            del starts[k + 1], agenda[k]
-            if k:
-                agenda[k - 1] = score(parts[k - 1] + parts[k], NEVER)
-            if k < len(agenda):
-                agenda[k] = score(parts[k] + parts[k + 1], NEVER)
-        return parts
-
-    def word_ids(self, word: str, seed: int, variant: int, dropout: float) -> list[int]:
+    def word_ids(self, word: str, seed: int, variant: int, dropout: float) -> bytes:
+        return self._spelt(self.merged(word, seed, variant, dropout))
+
+    def _spelt(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for piece in self.merged(word, seed, variant, dropout):
+        for piece in pieces:
             found = self.ids.get(piece)
             out += [found] if found is not None else [self.bytes[b] for b in piece.encode()]
+        return np.array(out, "<u4").tobytes()
+
+    def many_ids(self, cases: list[tuple[str, int]], seed: int, dropout: float) -> list[bytes]:
+        """The ids of words, each under its variant, as ``word_ids`` gives them one by one."""
+        out: list[bytes] = [b""] * len(cases)
+        sizes = np.fromiter((len(w) for w, _ in cases), np.int64, len(cases))
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            places = np.flatnonzero((sizes > low) & (sizes <= width))
+            for begin in range(0, len(places), CELLS // width):
+                some = places[begin: begin + CELLS // width]
+                found = self._side_by_side([cases[k] for k in some.tolist()], sizes[some], width, seed, dropout)
+                for k, ids in zip(some.tolist(), found):
+                    out[k] = ids
+        for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            out[k] = self.word_ids(cases[k][0], seed, cases[k][1], dropout)
+        return out
+
+    def _side_by_side(self, cases: list[tuple[str, int]], sizes: np.ndarray, width: int,
+                      seed: int, dropout: float) -> list[bytes]:
+        n, limit = len(cases), skip_limit(dropout)
+        columns = np.arange(width)
+        alive = columns < sizes[:, None]
+        symbols = np.full((n, width + 1), self.other, np.int32)
+        chars = np.frombuffer("".join([w for w, _ in cases]).encode("utf-32-le"), "<u4")
+        symbols[:, :width][alive] = self.of_char[chars]
+        # The part at a place starts there; its neighbours are found by their own places.
+        after = np.tile(np.arange(1, width + 3, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width + 1, dtype=np.int32), (n, 1))
+        agenda = np.full((n, width), -np.inf, np.float32)
+        whole = np.zeros((n, width), np.int32)
+        agenda[:, :-1], whole[:, :-1] = self._joined(symbols[:, : width - 1], symbols[:, 1:width])
+        keys = np.fromiter((word_key(w, seed, v) for w, v in cases), np.uint64, n) if limit else None
+        rows = np.arange(n)
+        while True:
+            left = agenda[rows].argmax(1)
+            some = agenda[rows, left] > -np.inf
+            rows, left = rows[some], left[some]
+            if not len(rows):
+                break
+            middle = after[rows, left]
+            right = after[rows, middle]
+            if limit:
+                skip = place_hash(keys[rows], left.astype(np.uint64), middle.astype(np.uint64),
+                                  right.astype(np.uint64)) < np.uint64(limit)
+                agenda[rows[skip], left[skip]] = -np.inf
+                r, left, middle, right = rows[~skip], left[~skip], middle[~skip], right[~skip]
+            else:
+                r = rows
+            symbols[r, left] = whole[r, left]
+            alive[r, middle] = False
+            agenda[r, middle] = -np.inf
+            after[r, left], before[r, right] = right, left
+            # A part that ends its word meets the padding, which joins with nothing.
+            agenda[r, left], whole[r, left] = self._joined(symbols[r, left], symbols[r, np.minimum(right, width)])
+            previous = before[r, left]
+            r, left, previous = r[previous >= 0], left[previous >= 0], previous[previous >= 0]
+            agenda[r, previous], whole[r, previous] = self._joined(symbols[r, previous], symbols[r, left])
+        kept = symbols[:, :width][alive]
+        ends = np.cumsum(alive.sum(1))
+        spelt = kept >= self.n_pieces
+        flat = self.piece_ids[np.where(spelt, 0, kept)].tobytes()
+        cuts = [0, *(ends * 4).tolist()]
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(spelt), side="right")).tolist():
+            starts = [*np.flatnonzero(alive[k]).tolist(), int(sizes[k])]
+            out[k] = self._spelt([cases[k][0][a:b] for a, b in zip(starts, starts[1:])])
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -120,21 +204,31 @@ class PieceModel:
         return self.model.decode(ids)
 
 
-def escaped(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE)
+def skip_limit(dropout: float) -> int:
+    """Hashes under this skip a merge."""
+    return min(int(dropout * (1 << 64)), ALL_BITS)
+
+
+def word_key(word: str, seed: int, variant: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{seed}\0{variant}\0{word}")
 
 
-class _Held(dict):
-    def __init__(self, model: PieceModel, seed: int, variant: int, dropout: float) -> None:
-        super().__init__()
-        self.of = model, seed, variant, dropout
+def place_hash(key, left, middle, right):
+    """64 bits for a candidate of the word with ``key``: numbers, or arrays of unsigned ones."""
+    if isinstance(key, int):
+        z = (key + left * SPREAD[0] + middle * SPREAD[1] + right * SPREAD[2]) & ALL_BITS
+        for shift, factor in zip((30, 27), FINISH):
+            z = (z ^ (z >> shift)) * factor & ALL_BITS
+        return z ^ (z >> 31)
+    spread, finish = np.array(SPREAD, np.uint64), np.array(FINISH, np.uint64)
+    z = key + left * spread[0] + middle * spread[1] + right * spread[2]
+    for shift, factor in zip((30, 27), finish):
+        z = (z ^ (z >> np.uint64(shift))) * factor
+    return z ^ (z >> np.uint64(31))
 
-    def __missing__(self, word: str) -> bytes:
-        model, *how = self.of
-        found = np.array(model.word_ids(word, *how), "<u4").tobytes()
-        if len(word) <= LONGEST_HELD:
-            self[word] = found
-        return found
+
+def escaped(text: str) -> str:
+    return SPACE + text.replace(" ", SPACE)
 
 
 class DropoutEncoder:
@@ -143,26 +237,42 @@ class DropoutEncoder:
 
     def __init__(self, path: str, seed: int, dropout: float, variants: int) -> None:
         self.model, self.seed, self.variants = PieceModel(path), seed, variants if dropout else 1
-        self.held = [_Held(self.model, seed, v, dropout) for v in range(self.variants)]
+        self.held: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.dropout = dropout
 
     def variant(self, key: object) -> int:
         return xxhash.xxh3_64_intdigest(f"{self.seed}\0{key}") % self.variants
 
     def ids(self, key: object, text: str | None) -> bytes:
-        if not text:
-            return b""
-        v = self.variant(key)
+        return b"" if text is None else next(self.all_ids([key], [text]))
+
+    def all_ids(self, keys: list[object], texts: list[str | None]) -> Iterator[bytes | None]:
+        """The ids of each text in turn; a null text has null ids."""
+        at = 0
+        while at < len(texts):
+            begin, chars = at, 0
+            while at < len(texts) and (at == begin or chars + len(texts[at] or "") <= BLOCK_CHARS):
+                chars += len(texts[at] or "")
+                at += 1
+            yield from self._block(keys[begin:at], texts[begin:at])
+
+    def _block(self, keys: list[object], texts: list[str | None]) -> Iterator[bytes | None]:
         # A text that holds the space mark itself would not come back; it is spelt in bytes.
-        if SPACE in text:
-            return self._spelt(text)
-        words = WORD.findall(escaped(text))
-        found = b"".join(map(self.held[v].__getitem__, words))
-        if len(self.held[v]) > WORDS_HELD // self.variants:
-            kept = _Held(self.model, self.seed, v, self.dropout)
-            kept.update(islice(self.held[v].items(), WORDS_HELD // self.variants // 2))
-            self.held[v] = kept
-        return found
+        cut = [WORD.findall(escaped(t)) if t and SPACE not in t else () for t in texts]
+        variants = [self.variant(k) for k in keys]
+        new = list({(w, v) for words, v in zip(cut, variants) for w in words if w not in self.held[v]})
+        for (word, v), ids in zip(new, self.model.many_ids(new, self.seed, self.dropout)):
+            self.held[v][word] = ids
+        for text, words, v in zip(texts, cut, variants):
+            if text and not words:
+                yield self._spelt(text)
+            else:
+                yield None if text is None else b"".join(map(self.held[v].__getitem__, words))
+        for word, v in new:
+            if len(word) > LONGEST_HELD:
+                del self.held[v][word]
+        most = WORDS_HELD // self.variants
+        self.held = [h if len(h) <= most else dict(islice(h.items(), most // 2)) for h in self.held]
 
     def _spelt(self, text: str) -> bytes:
         ids = [self.model.ids[SPACE]] + [self.model.bytes[b] for b in text.encode()]
@@ -187,7 +297,7 @@ def encoded(docs: DataFrame, path: str = PIECE_BPE, seed: int = SEED, dropout: f
         of = encoder(path, seed, dropout, variants)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids = [None if t is None else of.ids(k, t) for k, t in zip(keys, texts)]
+            ids = list(of.all_ids(keys, texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([of.variant(k) for k in keys], pa.int32()), pa.array(ids, pa.binary())],
                 ["doc_id", "variant", "ids"])

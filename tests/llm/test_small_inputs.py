@@ -236,6 +236,19 @@ def test_merge_dropout(docs):
     assert len(cuts) > 3 and all("".join(c) == "▁internationalization" for c in cuts)
 
 
+def test_words_merge_side_by_side_as_one_by_one():
+    model = pieces.PieceModel(pieces.PIECE_BPE)
+    words = [w for _, text in TEXTS if text for w in set(pieces.WORD.findall(pieces.escaped(text)))]
+    words += ["▁", "▁▁▁", "🙂", "▁漢字🙂é", "\x00a" * 9, "▁" * 64, "ab" * 32, "ab" * 33, "▁internationalization"]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        cases = [(w, v) for v in range(3) for w in words if len(w) < 5000]
+        assert model.many_ids(cases, 7, dropout) == [model.word_ids(w, 7, v, dropout) for w, v in cases]
+    one = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.2, 4)
+    many = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.2, 4)
+    keys, texts = [k for k, _ in TEXTS], [t for _, t in TEXTS]
+    assert [x or b"" for x in many.all_ids(keys, texts)] == [one.ids(k, t) for k, t in TEXTS]
+
+
 def test_licences(docs, none):
     rows = {r.doc_id: r for r in licences.licence_report(docs).collect()}
     assert (rows[13].n_base, rows[13].first_word, rows[13].last_word, rows[13].labels) == (2, 3, 5, "mit,mit-notice")
