@@ -132,10 +132,13 @@ def document_sets(docs: DataFrame, join: Join) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams(join.n)
         for batch in batches:
-            sets = [ngrams.of(t) for t in batch.column(1).to_pylist()]
-            names = [_row_id(s) for s in sets]
-            yield _batch(SETS, batch.column(0), [len(s) for s in sets], [a for a, _ in names], [b for _, b in names],
-                         [_in_order(s)[: join.leading(len(s))].tobytes() for s in sets])
+            sizes, names, leading = [], [], []
+            for text in batch.column(1):
+                found = ngrams.of(text.as_py())
+                sizes.append(len(found))
+                names.append(_row_id(found))
+                leading.append(_in_order(found)[: join.leading(len(found))].tobytes())
+            yield _batch(SETS, batch.column(0), sizes, [a for a, _ in names], [b for _, b in names], leading)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, SETS)
 
@@ -445,9 +448,12 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams(join.n)
         for batch in batches:
-            found = [ngrams.of(t) for t in batch.column("text").to_pylist()]
-            kept = [(r, s) for r, s in zip(batch.column("row").to_pylist(), found) if _row_id(s)[0] == r]
-            yield _batch(ROWS, [r for r, _ in kept], [len(s) for _, s in kept], [s.tobytes() for _, s in kept])
+            kept = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                found = ngrams.of(text.as_py())
+                if _row_id(found)[0] == row:
+                    kept.append((row, found.tobytes()))
+            yield _batch(ROWS, [r for r, _ in kept], [len(s) // 8 for _, s in kept], [s for _, s in kept])
 
     few = alive.count() <= SENT_ROWS
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(

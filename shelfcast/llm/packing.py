@@ -186,9 +186,10 @@ def document_pieces(
         encode, part = word_tokens(tokenizer).ids, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = [[] for _ in range(8)]
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(value) + tail
+            # Texts are taken one by one, and ids are held only if they are asked for.
+            rows = [[] for _ in range(8 if keep_ids else 7)]
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encode(value.as_py()) + tail
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at: at + step]
                     n = len(piece) // 4
@@ -198,8 +199,7 @@ def document_pieces(
                     seen[n] += 1
             types = [batch.schema.types[0], pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
-            found = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
-            yield found if keep_ids else found.select(names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names[: len(rows)])
 
     schema = PIECES.format(id=docs.schema[doc].dataType.simpleString())
     return docs.select(doc, text).mapInArrow(cut, schema + ", ids binary" * keep_ids)
