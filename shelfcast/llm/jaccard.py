@@ -129,6 +129,7 @@ LEADING = "row long, column long"
 
 def document_sets(docs: DataFrame, join: Join) -> DataFrame:
     """Per document its set's size, a 128-bit name of the set, and its leading columns."""
+    @shared.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams(join.n)
         for batch in batches:
@@ -164,6 +165,7 @@ def shared_counts(rows: DataFrame, columns: str) -> DataFrame:
     however many of its rows hold it, so a column that a third of all rows hold meets in one
     place as one entry per batch. Rows without shared columns are left out.
     """
+    @shared.trimmed
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
@@ -180,6 +182,7 @@ def shared_counts(rows: DataFrame, columns: str) -> DataFrame:
                          np.concatenate([own, np.where(alone, owner[one], 0)]),
                          np.concatenate([times, np.where(alone, 0, -1)]).astype(np.int32))
 
+    @shared.trimmed
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -306,6 +309,7 @@ def column_counts(rows: DataFrame) -> np.ndarray:
     only order the columns: any order gives the same links, one with common columns at the
     end the fewest clusters.
     """
+    @shared.trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -314,6 +318,7 @@ def column_counts(rows: DataFrame) -> np.ndarray:
         yield _batch("part long, counts binary", range(COUNTERS // COUNTER_PART),
                      [x.tobytes() for x in seen.reshape(-1, COUNTER_PART)])
 
+    @shared.trimmed
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -335,6 +340,7 @@ def leading_columns(rows: DataFrame, join: Join) -> DataFrame:
     pair shares at least one."""
     held = rows.sparkSession.sparkContext.broadcast(column_counts(rows))
 
+    @shared.trimmed
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
@@ -386,6 +392,7 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
         F.lit(1).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
     stores = tested.select("cluster", "block", F.lit(0).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
 
+    @shared.trimmed
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stored, asking, settled, found = None, [], [], False, []
 
@@ -445,6 +452,7 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     alive = shared.written(alive.select("row", "first"), "alive")
     shared.removed(spark, wide)
 
+    @shared.trimmed
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = Ngrams(join.n)
         for batch in batches:

@@ -182,6 +182,7 @@ def document_pieces(
     tail = np.array([end_id], "<u4").tobytes()
     step = capacity * 4
 
+    @shared.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_tokens(tokenizer).ids, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -222,6 +223,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.select(*[c for c in pieces.columns if c != "part"])
     held = spark.sparkContext.broadcast(rules)
 
+    @shared.trimmed
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = held.value
         keys = (r[:, 0] << 48) | r[:, 1]

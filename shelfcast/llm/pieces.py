@@ -293,6 +293,7 @@ def encoded(docs: DataFrame, path: str = PIECE_BPE, seed: int = SEED, dropout: f
 
     A null text has null ids, an empty one none. Nothing is shuffled.
     """
+    @shared.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, seed, dropout, variants)
         for batch in batches:
@@ -308,6 +309,7 @@ def encoded(docs: DataFrame, path: str = PIECE_BPE, seed: int = SEED, dropout: f
 
 def decoded(rows: DataFrame, path: str = PIECE_BPE) -> DataFrame:
     """The rows of ``encoded`` with their ``text`` again; null ids give a null text."""
+    @shared.trimmed
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, SEED, 0.0, 1)
         for batch in batches:

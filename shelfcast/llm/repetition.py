@@ -183,6 +183,7 @@ def repetition_report(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
     A null or empty text has no words and fails. Repeated rows are judged one by one.
     """
+    @shared.trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _metrics(batch.column(1).to_pylist(), rules)
@@ -202,6 +203,7 @@ def quality_kept(docs: DataFrame, text: str = "text", rules: Rules = Rules()) ->
     """The documents whose text passes, with all their columns as they are."""
     place = docs.columns.index(text)
 
+    @shared.trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passed = [row[6] for row in _metrics(batch.column(place).to_pylist(), rules)]
