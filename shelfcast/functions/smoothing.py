@@ -161,7 +161,20 @@ def _around(axis: np.ndarray, value: float, points: int) -> np.ndarray:
 
 
 def fit_histories(histories: list[np.ndarray], form: Form, horizon: int) -> list[Fit]:
-    """Fit every history; one that cannot be fitted carries its error instead."""
+    """Fit every history; one that cannot be fitted carries its error instead.
+
+    All advance together. If that raises, each is tried alone, so that only those at fault
+    have no fit.
+    """
+    try:
+        return _fit_together(histories, form, horizon)
+    except (ArithmeticError, ValueError, np.linalg.LinAlgError) as exc:
+        if len(histories) == 1:
+            return [Fit(None, np.nan, (), [], f"{type(exc).__name__}: {exc}")]
+        return [fit_histories([y], form, horizon)[0] for y in histories]
+
+
+def _fit_together(histories: list[np.ndarray], form: Form, horizon: int) -> list[Fit]:
     fits: list[Fit] = [Fit(None, np.nan, (), []) for _ in histories]
     usable = []
     for i, y in enumerate(histories):

@@ -43,7 +43,7 @@ def training_windows(spark: SparkSession, protocol: Protocol) -> DataFrame:
         for start in protocol.forecast_starts:
             first = protocol.expanding_start if window is None else start - timedelta(days=window)
             if first < protocol.expanding_start:
-                raise ValueError("History length does not match frozen boundary")
+                raise ValueError("a history would start before the first covered day")
             rows.append(F.struct(
                 F.lit(method).alias("model"),
                 F.lit(start).alias("forecast_start"),
@@ -88,9 +88,9 @@ def baseline_support(grid: DataFrame, protocol: Protocol) -> DataFrame:
     kind = weekdays.schema["days"].dataType.simpleString()
     checked = weekdays.withColumns({
         "days": _or_fail(F.size("days") == expected, F.col("days"),
-                         "Missing evaluation observations", kind),
+                         "an evaluated day has no actual value", kind),
         **{name: _or_fail(F.col(f"{name}_n") == window // SEASON, F.col(name),
-                          "Insufficient baseline history", "double")
+                          "a weekday has too few days of history", "double")
            for name, window in protocol.baselines.items()},
     })
     return checked.select(
@@ -134,7 +134,7 @@ def smoothing_fits(grid: DataFrame, protocol: Protocol, form: str = "hw_weekly")
         days = pdf["date"].to_numpy(dtype="datetime64[D]")
         units = pdf["units"].to_numpy(dtype=float)
         if (np.diff(days).astype(int) != 1).any():
-            raise ValueError("Incomplete calendar grid")
+            raise ValueError("the grid skips or repeats a day")
         rows, histories = [], []
         for start in starts:
             stop = int((np.datetime64(start) - days[0]).astype(int))
@@ -142,7 +142,7 @@ def smoothing_fits(grid: DataFrame, protocol: Protocol, form: str = "hw_weekly")
                 first = expanding if window is None else start - timedelta(days=window)
                 begin = int((np.datetime64(first) - days[0]).astype(int))
                 if begin < 0 or stop > len(units):
-                    raise ValueError("History length does not match frozen boundary")
+                    raise ValueError("the grid does not cover a whole history")
                 histories.append(units[begin:stop])
                 rows.append((pdf["product_id"].iloc[0], start, name, first,
                              start - timedelta(days=1), stop - begin))
@@ -178,9 +178,9 @@ def smoothing_forecasts(fits: DataFrame, support: DataFrame, protocol: Protocol)
     ).join(support, ["product_id", "forecast_start"])
     own = F.element_at("forecast", F.col("horizon_day"))
     return days.withColumn(
-        "prediction",
-        clip_nonnegative(fallback_prediction(F.col("status"), own, F.col(NAIVE)), protocol),
-    ).drop("forecast", *protocol.baselines)
+        "unclipped", fallback_prediction(F.col("status"), own, F.col(NAIVE)),
+    ).withColumn("prediction", clip_nonnegative(F.col("unclipped"), protocol)).drop(
+        "forecast", *protocol.baselines)
 
 
 # --- long frames ----------------------------------------------------------------
@@ -189,10 +189,13 @@ def smoothing_forecasts(fits: DataFrame, support: DataFrame, protocol: Protocol)
 def backtest_long_frame(
     grid: DataFrame, protocol: Protocol, fits: DataFrame | None = None,
 ) -> DataFrame:
-    """Predictions of the baselines and, when fits are given, of their methods."""
+    """Predictions of the baselines and, when fits are given, of their methods.
+
+    ``unclipped`` keeps the value before the floor, from which clipped days are counted.
+    """
     support = baseline_support(grid, protocol)
-    long = baseline_forecasts(support, protocol).withColumn(
-        "prediction", clip_nonnegative(F.col("prediction"), protocol))
+    long = baseline_forecasts(support, protocol).withColumn("unclipped", F.col("prediction")).withColumn(
+        "prediction", clip_nonnegative(F.col("unclipped"), protocol))
     if fits is not None:
         smooth = smoothing_forecasts(fits, support, protocol)
         long = long.unionByName(smooth.select(*long.columns))
@@ -201,7 +204,7 @@ def backtest_long_frame(
         F.lit("robustness").alias("stage"),
         F.date_format("forecast_start", "yyyy-MM-dd").alias("split"),
         "product_id", "model", origin.alias("origin"), origin.alias("train_last_date"), "date",
-        "forecast_start", "forecast_end", "horizon_day", "actual", "prediction", "status",
+        "forecast_start", "forecast_end", "horizon_day", "actual", "prediction", "unclipped", "status",
     )
 
 
@@ -223,7 +226,7 @@ def window_backtest_frame(
         .select(
             F.lit(protocol.experiment).alias("experiment"), "model", "product_id",
             "forecast_start", "forecast_end", "date", "origin", "train_last_date", "train_start",
-            "training_observations", "horizon_day", "actual", "prediction", "status",
+            "training_observations", "horizon_day", "actual", "prediction", "unclipped", "status",
             "spike_threshold", (F.col("actual") > F.col("spike_threshold")).alias("is_spike"),
         )
     )
@@ -236,7 +239,7 @@ def baseline_fit_records(predictions: DataFrame) -> DataFrame:
         F.max("train_last_date").alias("train_end"),
         F.max("training_observations").alias("training_observations"),
         F.max("status").alias("status"),
-        count_true(F.col("prediction") < 0).alias("negative_predictions_clipped"),
+        count_true(F.col("unclipped") < 0).alias("negative_predictions_clipped"),
     )
 
 

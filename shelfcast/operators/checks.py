@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import Protocol
-from .cohort import split_rows
 
 # Reconciliation tolerances and the columns compared exactly.
 RTOL, ATOL, MONEY_ATOL = 1e-10, 1e-8, 1e-6
@@ -64,7 +63,7 @@ def grid_preflight(grid: DataFrame, products: DataFrame, protocol: Protocol) ->
     first = protocol.expanding_start
     for start in protocol.forecast_starts:
         if (start - first).days < protocol.min_history_days:
-            raise ValueError("Insufficient calendar history for the declared windows")
+            raise ValueError(f"{start} has fewer days before it than the protocol asks for")
     per_day = grid.groupBy("product_id", "date").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("units").isNull() | F.isnan("units")
@@ -123,8 +122,8 @@ def support_validation(
         F.sum(F.when(~F.col("lo").eqNullSafe(F.col("hi")), 1).otherwise(0)).alias("support_differs"),
         F.sum("shifted").alias("not_consecutive"),
     )
-    expected = products.select("product_id").crossJoin(
-        F.broadcast(split_rows(predictions.sparkSession, protocol).select("forecast_start")))
+    starts = F.array(*[F.lit(s) for s in protocol.forecast_starts])
+    expected = products.select("product_id", F.explode(starts).alias("forecast_start"))
     both = expected.join(per_origin, ["product_id", "forecast_start"], "full")
     names = ["duplicate_key", "method_coverage", "support_differs", "not_consecutive"]
     checks = [F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("rows")) for n in names]
@@ -148,7 +147,7 @@ def semantic_key(left: DataFrame, right: DataFrame) -> list[str]:
             repeats = tagged.groupBy("_side", *key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             if repeats.isEmpty():
                 return key
-    raise ValueError("No unique semantic reconciliation key")
+    raise ValueError("no candidate key is unique on both sides")
 
 
 def _differs(name: str, kind: T.DataType, left: Column, right: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.numbers import count_true
 from ..schemas import CohortRules, Protocol
 from .facts import latest_description
 
-NO_PRODUCTS = "No eligible products; thresholds remain fixed"
+NO_PRODUCTS = "no product passes the cohort rules"
 
 
 def cohort_eligibility(
@@ -37,7 +37,7 @@ def cohort_eligibility(
     start = bounds.select("start").scalar()
     elapsed = F.datediff(F.lit(cutoff), start)
     initial_days = F.when(elapsed >= rules.min_initial_days, elapsed).otherwise(
-        F.raise_error(F.lit("Insufficient initial history")).cast("int"))
+        F.raise_error(F.lit("fewer days before the cutoff than the rules ask for")).cast("int"))
     active = F.col("active_days") / initial_days
     recent = F.col("recent_active_days") / F.lit(rules.recent_days)
     return history.withColumns({
@@ -100,7 +100,7 @@ def rolling_origin_splits(spark: SparkSession, protocol: Protocol, bounds: DataF
         F.explode(F.array(*[F.lit(d) for d in protocol.forecast_starts])).alias("forecast_start"))
     last = F.date_add("forecast_start", protocol.horizon_days - 1)
     within = F.when(last <= end, last).otherwise(
-        F.raise_error(F.lit("Forecast horizon exceeds observed coverage")).cast("date"))
+        F.raise_error(F.lit("the last forecast day lies after the covered days")).cast("date"))
     return origins.select(
         F.date_format("forecast_start", "yyyy-MM-dd").alias("split"),
         F.lit("robustness").alias("stage"),

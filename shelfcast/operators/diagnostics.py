@@ -181,7 +181,7 @@ def headline_summary(
     by_ratio = percent(F.col("comparator_wape") - F.col("candidate_wape"), F.col("comparator_wape"))
     agree = by_error.isNull() | by_ratio.isNull() | (F.abs(by_error - by_ratio) <= 1e-10)
     checked = F.when(agree, by_error).otherwise(
-        F.raise_error(F.lit("Absolute-error and WAPE reductions disagree")).cast("double"))
+        F.raise_error(F.lit("the two ways to compute the reduction differ")).cast("double"))
     return scored.crossJoin(F.broadcast(size)).withColumns({
         "relative_error_reduction_pct": checked,
         "wape_difference_percentage_points": F.col("comparator_wape") - F.col("candidate_wape"),
@@ -207,7 +207,7 @@ def paired_errors(predictions: DataFrame, candidate: str, comparator: str) -> Da
         of(candidate).alias("_c"), of(comparator).alias("_b"),
     )
     good = (F.col("_n") == 2) & F.col("_same") & F.col("_c").isNotNull() & F.col("_b").isNotNull()
-    fail = F.raise_error(F.lit("Methods have different actual support")).cast("double")
+    fail = F.raise_error(F.lit("the compared methods do not share their actual values")).cast("double")
     return grouped.select(
         *KEY, "actual",
         F.when(good, F.col("_c")).otherwise(fail).alias("candidate_error"),
@@ -264,7 +264,12 @@ def walkthrough_spike(predictions: DataFrame, method: str) -> DataFrame:
 def findings(growth: DataFrame, rankings: DataFrame, weekdays: DataFrame) -> DataFrame:
     """Latest matched growth, value leader and strongest weekday, with their inputs."""
     latest = growth.filter(F.col("value_growth_pct").isNotNull()).orderBy(F.desc("year")).limit(1)
-    leader = rankings.orderBy("value_rank", "product_id").limit(1)
+    sales = F.col("positive_sales_gbp")
+    # The leader and the total come from one pass; no rank is needed.
+    leader = rankings.agg(
+        F.min(F.when(sales.isNotNull(), F.struct((-sales).alias("lowered"), "product_id", "positive_sales_gbp")))
+        .alias("first"), F.sum(sales).alias("total"),
+    ).filter("first IS NOT NULL").select("first.*", "total")
     top_day = weekdays.orderBy(F.desc("average_daily_sales_gbp"), "weekday_number").limit(1)
 
     def row(frame: DataFrame, name: str, subject: Column, value: Column, top: Column, bottom: Column):
@@ -273,13 +278,11 @@ def findings(growth: DataFrame, rankings: DataFrame, weekdays: DataFrame) -> Dat
             value.cast("double").alias("value"), top.cast("double").alias("numerator"),
             bottom.cast("double").alias("denominator"))
 
-    whole = F.nullif(F.col("value_share_pct"), F.lit(0.0))
-    sales = F.col("positive_sales_gbp").cast("double")
     return (
         row(latest, "matched_growth", F.col("year"), F.col("value_growth_pct"),
             F.col("positive_sales_gbp") - F.col("previous_value"), F.col("previous_value"))
         .unionByName(row(leader, "value_leader", F.col("product_id"), sales, sales,
-                         F.lit(100.0) * sales / whole))
+                         F.nullif(F.col("total").cast("double"), F.lit(0.0))))
         .unionByName(row(top_day, "weekday_pattern", F.col("weekday"),
                          F.col("average_daily_sales_gbp"), F.col("positive_sales_gbp"),
                          F.col("covered_calendar_days")))

@@ -99,12 +99,14 @@ def daily_totals(sales: DataFrame, days: DataFrame) -> DataFrame:
 def dense_daily_grid(sales: DataFrame, products: DataFrame, days: DataFrame) -> DataFrame:
     """Units for every listed product and calendar day, zeros explicit.
 
-    Ids are spread over a fixed number of tasks and each is widened by the calendar
-    (one row per date, broadcast), so a short list is not expanded in one task and
-    a long one may be a whole dimension. Only aggregated units are joined to it.
+    Ids are spread over a fixed number of tasks and each is widened by the sequence of
+    calendar days, so a short list is not expanded in one task and a long one may be a
+    whole dimension. Only aggregated units are joined to it.
     """
     ids = products.select("product_id")
-    grid = ids.repartition(fit_partitions(sales.sparkSession), "product_id").crossJoin(F.broadcast(days.select("date")))
+    calendar = days.agg(F.sequence(F.min("date"), F.max("date"))).scalar()
+    grid = ids.repartition(fit_partitions(sales.sparkSession), "product_id").select(
+        "product_id", F.explode(calendar).alias("date"))
     sold = (
         sales.join(ids, "product_id", "left_semi")
         .groupBy("product_id", "date").agg(F.sum("units").alias("units"))

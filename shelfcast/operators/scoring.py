@@ -17,7 +17,7 @@ from ..functions.numbers import count_true, finite_or_fail, percent, relative_re
 
 def score_aggregates() -> list[Column]:
     """The nine score fields over columns ``actual`` and ``prediction``."""
-    message = "Metrics require aligned finite values"
+    message = "every scored day needs a finite actual and prediction"
     actual = finite_or_fail(F.col("actual"), message)
     signed = finite_or_fail(F.col("prediction"), message) - actual
     absolute, whole = F.sum(F.abs(signed)), F.sum(F.abs(actual))
@@ -104,7 +104,7 @@ def product_comparisons(
     listed = F.array(*[
         F.struct(F.lit(c).alias("model"), F.lit(b).alias("baseline")) for c, b in pairs])
     paired = by_method.select(*period, "product_id", "m", F.inline(listed))
-    missing = F.raise_error(F.lit("Comparisons require identical product populations"))
+    missing = F.raise_error(F.lit("a method has no scores for a product that others have"))
     kind = by_method.schema["m"].dataType.valueType
 
     def of(name: str) -> Column:

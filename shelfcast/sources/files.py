@@ -29,7 +29,7 @@ def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     expected = set(next(iter(sources.values())).columns)
     for name, frame in sources.items():
         if set(frame.columns) != expected:
-            raise ValueError(f"Unexpected columns in {name}: {frame.columns}")
+            raise ValueError(f"{name} lacks the declared columns, it has {frame.columns}")
     tagged = [
         frame.withColumns({"source": F.lit(name), "source_order": F.lit(i)})
         for i, (name, frame) in enumerate(sources.items())
@@ -57,7 +57,7 @@ def read_sources(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv"
             header = frame.columns
             block, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
         if set(header) != set(SOURCE_COLUMNS):
-            raise ValueError(f"Unexpected columns in {name}: {header}")
+            raise ValueError(f"{name} lacks the declared columns, it has {header}")
         frames[name] = frame.select(
             *[F.col(f"`{c}`").cast("string").alias(n) for c, n in SOURCE_COLUMNS.items()],
             F.col("_metadata.file_path").alias("source_file"),

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from series import END, ONE_ORIGIN, ORIGIN, START, day_list, grid_of, repeating
+from shelfcast.functions import smoothing
 from shelfcast.functions.smoothing import FORMS, fit_histories
 from shelfcast.operators import backtest, checks, diagnostics
 from shelfcast.session import written
@@ -34,8 +35,8 @@ def test_last_week_and_weekday_means(spark):
 
 
 @pytest.mark.parametrize("days, message", [
-    (range(HISTORY - 10, N), "Insufficient baseline history"),
-    (range(0, N - 1), "Missing evaluation observations"),
+    (range(HISTORY - 10, N), "too few days of history"),
+    (range(0, N - 1), "no actual value"),
 ])
 def test_short_history_and_missing_actuals_stop_the_run(spark, days, message):
     grid = grid_of(spark, repeating()).filter(
@@ -188,7 +189,7 @@ def test_preflight_population_and_history(spark):
     assert {(r.check, r.product_id) for r in found} == {("changed_population", "other")}
     fine = checks.grid_preflight(grid, ids.filter("product_id = 'example'"), ONE_ORIGIN)
     checks.require_none(fine)
-    with pytest.raises(ValueError, match="Insufficient calendar history"):
+    with pytest.raises(ValueError, match="fewer days before it"):
         checks.grid_preflight(grid, ids, replace(ONE_ORIGIN, expanding_start=date(2010, 6, 1)))
 
 
@@ -210,3 +211,28 @@ def test_support_validation_names_each_problem(spark, window_frames):
     assert found(frame.withColumn("horizon_day", F.when(one, 9).otherwise(F.col("horizon_day")))) == {
         ("not_consecutive", 1)}
     assert END == ORIGIN + timedelta(days=27)
+
+
+def test_a_fit_that_raises_leaves_the_others(monkeypatch):
+    advance = smoothing._advance
+
+    def failing(ys, *rest):
+        if any(13.5 in y for y in ys):
+            raise np.linalg.LinAlgError("singular")
+        return advance(ys, *rest)
+
+    monkeypatch.setattr(smoothing, "_advance", failing)
+    good, bad = np.array(repeating(60)), np.array(repeating(60))
+    bad[3] = 13.5
+    fits = fit_histories([good, bad, good], FORMS["hw_weekly"], 7)
+    assert fits[1].error == "LinAlgError: singular" and fits[1].forecast is None
+    assert fits[0].error is None and list(fits[0].forecast) == list(fits[2].forecast)
+
+
+def test_clipped_days_are_counted_before_the_floor(spark):
+    values = [v - 4 for v in repeating()]
+    grid = grid_of(spark, values)
+    frame = backtest.window_backtest_frame(grid, ONE_ORIGIN, diagnostics.spike_thresholds(grid, ONE_ORIGIN))
+    counts = {r.model: r.negative_predictions_clipped for r in backtest.baseline_fit_records(frame).collect()}
+    assert counts == dict.fromkeys(ONE_ORIGIN.baselines, 12)
+    assert frame.filter("prediction < 0").count() == 0

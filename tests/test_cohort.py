@@ -58,9 +58,9 @@ def test_metadata_uses_descriptions_before_the_cutoff(spark, sales, bounds):
 
 def test_nothing_eligible_and_short_history_are_errors(sales, bounds):
     impossible = CohortRules(min_active_day_fraction=1.5)
-    with pytest.raises(PySparkException, match="No eligible products"):
+    with pytest.raises(PySparkException, match="no product passes"):
         chosen(sales, bounds, impossible).collect()
-    with pytest.raises(PySparkException, match="Insufficient initial history"):
+    with pytest.raises(PySparkException, match="fewer days before the cutoff"):
         chosen(sales, bounds, CohortRules(), date(2010, 6, 1)).collect()
 
 
@@ -78,6 +78,6 @@ def test_splits_end_before_each_origin_and_within_coverage(spark, bounds):
     assert (first.train_end, first.forecast_end, first.training_days) == (
         date(2010, 12, 31), date(2011, 1, 28), 396)
     short = spark.createDataFrame([(START, date(2011, 11, 15))], "start date, end date")
-    with pytest.raises(PySparkException, match="exceeds observed coverage"):
+    with pytest.raises(PySparkException, match="lies after the covered days"):
         cohort.rolling_origin_splits(spark, protocol, short).collect()
     assert replace(protocol, horizon_days=7).horizon_end(CUTOFF) == date(2011, 1, 7)
