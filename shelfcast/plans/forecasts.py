@@ -322,6 +322,28 @@ def f8(spark, sf_dir):
     return scoring.comparison_summary(detail(spark, sf_dir))
 
 
+def period_detail(spark, sf_dir) -> DataFrame:
+    return scoring.product_comparisons(
+        products(spark, sf_dir, "forecast_start"), PAIRS, P.tie_tolerance, "forecast_start")
+
+
+@query("f8_period_product_comparisons", f"forecast_start:d {DETAIL}", "SELECT * FROM period_detail")
+def f8_period_products(spark, sf_dir):
+    return period_detail(spark, sf_dir)
+
+
+@query("f8_period_comparisons", f"forecast_start:d {PAIRWISE}",
+       """SELECT p.*, d.wins, d.losses, d.ties, d.undefined, d.wins + d.losses + d.ties AS comparable_products,
+  100.0 * d.wins / NULLIF(d.wins + d.losses + d.ties, 0) AS win_pct
+FROM period_pairwise p JOIN (
+  SELECT forecast_start, model, baseline, COUNT(*) FILTER (WHERE outcome = 'win') AS wins,
+    COUNT(*) FILTER (WHERE outcome = 'loss') AS losses, COUNT(*) FILTER (WHERE outcome = 'tie') AS ties,
+    COUNT(*) FILTER (WHERE outcome = 'undefined') AS undefined FROM period_detail GROUP BY 1, 2, 3) d
+  USING (forecast_start, model, baseline)""")
+def f8_periods(spark, sf_dir):
+    return scoring.comparison_summary(period_detail(spark, sf_dir), "forecast_start")
+
+
 @query("f8_all_pairs_smoothing", PAIRWISE)
 def f8_smoothing(spark, sf_dir):
     grid, found = grid_and_fits(spark, sf_dir)
@@ -586,9 +608,7 @@ def g7(spark, sf_dir):
        "SELECT model, baseline, COUNT(*) FILTER (WHERE relative_wape_reduction_pct > 0) AS periods_won, "
        "COUNT(*) AS periods FROM period_pairwise GROUP BY 1, 2")
 def g8(spark, sf_dir):
-    compared = scoring.product_comparisons(
-        products(spark, sf_dir, "forecast_start"), PAIRS, P.tie_tolerance, "forecast_start")
-    return scoring.period_win_count(scoring.comparison_summary(compared, "forecast_start"))
+    return scoring.period_win_count(scoring.comparison_summary(period_detail(spark, sf_dir), "forecast_start"))
 
 
 @query("g9_fit_diagnostics",

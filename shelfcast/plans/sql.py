@@ -256,6 +256,16 @@ SELECT c.forecast_start, c.model, b.model AS baseline, c.wape AS model_wape, b.w
   b.absolute_error_sum - c.absolute_error_sum AS error_reduction_units
 FROM period_metrics c JOIN period_metrics b
   ON b.model <> c.model AND b.forecast_start = c.forecast_start""",
+    "period_detail": """
+SELECT c.forecast_start, c.model, b.model AS baseline, c.product_id,
+  CASE WHEN c.actual_units = 0 THEN 'undefined'
+    WHEN ABS(b.absolute_error_sum - c.absolute_error_sum) <= 1e-9 THEN 'tie'
+    WHEN b.absolute_error_sum > c.absolute_error_sum THEN 'win' ELSE 'loss' END AS outcome,
+  c.wape AS model_wape, b.wape AS baseline_wape,
+  b.absolute_error_sum - c.absolute_error_sum AS error_reduction_units,
+  CASE WHEN b.wape > 0 THEN 100 * (b.wape - c.wape) / b.wape END AS relative_wape_reduction_pct
+FROM period_product_metrics c JOIN period_product_metrics b
+  ON b.product_id = c.product_id AND b.forecast_start = c.forecast_start AND b.model <> c.model""",
     "paired": """
 SELECT c.product_id, c.forecast_start, c.date, c.actual, ABS(c.prediction - c.actual) AS candidate_error,
   ABS(b.prediction - b.actual) AS comparator_error
