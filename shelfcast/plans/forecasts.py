@@ -50,7 +50,7 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 
 def labelled_in(shop) -> DataFrame:
-    grid = shop.grid()
+    grid = written(shop.grid(), "grid")  # forecasts and thresholds both start from it
     return backtest.window_backtest_frame(grid, P, diagnostics.spike_thresholds(grid, P))
 
 
