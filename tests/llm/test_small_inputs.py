@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from shelfcast.llm import (
-    components, jaccard, licences, packing, pieces, rans, repetition, surrogates, tokens, urlrules, vafile, warc)
+    components, jaccard, licences, packing, pieces, rans, repetition, shared, surrogates, tokens, urlrules, vafile, warc)
 
 DOCS = "doc_id long, text string, lang string, kept boolean, n_words string, _entities string"
 LONG = " ".join(f"w{i % 7919}" for i in range(30_000))
@@ -285,3 +285,12 @@ def test_top_k(spark):
         scores = [(i, sum(a * b for a, b in zip(whole[q], v))) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
         assert got[q] == sorted(scores, key=lambda s: (-s[1], s[0]))[:5]
     assert vafile.top_k(frame.filter("vec_id < 0")).count() == 0
+
+
+def test_trimmed_work_yields_all_batches(docs, none):
+    @shared.trimmed
+    def same(batches):
+        yield from batches
+
+    for rows in (docs, none):
+        assert sorted(map(str, rows.mapInArrow(same, rows.schema).collect())) == sorted(map(str, rows.collect()))
