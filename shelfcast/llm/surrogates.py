@@ -6,7 +6,8 @@ name keeps the gender its title tells. A surrogate is a function of a key and th
 the same entity has the same surrogate in every text and every run with that key, whatever
 way it is punctuated. Where two entities would share a surrogate, or a surrogate is itself an
 entity of the texts, another attempt is made for all but the first; the few entities that
-needed one are looked up, the others need no join.
+needed one are looked up, the others need no join. Later attempts make longer values, so that a
+format with few of them, such as a phone number of five digits, has enough for any corpus.
 """
 
 from __future__ import annotations
@@ -48,7 +49,10 @@ ENTITY = "|".join([EMAIL, SECRET, NAME, IPV4, SSN, PHONE, CARD, IBAN])
 HINT = rf"[@0-9]|(?:{TITLE})|[=:]"
 # Attempts are held as one map up to so many entities; beyond that they are joined.
 MAP_ROWS = 5_000
-ROUNDS = 64
+# Only IPv4 addresses cannot grow; a corpus that holds nearly half of them would need more rounds.
+ROUNDS = 512
+# Attempts at the entity's own length: with under so many free characters, and with more of them.
+FEW_FREE, SHORT_TRIES, LONG_TRIES = 8, 2, 32
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -72,13 +76,13 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def parts_of(entity: Column) -> Column:
-    """The entity as a list of (kind, value): what must stay apart and what refers to the same.
+def parts_of(entity: Column, kind: Column | None = None) -> Column:
+    """The entity, which is of ``kind`` if that is given, as a list of (kind, value): what must stay apart and what refers to the same.
 
     A name is a given name, if it has two words, and a surname; the value of a number is its
     digits. The title, the country code of an IBAN and the field of a secret are not part of it.
     """
-    return bound(entity, lambda e: bound(kind_of(e), lambda kind: F.when(
+    return bound(entity, lambda e: bound(kind_of(e) if kind is None else kind, lambda kind: F.when(
         kind == "name", bound(_words(e), lambda words: _name_parts(e, words))).otherwise(
         F.array(_part(kind, _value(e, kind))))))
 
@@ -120,9 +124,16 @@ def _number(hex_: Column, at: Column) -> Column:
     return F.conv(F.substring(hex_, 1 + 4 * (at % 64), F.lit(4)), 16, 10).cast("int")
 
 
-def like(value: Column, hex_: Column, skip: Column | int = 0) -> Column:
+def _grown(value: Column, skip: Column, attempt: Column) -> Column:
+    """How many characters an attempt adds: none until those at the value's own length are used up."""
+    free = F.length(F.regexp_replace(value, r"[^\p{L}0-9]", "")) - skip
+    return F.greatest(F.lit(0), attempt - F.when(free < FEW_FREE, SHORT_TRIES).otherwise(LONG_TRIES))
+
+
+def like(value: Column, hex_: Column, attempt: Column, skip: Column | int = 0, more: str = "digits") -> Column:
     """Each digit and letter after the first ``skip`` ones replaced by one of its class; the
-    rest as it is. A value in hexadecimal stays so."""
+    rest as it is. A value in hexadecimal stays so. Late attempts add digits or letters, as
+    ``more`` says, at the end."""
     skip = F.lit(skip) if isinstance(skip, int) else skip
 
     def of_class(c: Column, v: Column, only_hex: Column) -> Column:
@@ -138,18 +149,28 @@ def like(value: Column, hex_: Column, skip: Column | int = 0) -> Column:
                 bound(_number(hex_, acc["n"]), lambda v: of_class(c, v, only_hex)))
             return F.struct(F.concat(acc["s"], new).alias("s"), (acc["n"] + F.when(kept, 0).otherwise(1)).alias("n"))
 
+        def ended(acc: Column, grown: Column) -> Column:
+            added = F.transform(F.sequence(F.lit(1), grown), lambda k: bound(
+                _number(hex_, acc["n"] + k - 1), lambda v: of_class(F.lit("0" if more == "digits" else "a"), v, only_hex)))
+            return F.when(grown > 0, F.concat(acc["s"], F.array_join(added, ""))).otherwise(acc["s"])
+
         start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
-        return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["s"])
+        return F.aggregate(F.split(value, ""), start, step, lambda acc: bound(
+            _grown(value, skip, attempt), lambda grown: ended(acc, grown)))
 
     only_hex = value.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
     return bound(hex_, lambda h: bound(F.coalesce(skip, F.lit(0)), lambda k: bound(only_hex, lambda x: made(h, k, x))))
 
 
-def _name_word(word: Column, kind: Column, hex_: Column) -> Column:
-    """A made-up name of the word's script, in its case, with the ending of its gender."""
+def _name_word(word: Column, kind: Column, hex_: Column, attempt: Column) -> Column:
+    """A made-up name of the word's script, in its case, with the ending of its gender.
+
+    Four syllables, and two more with each attempt up to twelve.
+    """
     def made(h: Column, script: str, syllables: list[str]) -> Column:
         listed = F.array(*[F.lit(s) for s in syllables])
-        body = F.concat(*[F.element_at(listed, _number(h, F.lit(k)) % len(syllables) + 1) for k in range(4)])
+        places = F.sequence(F.lit(0), 3 + 2 * F.least(attempt, F.lit(4)))
+        body = F.array_join(F.transform(places, lambda k: F.element_at(listed, _number(h, k) % len(syllables) + 1)), "")
         end = F.when(kind == "given:f", ENDINGS["f"][script]).when(kind == "given:m", ENDINGS["m"][script])
         return F.concat(body, end.otherwise(SURNAME[script]))
     found = bound(hex_, lambda h: F.when(word.rlike(r"\p{IsCyrillic}"), made(h, "cyrillic", CYRILLIC)).otherwise(
@@ -178,12 +199,12 @@ def _ip(hex_: Column) -> Column:
     return bound(hex_, made)
 
 
-def _email(entity: Column, hex_: Column, key: str) -> Column:
+def _email(entity: Column, hex_: Column, attempt: Column, key: str) -> Column:
     """Local part like the given one; the host follows from the given host alone."""
     def made(at: Column) -> Column:
         host = _part(F.lit("host"), F.lower(F.substring(entity, at + 1, F.length(entity))))
         name = bound(host, lambda h: F.substring(stream(h, F.lit(0), key), 1, 8))
-        return F.concat(like(F.substring(entity, F.lit(1), at - 1), hex_), F.lit("@"),
+        return F.concat(like(F.substring(entity, F.lit(1), at - 1), hex_, attempt, more="letters"), F.lit("@"),
                         F.translate(name, "0123456789", "ghijklmnop"), F.lit(".example"))
     return bound(F.instr(entity, "@"), made)
 
@@ -194,17 +215,17 @@ def surrogate(entity: Column, attempt: Callable[[Column], Column], key: str) ->
         return bound(part, lambda p: stream(p, attempt(p), key))
 
     def made(e: Column, kind: Column, parts: Column) -> Column:
-        one = hex_of(parts[0])
-        names = F.zip_with(_words(e), parts, lambda w, p: _name_word(w, p["kind"], hex_of(p)))
+        one, tried = hex_of(parts[0]), attempt(parts[0])
+        names = F.zip_with(_words(e), parts, lambda w, p: _name_word(w, p["kind"], hex_of(p), attempt(p)))
         title = F.regexp_extract(e, rf"^((?:{TITLE})\.? )", 1)
         secret = bound(_secret(e), lambda s: F.concat(
-            F.substring(e, F.lit(1), F.length(e) - F.length(s)), like(s, one)))
+            F.substring(e, F.lit(1), F.length(e) - F.length(s)), like(s, one, tried, more="letters")))
         return (
-            F.when(kind == "email", _email(e, one, key)).when(kind == "secret", secret)
+            F.when(kind == "email", _email(e, one, tried, key)).when(kind == "secret", secret)
             .when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "ip", _ip(one))
-            .when(kind == "phone", like(e, one, F.length(F.regexp_extract(e, r"^\+([0-9]{1,3})", 1))))
-            .when(kind == "iban", like(e, one, 2)).when(kind == "card", _checked(like(e, one), e))
-            .otherwise(like(e, one)))
+            .when(kind == "phone", like(e, one, tried, F.length(F.regexp_extract(e, r"^\+([0-9]{1,3})", 1))))
+            .when(kind == "iban", like(e, one, tried, 2)).when(kind == "card", _checked(like(e, one, tried), e))
+            .otherwise(like(e, one, tried)))
 
     return bound(entity, lambda e: bound(kind_of(e), lambda kind: bound(parts_of(e), lambda parts: made(e, kind, parts))))
 
@@ -231,7 +252,9 @@ def attempts_needed(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = shared.written(rows, "entities")
     for _ in range(ROUNDS):
         new = surrogate(F.col("entity"), _own_attempt, key)
-        made = rows.select("kind", "value", F.explode(parts_of(new)).alias("new")).filter("new.kind = kind")
+        # A longer value may not look like its kind any more, so the kind is the entity's.
+        made = rows.select("kind", "value", F.explode(parts_of(new, kind_of(F.col("entity")))).alias("new")).filter(
+            "new.kind = kind")
         made = shared.written(made.select("kind", "value", F.col("new.value").alias("new")), "surrogates")
         first = made.groupBy("kind", "new").agg(F.min("value").alias("first"))
         real = rows.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
@@ -242,7 +265,7 @@ def attempts_needed(docs: DataFrame, text: str, key: str) -> DataFrame:
             return rows.filter("attempt > 0").select("kind", "value", "attempt")
         rows = shared.written(rows.join(bad, ["kind", "value"], "left").select(
             "kind", "value", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
-    raise ValueError("surrogates stay alike after every attempt; their formats have too few values")
+    raise ValueError("surrogates stay alike after every attempt; there are too few IPv4 addresses")
 
 
 def _own_attempt(part: Column) -> Column:

@@ -210,6 +210,28 @@ def test_surrogates(docs, none):
         assert r.n_chars == (len(r.text) if r._entities else 2 * len(r.text))
 
 
+def surrogates_apart(spark, entities):
+    """The surrogate of each entity, by texts of one entity; none is shared or an entity itself."""
+    frame = spark.createDataFrame(list(enumerate(entities)), "doc_id long, text string")
+    new = [r.text for r in sorted(surrogates.with_surrogates(frame).collect(), key=lambda r: r.doc_id)]
+    assert len(set(new)) == len(set(entities)) and not set(new) & set(entities)
+    return new
+
+
+def test_surrogates_of_formats_with_few_values(spark):
+    few = [f"+353{k:02d}" for k in range(100)] + [f"+{k}" for k in range(10_000, 10_100)]
+    few += [f"{c}@busy.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    new = surrogates_apart(spark, [*few, "password: " + "_" * 16])
+    assert all(n.startswith("+353") and n[1:].isdigit() for n in new[:100])
+    assert all("@" in n for n in new[200:236])
+
+
+def test_surrogates_of_more_names_than_four_syllables_make(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "LATIN", ["ba", "do"])
+    letters = "abcdefghij"
+    surrogates_apart(spark, [f"Mr. {a.upper()}{b}xx" for a in letters for b in letters])
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * (17 << 20)
     pages = spark.createDataFrame([
