@@ -42,6 +42,8 @@ PHONE = (r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-
          r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
          r"|(?<![0-9A-Za-z.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+# The country codes that numbers start with after a plus sign.
+COUNTRY_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 ENTITY = "|".join([EMAIL, SECRET, NAME, IPV4, SSN, PHONE, CARD, IBAN])
@@ -80,7 +82,7 @@ def parts_of(entity: Column, kind: Column | None = None) -> Column:
     """The entity, which is of ``kind`` if that is given, as a list of (kind, value): what must stay apart and what refers to the same.
 
     A name is a given name, if it has two words, and a surname; the value of a number is its
-    digits. The title, the country code of an IBAN and the field of a secret are not part of it.
+    digits, with a plus sign if a country code is among them. The title, the country code of an IBAN and the field of a secret are not part of it.
     """
     return bound(entity, lambda e: bound(kind_of(e) if kind is None else kind, lambda kind: F.when(
         kind == "name", bound(_words(e), lambda words: _name_parts(e, words))).otherwise(
@@ -102,10 +104,10 @@ def _name_parts(entity: Column, words: Column) -> Column:
 
 
 def _value(entity: Column, kind: Column) -> Column:
-    """A secret is told apart by case, a number by its digits alone."""
+    """A secret is told apart by case, a number by its digits and a plus sign alone."""
     return (
         F.when(kind == "secret", _secret(entity))
-        .when(kind.isin("ssn", "phone", "card"), _digits(entity))
+        .when(kind.isin("ssn", "phone", "card"), F.regexp_replace(entity, r"[^0-9+]", ""))
         .when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity)))
 
 
@@ -132,13 +134,14 @@ def _grown(value: Column, skip: Column, attempt: Column) -> Column:
 
 def like(value: Column, hex_: Column, attempt: Column, skip: Column | int = 0, more: str = "digits") -> Column:
     """Each digit and letter after the first ``skip`` ones replaced by one of its class; the
-    rest as it is. A value in hexadecimal stays so. Late attempts add digits or letters, as
-    ``more`` says, at the end."""
+    rest as it is. Letters in hexadecimal, in either case, stay so. Late attempts add digits or
+    letters, as ``more`` says, at the end."""
     skip = F.lit(skip) if isinstance(skip, int) else skip
 
     def of_class(c: Column, v: Column, only_hex: Column) -> Column:
         return (
-            F.when(only_hex, F.substring(F.lit("0123456789abcdef"), v % 16 + 1, F.lit(1)))
+            F.when(only_hex, F.substring(
+                F.when(c.rlike("[A-Z]"), "0123456789ABCDEF").otherwise("0123456789abcdef"), v % 16 + 1, F.lit(1)))
             .when(c.rlike("[0-9]"), (v % 10).cast("string"))
             .when(c.rlike(r"\p{Ll}"), F.char(97 + v % 26)).otherwise(F.char(65 + v % 26)))
 
@@ -158,7 +161,7 @@ def like(value: Column, hex_: Column, attempt: Column, skip: Column | int = 0, m
         return F.aggregate(F.split(value, ""), start, step, lambda acc: bound(
             _grown(value, skip, attempt), lambda grown: ended(acc, grown)))
 
-    only_hex = value.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
+    only_hex = F.lit(more == "letters") & value.rlike("^[0-9A-Fa-f]*[A-Fa-f][0-9A-Fa-f]*$")
     return bound(hex_, lambda h: bound(F.coalesce(skip, F.lit(0)), lambda k: bound(only_hex, lambda x: made(h, k, x))))
 
 
@@ -223,7 +226,8 @@ def surrogate(entity: Column, attempt: Callable[[Column], Column], key: str) ->
         return (
             F.when(kind == "email", _email(e, one, tried, key)).when(kind == "secret", secret)
             .when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "ip", _ip(one))
-            .when(kind == "phone", like(e, one, tried, F.length(F.regexp_extract(e, r"^\+([0-9]{1,3})", 1))))
+            .when(kind == "phone", like(e, one, tried, F.length(
+                F.regexp_extract(parts[0]["value"], COUNTRY_CODE, 1))))
             .when(kind == "iban", like(e, one, tried, 2)).when(kind == "card", _checked(like(e, one, tried), e))
             .otherwise(like(e, one, tried)))
 

@@ -226,6 +226,15 @@ def test_surrogates_of_formats_with_few_values(spark):
     assert all("@" in n for n in new[200:236])
 
 
+def test_spellings_share_a_surrogate(spark):
+    texts = ["+1 (017) 555-7713", "+10175557713", "+1 017-555-7713", "abe@x.org", "Abe@x.org", "ABE@X.org"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in sorted(surrogates.with_surrogates(frame).collect(), key=lambda r: r.doc_id)]
+    assert len({"".join(c for c in n if c.isdigit()) for n in new[:3]}) == 1
+    assert all(n.startswith("+1") and "017" not in n[:7] for n in new[:3])
+    assert len({n.lower() for n in new[3:]}) == 1 and "abe" not in new[3]
+
+
 def test_surrogates_of_more_names_than_four_syllables_make(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "LATIN", ["ba", "do"])
     letters = "abcdefghij"
