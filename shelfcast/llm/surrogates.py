@@ -21,19 +21,39 @@ from . import shared
 
 KEY = "shelfcast"
 # Titles by the gender they tell.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "г-н", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "г-жа", "госпожа"]
+MALE = ["Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Hr", "Monsieur", "Señor", "г-н", "господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra",
+          "Señorita", "Srta", "г-жа", "госпожа"]
+NEUTRAL = ["Dr", "Doctor", "Doktor", "Prof", "Professor", "Rev", "Mx", "доктор", "д-р", "профессор", "проф"]
 # Syllables and endings that names are made of, by script.
 LATIN = ["ba", "be", "da", "do", "fa", "ga", "ka", "la", "le", "li", "ma", "mi", "na", "ne", "no", "ra", "re", "ro",
          "sa", "se", "ta", "te", "va", "vi"]
 CYRILLIC = ["ба", "бе", "ва", "во", "га", "да", "до", "за", "ка", "ла", "ле", "ли", "ма", "ми", "на", "не", "но", "ра",
             "ре", "ро", "са", "се", "та", "те"]
-ENDINGS = {"f": {"latin": "lina", "cyrillic": "лина"}, "m": {"latin": "ton", "cyrillic": "тон"}}
+CYRILLIC_INITIALS = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+ENDINGS = {"f": {"latin": "lina", "cyrillic": "лина"}, "m": {"latin": "ton", "cyrillic": "тон"},
+           "n": {"latin": "ris", "cyrillic": "рис"}}
 SURNAME = {"latin": "mer", "cyrillic": "мер"}
 
-NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
-TITLE = "|".join(sorted([*MALE, *FEMALE], key=len, reverse=True))
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.? {NAME_WORD}(?: {NAME_WORD})?"
+
+def _titles(titles: list[str]) -> str:
+    """The titles as written and in capitals; MS and DR are read as titles before a dot only."""
+    found = {*titles, *[t[0].upper() + t[1:] for t in titles]}
+    found |= {t.upper() + ("(?=\\.)" if t in ("Ms", "Dr") else "") for t in titles}
+    return "|".join(sorted(found, key=lambda t: (-len(t), t)))
+
+
+TITLE = _titles([*MALE, *FEMALE, *NEUTRAL])
+TITLES = rf"(?:(?:{TITLE})(?:\.?[ \xa0]|\.(?=\p{{Lu}})))"
+# Of two letters at least; the 's of a genitive is not part of it. Nothing here backtracks.
+NAME_WORD = r"(?=\p{Lu}['’-]?\p{L})(?!\p{Lu}['’][sS](?!\p{L}))\p{Lu}\p{L}*+(?:['’-](?![sS](?!\p{L}))\p{L}++)*+"
+INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lu}(?= \p{Lu})"
+PARTICLE = "(?:von|vom|van|der|den|zu|zur|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ter|ten)"
+SUFFIX = r"(?:Jr|Sr|JR|SR|II|III|IV|Esq|PhD|MD)(?!\p{L})"
+NAME_PART = rf"(?!{SUFFIX})(?:{PARTICLE} ){{0,3}}(?:{NAME_WORD}|{INITIAL})"
+# The word after initials may follow their dot.
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLES}{{1,6}}{NAME_PART}(?:(?: |(?<=\.)){NAME_PART})*+"
+UNTITLED = rf"(?<![\p{{L}}\p{{N}}]){NAME_WORD}"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
 SECRET = r"(?<![A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9/+_-]{16,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -67,7 +87,7 @@ def kind_of(entity: Column) -> Column:
     return bound(entity, lambda entity: (
         F.when(entity.contains("@"), "email")
         .when(entity.rlike("[=:]"), "secret")
-        .when(entity.rlike(rf"^(?:{TITLE})\.? "), "name")
+        .when(entity.rlike(rf"^{TITLES}"), "name")
         .when(entity.rlike(rf"^{IPV4}$"), "ip")
         .when(entity.rlike(rf"^(?:{SSN})$"), "ssn")
         .when(entity.rlike(rf"^(?:{PHONE})$"), "phone")
@@ -81,7 +101,8 @@ def _digits(c: Column) -> Column:
 def parts_of(entity: Column, kind: Column | None = None) -> Column:
     """The entity, which is of ``kind`` if that is given, as a list of (kind, value): what must stay apart and what refers to the same.
 
-    A name is a given name, if it has two words, and a surname; the value of a number is its
+    A name has a part for each piece of ``_words``: its last whole word is the surname, those
+    before are given names, initials and particles have kinds of their own; the value of a number is its
     digits, with a plus sign if a country code is among them. The title, the country code of an IBAN and the field of a secret are not part of it.
     """
     return bound(entity, lambda e: bound(kind_of(e) if kind is None else kind, lambda kind: F.when(
@@ -94,13 +115,24 @@ def _part(kind: Column, value: Column) -> Column:
 
 
 def _words(entity: Column) -> Column:
-    return F.split(F.regexp_replace(entity, rf"^(?:{TITLE})\.? ", ""), " ")
+    """What follows a name's titles, cut behind each space and between initials."""
+    return F.split(F.regexp_replace(entity, rf"^{TITLES}{{1,6}}", ""), r"(?<= )|(?<=\.)(?=-?\p{Lu})")
 
 
 def _name_parts(entity: Column, words: Column) -> Column:
-    given = F.when(entity.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "given:m").otherwise("given:f")
-    surname = F.array(_part(F.lit("surname"), F.lower(F.element_at(words, -1))))
-    return F.when(F.size(words) > 1, F.concat(F.array(_part(given, F.lower(words[0]))), surname)).otherwise(surname)
+    def told(titles: list[str]) -> Column:
+        return entity.rlike(rf"^{TITLES}{{0,6}}?(?:{_titles(titles)})(?![\p{{L}}-])")
+
+    given = F.when(told(MALE), "given:m").when(told(FEMALE), "given:f").otherwise("given:n")
+    kinds = bound(given, lambda given: F.transform(words, lambda w: (
+        F.when(w.rlike(r"^-?\p{Lu}\.?-? ?$"), "initial").when(w.rlike(r"^\p{Ll}"), "particle").otherwise(given))))
+
+    def parts(kinds: Column, last: Column) -> Column:
+        return F.transform(words, lambda w, at: _part(
+            F.when(at == last, "surname").otherwise(F.get(kinds, at)), F.lower(F.rtrim(w))))
+
+    return bound(kinds, lambda kinds: bound(F.array_max(F.transform(
+        kinds, lambda k, at: F.when(k.startswith("given"), at))), lambda last: parts(kinds, last)))
 
 
 def _value(entity: Column, kind: Column) -> Column:
@@ -174,13 +206,30 @@ def _name_word(word: Column, kind: Column, hex_: Column, attempt: Column) -> Col
         listed = F.array(*[F.lit(s) for s in syllables])
         places = F.sequence(F.lit(0), 3 + 2 * F.least(attempt, F.lit(4)))
         body = F.array_join(F.transform(places, lambda k: F.element_at(listed, _number(h, k) % len(syllables) + 1)), "")
-        end = F.when(kind == "given:f", ENDINGS["f"][script]).when(kind == "given:m", ENDINGS["m"][script])
+        end = F.when(kind == "given:f", ENDINGS["f"][script]).when(kind == "given:m", ENDINGS["m"][script]).when(
+            kind == "given:n", ENDINGS["n"][script])
         return F.concat(body, end.otherwise(SURNAME[script]))
     found = bound(hex_, lambda h: F.when(word.rlike(r"\p{IsCyrillic}"), made(h, "cyrillic", CYRILLIC)).otherwise(
         made(h, "latin", LATIN)))
     return bound(found, lambda name: F.when(word == F.upper(word), F.upper(name)).otherwise(F.initcap(name)))
 
 
+def _name_piece(piece: Column, part: Column, hex_: Column, attempt: Column) -> Column:
+    """A piece of ``_words`` with its name or initial replaced; particles stay."""
+    def initial(h: Column) -> Column:
+        letter = F.when(piece.rlike(r"\p{IsCyrillic}"), F.substring(
+            F.lit(CYRILLIC_INITIALS), _number(h, F.lit(0)) % len(CYRILLIC_INITIALS) + 1, F.lit(1))).otherwise(
+            F.char(65 + _number(h, F.lit(0)) % 26))
+        return F.regexp_replace(piece, F.lit(r"\p{Lu}"), letter)
+
+    def word(bare: Column) -> Column:
+        tail = F.when(piece.endswith(" "), " ").otherwise("")
+        return F.concat(_name_word(bare, part["kind"], hex_, attempt), tail)
+
+    return F.when(part["kind"] == "particle", piece).when(part["kind"] == "initial", bound(hex_, initial)).otherwise(
+        bound(F.rtrim(piece), word))
+
+
 def _passes(card: Column) -> Column:
     return F.call_function("luhn_check", _digits(card))
 
@@ -219,13 +268,13 @@ def surrogate(entity: Column, attempt: Callable[[Column], Column], key: str) ->
 
     def made(e: Column, kind: Column, parts: Column) -> Column:
         one, tried = hex_of(parts[0]), attempt(parts[0])
-        names = F.zip_with(_words(e), parts, lambda w, p: _name_word(w, p["kind"], hex_of(p), attempt(p)))
-        title = F.regexp_extract(e, rf"^((?:{TITLE})\.? )", 1)
+        names = F.zip_with(_words(e), parts, lambda w, p: _name_piece(w, p, hex_of(p), attempt(p)))
+        title = F.regexp_extract(e, rf"^({TITLES}{{1,6}})", 1)
         secret = bound(_secret(e), lambda s: F.concat(
             F.substring(e, F.lit(1), F.length(e) - F.length(s)), like(s, one, tried, more="letters")))
         return (
             F.when(kind == "email", _email(e, one, tried, key)).when(kind == "secret", secret)
-            .when(kind == "name", F.concat(title, F.array_join(names, " "))).when(kind == "ip", _ip(one))
+            .when(kind == "name", F.concat(title, F.array_join(names, ""))).when(kind == "ip", _ip(one))
             .when(kind == "phone", like(e, one, tried, F.length(
                 F.regexp_extract(parts[0]["value"], COUNTRY_CODE, 1))))
             .when(kind == "iban", like(e, one, tried, 2)).when(kind == "card", _checked(like(e, one, tried), e))
@@ -234,6 +283,25 @@ def surrogate(entity: Column, attempt: Callable[[Column], Column], key: str) ->
     return bound(entity, lambda e: bound(kind_of(e), lambda kind: bound(parts_of(e), lambda parts: made(e, kind, parts))))
 
 
+def _untitled(gap: Column, names: Column, attempt: Callable[[Column], Column], key: str) -> Column:
+    """Text between entities with every word that is one of ``names``, as parts, replaced."""
+    def new(w: Column) -> Column:
+        return bound(F.get(F.filter(names, lambda p: p["value"] == F.lower(w)), 0), lambda p: F.when(
+            p.isNull(), w).otherwise(_name_word(w, p["kind"], bound(p, lambda p: stream(p, attempt(p), key)), attempt(p))))
+
+    words = F.transform(F.regexp_extract_all(gap, F.lit(UNTITLED), F.lit(0)), new)
+    return F.array_join(F.zip_with(F.split(gap, UNTITLED, -1), F.concat(words, F.array(F.lit(""))),
+                                   lambda between, w: F.concat(between, w)), "")
+
+
+def _names_in(entities: Column) -> Column:
+    """The name parts of a text's entities; a word that is a surname and a given name is first the surname."""
+    parts = F.array_distinct(F.flatten(F.transform(F.filter(
+        entities, lambda e: e.rlike(rf"^{TITLES}")), lambda e: parts_of(e, F.lit("name")))))
+    return F.concat(F.filter(parts, lambda p: p["kind"] == "surname"),
+                    F.filter(parts, lambda p: p["kind"].startswith("given")))
+
+
 def entities_of(text: Column) -> Column:
     """All entities of a text in order; a text without any hint of one is searched no further."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
@@ -253,13 +321,15 @@ def attempts_needed(docs: DataFrame, text: str, key: str) -> DataFrame:
     # One spelling of each entity decides; its other spellings differ in punctuation or case.
     rows = found.select("entity", F.explode(parts_of(F.col("entity"))).alias("part")).groupBy("part").agg(
         F.min("entity").alias("entity")).select("part.kind", "part.value", "entity", F.lit(0).alias("attempt"))
+    # Initials stand for many names and may be alike, particles stay.
+    rows = rows.filter("kind NOT IN ('initial', 'particle')")
     rows = shared.written(rows, "entities")
     for _ in range(ROUNDS):
         new = surrogate(F.col("entity"), _own_attempt, key)
         # A longer value may not look like its kind any more, so the kind is the entity's.
-        made = rows.select("kind", "value", F.explode(parts_of(new, kind_of(F.col("entity")))).alias("new")).filter(
-            "new.kind = kind")
-        made = shared.written(made.select("kind", "value", F.col("new.value").alias("new")), "surrogates")
+        own = F.array_position(parts_of(F.col("entity")), _part(F.col("kind"), F.col("value"))).cast("int")
+        made = rows.select("kind", "value", F.element_at(parts_of(new, kind_of(F.col("entity"))), own)["value"].alias("new"))
+        made = shared.written(made, "surrogates")
         first = made.groupBy("kind", "new").agg(F.min("value").alias("first"))
         real = rows.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         bad = made.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left").filter(
@@ -301,6 +371,8 @@ def with_attempts(docs: DataFrame, text: str, attempts: DataFrame) -> DataFrame:
 def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """The documents with every entity of ``text`` replaced, all columns kept, and ``_entities``.
 
+    Words of a titled name are replaced wherever the same text repeats them without a title, in
+    capitals or with a capital; ``_entities`` lists the titled name only.
     Texts without entities, null and empty ones come back as they are (``_entities`` empty).
     Repeated rows get the same surrogates. ``n_chars``, if there is one, follows the text.
     """
@@ -311,7 +383,10 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
 
     ready = ready.withColumn("_entities", F.coalesce(entities_of(F.col(text)), F.array().cast("array<string>")))
     new = F.transform("_entities", lambda e: surrogate(e, attempt, key))
+    ready = ready.withColumn("_names", _names_in(F.col("_entities")))
     between = F.split(F.col(text), ENTITY, -1)
+    between = F.when(F.size("_names") > 0, F.transform(
+        between, lambda gap: _untitled(gap, F.col("_names"), attempt, key))).otherwise(between)
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda gap, e: F.concat(gap, e)), "")
     some = F.size("_entities") > 0
     columns = [F.when(some, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

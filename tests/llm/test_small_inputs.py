@@ -235,6 +235,25 @@ def test_spellings_share_a_surrogate(spark):
     assert len({n.lower() for n in new[3:]}) == 1 and "abe" not in new[3]
 
 
+def test_whole_names_and_their_repeats(spark):
+    real = ["John", "Michael", "Smith", "Kennedy", "F.", "Tolkien", "Merkel", "Beethoven", "Jones", "SMITH", "Иванов"]
+    texts = [
+        "Mr. John Michael Smith met Mr. Smith; Smith's dog, SMITH and John left.", "Mr. John F. Kennedy and Kennedy",
+        "Mr. J. Smith, Mr. J.R.R. Tolkien", "Dr. Merkel, Frau Prof. Dr. Merkel", "MR. JOHN SMITH", "Prof. Jones",
+        "Herr Ludwig van Beethoven", "г-н Иванов И. И. и Иванов", "Mr.Smith Jr. was here", "Smith without title"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in sorted(surrogates.with_surrogates(frame).collect(), key=lambda r: r.doc_id)]
+    assert new[-1] == texts[-1]
+    assert not [(r, n) for r in real for n in new[:-1] if r in n]
+    smith = new[0].split(" met ")[1].split(";")[0].split()[1]
+    words = new[0].replace(";", " ").replace(",", " ").split()
+    assert words[3] == smith == words[6] and words[7] == f"{smith}'s" and words[9] == smith.upper()
+    assert words[1] == words[11] and new[0].endswith(" left.")
+    assert new[2].split(",")[0].split()[-1] == smith and new[8] == f"Mr.{smith} Jr. was here"
+    assert new[4].split()[-1] == smith.upper() and " van " in new[6]
+    assert new[3].split(",")[0].split()[-1] == new[3].split()[-1]
+
+
 def test_surrogates_of_more_names_than_four_syllables_make(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "LATIN", ["ba", "do"])
     letters = "abcdefghij"
