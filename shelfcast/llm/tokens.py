@@ -62,7 +62,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in self.added):
+            raise ValueError("an added token spans white space; words cannot be encoded one by one")
         self.merge = self.model.model.tokenize
         self.size = self.model.get_vocab_size()
         self.letters = _byte_letters()
@@ -78,7 +80,8 @@ class WordTokens:
     def _word(self, word: str) -> bytes:
         lower = word.lower()
         parts = PARTS.findall(lower)
-        if not len("".join(parts)) == len(lower) == len(word):
+        # Added tokens are looked for in the word as it is written.
+        if not len("".join(parts)) == len(lower) == len(word) or any(t in word for t in self.added):
             return self.encode(word)
         return b"".join(map(self.parts.__getitem__, parts))
 

@@ -44,6 +44,13 @@ def test_words_encode_like_whole_texts():
         assert held.ids(text) == held.encode(text)
 
 
+def test_added_tokens_keep_their_ids():
+    held = tokens.WordTokens(tokens.WORD_BPE)
+    for text in ["end <|endoftext|> next", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|> <|startoftext|>!! É\x1c<|endoftext|>"]:
+        assert np.frombuffer(held.ids(text), "<u4").tolist() + [1] == model_ids(text)
+    assert 49407 in np.frombuffer(held.ids("end <|endoftext|> next"), "<u4").tolist()
+
+
 def test_pieces_of_documents_pack_without_gaps(docs, none):
     rows = packing.pack_documents(docs, capacity=64).collect()
     found = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
