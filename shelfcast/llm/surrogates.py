@@ -68,7 +68,8 @@ CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 ENTITY = "|".join([EMAIL, SECRET, NAME, IPV4, SSN, PHONE, CARD, IBAN])
 # Every entity holds one of these, and nearly no other text does.
-HINT = rf"[@0-9]|(?:{TITLE})|[=:]"
+STARTS = "".join(sorted({t[0] for t in TITLE.split("|")}))
+HINT = rf"[@0-9=:]|(?=[{STARTS}])(?:{TITLE})"
 # Attempts are held as one map up to so many entities; beyond that they are joined.
 MAP_ROWS = 5_000
 # Only IPv4 addresses cannot grow; a corpus that holds nearly half of them would need more rounds.
