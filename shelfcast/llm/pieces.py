@@ -46,6 +46,7 @@ FINISH = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SPACE = "▁"
 # A run of spaces and the word after it: no piece of the model has a space behind a letter.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+RAW_WORD = re.compile(" *[^ ]+| +")
 
 
 class PieceModel:
@@ -231,6 +232,14 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, escaped; one that holds the space mark itself has its own spaces
+    in front and is spelt in bytes, since its merged pieces would not come back."""
+    if SPACE not in text:
+        return WORD.findall(escaped(text))
+    return [w if SPACE in w else w.replace(" ", SPACE) for w in RAW_WORD.findall(" " + text)]
+
+
 class DropoutEncoder:
     """Encodes whole texts word by word. The variant of a text follows from the seed and its
     key, so a corpus shows several cuts of its common words and each text has one."""
@@ -257,25 +266,22 @@ class DropoutEncoder:
             yield from self._block(keys[begin:at], texts[begin:at])
 
     def _block(self, keys: list[object], texts: list[str | None]) -> Iterator[bytes | None]:
-        # A text that holds the space mark itself would not come back; it is spelt in bytes.
-        cut = [WORD.findall(escaped(t)) if t and SPACE not in t else () for t in texts]
+        cut = [words_of(t) if t else () for t in texts]
         variants = [self.variant(k) for k in keys]
         new = list({(w, v) for words, v in zip(cut, variants) for w in words if w not in self.held[v]})
         for (word, v), ids in zip(new, self.model.many_ids(new, self.seed, self.dropout)):
-            self.held[v][word] = ids
+            self.held[v][word] = self._spelt(word) if word.startswith(" ") else ids
         for text, words, v in zip(texts, cut, variants):
-            if text and not words:
-                yield self._spelt(text)
-            else:
-                yield None if text is None else b"".join(map(self.held[v].__getitem__, words))
+            yield None if text is None else b"".join(map(self.held[v].__getitem__, words))
         for word, v in new:
             if len(word) > LONGEST_HELD:
                 del self.held[v][word]
         most = WORDS_HELD // self.variants
         self.held = [h if len(h) <= most else dict(islice(h.items(), most // 2)) for h in self.held]
 
-    def _spelt(self, text: str) -> bytes:
-        ids = [self.model.ids[SPACE]] + [self.model.bytes[b] for b in text.encode()]
+    def _spelt(self, word: str) -> bytes:
+        bare = word.lstrip(" ")
+        ids = [self.model.ids[SPACE]] * (len(word) - len(bare)) + [self.model.bytes[b] for b in bare.encode()]
         return np.array(ids, "<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:

@@ -351,3 +351,10 @@ def test_trimmed_work_yields_all_batches(docs, none):
 
     for rows in (docs, none):
         assert sorted(map(str, rows.mapInArrow(same, rows.schema).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_only_words_with_the_space_mark_are_spelt_in_bytes():
+    plain = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.0, 1)
+    for text in ["some common words  and a▁b here ", "▁", " ▁x▁  y", "word ▁▁"]:
+        assert plain.decode(plain.ids(1, text)) == text
+    assert len(plain.ids(1, "some common words and a▁b here")) // 4 < 16
