@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, packing, pieces, rans, repetition, surrogates, urlrules, vafile, warc
+from . import jaccard, licences, packing, pieces, rans, repetition, spelling, surrogates, urlrules, vafile, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licence_automaton": licences.op8_licence_automaton,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_va_file_top_k": vafile.op10_va_file_top_k,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 ORACLE = {
     "op6_url_rules": urlrules.SQL,
