@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hardneg, jaccard, licences, packing, pieces, rans, repetition, spelling, surrogates, urlrules, vafile, warc
+from . import hardneg, jaccard, licences, maintext, packing, pieces, rans, repetition, spelling, surrogates, urlrules, vafile, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_va_file_top_k": vafile.op10_va_file_top_k,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_main_text": maintext.op12_main_text,
     "op13_rns_hard_negatives": hardneg.op13_rns_hard_negatives,
 }
 ORACLE = {
     "op6_url_rules": urlrules.SQL,
     "op10_va_file_top_k": vafile.SQL,
+    "op12_main_text": maintext.op12_main_text,
     "op13_rns_hard_negatives": hardneg.SQL,
 }
