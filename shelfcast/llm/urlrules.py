@@ -7,6 +7,7 @@ under those are run.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+# Ranks: a rule that is asked for goes before the method's own ones, and of those an exception
+# before a block.
+BLOCKS, EXCEPTION, ASKED = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -30,7 +34,7 @@ class Rule:
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
-    rank: int = 0
+    rank: int = BLOCKS
 
 
 def host_path_rule(host: str, path: str, verdict: str) -> Rule:
@@ -43,7 +47,7 @@ def host_path_rule(host: str, path: str, verdict: str) -> Rule:
     labels = re.findall(r"[a-z0-9]+", host)
     # The first "://" of a url opens its host.
     pattern = r"(?s)^(?:(?!://).)*://(?:[^/?#]*\.)?(?i:" + re.escape(host) + ")" + re.escape(path)
-    return Rule(host + path, verdict, pattern, tuple(dict.fromkeys([*labels, *whole])), 1)
+    return Rule(host + path, verdict, pattern, tuple(dict.fromkeys([*labels, *whole])), ASKED)
 
 
 BASE = [
@@ -60,16 +64,57 @@ def word_rule(word: str) -> Rule:
     return Rule(f"word:{word}", "block", rf"(?i)(?:^|[^a-z0-9]){word}(?:[^a-z0-9]|$)", (word,))
 
 
+def session_rule(name: str) -> Rule:
+    return Rule(f"param:{name}", "block", rf"(?i)[?&]{name}=", (name,))
+
+
+def file_rule(ending: str) -> Rule:
+    return Rule(f"ext:{ending}", "block", rf"(?i)^[^?#]*\.{ending}(?:[?#]|$)", (ending,))
+
+
+WORDS = "porn xxx sex casino poker viagra torrent warez login signup cart checkout".split()
+SESSIONS = ["sessionid", "phpsessid"]
+ENDINGS = "jpg jpeg png gif zip exe mp3 mp4 pdf".split()
 # The method's own rules: places that training text should not come from, printouts and
-# sessions that repeat pages found elsewhere, and files that hold no text.
+# sessions that repeat pages found elsewhere, and files that hold no text. Every rule has a
+# token of its own, so none runs on every url.
 OWN = [
-    *map(word_rule, "porn xxx sex casino poker viagra torrent warez login signup cart checkout".split()),
+    *map(word_rule, WORDS),
     Rule("param:print", "block", r"(?i)[?&]print=(?:1|true|yes)(?:[&#]|$)", ("print",)),
-    Rule("param:sessionid", "block", r"(?i)[?&](?:sessionid|phpsessid)=", ()),
-    Rule("ext:binary", "block", r"(?i)^[^?#]*\.(?:jpe?g|png|gif|zip|exe|mp[34]|pdf)(?:[?#]|$)", ()),
+    *map(session_rule, SESSIONS),
+    *map(file_rule, ENDINGS),
 ]
 
 
+def filter_rules(text: str) -> list[Rule]:
+    """Rules from the lines of a filter list.
+
+    A line is text to be found in a url, in any case. ``*`` stands for any text and ``^`` for
+    a separator (neither letter, digit nor one of ``_-.%``) or the end; ``||`` at the front is
+    the start of the host or of one of its labels, ``|`` the start or the end of the url, and
+    ``@@`` makes the line an exception. Lines that begin with ``!`` and empty ones are
+    comments; options after ``$`` are refused.
+    """
+    rules = []
+    for line in map(str.strip, text.splitlines()):
+        if not line or line.startswith("!"):
+            continue
+        body, verdict, rank = (line[2:], "allow", EXCEPTION) if line.startswith("@@") else (line, "block", BLOCKS)
+        if "$" in body:
+            raise ValueError(f"options are not supported: {line}")
+        front = re.match(r"\|{0,2}", body).group()
+        inner = body[len(front):]
+        back = "|" if inner.endswith("|") else ""
+        inner = inner.removesuffix("|").lower()
+        start = {"||": r"^[^:/?#]*://(?:[^/?#]*\.)?", "|": "^", "": ""}[front]
+        body = "".join({"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}.get(c, re.escape(c)) for c in inner)
+        # A run stands whole where what is around it can be no letter or digit.
+        edges = f"{front or '*'}{inner}{back or '*'}"
+        whole = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", edges)
+        rules.append(Rule(line, verdict, f"(?is){start}{body}{'$' if back else ''}", tuple(dict.fromkeys(whole)), rank))
+    return rules
+
+
 TOKEN = re.compile("[a-z0-9]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -111,7 +156,7 @@ def judged(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     """``page_id``, ``host``, ``path``, the deciding rule and ``verdict``; allow if none fits.
 
     A null url has no tokens, empty host and path, and is allowed. Rules that decide with
-    rank 1 are named in ``rule``; those of rank 0, the method's own, in ``own_rule``. Repeated
+    rank ``ASKED`` are named in ``rule``, the method's own in ``own_rule``. Repeated
     rows are judged one by one, and nothing is shuffled but the token counts.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("_url"))
@@ -119,16 +164,17 @@ def judged(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     held = pages.sparkSession.sparkContext.broadcast(index)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filed = {t: [(r, re.compile(r.pattern, re.ASCII)) for r in rs] for t, rs in held.value.items()}
+        filed, compiled = held.value, functools.cache(lambda rule: re.compile(rule.pattern, re.ASCII))
         for batch in batches:
             columns = [[] for _ in range(3)]
             for text in batch.column("_url").to_pylist():
                 text = text or ""
                 own = ["", *dict.fromkeys(TOKEN.findall(text.translate(LOWER)))]
-                best = max((order(r) for t in own for r, pattern in filed.get(t, ()) if pattern.search(text)),
-                           default=(0, 0, None, "allow"))
+                best = max((order(r) for t in own for r in filed.get(t, ()) if compiled(r).search(text)),
+                           default=(BLOCKS, 0, None, "allow"))
                 rank, _, name, verdict = best
-                for column, value in zip(columns, (name if rank else None, verdict, None if rank else name)):
+                asked = rank == ASKED
+                for column, value in zip(columns, (name if asked else None, verdict, None if asked else name)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("page_id", "host", "path")], *[pa.array(c, pa.string()) for c in columns]],
@@ -144,10 +190,15 @@ def order(rule: Rule) -> tuple[int, int, str, str]:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; null and odd urls, repeated rows and empty tables as ``judged`` says."""
     return judged(shared.table(spark, sf_dir, "pages"), BASE + OWN)
 
 
-WORDS = "porn|xxx|sex|casino|poker|viagra|torrent|warez|login|signup|cart|checkout"
+_OWN_SQL = ",\n      ".join([
+    *[f"CASE WHEN regexp_matches(url, '(?i)(^|[^a-z0-9]){w}([^a-z0-9]|$)') THEN 'word:{w}' END" for w in WORDS],
+    "CASE WHEN regexp_matches(url, '(?i)[?&]print=(1|true|yes)([&#]|$)') THEN 'param:print' END",
+    *[f"CASE WHEN regexp_matches(url, '(?i)[?&]{w}=') THEN 'param:{w}' END" for w in SESSIONS],
+    *[rf"CASE WHEN regexp_matches(url, '(?i)^[^?#]*\.{w}([?#]|$)') THEN 'ext:{w}' END" for w in ENDINGS]])
 SQL = rf"""
 WITH cut AS (
   SELECT page_id, url, strpos(url, '://') AS place FROM pages
@@ -167,15 +218,13 @@ WITH cut AS (
       WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
       WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/'
     END AS rule,
-    coalesce(list_reduce(list_transform([
-      regexp_matches(url, '(?i)(^|[^a-z0-9])({WORDS})([^a-z0-9]|$)'),
-      regexp_matches(url, '(?i)[?&]print=(1|true|yes)([&#]|$)'),
-      regexp_matches(url, '(?i)[?&](sessionid|phpsessid)='),
-      regexp_matches(url, '(?i)^[^?#]*\.(jpe?g|png|gif|zip|exe|mp[34]|pdf)([?#]|$)')
-    ], lambda x: CAST(x AS INTEGER)), lambda a, b: a + b), 0) > 0 AS own
+    list_reverse_sort(list_transform(list_filter([
+      {_OWN_SQL}
+    ], lambda n: n IS NOT NULL), lambda n: {{'size': length(n), 'name': n}}))[1].name AS own
   FROM parts
 )
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN own THEN 'block' ELSE 'allow' END AS verdict
+       WHEN own IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL THEN own END AS own_rule
 FROM fits"""
