@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .components import components
@@ -434,6 +435,14 @@ def _is_linked(join: Join):
 def similar_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document (``doc_id``, ``text``).
 
+    As ``text_components``; other columns are not read, and an empty table gives no rows.
+    """
+    return text_components(docs, join).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def text_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """``doc_id``, ``size`` and 128-bit name (``row``, ``row2``) of every text's set, ``component_id``.
+
     ``component_id`` is the smallest id reachable by links. A null or empty text has an empty
     set and is linked with nothing. Rows with the same id are one node of the graph if their
     texts are alike; a null id keeps a null component unless it has copies with an id.
@@ -498,27 +507,48 @@ def _back(sets: DataFrame, named: DataFrame) -> DataFrame:
     some = sets.select("doc_id", "size", "row", "row2").join(F.broadcast(hot), ["row", "row2"], "left")
     warm = some.filter("_hot IS NOT NULL").withColumn("component_id", F.col("_hot"))
     rest = some.filter("_hot IS NULL").join(cold, ["row", "row2"], "left")
-    return warm.select("doc_id", "size", "component_id").unionByName(
-        rest.select("doc_id", "size", "component_id")).select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", "size", "row", "row2"]
+    return warm.select(*columns, "component_id").unionByName(rest.select(*columns, "component_id")).select(
+        *columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The documents whose id is their component's, with all their columns; repeated rows once.
 
-    A document without an id stays.
+    Where rows share an id but not a text, each text stays or goes by its own component. A
+    document without an id stays.
     """
-    found = shared.written(similar_documents(docs, join), "components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # Texts travel only if too many documents go for their ids to be sent to every task.
-    stay = docs.join(_sent(gone, gone.count() <= SENT_ROWS), "doc_id", "left_anti").select(*docs.columns)
-    again = shared.written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1"), "again")
+    found = shared.written(text_components(docs, join), "components")
+    gone = shared.written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "row", "row2").distinct(), "gone")
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = shared.written(again, "again")
     n = again.count()
+    # Texts travel only if too many documents go for their ids to be sent to every task.
+    once = docs.join(_sent(gone.select("doc_id").distinct(), gone.count() <= SENT_ROWS), "doc_id", "left_anti").select(*docs.columns)
     if not n:
-        return stay
-    again = _sent(again.select("doc_id"), n <= SENT_ROWS)
-    twice = stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
-    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+        return once
+    few = n <= SENT_ROWS
+    row, row2 = shared.free_name(docs.columns, "row"), shared.free_name(docs.columns, "row2")
+    twice = _with_names(docs.join(_sent(again, few), "doc_id", "left_semi").select(*docs.columns), join, row, row2)
+    off = gone.join(_sent(again, few), "doc_id", "left_semi").select(
+        "doc_id", F.col("row").alias(row), F.col("row2").alias(row2))
+    kept = twice.join(off, ["doc_id", row, row2], "left_anti").select(*docs.columns).dropDuplicates()
+    return once.join(_sent(again, few), "doc_id", "left_anti").select(*docs.columns).unionByName(kept)
+
+
+def _with_names(docs: DataFrame, join: Join, row: str, row2: str) -> DataFrame:
+    """The documents with the names of their texts' sets."""
+    place, listed = docs.columns.index("text"), [*docs.columns, row, row2]
+
+    @shared.trimmed
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ngrams = Ngrams(join.n)
+        for batch in batches:
+            names = [_row_id(ngrams.of(text.as_py())) for text in batch.column(place)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)]], listed)
+
+    return docs.mapInArrow(named, T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in (row, row2)]]))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,13 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with marks behind it as long as a column is called so in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 # --- memory of tasks ----------------------------------------------------------------
 
 Batches = Iterator[pa.RecordBatch]

@@ -318,7 +318,7 @@ def attempts_needed(docs: DataFrame, text: str, key: str) -> DataFrame:
     per task. Each round looks for surrogates that another entity has, or that are entities
     themselves, and gives the later entity a new attempt; a round without any ends it.
     """
-    found = docs.select(F.explode(entities_of(F.col(text))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)))
+    found = docs.select(F.explode(entities_of(F.col(f"`{text}`"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)))
     # One spelling of each entity decides; its other spellings differ in punctuation or case.
     rows = found.select("entity", F.explode(parts_of(F.col("entity"))).alias("part")).groupBy("part").agg(
         F.min("entity").alias("entity")).select("part.kind", "part.value", "entity", F.lit(0).alias("attempt"))
@@ -352,55 +352,61 @@ def _name(part: Column) -> Column:
     return F.concat(part["kind"], F.lit("\u0001"), part["value"])
 
 
-def with_attempts(docs: DataFrame, text: str, attempts: DataFrame) -> DataFrame:
-    """The documents with ``_attempts``: by part name, null where no part needs one.
+def with_attempts(docs: DataFrame, text: str, attempts: DataFrame, out: str) -> DataFrame:
+    """The documents with column ``out``: attempts by part name, null where no part needs one.
 
     Up to ``MAP_ROWS`` attempts are one value that every task has; more are joined to the
-    documents that hold such entities.
+    documents that hold such entities, by the text's hash, which copies of a text share.
     """
-    pairs = attempts.select(F.struct(_name(F.struct("kind", "value")).alias("k"), F.col("attempt").alias("v")).alias("e"))
+    named = attempts.select(_name(F.struct("kind", "value")).alias("k"), F.col("attempt").alias("v"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("k", "v")))
     if attempts.limit(MAP_ROWS + 1).count() <= MAP_ROWS:
-        return docs.withColumn("_attempts", pairs.agg(F.map_from_entries(F.collect_list("e"))).scalar())
-    body = F.xxhash64(text)
-    held = docs.select(body.alias("_body"), F.explode(F.array_distinct(F.flatten(F.transform(
-        entities_of(F.col(text)), parts_of)))).alias("part"))
-    own = held.select("_body", "part.kind", "part.value").distinct().join(attempts, ["kind", "value"]).groupBy("_body").agg(
-        F.map_from_entries(F.collect_list(F.struct(_name(F.struct("kind", "value")), "attempt"))).alias("_attempts"))
-    return docs.withColumn("_body", body).join(own, "_body", "left").drop("_body")
+        return docs.withColumn(out, named.agg(pairs).scalar())
+    body = shared.free_name(docs.columns, "body")
+    parts = F.explode(F.array_distinct(F.flatten(F.transform(entities_of(F.col(f"`{text}`")), lambda e: parts_of(e)))))
+    held = docs.select(F.xxhash64(f"`{text}`").alias(body), parts.alias("part"))
+    own = held.select(body, _name(F.col("part")).alias("k")).distinct().join(named, "k").groupBy(body).agg(pairs.alias(out))
+    return docs.withColumn(body, F.xxhash64(f"`{text}`")).join(own, body, "left").drop(body)
 
 
-def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """The documents with every entity of ``text`` replaced, all columns kept, and ``_entities``.
+def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY, entities: str | None = None) -> DataFrame:
+    """The documents with every entity of ``text`` replaced and all columns kept.
 
+    ``entities`` names a further column for the list of entities found; it must be free.
     Words of a titled name are replaced wherever the same text repeats them without a title, in
-    capitals or with a capital; ``_entities`` lists the titled name only.
-    Texts without entities, null and empty ones come back as they are (``_entities`` empty).
+    capitals or with a capital; the list has the titled name only.
+    Texts without entities, null and empty ones come back as they are (their list is empty).
     Repeated rows get the same surrogates. ``n_chars``, if there is one, follows the text.
     """
-    ready = with_attempts(docs, text, attempts_needed(docs, text, key))
+    taken = [c for c in docs.columns if c != "n_chars"]
+    if entities and shared.free_name(taken, entities) != entities:
+        raise ValueError(f"{entities} is a column of the documents")
+    tries, found, names, some = (shared.free_name(docs.columns, n) for n in ("attempts", "entities", "names", "some"))
+    source = F.col(f"`{text}`")
+    ready = with_attempts(docs, text, attempts_needed(docs, text, key), tries)
 
     def attempt(part: Column) -> Column:
-        return F.coalesce(F.try_element_at("_attempts", _name(part)), F.lit(0))
-
-    ready = ready.withColumn("_entities", F.coalesce(entities_of(F.col(text)), F.array().cast("array<string>")))
-    new = F.transform("_entities", lambda e: surrogate(e, attempt, key))
-    ready = ready.withColumn("_names", _names_in(F.col("_entities")))
-    between = F.split(F.col(text), ENTITY, -1)
-    between = F.when(F.size("_names") > 0, F.transform(
-        between, lambda gap: _untitled(gap, F.col("_names"), attempt, key))).otherwise(between)
+        return F.coalesce(F.try_element_at(tries, _name(part)), F.lit(0))
+
+    ready = ready.withColumn(found, F.coalesce(entities_of(source), F.array().cast("array<string>")))
+    new = F.transform(found, lambda e: surrogate(e, attempt, key))
+    ready = ready.withColumn(names, _names_in(F.col(found)))
+    between = F.split(source, ENTITY, -1)
+    between = F.when(F.size(names) > 0, F.transform(
+        between, lambda gap: _untitled(gap, F.col(names), attempt, key))).otherwise(between)
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda gap, e: F.concat(gap, e)), "")
-    some = F.size("_entities") > 0
-    columns = [F.when(some, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    out = ready.select(*columns, "_entities", some.alias("_some"))
+    any_found = F.size(found) > 0
+    columns = [F.when(any_found, joined).otherwise(source).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    out = ready.select(*columns, F.col(found), any_found.alias(some))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_some"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(some), F.char_length(source).cast(docs.schema["n_chars"].dataType)).otherwise(
             F.col("n_chars")))
-    return out.drop("_some")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(found).alias(entities)] if entities else []))
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rewritten text of every document with the kinds of its entities in order."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_surrogates(docs).select(
+    return with_surrogates(docs, entities="_entities").select(
         "doc_id", "text", F.size("_entities").alias("n_entities"),
         F.array_join(F.transform("_entities", kind_of), ",").alias("kinds"))

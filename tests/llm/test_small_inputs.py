@@ -200,7 +200,8 @@ def test_components_of_a_path(spark):
 
 
 def test_surrogates(docs, none):
-    rows = {r.doc_id: r for r in surrogates.with_surrogates(docs).collect()}
+    rows = {r.doc_id: r for r in surrogates.with_surrogates(docs, entities="found").collect()}
+    assert rows[10].found[0] == "a.b9@mail.example.org" and rows[1].found == []
     mail = rows[10].text
     assert "4111111111111111" not in mail and "555-7713" not in mail and "b9@" not in mail.lower()
     a, b = [w.rstrip(",") for w in mail.split() if "@" in w]
@@ -212,9 +213,31 @@ def test_surrogates(docs, none):
     for k in (1, 2, 3, 4, 6, 9):
         assert rows[k].text == dict(TEXTS)[k]
     assert surrogates.with_surrogates(none).count() == 0
-    counted = surrogates.with_surrogates(docs.selectExpr("doc_id", "text", "2L * length(text) AS n_chars"))
+    counted = surrogates.with_surrogates(docs.selectExpr("doc_id", "text", "2L * length(text) AS n_chars"), entities="found")
     for r in counted.filter("text IS NOT NULL").collect():
-        assert r.n_chars == (len(r.text) if r._entities else 2 * len(r.text))
+        assert r.n_chars == (len(r.text) if r.found else 2 * len(r.text))
+
+
+def test_surrogates_leave_other_columns_as_they_are(spark, docs, monkeypatch):
+    clashing = "doc_id long, text string, _entities string, attempts int, Entities int, names array<int>, some boolean, BODY long"
+    rows = [(k, t, "mine", 1, 2, [3], True, 4) for k, t in TEXTS]
+    frame = spark.createDataFrame(rows, clashing)
+    for limit in (surrogates.MAP_ROWS, -1):
+        monkeypatch.setattr(surrogates, "MAP_ROWS", limit)
+        out = surrogates.with_surrogates(frame)
+        assert out.columns == frame.columns
+        assert all(tuple(r)[2:] == rows[0][2:] for r in out.collect())
+    with pytest.raises(ValueError):
+        surrogates.with_surrogates(frame, entities="ENTITIES")
+
+
+def test_attempts_by_map_and_by_join_are_alike(spark, monkeypatch):
+    texts = [f"call +{k} or Mr. John Smith" for k in range(10_000, 10_100)] + [None, "", "no entity", "call +10001"] * 2
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_map = {r.doc_id: r.text for r in surrogates.with_surrogates(frame).collect()}
+    assert surrogates.attempts_needed(frame, "text", surrogates.KEY).count() > 0
+    monkeypatch.setattr(surrogates, "MAP_ROWS", -1)
+    assert {r.doc_id: r.text for r in surrogates.with_surrogates(frame).collect()} == by_map
 
 
 def surrogates_apart(spark, entities):
@@ -358,3 +381,15 @@ def test_only_words_with_the_space_mark_are_spelt_in_bytes():
     for text in ["some common words  and a▁b here ", "▁", " ▁x▁  y", "word ▁▁"]:
         assert plain.decode(plain.ids(1, text)) == text
     assert len(plain.ids(1, "some common words and a▁b here")) // 4 < 16
+
+
+@pytest.mark.parametrize("sent", [jaccard.SENT_ROWS, -1])
+def test_no_unique_text_goes_with_its_id(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
+    u, v = " ".join(f"u{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(5, u), (9, u), (9, v), (9, v), (10, u), (10, None), (11, ""), (None, u), (12, v + " x")]
+    docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, row string, ROW2 int")
+    kept = jaccard.one_of_each(docs, jaccard.Join(n=5, percent=80))
+    assert kept.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == collections.Counter([(5, u), (9, v), (10, None), (11, ""), (None, u)])
