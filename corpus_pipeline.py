@@ -13,13 +13,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 85 % joint four-word n-grams connect."""
-    return jaccard.one_of_each(docs)
+    """One document of each group that links of 80 % joint five-word n-grams connect."""
+    return jaccard.one_of_each(docs, jaccard.Join(n=5, percent=80))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to surrogates; no document goes."""
-    return surrogates.with_surrogates(docs).drop("_entities")
+    return surrogates.with_surrogates(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
