@@ -16,7 +16,7 @@ import functools
 import heapq
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,17 +31,22 @@ from . import shared
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SEED = 20240229
 DROPOUT = 0.1
-VARIANTS = 4
-WORDS_HELD = 400_000
+# Cuts of words that a task remembers.
+CUTS_HELD = 400_000
+# Decisions on candidates that are drawn beforehand, as bits, and the fourths of a hash they take.
+DRAWN = 24
+LOW = [(1 << t) - 1 for t in range(DRAWN + 1)]
+BIT = [1 << t for t in range(DRAWN + 1)]
 # Characters of the texts whose new words are merged together; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 21
-LONGEST_HELD = 64
-# Widths of the matrices; longer words have an agenda each.
-WIDTHS = (8, 12, 16, 24, LONGEST_HELD)
+# Longer words are cut anew wherever they stand; beyond the widest matrix each has an agenda.
+LONGEST_HELD = 40
+WIDTHS = (8, 12, 16, 24, 64)
 CELLS = 1 << 19
 ALL_BITS = (1 << 64) - 1
-# Odd multipliers that spread the three places of a candidate, and those of the finishing steps.
-SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+# Odd multipliers that spread the place of a word and the number of a candidate, and those of
+# the finishing steps.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 FINISH = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SPACE = "▁"
 # A run of spaces and the word after it: no piece of the model has a space behind a letter.
@@ -94,9 +99,13 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
         return np.where(self.pairs[at] == wanted, self.pair_scores[at], -np.inf), self.wholes[at]
 
-    def merged(self, word: str, seed: int, variant: int, dropout: float) -> list[str]:
-        """The pieces of a word from single characters, best score first, then from the left."""
-        size, limit, key = len(word), skip_limit(dropout), word_key(word, seed, variant)
+    def merged(self, word: str, key: int, dropout: float) -> list[str]:
+        """The pieces of a word from single characters, best score first, then from the left.
+
+        Every candidate that the agenda brings up is skipped if the hash of ``key``, which
+        stands for the word's place in its document, and the candidate's number says so.
+        """
+        size, limit, number = len(word), skip_limit(dropout), 0
         start, end = list(range(size)), list(range(1, size + 1))
         before, after = [k - 1 for k in range(size)], [k + 1 for k in range(size)]
         agenda: list[tuple[float, int, int, int]] = []
@@ -114,7 +123,8 @@ class PieceModel:
             _, left, middle, right = heapq.heappop(agenda)
             if not alive[left] or end[left] != middle or middle >= size or not alive[middle] or end[middle] != right:
                 continue  # one of the two has been merged since
-            if limit and place_hash(key, left, middle, right) < limit:
+            number += 1
+            if limit and decision(key, number - 1) < limit:
                 continue
             alive[middle], end[left] = False, right
             after[left] = after[middle]
@@ -124,8 +134,8 @@ class PieceModel:
             propose(left, after[left])
         return [word[k: end[k]] for k in range(size) if alive[k]]
 
-    def word_ids(self, word: str, seed: int, variant: int, dropout: float) -> bytes:
-        return self._spelt(self.merged(word, seed, variant, dropout))
+    def word_ids(self, word: str, key: int, dropout: float) -> bytes:
+        return self._spelt(self.merged(word, key, dropout))
 
     def _spelt(self, pieces: list[str]) -> bytes:
         out: list[int] = []
@@ -134,28 +144,30 @@ class PieceModel:
             out += [found] if found is not None else [self.bytes[b] for b in piece.encode()]
         return np.array(out, "<u4").tobytes()
 
-    def many_ids(self, cases: list[tuple[str, int]], seed: int, dropout: float) -> list[bytes]:
-        """The ids of words, each under its variant, as ``word_ids`` gives them one by one."""
-        out: list[bytes] = [b""] * len(cases)
-        sizes = np.fromiter((len(w) for w, _ in cases), np.int64, len(cases))
+    def many_ids(self, words: list[str], keys: np.ndarray, dropout: float) -> tuple[list[bytes], np.ndarray]:
+        """The ids of words, each under its key, as ``word_ids`` gives them one by one, and how
+        many candidates each agenda brought up (more than ``DRAWN`` for those with an agenda each)."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.full(len(words), DRAWN + 1, np.int64)
         for low, width in zip((0, *WIDTHS), WIDTHS):
             places = np.flatnonzero((sizes > low) & (sizes <= width))
             for begin in range(0, len(places), CELLS // width):
                 some = places[begin: begin + CELLS // width]
-                found = self._side_by_side([cases[k] for k in some.tolist()], sizes[some], width, seed, dropout)
+                found, numbers[some] = self._side_by_side([words[k] for k in some.tolist()], keys[some], sizes[some], width, dropout)
                 for k, ids in zip(some.tolist(), found):
                     out[k] = ids
         for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
-            out[k] = self.word_ids(cases[k][0], seed, cases[k][1], dropout)
-        return out
+            out[k] = self.word_ids(words[k], int(keys[k]), dropout)
+        return out, numbers
 
-    def _side_by_side(self, cases: list[tuple[str, int]], sizes: np.ndarray, width: int,
-                      seed: int, dropout: float) -> list[bytes]:
-        n, limit = len(cases), skip_limit(dropout)
+    def _side_by_side(self, words: list[str], keys: np.ndarray, sizes: np.ndarray, width: int,
+                      dropout: float) -> tuple[list[bytes], np.ndarray]:
+        n, limit = len(words), skip_limit(dropout)
         columns = np.arange(width)
         alive = columns < sizes[:, None]
         symbols = np.full((n, width + 1), self.other, np.int32)
-        chars = np.frombuffer("".join([w for w, _ in cases]).encode("utf-32-le"), "<u4")
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         symbols[:, :width][alive] = self.of_char[chars]
         # The part at a place starts there; its neighbours are found by their own places.
         after = np.tile(np.arange(1, width + 3, dtype=np.int32), (n, 1))
@@ -163,8 +175,7 @@ class PieceModel:
         agenda = np.full((n, width), -np.inf, np.float32)
         whole = np.zeros((n, width), np.int32)
         agenda[:, :-1], whole[:, :-1] = self._joined(symbols[:, : width - 1], symbols[:, 1:width])
-        keys = np.fromiter((word_key(w, seed, v) for w, v in cases), np.uint64, n) if limit else None
-        rows = np.arange(n)
+        rows, number, numbers = np.arange(n), 0, np.zeros(n, np.int64)
         while True:
             left = agenda[rows].argmax(1)
             some = agenda[rows, left] > -np.inf
@@ -173,9 +184,10 @@ class PieceModel:
                 break
             middle = after[rows, left]
             right = after[rows, middle]
+            number += 1
+            numbers[rows] = number
             if limit:
-                skip = place_hash(keys[rows], left.astype(np.uint64), middle.astype(np.uint64),
-                                  right.astype(np.uint64)) < np.uint64(limit)
+                skip = decision(keys[rows], number - 1) < limit
                 agenda[rows[skip], left[skip]] = -np.inf
                 r, left, middle, right = rows[~skip], left[~skip], middle[~skip], right[~skip]
             else:
@@ -197,8 +209,8 @@ class PieceModel:
         out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         for k in np.unique(np.searchsorted(ends, np.flatnonzero(spelt), side="right")).tolist():
             starts = [*np.flatnonzero(alive[k]).tolist(), int(sizes[k])]
-            out[k] = self._spelt([cases[k][0][a:b] for a, b in zip(starts, starts[1:])])
-        return out
+            out[k] = self._spelt([words[k][a:b] for a, b in zip(starts, starts[1:])])
+        return out, numbers
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that every encoding puts in front is taken off."""
@@ -206,28 +218,46 @@ class PieceModel:
 
 
 def skip_limit(dropout: float) -> int:
-    """Hashes under this skip a merge."""
-    return min(int(dropout * (1 << 64)), ALL_BITS)
-
+    """Decisions under this skip a merge; they are numbers of 16 bits."""
+    return round(dropout * (1 << 16))
 
-def word_key(word: str, seed: int, variant: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{seed}\0{variant}\0{word}")
 
-
-def place_hash(key, left, middle, right):
-    """64 bits for a candidate of the word with ``key``: numbers, or arrays of unsigned ones."""
-    if isinstance(key, int):
-        z = (key + left * SPREAD[0] + middle * SPREAD[1] + right * SPREAD[2]) & ALL_BITS
+def _finished(z):
+    """The bits of a number mixed: of one of 64 bits, or of an array of unsigned ones."""
+    if isinstance(z, int):
+        z &= ALL_BITS
         for shift, factor in zip((30, 27), FINISH):
             z = (z ^ (z >> shift)) * factor & ALL_BITS
         return z ^ (z >> 31)
-    spread, finish = np.array(SPREAD, np.uint64), np.array(FINISH, np.uint64)
-    z = key + left * spread[0] + middle * spread[1] + right * spread[2]
-    for shift, factor in zip((30, 27), finish):
-        z = (z ^ (z >> np.uint64(shift))) * factor
+    for shift, factor in zip((30, 27), FINISH):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
     return z ^ (z >> np.uint64(31))
 
 
+def decision(key, number: int):
+    """16 bits for the candidate of that number under a key (or an array of keys)."""
+    add = (number // 4) * SPREAD[1] & ALL_BITS
+    if isinstance(key, int):
+        return _finished(key + add) >> 16 * (number % 4) & 0xFFFF
+    return (_finished(key + np.uint64(add)) >> np.uint64(16 * (number % 4))) & np.uint64(0xFFFF)
+
+
+def place_keys(seed: int, key: object, places: np.ndarray) -> np.ndarray:
+    """A key for every place of a word in the document with ``key``."""
+    start = np.uint64(xxhash.xxh3_64_intdigest(f"{seed}\0{key}"))
+    return _finished(start + places.astype(np.uint64) * np.uint64(SPREAD[0]))
+
+
+def drawn(keys: np.ndarray, dropout: float) -> np.ndarray:
+    """The first ``DRAWN`` decisions of each key as bits, the first one lowest; 1 skips."""
+    limit, bits = np.uint64(skip_limit(dropout)), np.zeros(len(keys), np.int64)
+    for four in range(DRAWN // 4):
+        z = _finished(keys + np.uint64(four * SPREAD[1] & ALL_BITS))
+        for k in range(4):
+            bits |= (((z >> np.uint64(16 * k)) & np.uint64(0xFFFF)) < limit).astype(np.int64) << (4 * four + k)
+    return bits
+
+
 def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
@@ -241,16 +271,19 @@ def words_of(text: str) -> list[str]:
 
 
 class DropoutEncoder:
-    """Encodes whole texts word by word. The variant of a text follows from the seed and its
-    key, so a corpus shows several cuts of its common words and each text has one."""
+    """Encodes whole texts word by word; every place of a word draws its own decisions.
 
-    def __init__(self, path: str, seed: int, dropout: float, variants: int) -> None:
-        self.model, self.seed, self.variants = PieceModel(path), seed, variants if dropout else 1
-        self.held: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.dropout = dropout
+    A word's cut follows from the decisions that its agenda asked for. Cuts are remembered by
+    word and those decisions, so an agenda is only run again where a place's decisions lead to
+    a cut that is not known yet.
+    """
 
-    def variant(self, key: object) -> int:
-        return xxhash.xxh3_64_intdigest(f"{self.seed}\0{key}") % self.variants
+    def __init__(self, path: str, seed: int, dropout: float) -> None:
+        self.model, self.seed, self.dropout = PieceModel(path), seed, dropout
+        # By word: how many decisions its cuts took, and the cuts by those decisions, with a
+        # bit above them for their number.
+        self.held: dict[str, tuple[list[int], dict[int, bytes]]] = {}
+        self.cuts = 0
 
     def ids(self, key: object, text: str | None) -> bytes:
         return b"" if text is None else next(self.all_ids([key], [text]))
@@ -267,17 +300,71 @@ class DropoutEncoder:
 
     def _block(self, keys: list[object], texts: list[str | None]) -> Iterator[bytes | None]:
         cut = [words_of(t) if t else () for t in texts]
-        variants = [self.variant(k) for k in keys]
-        new = list({(w, v) for words, v in zip(cut, variants) for w in words if w not in self.held[v]})
-        for (word, v), ids in zip(new, self.model.many_ids(new, self.seed, self.dropout)):
-            self.held[v][word] = self._spelt(word) if word.startswith(" ") else ids
-        for text, words, v in zip(texts, cut, variants):
-            yield None if text is None else b"".join(map(self.held[v].__getitem__, words))
-        for word, v in new:
-            if len(word) > LONGEST_HELD:
-                del self.held[v][word]
-        most = WORDS_HELD // self.variants
-        self.held = [h if len(h) <= most else dict(islice(h.items(), most // 2)) for h in self.held]
+        words = [w for listed in cut for w in listed]
+        places = [place_keys(self.seed, k, np.arange(len(listed))) for k, listed in zip(keys, cut)]
+        places = np.concatenate(places) if places else np.empty(0, np.uint64)
+        bits = (drawn(places, self.dropout) if self.dropout else np.zeros(len(words), np.int64)).tolist()
+        found: list[bytes | None] = [None] * len(words)
+        left = self._looked_up(range(len(words)), words, bits, found)
+        while left:
+            left = self._run(left, words, places, bits, found)
+        at = 0
+        for text, listed in zip(texts, cut):
+            yield None if text is None else b"".join(found[at: at + len(listed)])
+            at += len(listed)
+        if self.cuts > CUTS_HELD:
+            self.held = dict(islice(self.held.items(), len(self.held) // 2))
+            self.cuts = sum(len(c) for _, c in self.held.values())
+
+    def _looked_up(self, places: Iterable[int], words: list[str], bits: list[int], found: list[bytes | None]) -> list[int]:
+        """Fills in the cuts that are known; the places without one."""
+        held, left = self.held, []
+        for k in places:
+            known = held.get(words[k])
+            if known is not None:
+                b, cuts = bits[k], known[1]
+                for n in known[0]:
+                    code = b & LOW[n] | BIT[n]
+                    if code in cuts:
+                        found[k] = cuts[code]
+                        break
+                else:
+                    left.append(k)
+            else:
+                left.append(k)
+        return left
+
+    def _run(self, left: list[int], words: list[str], places: np.ndarray, bits: list[int],
+             found: list[bytes | None]) -> list[int]:
+        """Agendas for one place of each word and beginning of decisions; the places still without a cut."""
+        held, first, more = self.held, {}, []
+        for k in left:
+            word = words[k]
+            known = held.get(word)
+            if known is not None:
+                # Places whose first decisions are alike mostly have the same cut.
+                if first.setdefault((word, bits[k] & LOW[min(DRAWN, known[0][0] + 2)]), k) != k:
+                    more.append(k)
+            elif word.startswith(" "):
+                found[k] = self._spelt(word)
+            elif len(word) > LONGEST_HELD:
+                first[k] = k
+            elif first.setdefault(word, k) != k:
+                more.append(k)
+        some = list(first.values())
+        ids, numbers = self.model.many_ids([words[k] for k in some], places[some], self.dropout)
+        for k, own, n in zip(some, ids, numbers.tolist()):
+            word, found[k] = words[k], own
+            if n <= DRAWN and len(word) <= LONGEST_HELD:
+                known = held.get(word)
+                if known is None:
+                    held[word] = ([n], {bits[k] & LOW[n] | BIT[n]: own})
+                else:
+                    if n not in known[0]:
+                        known[0].append(n)
+                    known[1][bits[k] & LOW[n] | BIT[n]] = own
+                self.cuts += 1
+        return self._looked_up(more, words, bits, found)
 
     def _spelt(self, word: str) -> bytes:
         bare = word.lstrip(" ")
@@ -289,35 +376,35 @@ class DropoutEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, seed: int, dropout: float, variants: int) -> DropoutEncoder:
-    return DropoutEncoder(path, seed, dropout, variants)
+def encoder(path: str, seed: int, dropout: float) -> DropoutEncoder:
+    return DropoutEncoder(path, seed, dropout)
 
 
 def encoded(docs: DataFrame, path: str = PIECE_BPE, seed: int = SEED, dropout: float = DROPOUT,
-            variants: int = VARIANTS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``variant`` and ``ids`` (little-endian 32-bit) of every document.
+            doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``ids`` (little-endian 32-bit) of every document.
 
-    A null text has null ids, an empty one none. Nothing is shuffled.
+    Which merges are skipped follows from the seed, the document's id, the place of the word
+    in its text and the number of the candidate, so a word is cut in several ways within a
+    text, and a run that is repeated cuts it alike. A null text has null ids, an empty one
+    none. Nothing is shuffled.
     """
     @shared.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path, seed, dropout, variants)
+        of = encoder(path, seed, dropout)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids = list(of.all_ids(keys, texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([of.variant(k) for k in keys], pa.int32()), pa.array(ids, pa.binary())],
-                ["doc_id", "variant", "ids"])
+            ids = list(of.all_ids(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, text).mapInArrow(cut, f"doc_id {kind}, variant int, ids binary")
+    return docs.select(doc, text).mapInArrow(cut, f"doc_id {kind}, ids binary")
 
 
 def decoded(rows: DataFrame, path: str = PIECE_BPE) -> DataFrame:
     """The rows of ``encoded`` with their ``text`` again; null ids give a null text."""
     @shared.trimmed
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path, SEED, 0.0, 1)
+        of = encoder(path, SEED, 0.0)
         for batch in batches:
             texts = [None if x is None else of.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
@@ -329,6 +416,6 @@ def decoded(rows: DataFrame, path: str = PIECE_BPE) -> DataFrame:
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with dropout and decoded again: counts and checksums of both."""
     return decoded(encoded(shared.table(spark, sf_dir, "documents"))).select(
-        "doc_id", "variant", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"), F.char_length("text").cast("long").alias("decoded_chars"),
         F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))

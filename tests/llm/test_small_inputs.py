@@ -306,13 +306,13 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_merge_dropout(docs):
-    plain = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.0, 1)
+    plain = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.0)
     for _, text in TEXTS:
         if text:
             assert np.frombuffer(plain.ids(1, text), "<u4").tolist() == plain.model.model.encode(text)
     rows = pieces.decoded(pieces.encoded(docs)).collect()
     assert sorted((r.text or "") for r in rows) == sorted((t or "") for _, t in TEXTS)
-    cuts = {tuple(plain.model.merged("▁internationalization", 1, v, 0.3)) for v in range(20)}
+    cuts = {tuple(plain.model.merged("▁internationalization", v, 0.3)) for v in range(20)}
     assert len(cuts) > 3 and all("".join(c) == "▁internationalization" for c in cuts)
 
 
@@ -320,13 +320,45 @@ def test_words_merge_side_by_side_as_one_by_one():
     model = pieces.PieceModel(pieces.PIECE_BPE)
     words = [w for _, text in TEXTS if text for w in set(pieces.WORD.findall(pieces.escaped(text)))]
     words += ["▁", "▁▁▁", "🙂", "▁漢字🙂é", "\x00a" * 9, "▁" * 64, "ab" * 32, "ab" * 33, "▁internationalization"]
+    words = [w for w in words if len(w) < 5000] * 3
+    keys = pieces.place_keys(7, "doc", np.arange(len(words)))
     for dropout in (0.0, 0.1, 0.5, 1.0):
-        cases = [(w, v) for v in range(3) for w in words if len(w) < 5000]
-        assert model.many_ids(cases, 7, dropout) == [model.word_ids(w, 7, v, dropout) for w, v in cases]
-    one = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.2, 4)
-    many = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.2, 4)
-    keys, texts = [k for k, _ in TEXTS], [t for _, t in TEXTS]
-    assert [x or b"" for x in many.all_ids(keys, texts)] == [one.ids(k, t) for k, t in TEXTS]
+        assert model.many_ids(words, keys, dropout)[0] == [model.word_ids(w, int(k), dropout) for w, k in zip(words, keys)]
+
+
+def one_by_one(model, key, text, seed, dropout):
+    """A text's ids with an agenda for each place of a word."""
+    out = []
+    for place, word in enumerate(pieces.words_of(text) if text else ()):
+        own = pieces.place_keys(seed, key, np.array([place]))[0]
+        bare = word.lstrip(" ")
+        out.append(model.word_ids(word, int(own), dropout) if bare == word else np.array(
+            [model.ids["▁"]] * (len(word) - len(bare)) + [model.bytes[b] for b in bare.encode()], "<u4").tobytes())
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("held, dropout", [(pieces.CUTS_HELD, 0.1), (50, 0.3), (pieces.CUTS_HELD, 1.0), (pieces.CUTS_HELD, 0.0)])
+def test_remembered_cuts_are_those_of_every_place(monkeypatch, held, dropout):
+    monkeypatch.setattr(pieces, "CUTS_HELD", held)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 3000)
+    texts = [*TEXTS, (20, "internationalization of the internationalization " * 40), (20, "x" * 45 + " " + "x" * 45), (21, "a▁b of▁ it"),
+             (22, "antidisestablishmentarianism " * 30)]
+    many = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, dropout)
+    short = [(k, t if t is None else t[:20_000]) for k, t in texts]
+    for _ in range(2):
+        found = list(many.all_ids([k for k, _ in short], [t for _, t in short]))
+        for (k, t), ids in zip(short, found):
+            assert ids is None if t is None else ids == one_by_one(many.model, k, t, 1, dropout)
+            assert t is None or many.decode(ids) == t
+
+
+def test_a_word_is_cut_in_several_ways_within_a_text():
+    many = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.1)
+    word = "internationalization"
+    cut = {many.model.word_ids("▁" + word, int(k), 0.1) for k in pieces.place_keys(1, 5, np.arange(400))}
+    whole = many.ids(5, " ".join([word] * 400))
+    assert len(cut) > 20 and whole == b"".join(
+        many.model.word_ids("▁" + word, int(k), 0.1) for k in pieces.place_keys(1, 5, np.arange(400)))
 
 
 def test_licences(docs, none):
@@ -377,7 +409,7 @@ def test_trimmed_work_yields_all_batches(docs, none):
 
 
 def test_only_words_with_the_space_mark_are_spelt_in_bytes():
-    plain = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.0, 1)
+    plain = pieces.DropoutEncoder(pieces.PIECE_BPE, 1, 0.0)
     for text in ["some common words  and a▁b here ", "▁", " ▁x▁  y", "word ▁▁"]:
         assert plain.decode(plain.ids(1, text)) == text
     assert len(plain.ids(1, "some common words and a▁b here")) // 4 < 16
