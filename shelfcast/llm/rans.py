@@ -190,42 +190,51 @@ def id_type(tokenizer: str) -> str:
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int, doc: str, text: str) -> DataFrame:
     """``doc_id`` and ``ids`` (with the end id) of every document; null text is empty.
 
-    Ids are 16-bit where the vocabulary allows, as ``id_type`` says.
+    Ids are 16-bit where the vocabulary allows, as ``id_type`` says. Each task adds a row
+    with null ids whose ``counts`` (compressed) say how often it has met each id, so that
+    nothing needs to read all ids to learn the frequencies.
     """
     tail = np.array([end_id], "<u4").tobytes()
-    kind = id_type(tokenizer)
+    kind, size, names = id_type(tokenizer), word_tokens(tokenizer).size, ["doc_id", "ids", "counts"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_tokens(tokenizer).ids
+        ids, seen = word_tokens(tokenizer).ids, np.zeros(size, np.int64)
         for batch in batches:
-            found = [np.frombuffer(ids(t) + tail, "<u4").astype(kind).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
+            found = [np.frombuffer(ids(t) + tail, "<u4").astype(kind) for t in batch.column(1).to_pylist()]
+            if found:
+                seen += np.bincount(np.concatenate(found), minlength=size)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.nulls(len(found), pa.binary())], names)
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array(
+                [zlib.compress(seen.tobytes(), 1)], pa.binary())], names)
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), text).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), text).mapInArrow(
+        encode, "doc_id long, ids binary, counts binary")
 
 
-def shared_table(tokens: DataFrame, kind: str) -> FrequencyTable:
-    """Counts of all ids. The driver gets one row per id of the vocabulary at most."""
+def shared_table(tokens: DataFrame) -> tuple[FrequencyTable, int]:
+    """Frequencies and number of all ids. The driver gets one row per id of the vocabulary at most."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen = None
         for batch in batches:
-            for value in batch.column("ids"):
-                here = np.bincount(np.frombuffer(value.as_buffer(), kind))
-                if len(here) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(len(here) - len(seen), np.int64)])
-                seen[: len(here)] += here
-        ids = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[ids])], ["id", "n"])
+            for value in batch.column("counts").to_pylist():
+                here = np.frombuffer(zlib.decompress(value), np.int64)
+                seen = here + (0 if seen is None else seen)
+        if seen is not None:
+            ids = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[ids])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return FrequencyTable(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
+    rows = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(
+        F.sum("n").alias("n")).collect()
+    ids, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    return FrequencyTable(ids, n), int(n.sum())
 
 
 def write_coded(tokens: DataFrame, path: str, kind: str, shard_ids: int = SHARD_IDS) -> FrequencyTable:
     """Write ids in ascending order of ``doc_id`` (null first) as files of about ``shard_ids`` ids."""
     spark = tokens.sparkSession
-    total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    table = shared_table(tokens, kind)
+    table, total = shared_table(tokens)
     held = spark.sparkContext.broadcast(table)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +242,8 @@ def write_coded(tokens: DataFrame, path: str, kind: str, shard_ids: int = SHARD_
         keyed = ((MISSING if k is None else k, np.frombuffer(v, kind).astype("<u4")) for k, v in rows)
         yield from shared.chunk_batches(shared.cut_at_zero(encode_file(keyed, held.value)))
 
-    shards = max(1, -(-int(total) // (np.dtype(kind).itemsize * shard_ids)))
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    shards = max(1, -(-total // shard_ids))
+    ordered = tokens.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     shared.write_bytes(ordered.mapInArrow(encode, shared.BYTES), path)
     return table
 

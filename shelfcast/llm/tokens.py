@@ -65,6 +65,7 @@ class WordTokens:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         if any(t.split() != [t] for t in self.added):
             raise ValueError("an added token spans white space; words cannot be encoded one by one")
+        self.plain_added = any(t.isalpha() for t in self.added)
         self.merge = self.model.model.tokenize
         self.size = self.model.get_vocab_size()
         self.letters = _byte_letters()
@@ -79,9 +80,11 @@ class WordTokens:
 
     def _word(self, word: str) -> bytes:
         lower = word.lower()
+        if lower.isascii() and lower.isalpha() and not self.plain_added:
+            return self.parts[lower]
         parts = PARTS.findall(lower)
         # Added tokens are looked for in the word as it is written.
-        if not len("".join(parts)) == len(lower) == len(word) or any(t in word for t in self.added):
+        if not len("".join(parts)) == len(lower) == len(word) or any([t in word for t in self.added]):
             return self.encode(word)
         return b"".join(map(self.parts.__getitem__, parts))
 
