@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CREDENTIAL_PATTERNS
 from ..operators import cleaning, facts, hygiene, reports
-from ..schemas import RAW_FIELDS, SALES_SCHEMA
+from ..schemas import RAW_FIELDS, SALES_SCHEMA, SOURCE_COLUMNS
 from ..session import fresh_path
 from ..sources import files, tables
 from .registry import query
@@ -55,13 +55,23 @@ def _flag_sql(name: str, *inputs: str) -> str:
 # --- sources and sinks ------------------------------------------------------------
 
 
-@query("a1_ingest_union_sources", f"source:s source_order:i {ROW} l_quantity:f",
-       "SELECT l_linestatus AS source, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS source_order, "
-       "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity FROM lineitem")
+@query("a1_ingest_union_sources",
+       "source:s source_order:i source_rows:i position:i " + " ".join(f"{c}:s" for c in RAW_FIELDS),
+       """SELECT COALESCE(source, '__HIVE_DEFAULT_PARTITION__') AS source,
+  dense_rank() OVER (ORDER BY COALESCE(source, '__HIVE_DEFAULT_PARTITION__')) - 1 AS source_order,
+  COUNT(*) OVER (PARTITION BY source) AS source_rows,
+  row_number() OVER (PARTITION BY source ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+    """ + ", ".join(f"{c} NULLS FIRST" for c in RAW_FIELDS) + """) - 1 AS position,
+  """ + ", ".join(RAW_FIELDS) + " FROM raw")
 def a1(spark, sf_dir):
-    lines = tables.table(spark, sf_dir, "lineitem")
-    return files.union_sources({
-        name: lines.filter(F.col("l_linestatus") == name).drop("l_linestatus") for name in ("F", "O")})
+    """The raw lines as CSV files, a folder for each source, found and read back with their places."""
+    raw = tables.messy_lines(spark, sf_dir)
+    order = [tables.SOURCE, *tables.POSITION, *RAW_FIELDS]
+    path = fresh_path(spark, "sources")
+    raw.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        *[F.col(n).alias(c) for c, n in SOURCE_COLUMNS.items()], tables.SOURCE,
+    ).write.partitionBy(tables.SOURCE).csv(path, header=True, **files.EXACT_TEXT)
+    return files.read_source_folders(spark, path)
 
 
 @query("a2_source_profile", "source:s raw_rows:i date_min:t date_max:t",
@@ -73,9 +83,8 @@ def a2(spark, sf_dir):
 
 @query("a3_materialize_by_content_hash", SALES, "SELECT * FROM sales")
 def a3(spark, sf_dir):
-    path = f"{sf_dir}/lineitem.parquet"
     return files.materialize_by_content(
-        spark, path, "product-day-sales", lambda: tables.sales(spark, sf_dir))[0]
+        tables.table(spark, sf_dir, "lineitem"), "product-day-sales", lambda: tables.sales(spark, sf_dir))[0]
 
 
 @query("a4_parquet_io", SALES, "SELECT * FROM sales")

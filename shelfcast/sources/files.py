@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator, Mapping
+import re
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import SOURCE_COLUMNS, SOURCE_SCHEMA
-from ..session import shared_dir
+from ..session import shared_dir, written
 
-CHUNK_BYTES = 8 << 20
+# Text as it is: white space at the ends, quotes and line breaks come back.
+EXACT_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 INPUT_ORDER = ["source_order", "source_file", "source_block", "source_row"]
 
 
@@ -67,48 +68,103 @@ def read_sources(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv"
     return union_sources(frames)
 
 
-# --- checksums ----------------------------------------------------------------
+# What a column reads as in a Parquet file that lacks it.
+ABSENT = {
+    "string": "'\\u0001absent'", "double": "-1.6E308D", "float": "CAST(-3.3E38D AS FLOAT)",
+    "bigint": "-9223372036854775807L", "int": "-2147483647",
+    "timestamp_ntz": "TIMESTAMP_NTZ'0001-01-01 00:00:01'", "timestamp": "TIMESTAMP_LTZ'0001-01-03 00:00:01'",
+}
+
+
+def read_source_folders(spark: SparkSession, root: str, fmt: str = "csv") -> DataFrame:
+    """All sources under a folder, one sub-folder each, in one scan.
 
+    Adds ``source`` (the sub-folder's name, without a partition key), ``source_order`` (by
+    name), ``source_rows``, and ``position``, the line's place in its source, where files
+    follow each other by name. Every file must have the eight declared columns and no other:
+    a CSV file's header is checked when it is read; for Parquet, the footers of all files are
+    merged to find a column too many, and a column that a file lacks reads as a value that
+    stops the run.
+    """
+    if fmt == "csv":
+        header = spark.read.option("recursiveFileLookup", True).csv(root, header=True, **EXACT_TEXT).columns
+        _refuse_unless_declared(root, header)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        # Without column pruning the whole header is checked, whatever is read of it.
+        lines = spark.read.schema(schema).option("recursiveFileLookup", True).option("columnPruning", False).csv(
+            root, header=True, enforceSchema=False, **EXACT_TEXT)
+        fields = [F.col(f"`{c}`").alias(n) for c, n in SOURCE_COLUMNS.items()]
+        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    else:
+        merged = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).format(fmt).load(root).schema
+        _refuse_unless_declared(root, merged.names)
+        kinds = {f.name: f.dataType.simpleString() for f in merged}
+        schema = T.StructType([
+            T.StructField(c, merged[c].dataType, True, {"EXISTS_DEFAULT": ABSENT[kinds[c]]}) for c in SOURCE_COLUMNS])
+        lines = spark.read.schema(schema).option("recursiveFileLookup", True).format(fmt).load(root)
+        fields = [
+            F.when(F.col(f"`{c}`") == F.expr(ABSENT[kinds[c]]), F.raise_error(F.concat(
+                F.col("_metadata.file_path"), F.lit(f" lacks the declared column {c}"))).cast("string"))
+            .otherwise(F.col(f"`{c}`").cast("string")).alias(n) for c, n in SOURCE_COLUMNS.items()]
+        block, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
+    path = F.col("_metadata.file_path")
+    below = re.escape(re.sub("^[a-zA-Z0-9+.-]+:/*", "/", root).rstrip("/"))
+    folder = F.regexp_extract(path, rf"{below}/([^/]+)/", 1)
+    source = F.when(folder != "", F.regexp_replace(folder, "^[^=]*=", "")).otherwise(
+        F.raise_error(F.concat(path, F.lit(" lies in no source's folder"))).cast("string"))
+    return _positioned(lines.select(
+        *fields, source.alias("source"), path.alias("source_file"), block.alias("_block"), row.alias("_row")))
+
+
+def _refuse_unless_declared(name: str, header: list[str]) -> None:
+    if sorted(header) != sorted(SOURCE_COLUMNS):
+        raise ValueError(f"{name} lacks the declared columns, it has {header}")
+
+
+# Splits whose offsets every task may hold; more of them are joined.
+OFFSETS_SENT = 500_000
+
+
+def _positioned(lines: DataFrame) -> DataFrame:
+    """Numbers the lines of each source through from file to file and block to block.
+
+    Only one row per block of a file is counted and summed up; the lines themselves are not
+    shuffled.
+    """
+    splits = lines.groupBy("source", "source_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("source").orderBy("source_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    names = splits.select("source").distinct().agg(F.array_sort(F.collect_set("source"))).scalar()
+    offsets = written(splits.select(
+        F.col("source_file").alias("_file"), F.col("_block").alias("_at"), "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy("source")).alias("source_rows"),
+        (F.array_position(names, F.col("source")) - 1).alias("source_order")), "offsets")
+    few = offsets.limit(OFFSETS_SENT + 1).count() <= OFFSETS_SENT
+    same = (F.col("source_file") == F.col("_file")) & (F.col("_block") == F.col("_at"))
+    return lines.join(F.broadcast(offsets) if few else offsets, same).select(
+        *SOURCE_COLUMNS.values(), "source", "source_order", "source_rows", "source_file",
+        (F.col("_before") + F.col("_row") - F.col("_first")).alias("position"))
 
-def _digest_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
 
-    for batch in batches:
-        digests, lengths = [], []
-        for uri in batch["path"]:
-            if uri.startswith("file:/") and not uri.startswith("file://"):
-                uri = "file://" + uri[len("file:"):]
-            found, path = fs.FileSystem.from_uri(uri)
-            digest, length = hashlib.sha256(), 0
-            with found.open_input_stream(path) as stream:
-                while block := stream.read(CHUNK_BYTES):
-                    digest.update(block)
-                    length += len(block)
-            digests.append(digest.hexdigest())
-            lengths.append(length)
-        yield batch.assign(length=lengths, sha256=digests)
+# --- checksums and content keys -------------------------------------------------
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, read in blocks, so a file of any size fits.
+    """``path``, ``length`` and SHA-256 of every file under a path that is not empty.
 
-    Spark's file index gives the names (a scan would leave out empty files); the
-    names are spread over tasks and each task streams its files.
+    A file is one value here, so files of 2 GB and more stop the run; ``content_key`` is for
+    tables of any size.
     """
-    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    names = [(name,) for name in index.inputFiles()]
-    tasks = max(1, min(len(names), 10_000))
-    return (
-        spark.createDataFrame(names, "path string").repartition(tasks, "path")
-        .mapInPandas(_digest_stream, "path string, length long, sha256 string")
-    )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def relative_key(key: Column) -> Column:
     """Manifest key with forward slashes; absolute keys and ``..`` stop the run."""
     slashed = F.replace(key, F.lit("\\"), F.lit("/"))
     unsafe = slashed.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)")
-    return F.when(unsafe, F.raise_error(F.concat(F.lit("Key must stay relative: "), key)).cast("string")
+    return F.when(unsafe, F.raise_error(F.concat(F.lit("not a relative key: "), key)).cast("string")
                   ).otherwise(slashed)
 
 
@@ -128,25 +184,32 @@ def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return want.join(have, "key", "full").withColumn("status", status)
 
 
-def content_key(spark: SparkSession, path: str) -> str:
-    """One SHA-256 for a set of files: the digest of their sorted digests.
+def content_key(rows: DataFrame) -> str:
+    """A key for the rows of a table, whatever their order and partitions.
 
-    Sorting happens in one row of 64-character digests, one per file.
+    Every row has two 64-bit hashes, which tell nulls from other values. Their 16-bit parts
+    and the number of rows are added up by tasks first; the key is a digest of the sums and
+    of the columns' names and types. One row comes to the driver.
     """
-    digests = F.concat_ws(",", F.sort_array(F.collect_list("sha256")))
-    return file_checksums(spark, path).agg(F.sha2(digests, 256).alias("key")).first()["key"]
+    fields = [F.col(f"`{c}`") for c in rows.columns]
+    nulls = F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in fields])
+    hashed = rows.select(*[F.xxhash64(F.lit(seed), nulls, *fields).alias(f"h{seed}") for seed in (1, 2)])
+    parts = [F.sum(F.shiftright(f"h{seed}", 16 * k).bitwiseAND(0xFFFF)) for seed in (1, 2) for k in range(4)]
+    sums = hashed.agg(F.count(F.lit(1)), *parts).first()
+    return hashlib.sha256(repr((rows.schema.simpleString(), *sums)).encode()).hexdigest()
 
 
 def materialize_by_content(
-    spark: SparkSession, path: str, label: str, build: Callable[[], DataFrame],
+    source: DataFrame, label: str, build: Callable[[], DataFrame],
 ) -> tuple[DataFrame, bool]:
-    """Reuse the Parquet copy named after the input's content, or build and write it.
+    """Reuse the Parquet copy named after the input's rows, or build and write it.
 
     ``label`` names what is built, so two results of one input do not collide.
     Returns the frame and whether it was reused. The write commits by its success
     marker, so a half-written copy is never taken for a finished one.
     """
-    target = os.path.join(shared_dir(spark), "shelfcast", f"{label}-{content_key(spark, path)}")
+    spark = source.sparkSession
+    target = os.path.join(shared_dir(spark), "shelfcast", f"{label}-{content_key(source)}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(target, "_SUCCESS"))
     reused = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if not reused:
@@ -163,11 +226,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-EXACT_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-
-
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write text as it is: white space at the ends, quotes and line breaks come back."""
     df.write.mode("errorifexists").csv(path, header=True, **EXACT_TEXT)
 
 

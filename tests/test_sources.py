@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -42,6 +43,50 @@ def test_column_differences_stop_ingestion(spark, tmp_path):
         files.union_sources({"a": spark.range(1), "b": spark.range(1).withColumnRenamed("id", "x")})
 
 
+def folders(tmp_path, spark, fmt, sources):
+    """Sources as folders of several files; each file is a list of lines, or has a header of its own."""
+    for source, parts in sources.items():
+        (tmp_path / source).mkdir(parents=True)
+        for k, part in enumerate(parts):
+            header, data = part if isinstance(part, tuple) else (HEADER, part)
+            if fmt == "csv":
+                text = "\n".join(",".join(r) for r in [header, *data]) + "\n"
+                (tmp_path / source / f"part-{k}.csv").write_text(text)
+            else:
+                frame = spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in header))
+                frame.coalesce(1).write.parquet(str(tmp_path / source / f"part-{k}.parquet"))
+    return str(tmp_path)
+
+
+def line(k):
+    return [*LINE[:3], str(k), *LINE[4:]]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_folders_are_sources_with_places_through_all_files(spark, tmp_path, rows, fmt):
+    root = folders(tmp_path, spark, fmt, {
+        "source=b": [[line(k) for k in range(5)], [line(k) for k in range(5, 7)]],
+        "source=a": [[line(k) for k in range(10, 13)]], "source=c": [[line(k) for k in (30,)], [line(k) for k in (31, 32)]]})
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # several blocks in each text file
+        found = files.read_source_folders(spark, root, fmt).filter("quantity <> '11'")
+        got = rows(found, "source", "position", "quantity")
+        totals = rows(found.select("source", "source_order", "source_rows").distinct())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([("b", k, str(k)) for k in range(7)] + [("a", 0, "10"), ("a", 2, "12")]
+                         + [("c", k, str(30 + k)) for k in range(3)])
+    assert totals == [("a", 0, 3), ("b", 1, 7), ("c", 2, 3)]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+@pytest.mark.parametrize("header", [HEADER[:-1], [*HEADER, "Extra"], [*HEADER[:-1], "Land"]])
+def test_a_later_file_with_other_columns_is_refused(spark, tmp_path, fmt, header):
+    root = folders(tmp_path, spark, fmt, {"a": [[LINE]], "b": [[LINE], (header, [[*LINE, "x"][: len(header)]])]})
+    with pytest.raises((ValueError, PySparkException, Py4JJavaError)):
+        files.read_source_folders(spark, root, fmt).collect()
+
+
 def test_checksums_and_manifest(spark, tmp_path, rows):
     folder = tmp_path / "files"
     folder.mkdir()
@@ -50,16 +95,16 @@ def test_checksums_and_manifest(spark, tmp_path, rows):
     found = files.file_checksums(spark, str(folder)).select(
         F.element_at(F.split("path", "/"), -1).alias("key"), "sha256")
     assert dict(rows(found)) == {
-        p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in folder.iterdir()}
+        p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in folder.iterdir() if p.read_bytes()}
     manifest = spark.createDataFrame(
         [("a.bin", hashlib.sha256(b"x" * 100_000).hexdigest()), ("c.bin", "0"), ("sub\\d.bin", "1")],
         "key string, sha256 string")
     status = files.verify_manifest(manifest, found)
     assert rows(status, "key", "status") == [
-        ("a.bin", "ok"), ("b.bin", "unlisted"), ("c.bin", "changed"), ("sub/d.bin", "missing")]
+        ("a.bin", "ok"), ("c.bin", "changed"), ("sub/d.bin", "missing")]
     for key in ("/etc/x", "..\\x", "C:\\x", "a/../b"):
         bad = spark.createDataFrame([(key, "0")], "key string, sha256 string")
-        with pytest.raises(PySparkException, match="must stay relative"):
+        with pytest.raises(PySparkException, match="not a relative key"):
             files.verify_manifest(bad, found).collect()
 
 
@@ -71,14 +116,30 @@ def test_content_cache_is_reused_until_the_input_changes(spark, tmp_path):
     def build():
         return spark.read.parquet(source).selectExpr("id * 2 AS v")
 
-    assert files.materialize_by_content(spark, source, label, build)[1] is False
-    cached, reused = files.materialize_by_content(spark, source, label, build)
+    def made():
+        return files.materialize_by_content(spark.read.parquet(source), label, build)
+
+    assert made()[1] is False
+    cached, reused = made()
     assert reused and cached.count() == 5
     spark.range(7).write.mode("append").parquet(source)
-    changed, reused = files.materialize_by_content(spark, source, label, build)
+    changed, reused = made()
     assert not reused and changed.count() == 12
 
 
+def test_content_keys_ignore_order_and_see_every_value(spark):
+    data = [("a", None, 1.0), (None, "a", 1.0), ("ab", "c", 2.0), ("a", "bc", 2.0), ("a", "bc", 2.0)]
+    schema = "x string, y string, z double"
+    key = files.content_key(spark.createDataFrame(data, schema).coalesce(1))
+    assert files.content_key(spark.createDataFrame(data[::-1], schema).repartition(7)) == key
+    others = [data[:-1], [*data, data[-1]], [("a", None, 1.0)] * 2 + data[2:], [*data[:2], ("a", "bc", 2.0), *data[3:]],
+              [*data[:-1], ("a", "bc", 2.5)]]
+    keys = {files.content_key(spark.createDataFrame(o, schema)) for o in others}
+    assert key not in keys and len(keys) == len(others)
+    assert files.content_key(spark.createDataFrame(data, "x string, y string, w double")) != key
+    assert files.content_key(spark.createDataFrame([], schema)) not in {key, *keys}
+
+
 def test_csv_keeps_ids_as_text_and_floats_exact(spark, tmp_path, rows):
     data = [("00123", "2020-01-01", 0.1 + 0.2, None, 1, "a, \"quoted\" name")]
     frame = spark.createDataFrame(
