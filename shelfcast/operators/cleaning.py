@@ -2,10 +2,10 @@
 
 Two exact forms are offered.
 
-* ``distinct_lines`` keeps one row per distinct raw line with the number of copies
-  that survive matching between sources. It is a plain aggregation: identical
-  lines collapse before the shuffle, so a line repeated a billion times costs one
-  row per task. Counts, facts and totals all come from it.
+* ``distinct_lines`` gives every raw line with the number of copies that survive
+  matching between sources. Hashes are matched first, so lines that stand alone are
+  never shuffled; repeated ones collapse before the shuffle, so a line repeated a
+  billion times costs one row per task. Counts, facts and totals all come from it.
 * ``flag_replicas`` marks the individual lines, for callers who need to see them.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_true, money, number_or_null
 from ..functions.text import PRODUCT_CODE, is_blank, normalized_code, strip
+from ..session import written
 
 # Exclusion reasons in priority order.
 REASONS = [
@@ -97,43 +98,98 @@ def first_reason(flags: dict[str, Column], names: list[str]) -> Column:
 # --- matching between sources -------------------------------------------------
 
 
-def shared_days(typed: DataFrame, source: str, sources: list[str], day: str = "date") -> DataFrame:
-    """Days on which more than one source has lines.
+# Hashes of repeated lines that every task may hold; more of them are joined.
+HASHES_SENT = 1_000_000
+# Days on which several sources have lines, likewise.
+DAYS_SENT = 100_000
 
-    A replica shares its date with its original, so no other day can hold one.
-    The result has at most one row per calendar day.
+
+def line_hash(fields: list[str]) -> Column:
+    """64 bits of a line; a null is told apart from every value and from a null elsewhere."""
+    nulls = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(fields)), F.lit(0))
+    return F.xxhash64(nulls, *fields)
+
+
+def named_source(source: str, sources: list[str]) -> Column:
+    """The source; a line of one that is not named would count nowhere, so it stops the run."""
+    unnamed = F.raise_error(F.concat(F.lit("a line comes from a source that is not named: "),
+                                     F.coalesce(F.col(source), F.lit("null"))))
+    return F.when(F.col(source).isin(sources), F.col(source)).otherwise(unnamed)
+
+
+def _per_source(source: str, sources: list[str]) -> list[Column]:
+    return [F.count_if(F.col(source) == name).alias(f"_n{i}") for i, name in enumerate(sources)]
+
+
+def _in_several(sources: list[str]) -> Column:
+    return sum((F.when(F.col(f"_n{i}") > 0, 1).otherwise(0) for i in range(len(sources))), F.lit(0)) > 1
+
+
+def shared_days(raw: DataFrame, source: str, sources: list[str], day: Column) -> DataFrame:
+    """``_day``: the days on which more than one source has lines, null among them.
+
+    A replica is the same line as its original, so it shares the day whatever the day is cut
+    from, and no other day can hold one.
     """
-    seen = [F.max(F.when(F.col(source) == s, 1).otherwise(0)).alias(f"_s{i}")
-            for i, s in enumerate(sources)]
-    return (
-        typed.groupBy(day).agg(*seen)
-        .filter(sum((F.col(f"_s{i}") for i in range(len(sources))), F.lit(0)) > 1)
-        .select(day)
-    )
+    return raw.groupBy(day.alias("_day")).agg(*_per_source(source, sources)).filter(_in_several(sources)).select("_day")
+
+
+def repeated_hashes(
+    raw: DataFrame, fields: list[str], source: str, sources: list[str], day: Column | None = None,
+) -> DataFrame:
+    """``_hash`` of lines that may stand more than once: two numbers a line are shuffled.
+
+    With ``day`` only lines that several sources may share are looked for, and only on days
+    that several sources have.
+    """
+    lines = raw.withColumn(source, named_source(source, sources))
+    if day is not None:
+        days = written(shared_days(raw, source, sources, day), "shared-days")
+        if days.limit(DAYS_SENT + 1).count() <= DAYS_SENT:
+            lines = lines.join(F.broadcast(days), day.eqNullSafe(F.col("_day")), "left_semi")
+    counted = lines.select(line_hash(fields).alias("_hash"), source).groupBy("_hash").agg(*_per_source(source, sources))
+    total = sum((F.col(f"_n{i}") for i in range(1, len(sources))), F.col("_n0"))
+    return counted.filter(total > 1 if day is None else _in_several(sources)).select("_hash")
 
 
 def distinct_lines(
     raw: DataFrame, fields: list[str], source: str, sources: list[str], position: str | None = None,
+    day: Column | None = None,
 ) -> DataFrame:
-    """Distinct raw lines with ``raw_rows``, surviving ``copies`` and ``last_position``.
+    """Raw lines with ``raw_rows``, surviving ``copies`` and ``last_position``.
 
     A line listed n times in one source and m times in another survives max(n, m)
     times. The last surviving copy is the earliest of the final copies among the
-    sources that hold the maximum. Counts and last positions are kept per named
-    source, so one hash aggregation with numeric buffers answers everything, and
-    parsing is left to the distinct lines.
+    sources that hold the maximum.
+
+    Hashes are counted first. Lines whose hash stands alone pass straight through; only
+    those of repeated hashes are grouped, by the whole line, so equal hashes never merge
+    different lines. Counts and last positions are kept per named source, so that is one hash
+    aggregation with numeric buffers. With ``day``, a column of the fields' values alone, only
+    lines of several sources are grouped: repeats within a source stay rows of their own,
+    which changes no sum of ``copies``.
     """
-    # A line of a source that is not named would count nowhere, so it stops the run.
-    unnamed = F.raise_error(F.concat(F.lit("a line comes from a source that is not named: "),
-                                     F.coalesce(F.col(source), F.lit("null"))))
-    raw = raw.withColumn(source, F.when(F.col(source).isin(sources), F.col(source)).otherwise(unnamed))
-    per_source = []
-    for i, name in enumerate(sources):
-        here = F.col(source) == name
-        per_source.append(F.count_if(here).alias(f"_n{i}"))
-        if position is not None:
-            per_source.append(F.max(F.when(here, F.col(position))).alias(f"_p{i}"))
-    counted = raw.groupBy(*fields).agg(*per_source)
+    again = written(repeated_hashes(raw, fields, source, sources, day), "repeated-hashes")
+    if again.limit(HASHES_SENT + 1).count() <= HASHES_SENT:
+        again = F.broadcast(again)
+    kept = [*fields, source] + ([position] if position is not None else [])
+    hashed = raw.select(*kept, line_hash(fields).alias("_hash"))
+    one = F.lit(1).cast("long")
+    last = [] if position is None else [F.col(position).alias("last_position")]
+    alone = hashed.join(again, "_hash", "left_anti").select(
+        *fields, one.alias("raw_rows"), one.alias("copies"), *last)
+    return alone.unionByName(_grouped_lines(hashed.join(again, "_hash", "left_semi"), fields, source, sources, position))
+
+
+def _grouped_lines(
+    raw: DataFrame, fields: list[str], source: str, sources: list[str], position: str | None,
+) -> DataFrame:
+    per_source = _per_source(source, sources)
+    if position is not None:
+        per_source += [F.max(F.when(F.col(source) == name, F.col(position))).alias(f"_p{i}")
+                       for i, name in enumerate(sources)]
+    # The hash leads the key: it is compared first.
+    counted = raw.groupBy("_hash", *fields).agg(*per_source)
     counts = [F.col(f"_n{i}") for i in range(len(sources))]
     most = F.greatest(*counts) if len(counts) > 1 else counts[0]
     lines = counted.withColumns({"raw_rows": sum(counts[1:], counts[0]), "copies": most})
@@ -144,26 +200,6 @@ def distinct_lines(
     return lines.drop(*[c for c in counted.columns if c not in fields])
 
 
-def surviving_lines(
-    raw: DataFrame, fields: list[str], source: str, sources: list[str], position: str,
-) -> DataFrame:
-    """As ``distinct_lines`` for building facts, matching only on shared days.
-
-    Lines on days that one source covers alone pass straight through with one copy
-    each, so only the overlap is shuffled. The day list is one row per calendar
-    date and is broadcast.
-    """
-    typed = coerce_types(raw)
-    days = F.broadcast(shared_days(typed, source, sources).select(
-        F.col("date").alias("_day"), F.lit(True).alias("_shared")))
-    tagged = typed.join(days, F.col("date").eqNullSafe(F.col("_day")), "left")
-    one = F.lit(1).cast("long")
-    alone = tagged.filter(F.col("_shared").isNull()).select(
-        *fields, one.alias("raw_rows"), one.alias("copies"), F.col(position).alias("last_position"))
-    both = tagged.filter("_shared").select(*fields, source, position)
-    return distinct_lines(both, fields, source, sources, position).unionByName(alone)
-
-
 def flag_replicas(
     lines: DataFrame, fields: list[str], source: str, position: list[str], chunk: Column,
 ) -> DataFrame:
@@ -329,9 +365,3 @@ def source_profile(typed: DataFrame, source: str) -> DataFrame:
 def flagged_counts(lines: DataFrame, inputs: list[str], flag: Column) -> DataFrame:
     """How often each combination of input values is flagged; used to inspect one test."""
     return lines.groupBy(*inputs, flag.alias("flagged")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def count_flags(lines: DataFrame) -> DataFrame:
-    """Flag counts from line-level flags; agrees with the distinct-line form."""
-    row = lines.agg(*[count_true(F.col(n)).alias(n) for n in REASONS])
-    return _long(row, "flag", REASONS)

@@ -26,10 +26,12 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.normalize_keys(cleaning.coerce_types(tables.messy_lines(spark, sf_dir)))
 
 
-def flagged(spark: SparkSession, sf_dir: str, position: str | None = None) -> DataFrame:
+def flagged(spark: SparkSession, sf_dir: str, position: str | None = None, repeats: bool = False) -> DataFrame:
+    """Flagged lines with their copies; ``repeats``: within a source, too, they are one row."""
     raw = tables.messy_lines(spark, sf_dir)
     last = cleaning.coverage_bounds(cleaning.coerce_types(raw)).select("final_day").scalar()
-    distinct = cleaning.distinct_lines(raw, RAW_FIELDS, tables.SOURCE, tables.SOURCES, position)
+    day = None if repeats else F.left(F.col("invoice_date"), F.lit(10))
+    distinct = cleaning.distinct_lines(raw, RAW_FIELDS, tables.SOURCE, tables.SOURCES, position, day)
     return cleaning.flag_distinct(cleaning.typed_lines(distinct), last)
 
 
@@ -252,7 +254,7 @@ FROM (SELECT SUM(k - 1) AS n FROM (SELECT COUNT(*) AS k FROM typed GROUP BY invo
         description, quantity, invoice_date, price, customer_id, country) AS g) d,
      (SELECT COUNT(*) FILTER (WHERE cross_sheet_replica) AS n FROM flagged) r""")
 def b17(spark, sf_dir):
-    return cleaning.duplicate_accounting(flagged(spark, sf_dir))
+    return cleaning.duplicate_accounting(flagged(spark, sf_dir, repeats=True))
 
 
 @query("b18_missing_value_counts",

@@ -3,6 +3,7 @@ from collections import Counter
 from datetime import date
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from shelfcast.operators import cleaning, facts
@@ -108,7 +109,7 @@ def test_line_reasons(raw):
     marked = cleaning.flag_replicas(typed, RAW_FIELDS, "source", ["row"], F.lit(0))
     found = cleaning.flag_lines(marked, F.lit(date(2020, 1, 9)))
     assert {r["row"]: r["reason"] for r in found.collect()} == {c[0][1]: c[1] for c in CASES}
-    counts = {r["flag"]: r["rows"] for r in cleaning.count_flags(found).collect()}
+    counts = {n: found.filter(n).count() for n in cleaning.REASONS}
     overlap = {r["flag"]: r["rows"] for r in cleaning.overlapping_flag_counts(flagged(raw)).collect()}
     assert counts == overlap and counts["negative_quantity"] == 3
 
@@ -139,19 +140,53 @@ def test_fact_agrees_with_audit_totals_and_keeps_no_customer(raw):
     assert not {"customer_id", "invoice", "country"} & set(fact.columns)
 
 
-def test_matching_only_on_shared_days_gives_the_same_lines(spark, rows):
-    data = [line(i, source="ab"[i % 2], invoice_date=f"2020-01-0{1 + i % 5} 00:00:00",
-                 quantity=str(i % 3 + 1)) for i in range(40)]
-    data += [line(100 + i, invoice_date="2020-02-01 00:00:00", quantity=str(i)) for i in range(1, 6)]
-    data += [line(200 + i, source="ab"[i % 2], invoice_date="bad") for i in range(4)]
-    raw = spark.createDataFrame(data, RAW)
-    args = (RAW_FIELDS, "source", ["a", "b"], "row")
-    columns = [*RAW_FIELDS, "copies", "last_position"]
+def spread(lines, fields):
+    """Copies and last positions, with lines that were left apart put together."""
+    out = {}
+    for r in lines.collect():
+        key = tuple(r[c] for c in fields)
+        copies, last = out.get(key, (0, -1))
+        out[key] = (copies + r.copies, max(last, r.last_position))
+    return out
 
-    def spread(df):
-        return rows(df.select(*columns[:-2], "copies").groupBy(*columns[:-2]).agg(F.sum("copies")))
 
-    assert spread(cleaning.surviving_lines(raw, *args)) == spread(cleaning.distinct_lines(raw, *args))
+@pytest.mark.parametrize("hashes", [1 << 62, 3, 1])
+@pytest.mark.parametrize("sent", [1_000_000, -1])
+def test_hash_first_matching_gives_the_same_lines(spark, monkeypatch, hashes, sent):
+    """However many lines share a hash, and whether hashes are sent or joined."""
+    rng = random.Random(9)
+    days = ["2020-01-01 10:00:00", "2020-01-01 11:00:00", "2020-01-02 10:00:00", None, "soon"]
+    data = [(rng.choice("ab"), k, rng.choice([None, "1", "2"]), rng.choice(["x", None]), "d", rng.choice("12"),
+             rng.choice(days), "1.5", rng.choice([None, "7"]), "UK") for k in range(400)]
+    data += [("a", 400 + k, "9", "x", "d", "1", "2020-02-01 10:00:00", "1.5", "7", "UK") for k in range(5)]
+    raw = spark.createDataFrame(data, RAW).repartition(3)
+    want = {}
+    for key in {tuple(d[2:]) for d in data}:
+        at = {s: [d[1] for d in data if tuple(d[2:]) == key and d[0] == s] for s in "ab"}
+        copies = max(map(len, at.values()))
+        want[key] = (copies, min(max(v) for v in at.values() if len(v) == copies))
+    whole = cleaning.line_hash(RAW_FIELDS)
+    monkeypatch.setattr(cleaning, "line_hash", lambda fields: F.pmod(whole, F.lit(hashes)))
+    monkeypatch.setattr(cleaning, "HASHES_SENT", sent)
+    args = (raw, RAW_FIELDS, "source", ["a", "b"], "row")
+    lines = cleaning.distinct_lines(*args)
+    assert spread(lines, RAW_FIELDS) == want and lines.count() == len(want)
+    assert lines.agg(F.sum("raw_rows")).first()[0] == len(data)
+    by_day = cleaning.distinct_lines(*args, day=F.left(F.col("invoice_date"), F.lit(10)))
+    assert spread(by_day, RAW_FIELDS) == want
+    assert by_day.agg(F.sum("raw_rows")).first()[0] == len(data)
+
+
+def test_a_line_of_an_unnamed_source_stops_the_run(spark):
+    raw = spark.createDataFrame([line(1), line(2, source="c")], RAW)
+    with pytest.raises(PySparkException, match="not named"):
+        cleaning.distinct_lines(raw, RAW_FIELDS, "source", ["a", "b"]).collect()
+
+
+def test_lines_that_stand_alone_are_not_shuffled(raw):
+    lines = cleaning.distinct_lines(raw, RAW_FIELDS, "source", ["a", "b"], day=F.left(F.col("invoice_date"), F.lit(10)))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_profile_and_bounds(raw):
