@@ -2,17 +2,19 @@
 
 Pieces are merged best score first from an agenda, as the model's own encoder does. Each
 candidate merge that comes up is skipped with a given probability, by a hash of the seed, the
-variant, the word and the place of the merge; so a run with the same seed cuts every
-document alike wherever it is processed, while other variants cut it in other ways. What is
-not merged falls back to characters and bytes, so every cut decodes to the text itself.
+document, the place of the word in it and the candidate's number; so a run with the same seed
+cuts every document alike wherever it is processed, while a word that comes again is cut in
+other ways. What is not merged falls back to characters and bytes, so every cut decodes to
+the text itself.
 
-The words of a block of texts that are not known yet are merged side by side: one row of a
+Words of a block of texts whose cut is not known yet are merged side by side: one row of a
 matrix is one word, and each round takes the best candidate of every row's agenda.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import re
 import sys
@@ -392,9 +394,15 @@ def encoded(docs: DataFrame, path: str = PIECE_BPE, seed: int = SEED, dropout: f
     @shared.trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, seed, dropout)
-        for batch in batches:
-            ids = list(of.all_ids(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        # Encoding makes no reference cycles; the collector would walk all remembered cuts
+        # again and again.
+        gc.disable()
+        try:
+            for batch in batches:
+                ids = list(of.all_ids(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     kind = docs.schema[doc].dataType.simpleString()
     return docs.select(doc, text).mapInArrow(cut, f"doc_id {kind}, ids binary")
