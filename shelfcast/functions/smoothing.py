@@ -1,212 +1,92 @@
-"""Least-squares fit of weekly exponential smoothing for one product's histories.
+"""Exponential smoothing of daily series as column expressions.
 
-For fixed coefficients the one-step errors of additive smoothing are linear in the
-start state, so the best start state is a small least-squares problem and only the
-coefficients need a search. The search is a fixed grid followed by fixed
-refinements, hence deterministic. All histories of a product and all grid points
-advance together, one array operation per calendar day.
+The state after a day is a level, a damped trend and one season for each weekday, the next
+day's season first. A history is folded into its state for every set of coefficients of a
+fixed grid; the set with the least squared error wins, and equal ones go by their coefficients.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from itertools import product
 
-import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SEASON = 7
-BLOCK = 64
-ROUNDS = 5
-LEVEL_GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.55, 0.8, 1.0])
-SHARE_GRID = np.array([0.0, 0.02, 0.06, 0.15, 0.35, 0.7, 1.0])
-TREND_GRID = np.array([0.0, 0.05, 0.2, 0.6])
-DAMPING_GRID = np.array([0.8, 0.9, 0.98])
-
-
-@dataclass(frozen=True)
-class Form:
-    """Which parts of the model are present."""
-
-    seasonal: bool = True
-    damped_trend: bool = False
-
-    @property
-    def axes(self) -> list[np.ndarray]:
-        """Search axes: level gain, seasonal share, trend share, damping."""
-        return [
-            LEVEL_GRID,
-            SHARE_GRID if self.seasonal else np.zeros(1),
-            TREND_GRID if self.damped_trend else np.zeros(1),
-            DAMPING_GRID if self.damped_trend else np.zeros(1),
-        ]
-
-    @property
-    def unknowns(self) -> int:
-        return (SEASON if self.seasonal else 1) + int(self.damped_trend)
-
-
-# Method names and the model form behind each.
-FORMS = {
-    "ses": Form(seasonal=False),
-    "hw_weekly": Form(),
-    "hw_damped_weekly": Form(damped_trend=True),
+LEVELS = (0.05, 0.1, 0.2, 0.4, 0.7)
+SEASONS = (0.02, 0.05, 0.1, 0.2, 0.4)
+TRENDS = (0.05, 0.2)
+DAMPINGS = (0.8, 0.95)
+# Coefficient grids of the forms: level, trend, season gain and damping; a zero switches a part off.
+FORMS: dict[str, list[tuple[float, float, float, float]]] = {
+    "hw_weekly": list(product(LEVELS, (0.0,), SEASONS, (0.0,))),
+    "ses": list(product(LEVELS, (0.0,), (0.0,), (0.0,))),
+    "hw_damped_weekly": list(product(LEVELS, TRENDS, SEASONS, DAMPINGS)),
 }
+GAINS = ("level_gain", "trend_gain", "seasonal_gain", "damping")
+TOO_SHORT = "the history is shorter than two weeks"
+NOT_FINITE = "the history holds a value that is not a finite number"
+AT_END = "the level gain is the greatest that was tried"
 
 
-@dataclass
-class Fit:
-    forecast: np.ndarray | None
-    sse: float
-    coefficients: tuple[float, ...]
-    warnings: list[str]
-    error: str | None = None
+def history_fault(history: Column) -> Column:
+    """Why a history cannot be fitted, or null."""
+    odd = F.exists(history, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
+    return F.when(F.size(history) < 2 * SEASON, TOO_SHORT).when(odd, NOT_FINITE)
 
 
-def _gains(points: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Error-correction gains; the seasonal gain never exceeds 1 - level gain."""
-    level, share, trend, damping = points.T
-    return level, share * (1.0 - level), trend * level, damping
+def _start(history: Column, seasonal: bool) -> dict[str, Column]:
+    """Level: the mean of the first two weeks; seasons: the weekdays' means off it."""
+    first = F.slice(history, 1, 2 * SEASON)
+    level = F.aggregate(first, F.lit(0.0), lambda s, y: s + y) / float(2 * SEASON)
+    seasons = [((F.get(history, F.lit(k)) + F.get(history, F.lit(k + SEASON))) / 2.0 - level) if seasonal else F.lit(0.0)
+               for k in range(SEASON)]
+    return {"level": level, "trend": F.lit(0.0), **{f"s{k}": s for k, s in enumerate(seasons)}, "sse": F.lit(0.0)}
 
 
-def _advance(ys: list[np.ndarray], owner: np.ndarray, points: np.ndarray, form: Form, horizon: int):
-    """Best error sum and forecast for each lane.
+def _struct(values: dict[str, Column]) -> Column:
+    return F.struct(*[v.alias(n) for n, v in values.items()])
 
-    A lane is one history with one set of coefficients. Lanes are aligned at their
-    last day and sorted by length, so the lanes already running at a step are a
-    prefix and nothing is computed before a history begins.
-    """
-    lengths = np.array([len(ys[i]) for i in owner])
-    order = np.argsort(-lengths, kind="stable")
-    owner, points, lengths = owner[order], points[order], lengths[order]
-    lanes, width = len(owner), form.unknowns + 1
-    longest = int(lengths[0])
-    padded = np.zeros((longest, len(ys)))
-    for i, y in enumerate(ys):
-        padded[longest - len(y):, i] = y
-    level_gain, season_gain, trend_gain, damping = _gains(points)
-
-    # State rows hold the coefficients of each unknown; the last row is the constant.
-    level = np.zeros((width, lanes))
-    season = np.zeros((SEASON, width, lanes))
-    trend = np.zeros((width, lanes))
-    if form.seasonal:
-        for j in range(SEASON):
-            season[j, j] = 1.0
-    else:
-        level[0] = 1.0
-    if form.damped_trend:
-        trend[form.unknowns - 1] = 1.0
-
-    gram = np.zeros((lanes, width, width))
-    starts = np.unique(longest - lengths)
-    block = np.empty((BLOCK, width, lanes))
-    for begin, end in zip(starts, [*starts[1:], longest]):
-        n = int(np.searchsorted(longest - lengths, begin, side="right"))
-        a, g, b, phi = level_gain[:n], season_gain[:n], trend_gain[:n], damping[:n]
-        lev, tre, sea = level[:, :n], trend[:, :n], season[:, :, :n]
-        who = owner[:n]
-        for first in range(begin, end, BLOCK):
-            last = min(first + BLOCK, end)
-            for t in range(first, last):
-                e = block[t - first, :, :n]
-                slot = (t - longest) % SEASON
-                if form.damped_trend:
-                    tre *= phi
-                    lev += tre
-                if form.seasonal:
-                    np.add(lev, sea[slot], out=e)
-                    np.negative(e, out=e)
-                else:
-                    np.negative(lev, out=e)
-                e[-1] += padded[t].take(who)
-                lev += a * e
-                if form.damped_trend:
-                    tre += b * e
-                if form.seasonal:
-                    sea[slot] += g * e
-            errors = np.ascontiguousarray(block[: last - first, :, :n].transpose(2, 1, 0))
-            gram[:n] += errors @ errors.transpose(0, 2, 1)
-
-    k = form.unknowns
-    design, target, total = gram[:, :k, :k], gram[:, :k, k], gram[:, k, k]
-    scale = np.maximum(np.trace(design, axis1=1, axis2=2) / k, 1.0)
-    ridge = (1e-12 * scale)[:, None, None] * np.eye(k)
-    theta = -np.linalg.solve(design + ridge, target[..., None])[..., 0]
-    sse = total + 2 * np.einsum("lk,lk->l", theta, target) + np.einsum(
-        "lk,lkm,lm->l", theta, design, theta)
-    known = np.concatenate([theta, np.ones((lanes, 1))], axis=1).T
-
-    path = np.zeros((lanes, horizon))
-    drift = np.zeros(lanes)
-    for h in range(horizon):
-        if form.damped_trend:
-            drift = drift + damping ** (h + 1) * (trend * known).sum(axis=0)
-        path[:, h] = (level * known).sum(axis=0) + drift
-        if form.seasonal:
-            path[:, h] += (season[h % SEASON] * known).sum(axis=0)
-    back = np.empty(lanes, dtype=int)
-    back[order] = np.arange(lanes)
-    return np.maximum(sse, 0.0)[back], path[back]
 
+def folded(history: Column, gains: Column, start: Column) -> Column:
+    """The state and squared error after a history, under one set of coefficients."""
+    a, b, g, damping = (gains[n] for n in GAINS)
 
-def _mesh(axes: list[np.ndarray]) -> np.ndarray:
-    return np.stack([m.ravel() for m in np.meshgrid(*axes, indexing="ij")], axis=1)
+    def day(s: Column, y: Column) -> Column:
+        base = s["level"] + damping * s["trend"]
+        error = y - base - s["s0"]
+        level = a * (y - s["s0"]) + (1.0 - a) * base
+        seasons = {f"s{k}": s[f"s{k + 1}"] for k in range(SEASON - 1)}
+        return _struct({
+            "level": level, "trend": b * (level - s["level"]) + (1.0 - b) * damping * s["trend"], **seasons,
+            f"s{SEASON - 1}": g * (y - base) + (1.0 - g) * s["s0"], "sse": s["sse"] + error * error})
 
+    return F.aggregate(history, start, day)
 
-def _around(axis: np.ndarray, value: float, points: int) -> np.ndarray:
-    """Evenly spaced points between the neighbours of ``value`` on ``axis``."""
-    if len(axis) == 1:
-        return axis
-    at = int(np.argmin(np.abs(axis - value)))
-    return np.linspace(axis[max(at - 1, 0)], axis[min(at + 1, len(axis) - 1)], points)
 
+def best_fit(history: Column, form: str) -> Column:
+    """The state of least squared error with its coefficients; equal errors go by these.
 
-def fit_histories(histories: list[np.ndarray], form: Form, horizon: int) -> list[Fit]:
-    """Fit every history; one that cannot be fitted carries its error instead.
-
-    All advance together. If that raises, each is tried alone, so that only those at fault
-    have no fit.
+    ``history`` is a column that stands for an array of finite numbers of two weeks at least.
     """
-    try:
-        return _fit_together(histories, form, horizon)
-    except (ArithmeticError, ValueError, np.linalg.LinAlgError) as exc:
-        if len(histories) == 1:
-            return [Fit(None, np.nan, (), [], f"{type(exc).__name__}: {exc}")]
-        return [fit_histories([y], form, horizon)[0] for y in histories]
-
-
-def _fit_together(histories: list[np.ndarray], form: Form, horizon: int) -> list[Fit]:
-    fits: list[Fit] = [Fit(None, np.nan, (), []) for _ in histories]
-    usable = []
-    for i, y in enumerate(histories):
-        if len(y) < 2 * SEASON:
-            fits[i].error = "Smoothing requires two full weeks"
-        elif not np.isfinite(y).all():
-            fits[i].error = "Nonfinite history"
-        else:
-            usable.append(i)
-    if not usable:
-        return fits
-    ys = [np.asarray(histories[i], dtype=float) for i in usable]
-    axes = [form.axes for _ in usable]
-    best = [None] * len(usable)
-    points = 3 if form.damped_trend else 5
-    for _ in range(ROUNDS + 1):
-        meshes = [_mesh(a) for a in axes]
-        owner = np.repeat(np.arange(len(usable)), [len(m) for m in meshes])
-        sse, path = _advance(ys, owner, np.concatenate(meshes), form, horizon)
-        first = 0
-        for i, mesh in enumerate(meshes):
-            part = sse[first:first + len(mesh)]
-            at = int(np.argmin(part))
-            if best[i] is None or part[at] < best[i][0]:
-                best[i] = (float(part[at]), mesh[at], path[first + at])
-            first += len(mesh)
-            axes[i] = [_around(a, v, points) for a, v in zip(axes[i], best[i][1])]
-    for i, (sse, point, path) in zip(usable, best):
-        level, season, trend, damping = (float(g[0]) for g in _gains(point[None, :]))
-        used = (level, season if form.seasonal else None, trend if form.damped_trend else None,
-                damping if form.damped_trend else None)
-        fits[i] = Fit(path, sse, used, [])
-        if not np.isfinite(path).all():
-            fits[i].forecast, fits[i].error = None, "Nonfinite forecast"
-    return fits
+    grid = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(GAINS, gains)]) for gains in FORMS[form]])
+    seasonal = any(gains[2] for gains in FORMS[form])
+
+    def tried(start: Column) -> Column:
+        def one(gains: Column) -> Column:
+            return F.transform(F.array(folded(history, gains, start)), lambda s: F.struct(
+                F.round(s["sse"], 6).alias("sse"), gains.alias("gains"), s.alias("state")))[0]
+        return F.array_min(F.transform(grid, one))
+
+    # The start is worked out once for all coefficients.
+    return F.transform(F.array(_struct(_start(history, seasonal))), tried)[0]
+
+
+def forecasts(fit: Column, horizon: int) -> Column:
+    """The days after a history: level, damped trend and the weekday's season."""
+    state, damping = fit["state"], fit["gains"]["damping"]
+    days = []
+    for h in range(horizon):
+        grown = F.when(damping > 0, damping * (1.0 - F.pow(damping, F.lit(h + 1.0))) / (1.0 - damping)).otherwise(0.0)
+        days.append(state["level"] + grown * state["trend"] + state[f"s{h % SEASON}"])
+    return F.array(*days)

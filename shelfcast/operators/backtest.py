@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from dataclasses import replace
+from datetime import timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_true
-from ..functions.smoothing import FORMS, SEASON, fit_histories
+from ..functions.smoothing import AT_END, LEVELS, SEASON, best_fit, forecasts, history_fault
 from ..schemas import Protocol
 from ..session import fit_partitions
 from .cohort import split_rows
@@ -21,13 +20,6 @@ FAILED = "failure_baseline_fallback"
 NAIVE = "seasonal_naive"
 KEY = ["product_id", "forecast_start", "date"]
 
-FIT_SCHEMA = (
-    "product_id string, forecast_start date, model string, train_start date, train_end date, "
-    "training_observations int, status string, warnings array<string>, error string, "
-    "level_gain double, seasonal_gain double, trend_gain double, damping double, sse double, "
-    "forecast array<double>"
-)
-
 
 def _or_fail(ok: Column, value: Column, message: str, kind: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
@@ -54,6 +46,26 @@ def training_windows(spark: SparkSession, protocol: Protocol) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def history_sums(grid: DataFrame, protocol: Protocol) -> DataFrame:
+    """Days and units of every method's history, per (product, origin).
+
+    Each grid day is read once for its running sums; a history of any length is the
+    difference of the sums at its last day and before its first. A short one stops the run.
+    """
+    running = Window.partitionBy("product_id").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = grid.select("product_id", "date", F.sum("units").over(running).alias("sum"), F.count("units").over(running).alias("n"))
+    windows = training_windows(grid.sparkSession, protocol)
+    ends = F.array(F.struct(F.col("train_end").alias("date"), F.lit(1).alias("sign")),
+                   F.struct(F.date_sub("train_start", 1).alias("date"), F.lit(-1).alias("sign")))
+    listed = windows.select("*", F.inline(ends))  # two rows per origin and method
+    found = sums.join(F.broadcast(listed), "date").groupBy(
+        "product_id", "model", "forecast_start", "train_start", "train_end", "training_observations").agg(
+        F.sum(F.col("sign") * F.col("sum")).alias("history_units"), F.sum(F.col("sign") * F.col("n")).alias("days"))
+    whole = F.col("days") == F.col("training_observations")
+    return found.withColumn("history_units", _or_fail(
+        whole, F.col("history_units"), "a history has too few days", "double")).drop("days")
+
+
 # --- weekday baselines ----------------------------------------------------------
 
 
@@ -117,49 +129,47 @@ def clip_nonnegative(value: Column, protocol: Protocol) -> Column:
 # --- weekly smoothing -----------------------------------------------------------
 
 
+def history_slices(grid: DataFrame, protocol: Protocol, methods: dict[str, int | None]) -> DataFrame:
+    """``history``: the units of the days before an origin, per (product, origin, method).
+
+    A product's days are gathered once; every history is a slice of them.
+    """
+    last = F.lit(max(protocol.forecast_starts) - timedelta(days=1))
+    days = grid.filter(F.col("date").between(F.lit(protocol.expanding_start), last)).groupBy("product_id").agg(
+        F.sort_array(F.collect_list(F.struct("date", "units"))).alias("days"))
+    whole = F.size("days") == F.datediff(last, F.lit(protocol.expanding_start)) + 1
+    whole &= F.size(F.array_distinct("days.date")) == F.size("days")
+    windows = training_windows(grid.sparkSession, replace(protocol, smoothing=methods, baselines={})).withColumn(
+        "offset", F.datediff("train_start", F.lit(protocol.expanding_start)))
+    listed = windows.agg(F.collect_list(F.struct(*windows.columns))).scalar()
+    units = _or_fail(whole, F.col("days.units"), "the grid skips or repeats a day", "array<double>")
+    return days.select("product_id", units.alias("units"), F.explode(listed).alias("w")).select(
+        "product_id", "w.forecast_start", "w.model", "w.train_start", "w.train_end", "w.training_observations",
+        F.slice("units", F.col("w.offset") + 1, F.col("w.training_observations")).alias("history"))
+
+
 def smoothing_fits(grid: DataFrame, protocol: Protocol, form: str = "hw_weekly") -> DataFrame:
     """One row per (product, origin, smoothing history) with its forecast.
 
-    A group is one product's calendar days, whatever the number of lines behind
-    them. All origins and histories of the product are fitted together. The
-    partition count is fixed so that small rows do not end up in a single task.
+    A row holds one history, whatever the number of lines behind it, and is folded where it
+    stands, once for each set of coefficients. The partition count is fixed so that small
+    rows do not end up in a single task. A history that cannot be fitted has a failed status
+    and no forecast.
     """
-    spark = grid.sparkSession
-    starts, methods = list(protocol.forecast_starts), dict(protocol.smoothing)
-    expanding, horizon, model = protocol.expanding_start, protocol.horizon_days, FORMS[form]
-    season_last_day = max(starts) - timedelta(days=1)
-
-    def fit_product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        days = pdf["date"].to_numpy(dtype="datetime64[D]")
-        units = pdf["units"].to_numpy(dtype=float)
-        if (np.diff(days).astype(int) != 1).any():
-            raise ValueError("the grid skips or repeats a day")
-        rows, histories = [], []
-        for start in starts:
-            stop = int((np.datetime64(start) - days[0]).astype(int))
-            for name, window in methods.items():
-                first = expanding if window is None else start - timedelta(days=window)
-                begin = int((np.datetime64(first) - days[0]).astype(int))
-                if begin < 0 or stop > len(units):
-                    raise ValueError("the grid does not cover a whole history")
-                histories.append(units[begin:stop])
-                rows.append((pdf["product_id"].iloc[0], start, name, first,
-                             start - timedelta(days=1), stop - begin))
-        out = []
-        for row, fit in zip(rows, fit_histories(histories, model, horizon)):
-            gains = fit.coefficients or (None,) * 4
-            out.append((*row, OK if fit.error is None else FAILED, fit.warnings, fit.error, *gains,
-                        fit.sse if fit.error is None else None,
-                        None if fit.forecast is None else fit.forecast.tolist()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
-
-    history = grid.filter(F.col("date").between(F.lit(expanding), F.lit(season_last_day)))
-    return (
-        history.select("product_id", "date", "units")
-        .repartition(fit_partitions(spark), "product_id")
-        .groupBy("product_id").applyInPandas(fit_product, FIT_SCHEMA)
-    )
+    slices = history_slices(grid, protocol, dict(protocol.smoothing)).repartition(
+        fit_partitions(grid.sparkSession), "product_id", "model", "forecast_start")
+    fault = history_fault(F.col("history"))
+    # Made by a generator of one row, so that no filter or projection above repeats the fits.
+    tried = slices.select("*", F.inline(F.array(F.struct(
+        fault.alias("error"), F.when(fault.isNull(), best_fit(F.col("history"), form)).alias("fit")))))
+    found = F.transform(F.array("fit"), lambda fit: F.struct(
+        fit["gains"].alias("gains"), fit["sse"].alias("sse"), forecasts(fit, protocol.horizon_days).alias("forecast")))[0]
+    at_end = F.col("f.gains.level_gain") == LEVELS[-1]
+    return tried.select("*", F.when(F.col("fit").isNotNull(), found).alias("f")).select(
+        "product_id", "forecast_start", "model", "train_start", "train_end", "training_observations",
+        F.when(F.col("error").isNull(), OK).otherwise(FAILED).alias("status"),
+        F.when(at_end, F.array(F.lit(AT_END))).otherwise(F.array().cast("array<string>")).alias("warnings"), "error",
+        "f.gains.level_gain", "f.gains.seasonal_gain", "f.gains.trend_gain", "f.gains.damping", "f.sse", "f.forecast")
 
 
 def fallback_prediction(status: Column, prediction: Column, naive: Column) -> Column:

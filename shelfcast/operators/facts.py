@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_true, money
 from ..schemas import DEFAULT_DESCRIPTION
-from ..session import fit_partitions
 
 
 def product_day_sales(lines: DataFrame) -> DataFrame:
@@ -99,20 +98,28 @@ def daily_totals(sales: DataFrame, days: DataFrame) -> DataFrame:
 def dense_daily_grid(sales: DataFrame, products: DataFrame, days: DataFrame) -> DataFrame:
     """Units for every listed product and calendar day, zeros explicit.
 
-    Ids are spread over a fixed number of tasks and each is widened by the sequence of
-    calendar days, so a short list is not expanded in one task and a long one may be a
-    whole dimension. Only aggregated units are joined to it.
+    Every day with sales also gives the days without that lie before it, and a product's last
+    one those behind it, so the grid is a window over a product's own days and needs no join
+    with the calendar; a fact in buckets of products is not shuffled for it. Products without
+    any sales get a calendar of zeros.
     """
     ids = products.select("product_id")
-    calendar = days.agg(F.sequence(F.min("date"), F.max("date"))).scalar()
-    grid = ids.repartition(fit_partitions(sales.sparkSession), "product_id").select(
-        "product_id", F.explode(calendar).alias("date"))
-    sold = (
-        sales.join(ids, "product_id", "left_semi")
-        .groupBy("product_id", "date").agg(F.sum("units").alias("units"))
-    )
-    return grid.join(sold, ["product_id", "date"], "left").select(
-        "product_id", "date", F.coalesce("units", F.lit(0.0)).alias("units"))
+    span = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    sold = sales.join(ids, "product_id", "left_semi").filter(F.col("date").between(first, last)).groupBy(
+        "product_id", "date").agg(F.sum("units").alias("units"))
+    ordered = Window.partitionBy("product_id").orderBy("date")
+    gaps = sold.select(
+        "product_id", F.col("date").alias("sold_on"), "units", F.lag("date").over(ordered).alias("before"),
+        F.lead("date").over(ordered).alias("after"))
+    leading = F.sequence(F.coalesce(F.date_add("before", 1), first), F.col("sold_on"))
+    behind = F.when(F.col("after").isNull() & (F.col("sold_on") < last), F.sequence(F.date_add("sold_on", 1), last))
+    none = F.array().cast("array<date>")
+    grid = gaps.select("product_id", "sold_on", "units", F.explode(F.concat(leading, F.coalesce(behind, none))).alias("date")).select(
+        "product_id", "date", F.when(F.col("date") == F.col("sold_on"), F.coalesce("units", F.lit(0.0))).otherwise(0.0).alias("units"))
+    unsold = ids.distinct().join(sold.select("product_id"), "product_id", "left_anti").select(
+        "product_id", F.explode(F.sequence(first, last)).alias("date"), F.lit(0.0).alias("units"))
+    return grid.unionByName(unsold)
 
 
 def sales_summary(grid: DataFrame, days: int = 7) -> DataFrame:

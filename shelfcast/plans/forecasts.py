@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from ..sources import tables
 from .registry import query
 
 P = tables.PROTOCOL
-BASELINES = list(P.baselines)
+BASELINES, SMOOTHING = list(P.baselines), list(P.smoothing)
 NEXT_START = dict(zip(P.forecast_starts, P.forecast_starts[1:] + P.forecast_starts[:1]))
 PAIRS = scoring.pair_list(BASELINES, BASELINES)
 CANDIDATE, COMPARATOR = "weekday_mean_4w", "seasonal_naive"
@@ -37,37 +39,32 @@ LONG = ("model:s product_id:s forecast_start:d forecast_end:d date:d origin:d ho
 DAY = "product_id:s forecast_start:d date:d"
 
 
-def grid_of(spark, sf_dir) -> DataFrame:
-    return tables.Shop.read(spark, sf_dir, tables.UNITS).grid()
+def shop_of(spark, sf_dir, columns=tables.UNITS) -> tables.Shop:
+    return tables.Shop.read(spark, sf_dir, columns)
 
 
-def predictions(spark, sf_dir) -> DataFrame:
-    return backtest.backtest_long_frame(grid_of(spark, sf_dir), P)
+def grid_of(spark, sf_dir) -> DataFrame:
+    return shop_of(spark, sf_dir).saved_grid()
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    return labelled_in(tables.Shop.read(spark, sf_dir, tables.UNITS))
+    return shop_of(spark, sf_dir).backtest()
 
 
-def labelled_in(shop) -> DataFrame:
-    grid = written(shop.grid(), "grid")  # forecasts and thresholds both start from it
-    return backtest.window_backtest_frame(grid, P, diagnostics.spike_thresholds(grid, P))
+def predictions(spark, sf_dir) -> DataFrame:
+    return staged_as(labelled(spark, sf_dir), F.lit("robustness"))
 
 
-def smoothing_protocol(methods: dict[str, int | None]):
-    return P.__class__(forecast_starts=P.forecast_starts, expanding_start=P.expanding_start,
-                       smoothing=methods)
+def staged_as(rows: DataFrame, stage) -> DataFrame:
+    return rows.withColumns({"stage": stage, "split": F.date_format("forecast_start", "yyyy-MM-dd")})
 
 
-def grid_and_fits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Grid and fits are written once: fitting is never repeated by a later stage."""
-    grid = written(grid_of(spark, sf_dir), "grid")
-    return grid, written(backtest.smoothing_fits(grid, P), "fits")
+def smoothing_protocol(shop: tables.Shop, methods: dict[str, int | None]):
+    return replace(shop.protocol(), smoothing=methods)
 
 
 def all_methods(spark, sf_dir) -> DataFrame:
-    grid, found = grid_and_fits(spark, sf_dir)
-    return backtest.window_backtest_frame(grid, P, diagnostics.spike_thresholds(grid, P), found)
+    return shop_of(spark, sf_dir).full_backtest()
 
 
 def products(spark, sf_dir, *period) -> DataFrame:
@@ -79,15 +76,13 @@ def detail(spark, sf_dir, pairs=PAIRS) -> DataFrame:
 
 
 def detail_and_names(spark, sf_dir, pairs=PAIRS) -> tuple[DataFrame, DataFrame]:
-    shop = tables.Shop.read(spark, sf_dir, tables.NAMED)
-    scored = scoring.product_summaries(backtest.backtest_long_frame(shop.grid(), P))
-    return scoring.product_comparisons(scored, pairs, P.tie_tolerance), shop.names()
+    return detail(spark, sf_dir, pairs), shop_of(spark, sf_dir, tables.NAMED).names()
 
 
 def staged(spark, sf_dir) -> DataFrame:
     """The first three origins serve as validation, the others as test."""
-    return predictions(spark, sf_dir).withColumn(
-        "stage", F.when(F.col("forecast_start") < F.lit(date(1998, 7, 1)), "validation").otherwise("test"))
+    validation = F.col("forecast_start") < F.lit(date(1998, 7, 1))
+    return staged_as(labelled(spark, sf_dir), F.when(validation, "validation").otherwise("test"))
 
 
 _STAGED = ("(SELECT *, CASE WHEN forecast_start < DATE '1998-07-01' THEN 'validation' ELSE 'test' END "
@@ -104,8 +99,8 @@ _STAGED = ("(SELECT *, CASE WHEN forecast_start < DATE '1998-07-01' THEN 'valida
   forecast_start - 1 AS train_end, forecast_start, forecast_start + 27 AS forecast_end,
   forecast_start - first_day AS training_days, 28 AS horizon_days FROM origins, bounds""")
 def e1(spark, sf_dir):
-    return cohort.rolling_origin_splits(
-        spark, P, tables.bounds_frame(spark, *tables.day_bounds(spark, sf_dir)))
+    shop = shop_of(spark, sf_dir, ())
+    return cohort.rolling_origin_splits(spark, shop.protocol(), shop.bounds)
 
 
 @query("e2_training_windows",
@@ -116,16 +111,12 @@ def e1(spark, sf_dir):
 FROM origins o CROSS JOIN (SELECT * FROM methods UNION ALL VALUES ('hw_expanding', NULL),
   ('hw_182d', 182), ('hw_365d', 365)) m
 JOIN grid g ON g.date < o.forecast_start
-  AND g.date >= COALESCE(o.forecast_start - m.history, DATE '1995-01-02')
+  AND (m.history IS NULL OR g.date >= o.forecast_start - m.history)
 GROUP BY 1, 2, 3""")
 def e2(spark, sf_dir):
-    """Each window's days and units; windows are expanded to days for an equality join."""
-    windows = backtest.training_windows(spark, P).select(
-        "model", "forecast_start", F.explode(F.sequence("train_start", "train_end")).alias("date"))
-    return grid_of(spark, sf_dir).join(F.broadcast(windows), "date").groupBy(
-        "product_id", "model", "forecast_start").agg(
-        F.min("date").alias("train_start"), F.max("date").alias("train_end"),
-        F.count(F.lit(1)).alias("training_observations"), F.sum("units").alias("history_units"))
+    """Each window's days and units, from running sums at its two ends."""
+    shop = shop_of(spark, sf_dir)
+    return backtest.history_sums(shop.saved_grid(), shop.protocol())
 
 
 @query("e3_forecast_seasonal_naive", LONG,
@@ -140,43 +131,46 @@ def e4(spark, sf_dir):
     return predictions(spark, sf_dir).filter(F.col("model") != "seasonal_naive")
 
 
-@query("e5_forecast_weekly_smoothing", LONG)
+@query("e5_forecast_weekly_smoothing", LONG,
+       """SELECT 'hw_weekly' AS model, product_id, forecast_start, forecast_end, date, origin, horizon_day, actual,
+  prediction, 'ok' AS status FROM smooth_predictions WHERE model = 'hw_expanding'""")
 def e5(spark, sf_dir):
-    grid = written(grid_of(spark, sf_dir), "grid")
-    protocol = smoothing_protocol({"hw_weekly": None})
-    found = backtest.smoothing_fits(grid, protocol)
-    return backtest.backtest_long_frame(grid, protocol, found).filter(F.col("model") == "hw_weekly")
+    shop = shop_of(spark, sf_dir)
+    protocol = smoothing_protocol(shop, {"hw_weekly": None})
+    found = backtest.smoothing_fits(shop.saved_grid(), protocol)
+    return backtest.backtest_long_frame(shop.saved_grid(), protocol, found).filter(F.col("model") == "hw_weekly")
 
 
 @query("e6_forecast_window_variants",
        "product_id:s model:s forecast_start:d train_start:d train_end:d training_observations:i "
-       "status:s level_gain:f seasonal_gain:f sse:f")
+       "status:s level_gain:f seasonal_gain:f sse:f",
+       """SELECT f.product_id, f.model, f.forecast_start, p.first_day AS train_start, f.forecast_start - 1 AS train_end,
+  f.forecast_start - p.first_day AS training_observations, 'ok' AS status, f.a AS level_gain, f.g AS seasonal_gain,
+  f.rounded_sse AS sse
+FROM smooth_fits f JOIN smooth_spans p ON p.model = f.model AND COALESCE(p.own_start, f.forecast_start) = f.forecast_start""")
 def e6(spark, sf_dir):
-    return backtest.smoothing_fits(grid_of(spark, sf_dir), P)
-
-
-@query("e7_fallback_policy", f"{DAY} status:s prediction:f",
-       """SELECT p.product_id, p.forecast_start, p.date,
-  CASE WHEN t.total = 0 THEN 'nonconverged_baseline_fallback'
-       WHEN p.prediction > 30 THEN 'failure_baseline_fallback' ELSE 'ok' END AS status,
-  CASE WHEN t.total = 0 OR p.prediction > 30 THEN n.prediction ELSE p.prediction END AS prediction
-FROM predictions p JOIN predictions n USING (product_id, forecast_start, date)
-JOIN (SELECT product_id, forecast_start, SUM(prediction) AS total FROM predictions
-      WHERE model = 'seasonal_naive' GROUP BY 1, 2) t USING (product_id, forecast_start)
-WHERE p.model = 'weekday_mean_8w' AND n.model = 'seasonal_naive'""")
+    shop = shop_of(spark, sf_dir)
+    return backtest.smoothing_fits(shop.saved_grid(), shop.protocol())
+
+
+@query("e7_fallback_policy", f"model:s {DAY} status:s error:s warnings:i clipped:i prediction:f",
+       """SELECT s.model, p.product_id, p.forecast_start, p.date, 'failure_baseline_fallback' AS status,
+  'the history is shorter than two weeks' AS error, 0 AS warnings, 0 AS clipped, p.prediction
+FROM predictions p, (VALUES ('hw_10d')) AS s(model) WHERE p.model = 'seasonal_naive'
+UNION ALL SELECT model, product_id, forecast_start, date, 'ok', NULL, CASE WHEN at_end THEN 1 ELSE 0 END,
+  CASE WHEN unclipped < 0 THEN 1 ELSE 0 END, GREATEST(unclipped, 0) FROM smooth_forecasts WHERE model = 'hw_182d'""")
 def e7(spark, sf_dir):
-    """The policy on a method whose status is derived from the data."""
-    support = backtest.baseline_support(grid_of(spark, sf_dir), P)
-    last_week = support.groupBy("product_id", "forecast_start").agg(
-        F.sum(backtest.NAIVE).alias("total"))
-    own = F.col("weekday_mean_8w")
-    status = (
-        F.when(F.col("total") == 0, backtest.NOT_CONVERGED)
-        .when(own > 30, backtest.FAILED).otherwise(backtest.OK)
-    )
-    return support.join(last_week, ["product_id", "forecast_start"]).withColumn(
-        "status", status).withColumn(
-        "prediction", backtest.fallback_prediction(F.col("status"), own, F.col(backtest.NAIVE)))
+    """A history of ten days cannot be fitted, so the last-week repeat stands in; one of 182 days can.
+
+    Warnings alone change nothing.
+    """
+    shop = shop_of(spark, sf_dir)
+    protocol = smoothing_protocol(shop, {"hw_10d": 10, "hw_182d": 182})
+    fits = backtest.smoothing_fits(shop.saved_grid(), protocol)
+    rows = backtest.smoothing_forecasts(fits, backtest.baseline_support(shop.saved_grid(), protocol), protocol)
+    notes = fits.select("product_id", "forecast_start", "model", "error", F.size("warnings").alias("warnings"))
+    return rows.join(notes, ["product_id", "forecast_start", "model"]).withColumn(
+        "clipped", (F.col("unclipped") < 0).cast("long"))
 
 
 @query("e8_clip_nonnegative", f"{DAY} shifted:f prediction:f",
@@ -205,7 +199,8 @@ def e10(spark, sf_dir):
     return labelled(spark, sf_dir)
 
 
-@query("e10_window_backtest_all_methods", WINDOWED)
+@query("e10_window_backtest_all_methods", WINDOWED,
+       "SELECT 'training_windows_v1' AS experiment, *, 'ok' AS status FROM labelled_all")
 def e10_all(spark, sf_dir):
     return all_methods(spark, sf_dir)
 
@@ -230,30 +225,78 @@ def e11(spark, sf_dir):
 
 @query("e11_smoothing_events",
        "model:s product_id:s forecast_start:d training_observations:i status:s warnings:s "
-       "negative_predictions_clipped:i")
+       "negative_predictions_clipped:i",
+       """SELECT f.model, f.product_id, f.forecast_start, f.forecast_start - any_value(p.first_day) AS training_observations,
+  'ok' AS status, CASE WHEN bool_or(at_end) THEN 'the level gain is the greatest that was tried' ELSE '' END AS warnings,
+  COUNT(*) FILTER (WHERE unclipped < 0) AS negative_predictions_clipped
+FROM smooth_forecasts f JOIN smooth_spans p ON p.model = f.model AND COALESCE(p.own_start, f.forecast_start) = f.forecast_start
+GROUP BY 1, 2, 3 HAVING bool_or(at_end) OR bool_or(unclipped < 0)""")
 def e11_events(spark, sf_dir):
-    records = backtest.fit_records(backtest.smoothing_fits(grid_of(spark, sf_dir), P), P)
-    return backtest.fit_events(records).withColumn("warnings", F.concat_ws("; ", "warnings"))
+    shop = shop_of(spark, sf_dir)
+    events = backtest.fit_events(backtest.fit_records(shop.fits(), shop.protocol()))
+    return events.withColumn("warnings", F.concat_ws("; ", "warnings"))
+
+
+_BROKEN = """(SELECT *, horizon_day + CASE WHEN model = 'weekday_mean_4w' AND day(date) = 11 THEN 1 ELSE 0 END AS shifted,
+    actual + CASE WHEN model = 'seasonal_naive' AND day(date) = 12 THEN 1 ELSE 0 END AS changed,
+    CASE WHEN model = 'weekday_mean_8w' AND prediction > 25 THEN 'unlisted' ELSE model END AS named
+  FROM labelled JOIN (SELECT unnest([1, 2]) AS copy) AS copies
+    ON copy = 1 OR model = 'weekday_mean_4w' AND day(date) = 13
+  WHERE day(date) <> 14) AS broken"""
 
 
 @query("e12_support_validation", "check:s product_id:s forecast_start:d rows:i",
-       """SELECT 'method_coverage' AS "check", product_id, forecast_start, COUNT(*) AS "rows"
-FROM (SELECT product_id, forecast_start, date FROM predictions
-      GROUP BY ALL HAVING bool_or(model = 'weekday_mean_8w' AND prediction > 25)) AS d GROUP BY product_id, forecast_start""")
+       f"""SELECT * FROM (
+  SELECT "check", product_id, forecast_start, COUNT(*) AS "rows"
+  FROM (SELECT product_id, forecast_start, date, unnest([
+      CASE WHEN COUNT(*) > COUNT(DISTINCT named) THEN 'duplicate_key' END,
+      CASE WHEN COUNT(DISTINCT named) <> 3 OR bool_or(named = 'unlisted') THEN 'method_coverage' END,
+      CASE WHEN MIN(changed) <> MAX(changed) THEN 'support_differs' END]) AS "check"
+    FROM {_BROKEN} GROUP BY 1, 2, 3) AS d WHERE "check" IS NOT NULL GROUP BY 1, 2, 3
+  UNION ALL SELECT 'not_consecutive', product_id, forecast_start, COUNT(*) FROM {_BROKEN}
+    WHERE date - forecast_start + 1 <> shifted GROUP BY 2, 3
+  UNION ALL SELECT 'horizon_coverage', product_id, forecast_start, 28 - COUNT(DISTINCT date) FROM {_BROKEN} GROUP BY 2, 3
+) AS found WHERE "rows" > 0""")
 def e12(spark, sf_dir):
-    """Predictions with one method's highest values under an unknown name: only coverage may suffer."""
-    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
+    """Saved predictions broken in every way that the checks look for."""
+    shop, day = shop_of(spark, sf_dir), F.dayofmonth("date")
     high = (F.col("model") == "weekday_mean_8w") & (F.col("prediction") > 25)
-    rows = labelled_in(shop).withColumn("model", F.when(high, "unlisted").otherwise(F.col("model")))
+    four, naive = F.col("model") == "weekday_mean_4w", F.col("model") == "seasonal_naive"
+    copies = F.when(four & (day == 13), 2).otherwise(1)
+    rows = shop.backtest().filter(day != 14).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    rows = rows.withColumns({
+        "horizon_day": F.col("horizon_day") + F.when(four & (day == 11), 1).otherwise(0),
+        "actual": F.col("actual") + F.when(naive & (day == 12), 1).otherwise(0),
+        "model": F.when(high, "unlisted").otherwise(F.col("model"))})
     return checks.support_validation(rows, shop.chosen(), BASELINES, P)
 
 
+@query("e12_refused_backtests", "case:s refused:b",
+       "SELECT * FROM (VALUES ('whole', FALSE), ('gap', TRUE), ('repeat', TRUE), ('negative', TRUE), ('lost product', TRUE)) "
+       "AS c(\"case\", refused) WHERE EXISTS (SELECT 1 FROM cohort)")
+def e12_refused(spark, sf_dir):
+    """Grids that a backtest must not use, each broken on one day, beside the whole one."""
+    shop, bad = shop_of(spark, sf_dir), F.col("date") == F.lit(date(1998, 2, 3))
+    grid = shop.saved_grid()
+    lost = shop.chosen().agg(F.min("product_id")).scalar()
+    cases = {
+        "whole": grid, "gap": grid.filter(~bad), "repeat": grid.unionByName(grid.filter(bad)),
+        "negative": grid.withColumn("units", F.when(bad, -1.0).otherwise(F.col("units"))),
+        "lost product": grid.filter(F.col("product_id") != lost)}
+    found = [checks.grid_preflight(frame, shop.chosen(), shop.protocol()).agg(
+        F.lit(name).alias("case"), (F.count(F.lit(1)) > 0).alias("refused")) for name, frame in cases.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("e13_forecast_simple_and_damped",
        "product_id:s model:s forecast_start:d status:s level_gain:f seasonal_gain:f trend_gain:f "
-       "damping:f sse:f horizon_day:i prediction:f")
+       "damping:f sse:f horizon_day:i prediction:f",
+       """SELECT c.product_id, c.model, c.forecast_start, 'ok' AS status, f.a AS level_gain, f.g AS seasonal_gain,
+  f.b AS trend_gain, f.d AS damping, f.rounded_sse AS sse, c.horizon_day, c.unclipped AS prediction
+FROM archived_forecasts c JOIN archived_fits f USING (model, product_id, forecast_start)""")
 def e13(spark, sf_dir):
-    grid = written(grid_of(spark, sf_dir), "grid")
-    both = [backtest.smoothing_fits(grid, smoothing_protocol({form: None}), form)
+    shop = shop_of(spark, sf_dir)
+    both = [backtest.smoothing_fits(shop.saved_grid(), smoothing_protocol(shop, {form: None}), form)
             for form in ("ses", "hw_damped_weekly")]
     return both[0].unionByName(both[1]).select(
         "*", F.posexplode("forecast").alias("step", "prediction")).withColumn(
@@ -344,10 +387,9 @@ def f8_periods(spark, sf_dir):
     return scoring.comparison_summary(period_detail(spark, sf_dir), "forecast_start")
 
 
-@query("f8_all_pairs_smoothing", PAIRWISE)
+@query("f8_all_pairs_smoothing", PAIRWISE, "SELECT * FROM pairwise_all WHERE model LIKE 'hw_%'")
 def f8_smoothing(spark, sf_dir):
-    grid, found = grid_and_fits(spark, sf_dir)
-    scored = scoring.product_summaries(backtest.backtest_long_frame(grid, P, found))
+    scored = scoring.product_summaries(all_methods(spark, sf_dir))
     pairs = scoring.pair_list(P.smoothing, P.methods)
     return scoring.comparison_summary(scoring.product_comparisons(scored, pairs, P.tie_tolerance))
 
@@ -356,7 +398,8 @@ def f8_smoothing(spark, sf_dir):
        "product_id:s forecast_start:d train_start:d train_end:d training_observations:i threshold_99:f",
        "SELECT * FROM thresholds")
 def f9(spark, sf_dir):
-    return diagnostics.spike_thresholds(grid_of(spark, sf_dir), P)
+    shop = shop_of(spark, sf_dir)
+    return diagnostics.spike_thresholds(shop.saved_grid(), shop.protocol())
 
 
 @query("f10_spike_label", f"model:s {DAY} actual:f spike_threshold:f is_spike:b", "SELECT * FROM labelled")
@@ -381,8 +424,8 @@ def f11(spark, sf_dir):
        """SELECT l.*, n.description FROM (SELECT * FROM labelled WHERE model = 'weekday_mean_4w' AND is_spike
   ORDER BY actual DESC, product_id, date, forecast_start LIMIT 10) l JOIN cohort_names n USING (product_id)""")
 def f12(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir, tables.NAMED)
-    return diagnostics.spike_examples(labelled_in(shop), shop.names(), CANDIDATE)
+    shop = shop_of(spark, sf_dir, tables.NAMED)
+    return diagnostics.spike_examples(shop.backtest(), shop.names(), CANDIDATE)
 
 
 _CONTRIBUTION = """SELECT d.*, n.description,
@@ -434,8 +477,8 @@ def f15_down(spark, sf_dir):
   prediction - actual AS signed_error, spike_threshold AS spike_threshold_units
 FROM labelled l JOIN cohort_names n USING (product_id)""")
 def f16(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir, tables.NAMED)
-    return diagnostics.daily_errors(labelled_in(shop), shop.names())
+    shop = shop_of(spark, sf_dir, tables.NAMED)
+    return diagnostics.daily_errors(shop.backtest(), shop.names())
 
 
 _CLOSE = ("NOT COALESCE(ABS(l.{c} - r.{c}) <= 1e-8 + 1e-10 * ABS(r.{c}) OR l.{c} IS NOT DISTINCT FROM r.{c}, "
@@ -499,7 +542,8 @@ def f19(spark, sf_dir):
 @query("f20_headline_summary",
        "best_method:s candidate_wape:f comparator_wape:f candidate_absolute_error_units:f "
        "comparator_absolute_error_units:f actual_units_per_method:f relative_error_reduction_pct:f "
-       "wape_difference_percentage_points:f methods:i products:i periods:i horizon_days:i prediction_rows:i",
+       "wape_difference_percentage_points:f methods:i products:i periods:i horizon_days:i prediction_rows:i "
+       "raw_rows:i retained_rows:i product_count:i",
        """SELECT (SELECT model FROM overall_metrics ORDER BY wape, model LIMIT 1) AS best_method,
   c.wape AS candidate_wape, b.wape AS comparator_wape, c.absolute_error_sum AS candidate_absolute_error_units,
   b.absolute_error_sum AS comparator_absolute_error_units, c.actual_units AS actual_units_per_method,
@@ -509,12 +553,17 @@ def f19(spark, sf_dir):
   (SELECT COUNT(DISTINCT product_id) FROM predictions) AS products,
   (SELECT COUNT(DISTINCT forecast_start) FROM predictions) AS periods,
   (SELECT COUNT(DISTINCT horizon_day) FROM predictions) AS horizon_days,
-  (SELECT COUNT(*) FROM predictions) AS prediction_rows
+  (SELECT COUNT(*) FROM predictions) AS prediction_rows,
+  (SELECT COUNT(*) FROM raw) AS raw_rows, (SELECT COUNT(*) FROM merchandise) AS retained_rows,
+  (SELECT COUNT(DISTINCT product_id) FROM merchandise) AS product_count
 FROM overall_metrics c, overall_metrics b WHERE c.model = 'weekday_mean_4w' AND b.model = 'seasonal_naive'""")
 def f20(spark, sf_dir):
-    rows = written(predictions(spark, sf_dir), "predictions")
-    return diagnostics.headline_summary(
-        scoring.overall_summaries(rows), rows, CANDIDATE, COMPARATOR)
+    """The headline of the saved backtest with the counts of the audit behind it."""
+    shop = shop_of(spark, sf_dir)
+    rows = shop.backtest()
+    return diagnostics.headline_summary(scoring.overall_summaries(rows), rows, CANDIDATE, COMPARATOR).select(
+        "*", F.lit(shop.fact.raw_rows).alias("raw_rows"), F.lit(shop.fact.retained_rows).alias("retained_rows"),
+        F.lit(shop.fact.product_count).alias("product_count"))
 
 
 def _walk_sql(name: str, direction: str, test: str) -> str:
@@ -569,11 +618,11 @@ def f24(spark, sf_dir):
        "SELECT * FROM predictions WHERE forecast_start = DATE '1998-05-01' AND product_id = "
        "(SELECT product_id FROM cohort ORDER BY initial_units DESC, product_id LIMIT 1)")
 def g3(spark, sf_dir):
-    """The cohort's largest product under the third origin."""
-    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
+    """The cohort's largest product under the third origin, of whose partition alone is read."""
+    shop = shop_of(spark, sf_dir)
     largest = shop.chosen().orderBy(F.desc("initial_units"), "product_id").limit(1)
     return diagnostics.slice_by_origin_product(
-        backtest.backtest_long_frame(shop.grid(), P), date(1998, 5, 1), largest.select("product_id").scalar())
+        shop.backtest(), date(1998, 5, 1), largest.select("product_id").scalar())
 
 
 @query("g5_long_series_union", f"{DAY} units:f series:s",
@@ -622,10 +671,17 @@ def g9(spark, sf_dir):
 
 
 @query("g9_fit_diagnostics_smoothing",
-       "model:s fits:i fits_with_warnings:i fallback_fits:i clipped_observations:i")
+       "model:s fits:i fits_with_warnings:i fallback_fits:i clipped_observations:i",
+       """SELECT model, COUNT(DISTINCT (product_id, forecast_start)) AS fits,
+  COUNT(DISTINCT (product_id, forecast_start)) FILTER (WHERE at_end) AS fits_with_warnings, 0 AS fallback_fits,
+  COUNT(*) FILTER (WHERE unclipped < 0) AS clipped_observations FROM smooth_forecasts GROUP BY model
+UNION ALL SELECT 'hw_10d', COUNT(*), 0, COUNT(*), 0 FROM cohort CROSS JOIN origins""")
 def g9_smoothing(spark, sf_dir):
-    return diagnostics.fit_diagnostics(
-        backtest.fit_records(backtest.smoothing_fits(grid_of(spark, sf_dir), P), P))
+    """All smoothing histories, and one of ten days that falls back everywhere."""
+    shop = shop_of(spark, sf_dir)
+    short = smoothing_protocol(shop, {"hw_10d": 10})
+    failed = backtest.fit_records(backtest.smoothing_fits(shop.saved_grid(), short), short)
+    return diagnostics.fit_diagnostics(backtest.fit_records(shop.fits(), shop.protocol()).unionByName(failed))
 
 
 @query("g10_distinct_top_products", "product_id:s",

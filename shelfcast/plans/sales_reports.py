@@ -28,7 +28,7 @@ def c2(spark, sf_dir):
 @query("c3_calendar_dimension",
        "date:d month_start:d weekday_number:i weekday:s complete_month:b", "SELECT * FROM days")
 def c3(spark, sf_dir):
-    return facts.calendar(tables.bounds_frame(spark, *tables.day_bounds(spark, sf_dir)))
+    return tables.Shop.read(spark, sf_dir, ()).days
 
 
 @query("c4_daily_totals_zero_filled",
@@ -59,19 +59,47 @@ def c8(spark, sf_dir):
     return tables.Shop.read(spark, sf_dir, tables.UNITS).grid()
 
 
+@query("c5_cohort_established_rules", ELIGIBLE,
+       """SELECT product_id, MIN(date) AS first_sale, MAX(date) AS last_sale, SUM(units) AS initial_units, COUNT(*) AS active_days,
+  COUNT(*) FILTER (WHERE date >= DATE '1998-01-01' - 90) AS recent_active_days,
+  COUNT(*) / CAST(DATE '1998-01-01' - first_day AS DOUBLE) AS active_day_fraction,
+  COUNT(*) FILTER (WHERE date >= DATE '1998-01-01' - 90) / 90.0 AS recent_active_day_fraction,
+  MIN(date) <= first_day + 90 AND COUNT(*) / CAST(DATE '1998-01-01' - first_day AS DOUBLE) >= 0.25
+    AND COUNT(*) FILTER (WHERE date >= DATE '1998-01-01' - 90) / 90.0 >= 0.30 AS eligible
+FROM brand_sales, bounds WHERE date < DATE '1998-01-01' GROUP BY product_id, first_day""")
+def c5_established(spark, sf_dir):
+    """Brands under the established thresholds, none of them lowered."""
+    shop = tables.Shop.read(spark, sf_dir, ())
+    return cohort.cohort_eligibility(tables.brand_sales(spark, sf_dir), shop.bounds, tables.CUTOFF, CohortRules())
+
+
 @query("c9_grid_preflight", "check:s product_id:s forecast_start:d rows:i",
-       """SELECT 'incomplete_calendar' AS "check", c.product_id, o.forecast_start,
-  o.forecast_start + 27 - DATE '1995-01-02' + 1 - COUNT(s.date) AS "rows"
-FROM cohort c CROSS JOIN origins o LEFT JOIN sales s ON s.product_id = c.product_id
-  AND s.date BETWEEN DATE '1995-01-02' AND o.forecast_start + 27
-GROUP BY c.product_id, o.forecast_start
-HAVING o.forecast_start + 27 - DATE '1995-01-02' + 1 > COUNT(s.date)""")
+       """WITH listed AS (SELECT product_id, product_id = (SELECT MIN(product_id) FROM cohort) AS is_first FROM cohort),
+broken AS (SELECT CASE WHEN is_first THEN 'X' || product_id ELSE product_id END AS product_id, date,
+    CASE WHEN day(date) = 14 THEN -1 - units ELSE units END AS units
+  FROM sales JOIN listed USING (product_id) JOIN (SELECT unnest([1, 2]) AS copy) AS copies ON copy = 1 OR day(date) = 13)
+SELECT 'incomplete_calendar' AS "check", i.product_id, o.forecast_start,
+  o.forecast_start + 27 - f.first_day + 1 - COUNT(DISTINCT b.date) AS "rows"
+FROM (SELECT DISTINCT product_id FROM broken) i CROSS JOIN origins o CROSS JOIN (SELECT first_day FROM bounds) f
+LEFT JOIN broken b ON b.product_id = i.product_id AND b.date BETWEEN f.first_day AND o.forecast_start + 27
+GROUP BY i.product_id, o.forecast_start, f.first_day
+HAVING o.forecast_start + 27 - f.first_day + 1 > COUNT(DISTINCT b.date)
+UNION ALL SELECT 'duplicate_product_day', product_id, NULL, SUM(n) FROM (
+  SELECT product_id, date, COUNT(*) AS n FROM broken GROUP BY 1, 2 HAVING COUNT(*) > 1) AS d GROUP BY 2
+UNION ALL SELECT 'invalid_units', product_id, NULL, COUNT(*) FROM broken WHERE units < 0 GROUP BY 2
+UNION ALL SELECT 'changed_population', unnest([product_id, 'X' || product_id]), NULL, 1 FROM listed WHERE is_first""")
 def c9(spark, sf_dir):
-    """The fact itself as a grid: every day without sales is a gap."""
-    shop = tables.Shop.read(spark, sf_dir, tables.UNITS)
+    """The fact itself as a grid, where every day without sales is a gap, with repeated days,
+    negative units and one product under another name."""
+    shop, day = tables.Shop.read(spark, sf_dir, tables.UNITS), F.dayofmonth("date")
     chosen = shop.chosen()
-    sold = shop.sales.join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi")
-    return checks.grid_preflight(sold.select("product_id", "date", "units"), chosen, tables.PROTOCOL)
+    first = chosen.agg(F.min("product_id")).scalar()
+    sold = shop.sales.join(chosen.select("product_id"), "product_id", "left_semi")
+    broken = sold.select(
+        F.when(F.col("product_id") == first, F.concat(F.lit("X"), "product_id")).otherwise(F.col("product_id")).alias("product_id"),
+        "date", F.when(day == 14, -1.0 - F.col("units")).otherwise(F.col("units")).alias("units"),
+        F.explode(F.sequence(F.lit(1), F.when(day == 13, 2).otherwise(1))).alias("copy"))
+    return checks.grid_preflight(broken.drop("copy"), chosen, shop.protocol())
 
 
 @query("c10_cohort_set_comparison", "product_id:s membership:s",
@@ -91,8 +119,7 @@ def d1(spark, sf_dir):
     """Rankings of every part; the part table names them."""
     names = tables.table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("description"))
-    sold = tables.sales(spark, sf_dir, tables.AMOUNTS, "l_partkey")
-    return ranking.in_rank_order(ranking.product_rankings(sold, names))
+    return ranking.in_rank_order(ranking.product_rankings(tables.part_sales(spark, sf_dir), names))
 
 
 @query("d2_monthly_trends",
@@ -153,19 +180,20 @@ def g2(spark, sf_dir):
 
 
 @query("g4_history_context", "origin:d product_id:s date:d units:f",
-       "SELECT o.forecast_start - 1 AS origin, g.product_id, g.date, g.units FROM grid g JOIN origins o "
-       "ON g.date BETWEEN o.forecast_start - 91 AND o.forecast_start - 1")
+       """SELECT o.origin, g.product_id, g.date, SUM(g.units) AS units FROM grid g
+JOIN (SELECT forecast_start - 1 AS origin, CAST(unnest(generate_series(
+  forecast_start - 91, forecast_start - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM origins) o USING (date) GROUP BY 1, 2, 3""")
 def g4(spark, sf_dir):
     origins = cohort.split_rows(spark, tables.PROTOCOL).select(
         F.date_sub("forecast_start", 1).alias("origin"))
-    return diagnostics.history_context(tables.Shop.read(spark, sf_dir, tables.UNITS).grid(), origins)
+    return diagnostics.history_context(tables.Shop.read(spark, sf_dir, tables.UNITS).saved_grid(), origins)
 
 
 @query("g11_active_days_and_span", "product_id:s first_date:d last_date:d positive_sales_days:i",
        "SELECT product_id, MIN(date) AS first_date, MAX(date) AS last_date, "
        "COUNT(*) FILTER (WHERE units > 0) AS positive_sales_days FROM grid GROUP BY product_id")
 def g11(spark, sf_dir):
-    return facts.active_days_and_span(tables.Shop.read(spark, sf_dir, tables.UNITS).grid())
+    return facts.active_days_and_span(tables.Shop.read(spark, sf_dir, tables.UNITS).saved_grid())
 
 
 @query("i1_sales_summary",
@@ -176,4 +204,4 @@ FROM (SELECT *, SUM(units) OVER (PARTITION BY product_id ORDER BY date
         RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS week FROM grid) AS t
 GROUP BY product_id""")
 def i1(spark, sf_dir):
-    return facts.sales_summary(tables.Shop.read(spark, sf_dir, tables.UNITS).grid())
+    return facts.sales_summary(tables.Shop.read(spark, sf_dir, tables.UNITS).saved_grid())

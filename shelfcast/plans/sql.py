@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from ..functions.smoothing import FORMS
+
 _CODE = (
     "lpad(CAST(l_suppkey % 100000 AS VARCHAR), 5, '0') || CASE WHEN l_suppkey >= 100000 THEN "
     "chr(CAST(65 + ((l_suppkey // 100000 - 1) // 26) % 26 AS INTEGER)) || "
@@ -77,21 +79,24 @@ SELECT *, CASE WHEN invalid_date THEN 'invalid_date'
   ELSE 'retained' END AS reason
 FROM flagged""",
     "merchandise": "SELECT * FROM reasoned WHERE reason = 'retained'",
-    "bounds": """
-SELECT MIN(CAST(l_shipdate AS DATE)) AS first_day, MAX(CAST(l_shipdate AS DATE)) - 1 AS last_day
-FROM lineitem""",
-    "sales": f"""
-SELECT {_CODE} AS product_id, CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS units,
-  SUM(CAST(l_quantity * l_extendedprice AS DECIMAL(18,4))) AS positive_sales_gbp,
-  COUNT(*) AS transaction_lines,
-  last({_DESCRIBED} ORDER BY l_orderkey * 8 + l_linenumber, {_DESCRIBED}) FILTER (WHERE {_DESCRIBED} IS NOT NULL) AS description
-FROM lineitem, bounds WHERE CAST(l_shipdate AS DATE) <= last_day GROUP BY 1, 2""",
+    "bounds": "SELECT MIN(date) AS first_day, MAX(date) - 1 AS last_day FROM typed",
+    "sales": """
+SELECT product_id, date, SUM(units) AS units,
+  SUM(CAST(units * unit_price AS DECIMAL(18,4))) AS positive_sales_gbp, COUNT(*) AS transaction_lines,
+  last(description ORDER BY l_orderkey * 8 + l_linenumber, description)
+    FILTER (WHERE description IS NOT NULL) AS description
+FROM merchandise GROUP BY product_id, date""",
+    "line_days": """
+SELECT MAX(CAST(l_shipdate AS DATE)) - 1 AS last_day FROM lineitem""",
+    "brand_sales": """
+SELECT p_brand AS product_id, CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS units
+FROM lineitem JOIN part ON p_partkey = l_partkey, line_days WHERE CAST(l_shipdate AS DATE) <= last_day GROUP BY 1, 2""",
     "part_sales": """
 SELECT CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_shipdate AS DATE) AS date,
   SUM(l_quantity) AS units,
   SUM(CAST(l_quantity * l_extendedprice AS DECIMAL(18,4))) AS positive_sales_gbp,
   COUNT(*) AS transaction_lines
-FROM lineitem, bounds WHERE CAST(l_shipdate AS DATE) <= last_day GROUP BY 1, 2""",
+FROM lineitem, line_days WHERE CAST(l_shipdate AS DATE) <= last_day GROUP BY 1, 2""",
     "products": """
 SELECT product_id, COALESCE(last(description ORDER BY date) FILTER (WHERE description IS NOT NULL),
   'Description unavailable') AS description
@@ -173,8 +178,11 @@ SELECT c.product_id, COALESCE(last(s.description ORDER BY s.date) FILTER (WHERE
   'Description unavailable') AS description
 FROM cohort c JOIN sales s ON s.product_id = c.product_id AND s.date < DATE '1998-01-01' GROUP BY 1""",
     "grid": """
-SELECT c.product_id, d.date, COALESCE(s.units, 0) AS units
-FROM cohort c CROSS JOIN days d LEFT JOIN sales s ON s.product_id = c.product_id AND s.date = d.date""",
+SELECT product_id, date, SUM(units) AS units
+FROM (SELECT product_id, CAST(unnest(calendar) AS DATE) AS date, 0 AS units
+      FROM cohort, (SELECT list(date) AS calendar FROM days) AS listed
+      UNION ALL SELECT product_id, date, units FROM sales WHERE product_id IN (SELECT product_id FROM cohort)) AS filled
+GROUP BY product_id, date""",
     "origins": """
 SELECT CAST(day AS DATE) AS forecast_start FROM (VALUES ('1998-01-01'), ('1998-03-01'),
   ('1998-05-01'), ('1998-07-01'), ('1998-09-01'), ('1998-11-01')) AS v(day)""",
@@ -194,7 +202,7 @@ GROUP BY m.model, m.history, o.forecast_start, h.product_id, h.date, h.units""",
     "thresholds": """
 SELECT product_id, forecast_start, MIN(date) AS train_start, MAX(date) AS train_end,
   COUNT(*) AS training_observations, quantile_cont(units, 0.99) AS threshold_99
-FROM grid JOIN origins ON date < forecast_start WHERE date >= DATE '1995-01-02' GROUP BY 1, 2""",
+FROM grid JOIN origins ON date < forecast_start GROUP BY 1, 2""",
     "labelled": """
 SELECT p.*, t.threshold_99 AS spike_threshold, p.actual > t.threshold_99 AS is_spike
 FROM predictions p JOIN thresholds t USING (product_id, forecast_start)""",
@@ -274,9 +282,75 @@ WHERE c.model = 'weekday_mean_4w' AND b.model = 'seasonal_naive'""",
 }
 
 
+_GAINS = "a, b, g, d"
+_BASE = "(f.level + f.d * f.trend)"
+_LEVEL = f"(f.a * (y.units - f.s0) + (1.0 - f.a) * {_BASE})"
+_SEASONS = ", ".join(f"s{k}" for k in range(7))
+
+
+def _smoothing_tables(prefix: str, models: dict[str, tuple[str, int | None]]) -> dict[str, str]:
+    """Smoothing day by day as a recursion: states, best fits and predictions of some models."""
+    listed = ", ".join(f"('{m}', '{form}', {'NULL' if w is None else w})" for m, (form, w) in models.items())
+    gains = ", ".join(f"('{form}', {', '.join(f'CAST({x} AS DOUBLE)' for x in c)})"
+                      for form in sorted({form for form, _ in models.values()}) for c in FORMS[form])
+    season = " ".join(f"WHEN {k} THEN s{k}" for k in range(7))
+    starts = ",\n  ".join(
+        f"CASE WHEN form = 'ses' THEN CAST(0 AS DOUBLE) ELSE SUM(units) FILTER (WHERE g.date - s.first_day IN ({k}, {k + 7})) / 2.0 - SUM(units) / 14.0 END AS s{k}"
+        for k in range(7))
+    return {
+        f"{prefix}_spans": f"""
+SELECT m.model, m.form, CASE WHEN m.history IS NULL THEN NULL ELSE o.forecast_start END AS own_start,
+  CASE WHEN m.history IS NULL THEN b.first_day ELSE o.forecast_start - m.history END AS first_day,
+  MAX(o.forecast_start) - 1 AS last_day
+FROM (VALUES {listed}) AS m(model, form, history) CROSS JOIN origins o CROSS JOIN bounds b GROUP BY 1, 2, 3, 4""",
+        f"{prefix}_starts": f"""
+SELECT s.model, s.form, s.own_start, s.first_day, s.last_day, g.product_id, SUM(units) / 14.0 AS level,
+  {starts}
+FROM {prefix}_spans s JOIN grid g ON g.date >= s.first_day AND g.date < s.first_day + 14 GROUP BY 1, 2, 3, 4, 5, 6""",
+        f"{prefix}_states": f"""
+SELECT model, own_start, product_id, {_GAINS}, first_day - 1 AS date, last_day, level, CAST(0 AS DOUBLE) AS trend,
+  {_SEASONS}, CAST(0 AS DOUBLE) AS sse
+FROM {prefix}_starts JOIN (VALUES {gains}) AS c(form, {_GAINS}) USING (form)
+UNION ALL
+SELECT f.model, f.own_start, f.product_id, f.a, f.b, f.g, f.d, f.date + 1, f.last_day, {_LEVEL},
+  f.b * ({_LEVEL} - f.level) + (1.0 - f.b) * f.d * f.trend, f.s1, f.s2, f.s3, f.s4, f.s5, f.s6,
+  f.g * (y.units - {_BASE}) + (1.0 - f.g) * f.s0,
+  f.sse + (y.units - {_BASE} - f.s0) * (y.units - {_BASE} - f.s0)
+FROM {prefix}_states f JOIN grid y ON y.product_id = f.product_id AND y.date = f.date + 1 WHERE f.date < f.last_day""",
+        f"{prefix}_fits": f"""
+SELECT s.*, o.forecast_start, ROUND(sse, 6) AS rounded_sse,
+  COALESCE(s.own_start, o.forecast_start) AS fits_start
+FROM {prefix}_states s JOIN origins o ON s.date = o.forecast_start - 1 AND (s.own_start IS NULL OR s.own_start = o.forecast_start)
+QUALIFY row_number() OVER (PARTITION BY s.model, o.forecast_start, s.product_id ORDER BY ROUND(sse, 6), {_GAINS}) = 1""",
+        f"{prefix}_forecasts": f"""
+SELECT f.model, f.forecast_start, f.product_id, h.date, h.date - f.forecast_start + 1 AS horizon_day, h.units AS actual,
+  level + CASE WHEN d > 0 THEN d * (1.0 - pow(d, h.date - f.forecast_start + 1)) / (1.0 - d) ELSE 0 END * trend
+    + CASE (h.date - f.forecast_start) % 7 {season} END AS unclipped,
+  a = {FORMS['hw_weekly'][-1][0]} AS at_end
+FROM {prefix}_fits f JOIN grid h ON h.product_id = f.product_id
+  AND h.date >= f.forecast_start AND h.date < f.forecast_start + 28""",
+    }
+
+
+WINDOWS = {"hw_expanding": ("hw_weekly", None), "hw_182d": ("hw_weekly", 182), "hw_365d": ("hw_weekly", 365)}
+TABLES |= _smoothing_tables("smooth", WINDOWS)
+TABLES |= _smoothing_tables("archived", {"ses": ("ses", None), "hw_damped_weekly": ("hw_damped_weekly", None)})
+TABLES["smooth_predictions"] = """
+SELECT s.model, s.forecast_start, s.product_id, s.date, s.horizon_day, s.actual, GREATEST(s.unclipped, 0) AS prediction,
+  s.forecast_start + 27 AS forecast_end, s.forecast_start - 1 AS origin, p.first_day AS train_start,
+  s.forecast_start - p.first_day AS training_observations
+FROM smooth_forecasts s JOIN smooth_spans p ON p.model = s.model AND COALESCE(p.own_start, s.forecast_start) = s.forecast_start"""
+TABLES["predictions_all"] = "SELECT * FROM predictions UNION ALL SELECT * FROM smooth_predictions"
+# The same tables over all six methods.
+for _name in ["errors", "product_metrics", "overall_metrics", "detail", "pairwise", "labelled"]:
+    TABLES[f"{_name}_all"] = re.sub(
+        r"\b(predictions|errors|product_metrics|overall_metrics|detail)\b(?! AS\b)", r"\1_all", TABLES[_name])
+MATERIALIZED = {"cohort", "sales"}
+
+
 def _needed(text: str, found: list[str]) -> None:
     for name in TABLES:
-        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text) and text is not TABLES[name]:
             _needed(TABLES[name], found)
             if name not in found:
                 found.append(name)
@@ -288,5 +362,7 @@ def with_tables(body: str) -> str:
     _needed(body, found)
     if not found:
         return body
-    listed = ",\n".join(f"{name} AS ({TABLES[name].strip()}\n)" for name in found)
-    return f"WITH {listed}\n{body}"
+    listed = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({TABLES[name].strip()}\n)" for name in found)
+    recursive = "RECURSIVE " if any(name.endswith("_states") for name in found) else ""
+    return f"WITH {recursive}{listed}\n{body}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,15 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Without the setting it lies under the warehouse, which executors share as well; no
-    machine-local folder is used.
+    Where that is unset a session within one machine, as in tests, uses a folder under its
+    warehouse; on a cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -6,21 +6,21 @@ the same rows as untyped text with the defects a cleaning job has to find.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cohort, facts
-from ..schemas import CohortRules, Protocol
+from ..operators import backtest, checks, cleaning, cohort, diagnostics, facts
+from ..schemas import RAW_FIELDS, CohortRules, Protocol
 from ..session import written
+from . import store
 
 CUTOFF = date(1998, 1, 1)
 RULES = CohortRules(min_active_day_fraction=0.15, min_recent_active_day_fraction=0.15)
 PROTOCOL = Protocol(
     forecast_starts=tuple(date(1998, m, 1) for m in (1, 3, 5, 7, 9, 11)),
-    expanding_start=date(1995, 1, 2),  # the first covered day
 )
 SOURCE, SOURCES = "source", ["F", "O"]
 POSITION = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -90,11 +90,27 @@ def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def day_bounds(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
-    """First day and last raw day: two dates from one column of the table.
+def audited_lines(spark: SparkSession, sf_dir: str, position: str | None = None, repeats: bool = False) -> DataFrame:
+    """Flagged lines with their copies; ``repeats``: within a source, too, they are one row."""
+    raw = messy_lines(spark, sf_dir)
+    last = cleaning.coverage_bounds(cleaning.coerce_types(raw)).select("final_day").scalar()
+    day = None if repeats else F.left(F.col("invoice_date"), F.lit(10))
+    distinct = cleaning.distinct_lines(raw, RAW_FIELDS, SOURCE, SOURCES, position, day)
+    return cleaning.flag_distinct(cleaning.typed_lines(distinct), last)
 
-    They become constants of the plans, so date limits reach every scan.
-    """
+
+def cleaned_fact(spark: SparkSession, sf_dir: str) -> store.Fact:
+    """From raw text lines to the stored product/day fact; built once per content of the lines."""
+    def build() -> tuple[DataFrame, date, date]:
+        bounds = cleaning.coverage_bounds(cleaning.coerce_types(messy_lines(spark, sf_dir))).first()
+        merchandise = cleaning.merchandise(audited_lines(spark, sf_dir, "position"))
+        return facts.product_day_sales(merchandise), bounds["start"], bounds["final_day"]
+
+    return store.stored_fact(table(spark, sf_dir, "lineitem"), "sales", build)
+
+
+def day_bounds(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """First day and last raw day of the lines of parts, which become constants of the plans."""
     row = table(spark, sf_dir, "lineitem").agg(
         F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
     return row[0], row[1]
@@ -106,58 +122,53 @@ def bounds_frame(spark: SparkSession, first: date, final: date) -> DataFrame:
         F.lit(first).alias("start"), F.lit(final - timedelta(days=1)).alias("end"))
 
 
-def sale_lines(
-    spark: SparkSession, sf_dir: str, final: date, product: str = "l_suppkey",
-) -> DataFrame:
-    """Typed lines before the final day; the day limit reaches the scan."""
-    code = product_code(F.col(product)) if product == "l_suppkey" else F.col(product).cast("string")
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.filter(F.col("l_shipdate") < F.lit(final).cast("timestamp_ntz")).select(
-        code.alias("product_id"),
-        F.to_date("l_shipdate").alias("date"),
-        F.col("l_quantity").alias("units"),
-        F.col("l_extendedprice").alias("unit_price"),
-        described(code).alias("description"),
-        position().alias("last_position"),
-    )
+def part_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product/day amounts of parts from the lines as they are; the day limit reaches the scan."""
+    _, final = day_bounds(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(final).cast("timestamp_ntz"))
+    return facts.product_day_sales(lines.select(
+        F.col("l_partkey").cast("string").alias("product_id"), F.to_date("l_shipdate").alias("date"),
+        F.col("l_quantity").alias("units"), F.col("l_extendedprice").alias("unit_price")))
 
 
-def fact(
-    spark: SparkSession, sf_dir: str, final: date, columns: tuple[str, ...],
-    product: str = "l_suppkey",
-) -> DataFrame:
-    """The product/day fact with the asked columns; the scan reads no others."""
-    lines = sale_lines(spark, sf_dir, final, product)
-    if "description" not in columns:
-        lines = lines.drop("description", "last_position")
-    return facts.product_day_sales(lines).select("product_id", "date", *columns)
+def brand_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product/day units with brands as products: dense series, as the established cohort rules expect."""
+    _, final = day_bounds(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(final).cast("timestamp_ntz")).select(
+        "l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity")
+    # One row per part and day before parts meet their brands.
+    daily = lines.groupBy("l_partkey", "date").agg(F.sum("l_quantity").alias("units"))
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_id"))
+    return daily.join(brands, "l_partkey").groupBy("product_id", "date").agg(F.sum("units").alias("units"))
 
 
-def sales(
-    spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = DESCRIBED, product: str = "l_suppkey",
-) -> DataFrame:
-    return fact(spark, sf_dir, day_bounds(spark, sf_dir)[1], columns, product)
+def sales(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = DESCRIBED) -> DataFrame:
+    return cleaned_fact(spark, sf_dir).sales.select("product_id", "date", *columns)
 
 
 @dataclass(frozen=True)
 class Shop:
-    """The product/day fact of one run with its calendar.
+    """The stored product/day fact of one run with its calendar and its saved backtest.
 
-    The fact is written once to the shared folder: lines are scanned and shuffled a
-    single time, and cohort, grid and reports all start from the small table. Ask only
-    for the columns that are used: the write would otherwise keep the rest alive.
+    Lines are scanned and shuffled a single time; cohort, grid and reports all start from the
+    stored table, which lies in buckets of products. Ask only for the columns that are used.
     """
 
+    spark: SparkSession
+    fact: store.Fact
     sales: DataFrame
     bounds: DataFrame
     days: DataFrame
 
     @classmethod
     def read(cls, spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> "Shop":
-        first, final = day_bounds(spark, sf_dir)
-        bounds = bounds_frame(spark, first, final)
-        sold = written(fact(spark, sf_dir, final, columns), "sales")
-        return cls(sold, bounds, facts.calendar(bounds))
+        fact = cleaned_fact(spark, sf_dir)
+        bounds = bounds_frame(spark, fact.first_day, fact.final_day)
+        return cls(spark, fact, fact.sales.select("product_id", "date", *columns), bounds, facts.calendar(bounds))
+
+    def protocol(self) -> Protocol:
+        """Histories that grow start on the first covered day."""
+        return replace(PROTOCOL, expanding_start=self.fact.first_day)
 
     def totals(self) -> DataFrame:
         return facts.daily_totals(self.sales, self.days)
@@ -173,3 +184,40 @@ class Shop:
 
     def grid(self) -> DataFrame:
         return facts.dense_daily_grid(self.sales, self.chosen(), self.days)
+
+    def _stored(self, name: str, parameters: object, build, **options) -> DataFrame:
+        return store.stored_by(self.spark, self.fact.folder, (parameters, CUTOFF, RULES), name, build, **options)
+
+    def saved_grid(self) -> DataFrame:
+        """The cohort's grid, written once; a grid that no backtest can use stops the run."""
+        protocol = self.protocol()
+        return self._stored("grid", protocol, self.grid, check=lambda grid: checks.require_none(
+            checks.grid_preflight(grid, self.chosen(), protocol)))
+
+    def backtest(self) -> DataFrame:
+        """Baseline predictions with thresholds and labels, saved by origin and method."""
+        protocol = self.protocol()
+
+        def build() -> DataFrame:
+            grid = self.saved_grid()
+            return backtest.window_backtest_frame(grid, protocol, diagnostics.spike_thresholds(grid, protocol))
+
+        return self._stored("backtest", protocol, build, partitions=("forecast_start", "model"), check=lambda rows: (
+            checks.require_none(checks.support_validation(rows, self.chosen(), list(protocol.baselines), protocol))))
+
+    def fits(self) -> DataFrame:
+        """The smoothing fits of all products, origins and histories."""
+        protocol = self.protocol()
+        return self._stored("fits", protocol, lambda: backtest.smoothing_fits(self.saved_grid(), protocol))
+
+    def full_backtest(self) -> DataFrame:
+        """As ``backtest`` with the smoothing methods beside the baselines."""
+        protocol = self.protocol()
+
+        def build() -> DataFrame:
+            grid = self.saved_grid()
+            return backtest.window_backtest_frame(
+                grid, protocol, diagnostics.spike_thresholds(grid, protocol), self.fits())
+
+        return self._stored("full-backtest", protocol, build, partitions=("forecast_start", "model"), check=lambda rows: (
+            checks.require_none(checks.support_validation(rows, self.chosen(), protocol.methods, protocol))))
