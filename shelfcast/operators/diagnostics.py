@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_true, percent
@@ -21,27 +21,36 @@ TOP_PRODUCTS = 5
 def spike_thresholds(grid: DataFrame, protocol: Protocol) -> DataFrame:
     """High percentile of daily units per (product, origin), zeros included.
 
-    Exact and linearly interpolated, over the days strictly before the origin. All
-    origins are conditional aggregates of one pass over a product's days, so rows
-    are not repeated per origin.
+    Exact and linearly interpolated, over the days strictly before the origin. The days of
+    each product are counted by value and by the span between origins they lie in; an origin
+    merges the counts of its spans. So a product is one exact histogram however many origins
+    there are, and none of its days is read twice.
     """
-    starts = protocol.forecast_starts
-    first = F.lit(protocol.expanding_start)
-    known = grid.filter((F.col("date") >= first) & (F.col("date") < F.lit(max(starts))))
-    per_origin = []
-    for i, start in enumerate(starts):
-        before = F.col("date") < F.lit(start)
-        per_origin += [
-            F.percentile(F.when(before, F.col("units")), protocol.spike_percentile).alias(f"p{i}"),
-            count_true(before).alias(f"n{i}"),
-        ]
-    wide = known.groupBy("product_id").agg(F.min("date").alias("train_start"), *per_origin)
-    rows = [
-        F.struct(F.lit(s).alias("forecast_start"), F.date_sub(F.lit(s), 1).alias("train_end"),
-                 F.col(f"n{i}").alias("training_observations"), F.col(f"p{i}").alias("threshold_99"))
-        for i, s in enumerate(starts)
-    ]
-    return wide.select("product_id", "train_start", F.inline(F.array(*rows)))
+    starts = sorted(protocol.forecast_starts)
+    known = grid.filter((F.col("date") >= F.lit(protocol.expanding_start)) & (F.col("date") < F.lit(starts[-1])))
+    span = F.lit(0)
+    for start in starts[:-1]:
+        span = span + F.when(F.col("date") >= F.lit(start), 1).otherwise(0)
+    counted = known.groupBy("product_id", span.alias("span"), "units").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"))
+    origins = F.array(*[F.struct(F.lit(i).alias("span"), F.lit(s).alias("forecast_start")) for i, s in enumerate(starts)])
+    # A value's count in an origin's history: the spans up to it added up.
+    merged = counted.select("product_id", "units", "n", "first", F.explode(F.filter(
+        origins, lambda o: o["span"] >= F.col("span"))).alias("o")).groupBy(
+        "product_id", F.col("o.forecast_start").alias("forecast_start"), "units").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"))
+    history = Window.partitionBy("product_id", "forecast_start")
+    upto = history.orderBy("units").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = merged.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(history).alias("all"))
+    place = (F.col("all") - 1) * F.lit(protocol.spike_percentile)
+    lower = F.min(F.when(F.col("upto") > F.floor(place), F.col("units")))
+    upper = F.min(F.when(F.col("upto") > F.ceil(place), F.col("units")))
+    part = F.max(place - F.floor(place))
+    return ranked.groupBy("product_id", "forecast_start").agg(
+        F.min("first").alias("train_start"), F.max("all").alias("training_observations"),
+        (lower + part * (upper - lower)).alias("threshold_99"),
+    ).select("product_id", "train_start", "forecast_start", F.date_sub("forecast_start", 1).alias("train_end"),
+             "training_observations", "threshold_99")
 
 
 def spike_summary(predictions: DataFrame) -> DataFrame:
@@ -261,12 +270,12 @@ def walkthrough_spike(predictions: DataFrame, method: str) -> DataFrame:
     )
 
 
-def findings(growth: DataFrame, rankings: DataFrame, weekdays: DataFrame) -> DataFrame:
+def findings(growth: DataFrame, totals: DataFrame, weekdays: DataFrame) -> DataFrame:
     """Latest matched growth, value leader and strongest weekday, with their inputs."""
     latest = growth.filter(F.col("value_growth_pct").isNotNull()).orderBy(F.desc("year")).limit(1)
     sales = F.col("positive_sales_gbp")
     # The leader and the total come from one pass; no rank is needed.
-    leader = rankings.agg(
+    leader = totals.agg(
         F.min(F.when(sales.isNotNull(), F.struct((-sales).alias("lowered"), "product_id", "positive_sales_gbp")))
         .alias("first"), F.sum(sales).alias("total"),
     ).filter("first IS NOT NULL").select("first.*", "total")

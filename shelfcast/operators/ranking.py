@@ -8,58 +8,50 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percent
 from ..session import written
 
-RANK_BUCKETS = 256
+def dense_rank_desc(rows: DataFrame, column: str, rank: str, key: str, ranges: int | None = None) -> DataFrame:
+    """Add the dense rank of ``column``, largest first; a null has no rank.
 
-
-def rank_cutpoints(values: DataFrame, column: str, buckets: int) -> list:
-    """At most ``buckets - 1`` values that split the distinct values evenly.
-
-    One row comes to the driver. The split only balances work: any cut points give
-    the same ranks.
+    Rows are sorted once into ranges of (value, key), so rows that tie are dealt out like
+    others, however many they are. Values are numbered inside each range and shifted by the
+    numbers of the ranges before; a value that goes on over a border counts once. Only one
+    row per range is gathered, and nothing is joined on the value.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    found = values.agg(F.percentile_approx(column, probs, 10 * buckets).alias("cut")).first()["cut"]
-    return sorted(set(found or []))
-
-
-def dense_rank_desc(rows: DataFrame, column: str, rank: str, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Add the dense rank of ``column``, largest first.
-
-    Distinct values are cut into ranges, ranked inside each range, and shifted by
-    the number of values in higher ranges, so no window sees the whole column. A null
-    has no rank.
-    """
-    values = rows.select(column).filter(F.col(column).isNotNull()).distinct()
-    cuts = rank_cutpoints(values, column, buckets)
-    bucket = F.lit(0)
-    if cuts:
-        as_array = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(as_array, lambda cut: cut <= F.col(column)))
-    placed = values.withColumn("_bucket", bucket)
-    # One row per range: at most ``buckets`` rows in this window and broadcast.
-    above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_bucket", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    inside = Window.partitionBy("_bucket").orderBy(F.desc(column))
-    ranked = placed.join(F.broadcast(offsets), "_bucket").select(
-        column, (F.row_number().over(inside) + F.col("_above")).alias(rank))
-    return rows.join(ranked, column, "left")
-
-
-def product_rankings(sales: DataFrame, products: DataFrame) -> DataFrame:
-    """Totals per product with dense ranks by units and value, and value share."""
-    totals = sales.groupBy("product_id").agg(
+    part = "_part"
+    order = [F.desc(column), F.col(key)]
+    known = rows.filter(F.col(column).isNotNull()).repartitionByRange(*([ranges] if ranges else []), *order).withColumn(
+        part, F.spark_partition_id())
+    inside = Window.partitionBy(part).orderBy(F.desc(column))
+    # Written: the ranges are worked out anew whenever the rows are.
+    placed = written(known.withColumn("_local", F.dense_rank().over(inside)), "ranges")
+    borders = placed.groupBy(F.col(part).alias("_of")).agg(
+        F.max("_local").alias("n"), F.max(column).alias("first"), F.min(column).alias("last"))
+    before = Window.orderBy("_of")
+    goes_on = F.when(F.col("first") == F.lag("last").over(before), 1).otherwise(0)
+    offsets = borders.select("_of", "n", goes_on.alias("goes_on")).select(
+        "_of", (F.sum(F.col("n") - F.col("goes_on")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                - F.col("n")).alias("_above"))
+    ranked = placed.join(F.broadcast(offsets), F.col(part) == F.col("_of")).select(
+        *rows.columns, (F.col("_local") + F.col("_above")).cast("long").alias(rank))
+    return ranked.unionByName(rows.filter(F.col(column).isNull()).withColumn(rank, F.lit(None).cast("long")))
+
+
+def product_totals(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("product_id").agg(
         F.sum("units").alias("positive_units"),
         F.sum("positive_sales_gbp").alias("positive_sales_gbp"),
         F.sum("transaction_lines").alias("retained_lines"),
         F.count(F.lit(1)).alias("active_calendar_days"),
     )
-    # The totals feed two cut-point reads, two rankings and the grand total, so they
-    # are written once instead of scanning the fact five times.
+
+
+def product_rankings(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Totals per product with dense ranks by units and value, and value share."""
+    totals = product_totals(sales)
+    # The totals feed two sorts, each with its sample, and the grand total, so they are
+    # written once instead of scanning the fact five times.
     described = written(totals.join(products, "product_id"), "product-totals")
-    ranked = described
-    for column, rank in [("positive_units", "units_rank"), ("positive_sales_gbp", "value_rank")]:
-        ranked = dense_rank_desc(ranked, column, rank)
+    ranked = dense_rank_desc(described, "positive_units", "units_rank", "product_id")
+    ranked = dense_rank_desc(ranked, "positive_sales_gbp", "value_rank", "product_id")
     whole = described.agg(F.sum("positive_sales_gbp").alias("v")).select(F.col("v").cast("double"))
     return ranked.withColumn(
         "value_share_pct",

@@ -487,14 +487,14 @@ _METRICS = ["mae", "wape", "signed_bias", "percentage_bias", "overprediction_uni
             "underprediction_units", "absolute_error_sum", "actual_units"]
 
 
-def _reconcile_sql(left: str, right: str, on: str) -> str:
-    """Differences per column between two metric tables, by full join."""
+def _reconcile_sql(left: str, right: str, on: str, close: list[str] = _METRICS, exact: list[str] = ["observations"]) -> str:
+    """Differences per column between two tables, by full join."""
     joined = f"(SELECT l, r FROM {left} l FULL JOIN {right} r ON {on}) AS j"
-    parts = [f"SELECT 'only_left' AS item, COUNT(*) FILTER (WHERE r IS NULL) AS differences FROM {joined}",
-             f"SELECT 'only_right', COUNT(*) FILTER (WHERE l IS NULL) FROM {joined}"]
-    for c in [*_METRICS, "observations"]:
-        test = _CLOSE.format(c=c) if c != "observations" else "l.observations <> r.observations"
-        parts.append(f"SELECT '{c}', COUNT(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL AND {test}) "
+    parts = [f"SELECT 'only_left' AS item, COUNT(*) FILTER (WHERE r.model IS NULL) AS differences FROM {joined}",
+             f"SELECT 'only_right', COUNT(*) FILTER (WHERE l.model IS NULL) FROM {joined}"]
+    for c in [*close, *exact]:
+        test = _CLOSE.format(c=c) if c in close else f"l.{c} IS DISTINCT FROM r.{c}"
+        parts.append(f"SELECT '{c}', COUNT(*) FILTER (WHERE l.model IS NOT NULL AND r.model IS NOT NULL AND {test}) "
                      f"FROM {joined}")
     return " UNION ALL ".join(parts)
 
@@ -507,7 +507,48 @@ def _reconcile_sql(left: str, right: str, on: str) -> str:
 def f17(spark, sf_dir):
     """Every method under the next one's name: actuals must agree, errors need not."""
     scored = products(spark, sf_dir)
-    return checks.metric_reconcile(scored, scored, dict(zip(BASELINES, BASELINES[1:] + BASELINES[:1])))
+    return checks.metric_reconcile(
+        scored, scored, dict(zip(BASELINES, BASELINES[1:] + BASELINES[:1])), checks.unique_key(scored, scored))
+
+
+_CHANGED = """(SELECT model, forecast_start, product_id, date, horizon_day, training_observations, spike_threshold,
+    actual + CASE WHEN horizon_day = 5 THEN 1 ELSE 0 END AS actual,
+    prediction + CASE WHEN horizon_day = 28 THEN 0.5 WHEN horizon_day % 2 = 1 THEN 1e-9 ELSE 0 END AS prediction,
+    CASE WHEN horizon_day = 2 THEN 'failure_baseline_fallback' ELSE 'ok' END AS status,
+    CASE WHEN horizon_day = 1 THEN NOT is_spike ELSE is_spike END AS is_spike
+  FROM labelled WHERE NOT (horizon_day = 3 AND model = 'seasonal_naive'))"""
+
+
+@query("f17_prediction_reconcile", "item:s differences:i", _reconcile_sql(
+    _CHANGED, "(SELECT *, 'ok' AS status FROM labelled WHERE NOT (horizon_day = 4 AND model = 'weekday_mean_4w'))",
+    " AND ".join(f"l.{c} = r.{c}" for c in checks.PREDICTION_KEY),
+    ["actual", "prediction", "spike_threshold"], ["horizon_day", "status", "training_observations", "is_spike"]))
+def f17_predictions(spark, sf_dir):
+    """Predictions worked out anew and changed in every field against the saved ones."""
+    shop, day = shop_of(spark, sf_dir), F.col("horizon_day")
+    protocol = shop.protocol()
+    anew = backtest.window_backtest_frame(
+        shop.saved_grid(), protocol, diagnostics.spike_thresholds(shop.saved_grid(), protocol))
+    changed = anew.filter(~((day == 3) & (F.col("model") == "seasonal_naive"))).withColumns({
+        "actual": F.col("actual") + F.when(day == 5, 1.0).otherwise(0.0),
+        "prediction": F.col("prediction") + F.when(day == 28, 0.5).when(day % 2 == 1, 1e-9).otherwise(0.0),
+        "status": F.when(day == 2, backtest.FAILED).otherwise(F.col("status")),
+        "is_spike": F.when(day == 1, ~F.col("is_spike")).otherwise(F.col("is_spike"))})
+    saved = shop.backtest().filter(~((day == 4) & (F.col("model") == "weekday_mean_4w")))
+    return checks.prediction_reconcile(changed, saved)
+
+
+@query("f17_saved_backtest_holds", "item:s differences:i",
+       "SELECT unnest(['only_left', 'only_right', 'horizon_day', 'actual', 'prediction', 'status', 'training_observations', "
+       "'spike_threshold', 'is_spike']) AS item, CASE WHEN (SELECT COUNT(*) FROM labelled) = 0 THEN 1 ELSE 0 END AS differences")
+def f17_saved(spark, sf_dir):
+    """The saved backtest of all methods against one worked out anew."""
+    shop = shop_of(spark, sf_dir)
+    protocol = shop.protocol()
+    anew = backtest.window_backtest_frame(
+        shop.saved_grid(), protocol, diagnostics.spike_thresholds(shop.saved_grid(), protocol),
+        written(backtest.smoothing_fits(shop.saved_grid(), protocol), "fits"))
+    return checks.prediction_reconcile(anew, shop.full_backtest())
 
 
 @query("f18_table_reconcile", "item:s differences:i", _reconcile_sql(

@@ -160,9 +160,9 @@ UNION ALL SELECT * FROM (SELECT 'weekday_pattern', weekday, average_daily_sales_
     CAST(covered_calendar_days AS DOUBLE)
   FROM weekdays ORDER BY average_daily_sales_gbp DESC, weekday_number LIMIT 1)""")
 def f23(spark, sf_dir):
-    shop = tables.Shop.read(spark, sf_dir, tables.DESCRIBED)
+    shop = tables.Shop.read(spark, sf_dir, tables.AMOUNTS)
     return diagnostics.findings(
-        reports.comparable_growth(shop.days, shop.totals()), rankings(shop),
+        reports.comparable_growth(shop.days, shop.totals()), ranking.product_totals(shop.sales),
         reports.weekday_seasonality(shop.days, shop.totals()))
 
 

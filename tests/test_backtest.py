@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from series import END, ONE_ORIGIN, ORIGIN, START, day_list, grid_of, repeating
 from shelfcast.functions import smoothing
-from shelfcast.functions.smoothing import FORMS, fit_histories
 from shelfcast.operators import backtest, checks, diagnostics
 from shelfcast.session import written
 
@@ -116,48 +115,97 @@ def test_failed_fits_stay_in_the_scores_with_the_last_week(spark):
     assert counts["hw_182d"].fallback_fits == 1 and counts["hw_expanding"].clipped_observations == 28
 
 
-def test_unfit_histories_carry_their_reason():
-    fits = fit_histories([np.ones(10), np.array([1.0, np.nan] * 20), np.full(40, 3.0)], FORMS["hw_weekly"], 28)
-    assert fits[0].error == "Smoothing requires two full weeks" and fits[0].forecast is None
-    assert fits[1].error == "Nonfinite history"
-    assert fits[2].error is None and np.allclose(fits[2].forecast, 3.0) and fits[2].sse < 1e-9
-
-
-def direct_sse(y, level_gain, season_gain):
-    """Error sum by the plain recursion with a least-squares start state."""
-    errors, level, season = [], np.zeros(8), np.eye(7, 8)
-    for t, value in enumerate(y):
-        j = (t - len(y)) % 7
-        e = -(level + season[j])
-        e[-1] += value
-        errors.append(e)
-        level = level + level_gain * e
-        season[j] = season[j] + season_gain * e
-    errors = np.array(errors)
-    theta = np.linalg.lstsq(errors[:, :7], -errors[:, 7], rcond=None)[0]
-    return float(((errors[:, :7] @ theta + errors[:, 7]) ** 2).sum())
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_smoothing_finds_no_worse_a_fit_than_a_direct_search(seed):
-    rng = np.random.default_rng(seed)
-    y = rng.poisson(6, 210) + np.tile([0, 1, 2, 3, 4, 8, 0], 30) + np.cumsum(rng.normal(0, 0.4, 210))
-    fit, tail = fit_histories([y, y[-182:]], FORMS["hw_weekly"], 28)
-    level, season = fit.coefficients[:2]
-    assert fit.sse == pytest.approx(direct_sse(y, level, season), rel=1e-8)
-    grid = [direct_sse(y, a, g * (1 - a)) for a in np.linspace(0, 1, 11) for g in np.linspace(0, 1, 6)]
-    assert fit.sse <= min(grid) * (1 + 1e-9)
-    alone = fit_histories([y[-182:]], FORMS["hw_weekly"], 28)[0]
-    assert np.allclose(tail.forecast, alone.forecast) and tail.sse == pytest.approx(alone.sse)
-
-
-def test_other_forms():
-    y = 50 + 2.0 * np.arange(120)
-    simple = fit_histories([np.r_[np.zeros(60), np.ones(60)]], FORMS["ses"], 5)[0]
-    assert np.allclose(simple.forecast, simple.forecast[0]) and 0.9 < simple.forecast[0] <= 1
-    damped = fit_histories([y], FORMS["hw_damped_weekly"], 28)[0]
-    flat = fit_histories([y], FORMS["hw_weekly"], 28)[0]
-    assert damped.sse < flat.sse and damped.forecast[-1] > damped.forecast[0] > y[-1]
+def python_fits(y, form):
+    """Every set of coefficients by a plain loop: (rounded error, gains, forecast)."""
+    out = []
+    for a, b, g, d in smoothing.FORMS[form]:
+        level, trend, sse = sum(y[:14]) / 14.0, 0.0, 0.0
+        season = [(y[k] + y[k + 7]) / 2.0 - level for k in range(7)] if form != "ses" else [0.0] * 7
+        for v in y:
+            base, old = level + d * trend, level
+            e = v - base - season[0]
+            sse += e * e
+            level = a * (v - season[0]) + (1.0 - a) * base
+            trend = b * (level - old) + (1.0 - b) * d * trend
+            season = [*season[1:], g * (v - base) + (1.0 - g) * season[0]]
+        ahead = [level + sum(d ** (i + 1) for i in range(h + 1)) * trend + season[h % 7] for h in range(28)]
+        out.append((round(sse, 6), (a, b, g, d), ahead))
+    return out
+
+
+def spark_fits(spark, histories, form):
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(histories)], "i int, history array<double>")
+    fault = smoothing.history_fault(F.col("history"))
+    found = rows.select("i", F.inline(F.array(F.struct(fault.alias("error"), F.when(
+        fault.isNull(), smoothing.best_fit(F.col("history"), form)).alias("fit"))))).select(
+        "i", "error", "fit.sse", "fit.gains", F.when(F.col("fit").isNotNull(), smoothing.forecasts(F.col("fit"), 28)).alias("ahead"))
+    return sorted(found.collect())
+
+
+@pytest.mark.parametrize("form", list(smoothing.FORMS))
+def test_smoothing_picks_the_best_of_all_coefficients(spark, form):
+    rng = np.random.default_rng(4)
+    histories = [(rng.poisson(6, n) + np.resize([0, 1, 2, 3, 4, 8, 0], n) + np.cumsum(rng.normal(0, 0.4, n))).tolist()
+                 for n in (14, 15, 60, 210)]
+    histories += [[0.0] * 40, [3.0] * 30, (50 + 2.0 * np.arange(60)).tolist()]
+    for row, y in zip(spark_fits(spark, histories, form), histories):
+        best = min(python_fits(y, form), key=lambda f: f[:2])
+        assert row.error is None and row.sse == pytest.approx(best[0], abs=2e-6)
+        assert tuple(row.gains) == best[1] and row.ahead == pytest.approx(best[2])
+
+
+def test_unfit_histories_carry_their_reason(spark):
+    histories = [[1.0] * 13, [1.0, None] * 20, [1.0, float("nan")] * 20, [1.0, float("inf")] * 20, [], [2.0] * 14]
+    rows = spark_fits(spark, histories, "hw_weekly")
+    assert [r.error for r in rows] == [
+        smoothing.TOO_SHORT, *[smoothing.NOT_FINITE] * 3, smoothing.TOO_SHORT, None]
+    assert all(r.ahead is None for r in rows[:-1]) and rows[-1].ahead == [2.0] * 28
+
+
+def test_a_fit_that_fails_leaves_the_others(spark):
+    short = replace(ONE_ORIGIN, smoothing={"hw_10d": 10, "hw_182d": 182})
+    grid = grid_of(spark, repeating())
+    fits = {r.model: r for r in backtest.smoothing_fits(grid, short).collect()}
+    assert fits["hw_10d"].status == backtest.FAILED and fits["hw_10d"].forecast is None
+    assert fits["hw_182d"].status == backtest.OK and len(fits["hw_182d"].forecast) == 28
+    long = backtest.backtest_long_frame(grid, short, backtest.smoothing_fits(grid, short))
+    assert predicted(long, "hw_10d") == predicted(long, "seasonal_naive")
+    assert long.filter("model = 'hw_10d'").select("status").distinct().first()[0] == backtest.FAILED
+
+
+def test_fits_are_worked_out_once(spark):
+    """No filter or projection may repeat the fold over a history."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        fits = backtest.smoothing_fits(grid_of(spark, repeating()), ONE_ORIGIN)
+        plan = fits.select("*", F.posexplode("forecast"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert sum("array_min(" in line for line in plan.split("\n")) == 1
+
+
+def test_history_sums_from_running_sums(spark):
+    values = [float(v) for v in np.random.default_rng(2).integers(0, 9, N)]
+    got = {(r.model): (r.train_start, r.train_end, r.training_observations, r.history_units)
+           for r in backtest.history_sums(grid_of(spark, values), ONE_ORIGIN).collect()}
+    for model, window in {**ONE_ORIGIN.smoothing, **ONE_ORIGIN.baselines}.items():
+        n = window or HISTORY
+        assert got[model] == (ORIGIN - timedelta(days=n), ORIGIN - timedelta(days=1), n, sum(values[HISTORY - n:HISTORY]))
+    with pytest.raises(PySparkException, match="too few days"):
+        backtest.history_sums(grid_of(spark, values).filter(F.col("date") != F.lit(ORIGIN - timedelta(days=20))), ONE_ORIGIN).collect()
+
+
+@pytest.mark.parametrize("percentile", [0.0, 0.5, 0.99, 1.0])
+def test_thresholds_of_growing_histories_are_exact(spark, percentile):
+    rng = np.random.default_rng(6)
+    protocol = replace(ONE_ORIGIN, forecast_starts=tuple(ORIGIN + timedelta(days=d) for d in (-40, -20, 0)), spike_percentile=percentile)
+    for values in (rng.poisson(1, N).astype(float), np.zeros(N), rng.normal(size=N)):
+        found = {r.forecast_start: r for r in diagnostics.spike_thresholds(grid_of(spark, values.tolist()), protocol).collect()}
+        assert len(found) == 3
+        for start, r in found.items():
+            known = values[: (start - START).days]
+            assert r.training_observations == len(known) and r.train_start == START and r.train_end == start - timedelta(days=1)
+            assert r.threshold_99 == pytest.approx(np.quantile(known, percentile))
 
 
 def problem_grid(spark, kind):
@@ -213,22 +261,6 @@ def test_support_validation_names_each_problem(spark, window_frames):
     assert END == ORIGIN + timedelta(days=27)
 
 
-def test_a_fit_that_raises_leaves_the_others(monkeypatch):
-    advance = smoothing._advance
-
-    def failing(ys, *rest):
-        if any(13.5 in y for y in ys):
-            raise np.linalg.LinAlgError("singular")
-        return advance(ys, *rest)
-
-    monkeypatch.setattr(smoothing, "_advance", failing)
-    good, bad = np.array(repeating(60)), np.array(repeating(60))
-    bad[3] = 13.5
-    fits = fit_histories([good, bad, good], FORMS["hw_weekly"], 7)
-    assert fits[1].error == "LinAlgError: singular" and fits[1].forecast is None
-    assert fits[0].error is None and list(fits[0].forecast) == list(fits[2].forecast)
-
-
 def test_clipped_days_are_counted_before_the_floor(spark):
     values = [v - 4 for v in repeating()]
     grid = grid_of(spark, values)

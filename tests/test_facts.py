@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -54,6 +55,19 @@ def test_totals_and_grid_make_zeros_explicit(spark, rows):
         ("z", d + timedelta(i), 0.0) for i in range(3)]
 
 
+def test_grid_of_random_gaps_equals_a_join(spark, rows):
+    rng, first, last = random.Random(3), date(2020, 1, 1), date(2020, 3, 1)
+    data = [(f"p{rng.randrange(9)}", first + timedelta(rng.randrange(-5, 70)), float(rng.randrange(5))) for _ in range(150)]
+    sales = spark.createDataFrame(data, "product_id string, date date, units double").repartition(3)
+    ids = spark.createDataFrame([(f"p{k}",) for k in range(0, 12, 2)], "product_id string")
+    grid = facts.dense_daily_grid(sales, ids, facts.calendar(bounds(spark, first, last)))
+    want = {(f"p{k}", first + timedelta(i)): 0.0 for k in range(0, 12, 2) for i in range((last - first).days + 1)}
+    for p, d, u in data:
+        if (p, d) in want:
+            want[p, d] += u
+    assert rows(grid) == sorted(((*k, v) for k, v in want.items()), key=repr)
+
+
 def test_sales_summary_uses_trailing_weeks(spark):
     row = facts.sales_summary(grid_of(spark, [0, 9, 0, 0, 0, 0, 0, 1, 5, 0])).first()
     assert tuple(row) == ("example", 15.0, 1.5, 10.0, 3)
@@ -66,7 +80,7 @@ def test_rank_by_ranges_equals_one_window(spark, rows, buckets):
     # A third of the rows share one value; others repeat now and then.
     data = [(i, 5.0 if i % 3 == 0 else float(i * 37 % 90)) for i in range(300)] + [(999, None)]
     frame = spark.createDataFrame(data, "id long, v double")
-    by_range = ranking.dense_rank_desc(frame, "v", "r", buckets)
+    by_range = ranking.dense_rank_desc(frame, "v", "r", "id", buckets)
     order = sorted({v for _, v in data if v is not None}, reverse=True)
     want = sorted(((i, v, order.index(v) + 1 if v is not None else None) for i, v in data), key=repr)
     assert sorted(((r.id, r.v, r.r) for r in by_range.collect()), key=repr) == want

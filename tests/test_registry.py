@@ -7,17 +7,15 @@ import __spark_entry__ as contract
 from tools.compare import register, rows_of
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {
-    "a8_file_checksums", "e5_forecast_weekly_smoothing", "e6_forecast_window_variants",
-    "e10_window_backtest_all_methods", "e11_smoothing_events", "e13_forecast_simple_and_damped",
-    "f8_all_pairs_smoothing", "g9_fit_diagnostics_smoothing",
-}
+NO_SQL = {"a8_file_checksums"}
 # One query per family; the comparison tool runs all of them.
 SAMPLE = [
     "a1_ingest_union_sources", "a6_json_sink", "a8_checksum_manifest_verify", "b3_cross_source_replicas",
     "b12_exclusive_exclusion_reason", "b13_overlapping_flag_counts", "b14_exclusive_reason_counts",
     "b17_duplicate_accounting", "c1_product_day_sales", "c6_cohort_top_n", "c9_grid_preflight",
-    "d1_product_rankings", "d2_monthly_trends", "e7_fallback_policy", "e10_window_backtest_frame",
+    "c8_dense_daily_grid", "d1_product_rankings", "d2_monthly_trends", "e2_training_windows", "e6_forecast_window_variants",
+    "e7_fallback_policy", "e10_window_backtest_frame", "e12_support_validation", "f8_all_pairs_smoothing", "f9_spike_threshold",
+    "g4_history_context",
     "f6_pairwise_comparison", "f13_product_contributions", "f20_headline_summary", "f23_findings",
     "g5_long_series_union", "h1_credential_pattern_scan", "i1_sales_summary",
 ]

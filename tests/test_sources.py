@@ -165,18 +165,30 @@ def test_reconciliation(spark, rows):
     left = spark.createDataFrame([("m", "a", 1.0, 5.0, 1, "x"), ("m", "b", None, 1.0, 2, "y")], schema)
     near = spark.createDataFrame(
         [("m", "b", None, 1.0 + 5e-7, 2, "y"), ("m", "a", 1.0 + 5e-9, 5.0, 1, "x")], schema)
-    assert checks.semantic_key(left, near) == ["model", "product_id"]
+    assert checks.unique_key(left, near) == ["product_id"]
     assert checks.table_reconcile(left, near).filter("differences > 0").isEmpty()
     far = spark.createDataFrame(
         [("m", "a", 1.0 + 1e-7, 5.0, 2, "x"), ("m", "c", 0.0, 0.0, 0, "z")], schema)
     found = {r.item: r.differences for r in checks.table_reconcile(left, far).collect()}
-    assert found == {"only_left": 1, "only_right": 1, "wape": 1, "sales_value": 0, "wins": 1, "note": 0}
+    assert found == {"only_left": 1, "only_right": 1, "model": 0, "wape": 1, "sales_value": 0, "wins": 1, "note": 0}
     renamed = left.withColumn("model", F.lit("new"))
     assert checks.metric_reconcile(renamed, left, {"new": "m"}).filter("differences > 0").isEmpty()
     with pytest.raises(ValueError, match="Schema differs"):
         checks.table_reconcile(left, left.drop("note"))
-    with pytest.raises(ValueError, match="no candidate key"):
-        checks.semantic_key(left.unionByName(left), near)
+    with pytest.raises(ValueError, match="tells the rows"):
+        checks.unique_key(left.unionByName(left), near)
+
+
+def test_the_smallest_key_of_both_sides_is_found_in_one_pass(spark):
+    data = [("m", "a", "x", 1), ("m", "b", "x", 1), ("n", "a", "x", 2), ("n", "b", None, 2), (None, "b", "y", 3)]
+    left = spark.createDataFrame(data, "model string, product_id string, note string, wins long")
+    assert checks.unique_key(left, left.limit(0)) == ["model", "product_id"]
+    assert checks.unique_key(left, left, ["wins", "product_id"]) == ["wins", "product_id"]
+    more = spark.createDataFrame([("m", "a", "x", 1), ("m", "a", "z", 1)], left.schema)
+    assert checks.unique_key(left, more) == ["model", "product_id", "note"]
+    assert checks.unique_key(left.filter("model = 'm'"), left.limit(1)) == ["product_id"]
+    with pytest.raises(ValueError, match="columns can be tried"):
+        checks.unique_key(left, left, list("abcdefg"))
 
 
 def test_credentials_are_found_and_withheld(spark, rows):
