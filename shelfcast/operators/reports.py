@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
+from ..session import fresh_path
 
 
 def _growth(now: Column, before: Column) -> Column:
@@ -95,23 +96,37 @@ def coverage_label(months: DataFrame) -> DataFrame:
         "coverage", F.when(F.col("complete_month"), "Complete month").otherwise("Partial month"))
 
 
+def sql_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The texts of a folder's ``.sql`` files by name, wherever Spark can read it."""
+    rows = spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", r"([^/]+)\.sql$", 1).alias("name"), "value").collect()
+    return {r["name"]: r["value"] for r in sorted(rows)}
+
+
 def run_sql_reports(
-    spark: SparkSession,
-    tables: Mapping[str, DataFrame],
-    reports: Mapping[str, str],
-    stale: Iterable[str] = (),
+    spark: SparkSession, tables: Mapping[str, DataFrame], reports: Mapping[str, str], database: str,
+    args: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
-    """Run each SQL text over the named tables.
+    """Run each SQL text over the named tables and save its rows as a table of ``database``.
 
-    Tables replace views of the same name and ``stale`` views are dropped first.
-    The views go away again once every text is analysed: a report keeps its own plan.
+    The tables are views of these names while the texts run, and go away again. ``args`` are
+    the values of named parameters (``:name``) of all texts. Tables of the database that no
+    text makes are stale and are dropped.
     """
-    for name in stale:
-        spark.catalog.dropTempView(name)
+    folder = fresh_path(spark, database)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
     try:
-        return {name: spark.sql(text) for name, text in reports.items()}
+        for name, text in reports.items():
+            used = {k: v for k, v in (args or {}).items() if f":{k}" in text}
+            rows = spark.sql(text, args=used)
+            spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+            rows.write.option("path", f"{folder}/{name}").saveAsTable(f"{database}.{name}")
     finally:
         for name in tables:
             spark.catalog.dropTempView(name)
+    for table in spark.catalog.listTables(database):
+        if table.name not in reports and not table.isTemporary:
+            spark.sql(f"DROP TABLE {database}.{table.name}")
+    return {name: spark.table(f"{database}.{name}") for name in reports}

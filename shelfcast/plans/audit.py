@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,19 +119,39 @@ def a6(spark, sf_dir):
 FROM sales s JOIN days USING (date) JOIN products USING (product_id)
 WHERE complete_month GROUP BY 1""")
 def a7(spark, sf_dir):
+    return sql_reports(spark, sf_dir)["quarters"]
+
+
+def sql_reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The ``.sql`` files beside this module, run over the run's four tables and saved."""
     shop = tables.Shop.read(spark, sf_dir, tables.DESCRIBED)
-    names = {
+    named = {
         "sales": shop.sales.drop("description"),
         "product_metadata": facts.product_dimension(shop.sales),
         "calendar": shop.days, "daily_totals": shop.totals(),
     }
-    text = """
-        SELECT quarter(s.date) AS quarter, COUNT(DISTINCT s.product_id) AS products,
-               SUM(s.units) AS units, SUM(s.positive_sales_gbp) AS positive_sales_gbp,
-               COUNT(DISTINCT s.date) AS selling_days
-        FROM sales s JOIN calendar USING (date) JOIN product_metadata USING (product_id)
-        WHERE complete_month GROUP BY 1"""
-    return reports.run_sql_reports(spark, names, {"quarters": text}, stale=["forecasts"])["quarters"]
+    texts = {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("reports").glob("*.sql"))}
+    return reports.run_sql_reports(spark, named, texts, "shelfcast_reports", {"last_month": 11})
+
+
+@query("a7_saved_sql_reports", "report:s subject:s units:f positive_sales_gbp:f place:f measure:f",
+       """SELECT 'rankings' AS report, product_id AS subject, positive_units AS units, positive_sales_gbp,
+  units_rank + value_rank AS place, value_share_pct AS measure FROM rankings
+UNION ALL SELECT 'months', CAST(month_start AS VARCHAR), positive_units, positive_sales_gbp, covered_calendar_days,
+  comparable_monthly_growth_pct FROM monthly_trends
+UNION ALL SELECT 'weekdays', weekday, positive_units, positive_sales_gbp, weekday_number, average_daily_units FROM weekdays
+UNION ALL SELECT 'years', CAST(year AS VARCHAR), positive_units, positive_sales_gbp, covered_months, value_growth_pct FROM growth""")
+def a7_saved(spark, sf_dir):
+    """The four reports as their SQL files give them, read back from the saved tables."""
+    found = sql_reports(spark, sf_dir)
+    parts = [
+        ("rankings", "product_id", "units_rank + value_rank", "value_share_pct"),
+        ("months", "CAST(month_start AS STRING)", "covered_calendar_days", "comparable_monthly_growth_pct"),
+        ("weekdays", "weekday", "weekday_number", "average_daily_units"),
+        ("years", "CAST(year AS STRING)", "covered_months", "value_growth_pct")]
+    return reduce(DataFrame.unionByName, [found[name].selectExpr(
+        f"'{name}' AS report", f"{subject} AS subject", "positive_units AS units", "positive_sales_gbp",
+        f"CAST({place} AS DOUBLE) AS place", f"{measure} AS measure") for name, subject, place, measure in parts])
 
 
 @query("a8_checksum_manifest_verify", "key:s status:s",

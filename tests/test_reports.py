@@ -72,13 +72,21 @@ def test_saved_reports_are_reproduced(saved, name):
                 got[column].astype(float), want[column], rtol=1e-10, atol=1e-6, check_names=False)
 
 
-def test_sql_reports_leave_no_views(spark, rows):
-    spark.range(1).createOrReplaceTempView("old_scenario")
+def test_sql_files_become_saved_tables(spark, rows, tmp_path):
+    (tmp_path / "total.sql").write_text("SELECT SUM(units) AS u FROM facts_for_report WHERE units > :least")
+    (tmp_path / "ids.sql").write_text("SELECT product_id FROM facts_for_report\nWHERE units > 1")
+    (tmp_path / "notes.txt").write_text("no report")
+    texts = reports.sql_files(spark, str(tmp_path))
+    assert sorted(texts) == ["ids", "total"]
     frame = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "product_id string, units double")
-    found = reports.run_sql_reports(
-        spark, {"facts_for_report": frame},
-        {"total": "SELECT SUM(units) AS u FROM facts_for_report",
-         "ids": "SELECT product_id FROM facts_for_report WHERE units > 1"}, stale=["old_scenario"])
-    assert not spark.catalog.tableExists("old_scenario")
-    assert not spark.catalog.tableExists("facts_for_report")
+
+    def run(texts, **args):
+        return reports.run_sql_reports(spark, {"facts_for_report": frame}, texts, "report_tests", args)
+
+    found = run(texts | {"old_scenario": "SELECT 1 AS x"}, least=0)
     assert rows(found["total"]) == [(3.0,)] and rows(found["ids"]) == [("b",)]
+    assert spark.catalog.tableExists("report_tests.old_scenario")
+    found = run(texts, least=1)
+    assert rows(found["total"]) == [(2.0,)] and rows(spark.table("report_tests.total")) == [(2.0,)]
+    assert not spark.catalog.tableExists("report_tests.old_scenario")
+    assert not spark.catalog.tableExists("facts_for_report")
