@@ -18,9 +18,13 @@ CREDENTIAL_PATTERNS = {
 }
 
 
+# ASCII white space.
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of every kind, not only spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalized_code(text: Column) -> Column:

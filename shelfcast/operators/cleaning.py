@@ -135,26 +135,26 @@ def shared_days(raw: DataFrame, source: str, sources: list[str], day: Column) ->
 
 
 def repeated_hashes(
-    raw: DataFrame, fields: list[str], source: str, sources: list[str], day: Column | None = None,
+    raw: DataFrame, fields: list[str], source: str, sources: list[str], apart: bool = False, day: Column | None = None,
 ) -> DataFrame:
     """``_hash`` of lines that may stand more than once: two numbers a line are shuffled.
 
-    With ``day`` only lines that several sources may share are looked for, and only on days
-    that several sources have.
+    ``apart``: only lines that several sources may share are looked for, and where ``day`` is
+    given only on days that several sources have.
     """
     lines = raw.withColumn(source, named_source(source, sources))
-    if day is not None:
+    if apart and day is not None:
         days = written(shared_days(raw, source, sources, day), "shared-days")
         if days.limit(DAYS_SENT + 1).count() <= DAYS_SENT:
             lines = lines.join(F.broadcast(days), day.eqNullSafe(F.col("_day")), "left_semi")
     counted = lines.select(line_hash(fields).alias("_hash"), source).groupBy("_hash").agg(*_per_source(source, sources))
     total = sum((F.col(f"_n{i}") for i in range(1, len(sources))), F.col("_n0"))
-    return counted.filter(total > 1 if day is None else _in_several(sources)).select("_hash")
+    return counted.filter(_in_several(sources) if apart else total > 1).select("_hash")
 
 
 def distinct_lines(
     raw: DataFrame, fields: list[str], source: str, sources: list[str], position: str | None = None,
-    day: Column | None = None,
+    apart: bool = False, day: Column | None = None,
 ) -> DataFrame:
     """Raw lines with ``raw_rows``, surviving ``copies`` and ``last_position``.
 
@@ -165,11 +165,11 @@ def distinct_lines(
     Hashes are counted first. Lines whose hash stands alone pass straight through; only
     those of repeated hashes are grouped, by the whole line, so equal hashes never merge
     different lines. Counts and last positions are kept per named source, so that is one hash
-    aggregation with numeric buffers. With ``day``, a column of the fields' values alone, only
-    lines of several sources are grouped: repeats within a source stay rows of their own,
-    which changes no sum of ``copies``.
+    aggregation with numeric buffers. ``apart``: only lines of several sources are grouped;
+    repeats within a source stay rows of their own, which changes no sum of ``copies``. ``day``,
+    a column of the fields' values alone, then spares the days of one source the matching.
     """
-    again = written(repeated_hashes(raw, fields, source, sources, day), "repeated-hashes")
+    again = written(repeated_hashes(raw, fields, source, sources, apart, day), "repeated-hashes")
     if again.limit(HASHES_SENT + 1).count() <= HASHES_SENT:
         again = F.broadcast(again)
     kept = [*fields, source] + ([position] if position is not None else [])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, checks, cleaning, cohort, diagnostics, facts
 from ..schemas import RAW_FIELDS, CohortRules, Protocol
-from ..session import written
+from ..session import shared_dir
 from . import store
 
 CUTOFF = date(1998, 1, 1)
@@ -56,7 +56,14 @@ def described(code: Column) -> Column:
 
 
 def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line as text, with malformed values where tax and discount coincide."""
+    """Every line as raw text; written once per content of the lines, as sources are files."""
+    key = store.rows_key(table(spark, sf_dir, "lineitem"))
+    folder = f"{shared_dir(spark)}/shelfcast/raw-{key}"
+    return store.stored_by(spark, folder, "defects of tax and discount", "lines", lambda: derived_lines(spark, sf_dir))
+
+
+def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as text, with malformed values where tax and discount coincide."""
     tax, off, code = F.col("l_tax"), F.col("l_discount"), product_code(F.col("l_suppkey"))
     key, units = F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")
     shelf_price = F.concat(
@@ -94,8 +101,8 @@ def audited_lines(spark: SparkSession, sf_dir: str, position: str | None = None,
     """Flagged lines with their copies; ``repeats``: within a source, too, they are one row."""
     raw = messy_lines(spark, sf_dir)
     last = cleaning.coverage_bounds(cleaning.coerce_types(raw)).select("final_day").scalar()
-    day = None if repeats else F.left(F.col("invoice_date"), F.lit(10))
-    distinct = cleaning.distinct_lines(raw, RAW_FIELDS, SOURCE, SOURCES, position, day)
+    # Both sources cover every day here, so looking for the days they share would save nothing.
+    distinct = cleaning.distinct_lines(raw, RAW_FIELDS, SOURCE, SOURCES, position, apart=not repeats)
     return cleaning.flag_distinct(cleaning.typed_lines(distinct), last)
 
 

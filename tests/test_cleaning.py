@@ -172,9 +172,10 @@ def test_hash_first_matching_gives_the_same_lines(spark, monkeypatch, hashes, se
     lines = cleaning.distinct_lines(*args)
     assert spread(lines, RAW_FIELDS) == want and lines.count() == len(want)
     assert lines.agg(F.sum("raw_rows")).first()[0] == len(data)
-    by_day = cleaning.distinct_lines(*args, day=F.left(F.col("invoice_date"), F.lit(10)))
-    assert spread(by_day, RAW_FIELDS) == want
-    assert by_day.agg(F.sum("raw_rows")).first()[0] == len(data)
+    for day in (None, F.left(F.col("invoice_date"), F.lit(10))):
+        apart = cleaning.distinct_lines(*args, apart=True, day=day)
+        assert spread(apart, RAW_FIELDS) == want
+        assert apart.agg(F.sum("raw_rows")).first()[0] == len(data)
 
 
 def test_a_line_of_an_unnamed_source_stops_the_run(spark):
@@ -184,7 +185,7 @@ def test_a_line_of_an_unnamed_source_stops_the_run(spark):
 
 
 def test_lines_that_stand_alone_are_not_shuffled(raw):
-    lines = cleaning.distinct_lines(raw, RAW_FIELDS, "source", ["a", "b"], day=F.left(F.col("invoice_date"), F.lit(10)))
+    lines = cleaning.distinct_lines(raw, RAW_FIELDS, "source", ["a", "b"], apart=True)
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
 
