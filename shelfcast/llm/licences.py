@@ -53,6 +53,75 @@ TEMPLATES = {
     "software the software is provided as is without warranty of any kind express or implied",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl "
     "was not distributed with this file you can obtain one at https mozilla org mpl 2.0",
+    "mit-whole": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+    "associated documentation files the software to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+    "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    "software the software is provided as is without warranty of any kind express or implied including but not limited "
+    "to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+    "authors or copyright holders be liable for any claim damages or other liability whether in an action of contract "
+    "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the "
+    "software",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+    "granted provided that the above copyright notice and this permission notice appear in all copies the software is "
+    "provided as is and the author disclaims all warranties with regard to this software including all implied "
+    "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect "
+    "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action "
+    "of contract negligence or other tortious action arising out of or in connection with the use or performance of "
+    "this software",
+    "0bsd": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+    "granted the software is provided as is and the author disclaims all warranties with regard to this software "
+    "including all implied warranties of merchantability and fitness",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted "
+    "provided that the following conditions are met 1 redistributions of source code must retain the above copyright "
+    "notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the "
+    "above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+    "materials provided with the distribution this software is provided by the copyright holders and contributors as is "
+    "and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable "
+    "for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused "
+    "and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-no-endorsement": "neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written permission",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be "
+    "held liable for any damages arising from the use of this software permission is granted to anyone to use this "
+    "software for any purpose including commercial applications and to alter it and redistribute it freely subject to "
+    "the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you "
+    "wrote the original software if you use this software in a product an acknowledgment in the product documentation "
+    "would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be "
+    "misrepresented as being the original software 3 this notice may not be removed or altered from any source "
+    "distribution",
+    "boost-1.0": "permission is hereby granted free of charge to any person or organization obtaining a copy of the "
+    "software and accompanying documentation covered by this license the software to use reproduce display distribute "
+    "execute and transmit the software and to prepare derivative works of the software and to permit third parties to "
+    "whom the software is furnished to do so all subject to the following",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify "
+    "publish use compile sell or distribute this software either in source code form or as a compiled binary for any "
+    "purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or "
+    "authors of this software dedicate any and all copyright interest in the software to the public domain",
+    "lgpl-notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+    "lesser general public license as published by the free software foundation either version 2.1 of the license or at "
+    "your option any later version this library is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu "
+    "lesser general public license for more details",
+    "agpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+    "affero general public license as published by the free software foundation either version 3 of the license or at "
+    "your option any later version this program is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu "
+    "affero general public license for more details",
+    "epl-2.0-notice": "this program and the accompanying materials are made available under the terms of the eclipse "
+    "public license 2.0 which is available at",
+    "postgresql": "permission to use copy modify and distribute this software and its documentation for any purpose "
+    "without fee and without a written agreement is hereby granted provided that the above copyright notice and this "
+    "paragraph and the following two paragraphs appear in all copies",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to "
+    "this work",
+    "cc-by-notice": "this work is licensed under a creative commons attribution 4.0 international license",
+    "cc-by-sa-notice": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+    "cc-by-nc-notice": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
 }
 # A run counts from so many words, or from the whole of a shorter template.
 LEAST_RUN = 4
@@ -74,15 +143,17 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton: per state its longest run, suffix link and arcs.
 
-    ``ends`` has, for each state, the templates whose runs end there: (template, place of the
-    last word), for the shortest of its runs and so for all of them. ``heads`` marks states
-    that hold a whole phrase.
+    ``ends`` has, for each state, the templates in which its runs end: (template, place of the
+    last word). A state's own places are those of its longest run; the places at which only a
+    shorter run with the same end stands are found along the suffix links. ``phrases`` has the
+    phrases that end a state's runs.
     """
 
     size: list[int] = field(default_factory=lambda: [0])
     link: list[int] = field(default_factory=lambda: [-1])
     arcs: list[dict[bytes, int]] = field(default_factory=lambda: [{}])
     ends: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])
+    credits: list[list[tuple[int, int, int]]] = field(default_factory=list)
     phrases: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
 
     def _state(self, size: int, link: int, arcs: dict[bytes, int]) -> int:
@@ -130,6 +201,15 @@ class Automaton:
         for at in sorted(range(1, len(found.size)), key=found.size.__getitem__, reverse=True):
             if found.link[at] > 0:
                 found.ends[found.link[at]] |= found.ends[at]
+        # Along the links: where shorter runs end that the longer ones do not.
+        found.credits = [[] for _ in found.size]
+        for at in range(1, len(found.size)):
+            seen: set[tuple[int, int]] = set()
+            up = at
+            while up > 0:
+                found.credits[at] += [(t, place, found.size[up]) for t, place in sorted(found.ends[up] - seen)]
+                seen |= found.ends[up]
+                up = found.link[up]
         whole = {}
         for p, words in enumerate(phrases):
             at = 0
@@ -210,23 +290,29 @@ class Scanner:
     def _chains(self, runs: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
         """Per template the chain of runs, in order in both, that covers most of its words.
 
-        Chains are grown from left to right. Only chains whose last run lies within the gap
-        can be continued, so few are open at a time.
+        A run counts for every template that holds it or an end of it, with the length that the
+        template holds. Runs may overlap, in the text or in the template; a chain takes of the
+        later one what lies behind the earlier. Chains are grown from left to right. Only
+        chains whose last run lies within the gap can be continued, so few are open at a time.
         """
         best: dict[int, tuple[int, int, int]] = {}
         open_: dict[int, list[tuple[int, int, int, int]]] = {}
+        least = min(self.least_run, min(self.sizes))
         for place, n, state in runs:
-            if n < min(self.least_run, min(self.sizes)):
+            if n < least:
                 continue
-            for t, last in self.automaton.ends[state]:
-                if n < min(self.least_run, self.sizes[t]):
+            for t, last, longest in self.automaton.credits[state]:
+                own = min(n, longest)
+                if own < min(self.least_run, self.sizes[t]):
                     continue
-                start, from_ = place - n + 1, last - n + 1
+                start, from_ = place - own + 1, last - own + 1
                 near = [c for c in open_.get(t, []) if start - c[0] <= self.longest_gap + 1]
-                words_in, begin = n, start
+                words_in, begin = own, start
                 for end, to, covered, first in near:
-                    if end < start and to < from_ <= to + self.longest_gap + 1 and covered + n > words_in:
-                        words_in, begin = covered + n, first
+                    if end < place and to < last and from_ <= to + self.longest_gap + 1:
+                        more = min(own, place - end, last - to)
+                        if covered + more > words_in:
+                            words_in, begin = covered + more, first
                 open_[t] = [*near, (place, last, words_in, begin)]
                 if words_in > best.get(t, (0, 0, 0))[0]:
                     best[t] = (words_in, begin, place + 1)
@@ -271,4 +357,5 @@ def licence_report(docs: DataFrame, found: Scanner | None = None, doc: str = "do
 
 
 def op8_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence report of every document; nulls, empty and repeated rows as ``licence_report`` says."""
     return licence_report(shared.table(spark, sf_dir, "documents")).drop("spans")
