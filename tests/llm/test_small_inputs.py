@@ -384,21 +384,40 @@ def test_url_rules(spark):
     assert rows[9] == ("org", "", None, "allow") and rows[10][3] == "allow"
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("limits", [{}, {"CELLS": 3, "BLOCK_ROWS": 30, "QUERY_ROWS": 4, "RECORD_COMPONENTS": 64, "READ": 1}])
+def test_top_k(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(vafile, name, value)
+    if "CELLS" in limits:
+        monkeypatch.setattr(vafile.approximation_file, "__defaults__", (limits["CELLS"],))
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(400, [1.0] * 8), (401, [1.0] * 8)]
-    rows += [(500, None), (520, [float("nan")] * 8), (540, [1.0]), (541, [2.0]), (560, [None] * 8)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(400, [1.0] * 8), (401, [1.0] * 8), (401, [1.0] * 8)]
+    rows += [(500, None), (520, [float("nan")] * 8), (540, [1.0]), (541, [2.0]), (560, [None] * 8), (580, []), (581, []), (None, [1.0] * 8)]
+    rows += [(600 + i, [0.5, -0.25] * 4) for i in range(60)] + [(700, [300.0] * 8), (701, [-1e6] * 8)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, v string, row int").repartition(3)
     got = collections.defaultdict(list)
     for r in sorted(vafile.top_k(frame, k=5).collect(), key=lambda r: r["rank"]):
         got[r.query_id].append((r.vec_id, r.score))
-    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if v and None not in v and np.isfinite(v).all()}
-    for q in (i for i in whole if i % 20 == 0):
-        scores = [(i, sum(a * b for a, b in zip(whole[q], v))) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
-        assert got[q] == sorted(scores, key=lambda s: (-s[1], s[0]))[:5]
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    for q, own in ((i, v) for i, v in whole if i % 20 == 0):
+        scores = [(i, sum(a * b for a, b in zip(own, v))) for i, v in whole if i != q and len(v) == len(own)]
+        assert got[q] == sorted(scores, key=lambda s: (-s[1], s[0]))[:5], q
     assert vafile.top_k(frame.filter("vec_id < 0")).count() == 0
 
 
+def test_cells_bound_every_score():
+    rng = np.random.default_rng(6)
+    for most in (5, 3000, 10**9):
+        v, queries = rng.integers(-most, most + 1, (50, 6)), rng.integers(-most, most + 1, (9, 6))
+        for cells in (2, 16, 256):
+            batch = vafile._record(0, 6, np.arange(50), np.arange(50), v, cells)
+            record = vafile.Record(*[batch.column(c)[0].as_py() for c in ("ids", "rows", "low", "width", "cells")])
+            at_low, less, more = record.bounds(queries)
+            scores = queries @ v.T
+            assert (at_low + less[:, None] <= scores).all() and (scores <= at_low + more[:, None]).all()
+            assert len(batch.column("cells")[0].as_py()) == v.size
+
+
 def test_trimmed_work_yields_all_batches(docs, none):
     @shared.trimmed
     def same(batches):
