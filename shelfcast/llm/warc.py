@@ -23,6 +23,7 @@ from . import shared
 GZIP = 31  # window bits of zlib for the gzip wrapper
 LEVEL = 6
 INFLATED = 1 << 20
+FED = 1 << 18
 RECORD_PREFIX = "urn:shelfcast:page:"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,19 +82,30 @@ def header(head: bytes) -> dict[str, str]:
 
 
 def inflated(data: bytes) -> Iterator[bytes]:
-    """The bytes of a gzip file in bounded pieces: any number of members, zero padding after."""
-    at = 0
-    while at < len(data) and data[at:].strip(b"\0"):
-        stream, rest = zlib.decompressobj(GZIP), data[at:] if at else data
-        while not stream.eof:
-            piece = stream.decompress(rest, INFLATED)
-            rest = stream.unconsumed_tail
-            if not piece and not rest and not stream.eof:
-                raise ValueError("a gzip stream is cut short")
+    """The bytes of a gzip file in bounded pieces: any number of members, zero padding after.
+
+    Input is fed in bounded pieces as well, so what is left of it is not copied again and
+    again.
+    """
+    at, stream = 0, None
+    while at < len(data):
+        if stream is None:
+            if data[at] == 0:
+                at += 1
+                continue
+            stream = zlib.decompressobj(GZIP)
+        fed = data[at: at + FED]
+        at += len(fed)
+        while fed and not stream.eof:
+            yield stream.decompress(fed, INFLATED)
+            fed = stream.unconsumed_tail
+        while not stream.eof and (piece := stream.decompress(b"", INFLATED)):
             yield piece
-        at = len(data) - len(stream.unused_data)
-        while at < len(data) and data[at] == 0:
-            at += 1
+        if stream.eof:
+            at -= len(stream.unused_data)
+            stream = None
+    if stream is not None:
+        raise ValueError("a gzip stream is cut short")
 
 
 def monolithic(records: Iterable[bytes]) -> Iterator[bytes]:
@@ -158,6 +170,12 @@ def named(fields: dict[str, str]) -> tuple[int | None, str, int | None]:
     return page("warc-record-id"), fields["warc-type"], page("warc-refers-to")
 
 
+def indexed(fields: dict[str, str]) -> tuple:
+    """What the index keeps of a record's header."""
+    return (*named(fields), fields["warc-target-uri"], fields["warc-date"], int(fields["x-payload-length"]),
+            fields["warc-payload-digest"].removeprefix("sha1:"))
+
+
 # --- on Spark -----------------------------------------------------------------------
 
 
@@ -191,17 +209,25 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
     shared.write_bytes(rows, path)
 
 
-INDEX = ("place long, offset long, size long, page_id long, record_type string")
+INDEX = ("place long, offset long, size long, page_id long, record_type string, refers_to long, url string, date string, "
+         "payload_bytes long, payload_digest string")
 RECORDS = ("place long, offset long, page_id long, payload_bytes long, payload_digest string, "
            "record_type string, refers_to long, block binary")
 HEADER_BYTES = 1 << 16
+# Rows of an index that every task may hold; with more of them archives meet their ranges by a join.
+RANGES_SENT = 250_000
+# Archives that a look-up may name one by one.
+FILES_NAMED = 10_000
 
 
 def normalise(spark: SparkSession, source: str, path: str) -> None:
     """Write ``path/archives`` with a member per record and the sidecar ``path/index``.
 
-    The index has the place of each member and the record it holds. It is made from the
-    written archives by their member sizes; of each record only the header is inflated.
+    The index has the place and size of each member and what its record's header says: page,
+    kind, url, date, payload's length and digest, and the page it refers to. It is made from
+    the written archives by their member sizes; of each record only the header is inflated.
+    An archive holds what a task of the writing job held, and is one value when it is read:
+    tasks of 2 GB compressed or more stop the run.
     """
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = (m for b in batches for c in b.column("content") for m in normalised(c.as_py()))
@@ -214,7 +240,7 @@ def normalise(spark: SparkSession, source: str, path: str) -> None:
         for batch in batches:
             for place, content in zip(batch.column("part").to_pylist(), batch.column("content")):
                 data = content.as_py()
-                yield _rows([(place, at, size, *named(record_at(data, at, size, HEADER_BYTES)[0])[:2])
+                yield _rows([(place, at, size, *indexed(record_at(data, at, size, HEADER_BYTES)[0]))
                              for at, size in member_sizes(data)], INDEX)
 
     shared.read_bytes(spark, f"{path}/archives").select("part", "content").mapInArrow(
@@ -229,31 +255,53 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
         [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of normalised archives, found through their index.
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The sidecar index of normalised archives; an empty one where none was written."""
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
+
+
+def read_archives(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
+    """The records that the index, or chosen rows of it, names.
 
-    The digest of a response is taken from its block; a block that does not match its
-    header raises. Digest and length of a revisit are those its header states.
+    Rows of the index are gathered for each archive, and of it only the ranges they give are
+    read and inflated. The digest of a response is taken from its block; a block that does not
+    match the index or its header raises. Digest and length of a revisit are those its header
+    states. A few chosen rows read only their own archives.
     """
+    chosen = read_index(spark, path) if index is None else index
+    ranges = chosen.groupBy("place").agg(F.sort_array(F.collect_list(F.struct(
+        "offset", "size", "page_id", "payload_digest"))).alias("ranges"))
+    files = f"{path}/archives"
+    few = chosen.limit(RANGES_SENT + 1).count() <= RANGES_SENT
+    if index is not None:
+        ranges = shared.written(ranges, "ranges")
+        places = [r[0] for r in ranges.select("place").limit(FILES_NAMED + 1).collect()]
+        if len(places) <= FILES_NAMED:
+            wanted = ",".join(f"part-{p:05d}*" for p in places) or "none"
+            files = f"{files}/{{{wanted}}}"
+            if not places:
+                return spark.createDataFrame([], RECORDS)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, content in zip(batch.column("part").to_pylist(), batch.column("content")):
+            for place, content, members in zip(batch.column("place").to_pylist(), batch.column("content"), batch.column("ranges").to_pylist()):
                 data, rows = content.as_py(), []
-                for at, size in member_sizes(data):
-                    fields, block = record_at(data, at, size)
+                for m in members:
+                    fields, block = record_at(data, m["offset"], m["size"])
                     key, kind, refers_to = named(fields)
                     digest, n = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
+                    if (key, digest) != (m["page_id"], m["payload_digest"]):
+                        raise ValueError("a record is not the one that the index names")
                     if kind == "response" and (n, digest) != (len(block), payload_digest(block)):
                         raise ValueError("a payload does not match its digest")
-                    rows.append((place, at, key, n, digest, kind, refers_to, block))
+                    rows.append((place, m["offset"], key, n, digest, kind, refers_to, block))
                     if len(rows) == 256:
                         yield _rows(rows, RECORDS)
                         rows = []
                 yield _rows(rows, RECORDS)
 
-    records = shared.read_bytes(spark, f"{path}/archives").select("part", "content").mapInArrow(read, RECORDS)
-    index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    return records.join(index.select("place", "offset", "size"), ["place", "offset"])
+    found = shared.read_bytes(spark, files).select(F.col("part").cast("long").alias("place"), "content")
+    return found.join(F.broadcast(ranges) if few else ranges, "place").select("place", "content", "ranges").mapInArrow(read, RECORDS)
 
 
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
