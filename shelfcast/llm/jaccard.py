@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,12 @@ from .components import components
 WORDS_HELD = 100_000
 # N-grams in a block; what a task holds at a time.
 BLOCK_NGRAMS = 1 << 20
+# Rows of a cluster from which it is compared with one of its rows first, and bytes of such rows
+# that every task may hold.
+STAR_ROWS = 1000
+PIVOT_BYTES = 32 << 20
+# Entries of columns that meet in one task, at 20 bytes each.
+ENTRIES = 1 << 20
 # Entries of a product that are added up at a time.
 PRODUCT_ENTRIES = 1 << 20
 # Counters of the column order; their number is fixed, whatever the number of columns.
@@ -159,7 +165,14 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, start, np.diff(np.append(start, len(keys)))
 
 
-def shared_counts(rows: DataFrame, columns: str) -> DataFrame:
+def meeting_tasks(rows: DataFrame, entries: Column) -> int:
+    """Tasks among which the entries of columns are dealt, from their number."""
+    spark = rows.sparkSession
+    total = rows.agg(F.coalesce(F.sum(entries.cast("long")), F.lit(0))).first()[0]
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // ENTRIES))
+
+
+def shared_counts(rows: DataFrame, columns: str, tasks: int) -> DataFrame:
     """``row`` and ``n``: how many of its listed columns some other row lists as well.
 
     Every task first settles what its own rows share; a column then leaves the task once,
@@ -214,8 +227,7 @@ def shared_counts(rows: DataFrame, columns: str) -> DataFrame:
 
     entries = rows.select("row", columns).mapInArrow(part, PART)
     # Explicit: the entries are many times the bytes of what they come from.
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = entries.repartition(count, "column").sortWithinPartitions("column").mapInArrow(meet, COUNT)
+    met = entries.repartition(tasks, "column").sortWithinPartitions("column").mapInArrow(meet, COUNT)
     return met.groupBy("row").agg(F.sum("n").alias("n"))
 
 
@@ -367,31 +379,38 @@ def clusters(rows: DataFrame, join: Join) -> DataFrame:
 def links(rows: DataFrame, join: Join) -> DataFrame:
     """Links (u, v) that connect what is linked, from rows with their whole ``columns``.
 
-    A cluster of one block is multiplied in one task. A cluster of several is first compared
-    with one of its rows, the one with the most common columns; rows linked to it are
-    settled, and the others ask every block of the cluster.
+    A small cluster is multiplied in one task. One of many rows or several blocks is first
+    compared with one of its rows, the one with the most common columns, wherever its rows lie;
+    rows linked to it are settled, and the others ask every block of the cluster.
     """
-    spark = rows.sparkSession
     rows = shared.written(rows, "rows")
     grouped = shared.written(rows.join(clusters(rows, join), "row"), "clustered")
     weight = grouped.groupBy("cluster").agg(
-        F.sum("size").alias("weight"), F.max(F.struct(F.col("common") / F.col("size"), "row")).alias("best"))
-    weight = weight.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_NGRAMS).cast("int"))
+        F.sum("size").alias("weight"), F.count(F.lit(1)).alias("members"),
+        F.max(F.struct(F.col("common") / F.col("size"), "row")).alias("best"))
+    weight = weight.select(
+        "cluster", F.ceil(F.col("weight") / BLOCK_NGRAMS).cast("int").alias("blocks"), F.col("best.row").alias("pivot"),
+        ((F.col("members") > STAR_ROWS) | (F.col("weight") > BLOCK_NGRAMS)).alias("wide"))
     placed = grouped.join(weight, "cluster").withColumn(
         "block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    small = placed.filter("blocks = 1").select(
-        "cluster", "block", F.lit(0).alias("asks"), F.lit(False).alias("settled"), "row", "columns")
-
-    wide = placed.filter("blocks > 1")
-    pivots = wide.filter(F.col("row") == F.col("best.row")).select("cluster", F.col("columns").alias("_p")).groupBy(
-        "cluster").agg(F.first("_p").alias("_p"))
-    tested = shared.written(wide.join(pivots, "cluster").withColumn(
-        "star", _is_linked(join)(F.col("columns"), F.col("_p"))).drop("_p"), "stars")
-    stars = tested.filter("star").select(F.col("row").alias("u"), F.col("best.row").alias("v"))
+    unit = ["cluster", "block", F.lit(0).alias("asks"), F.lit(False).alias("settled"), "row", "columns"]
+    small = placed.filter("NOT wide").select(*unit)
+
+    wide = placed.filter("wide").select("cluster", "block", "blocks", "row", "pivot", "columns")
+    pivots = wide.filter("row = pivot").groupBy("cluster").agg(F.first("columns").alias("of"))
+    pivots = shared.written(pivots, "pivots")
+    # The rows of a wide cluster stay where they are if its pivots are few enough to be sent.
+    sizes = pivots.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.octet_length("of")), F.lit(0)).alias("most")).first()
+    pivots = F.broadcast(pivots) if sizes["n"] * sizes["most"] <= PIVOT_BYTES else pivots
+    tested = shared.written(with_stars(wide.join(pivots, "cluster"), join), "stars")
+    stars = tested.filter("star").select(F.col("row").alias("u"), F.col("pivot").alias("v"))
+    # Rows that are no star ask every block of their cluster; one without any needs no product.
+    asked = tested.filter("NOT star").select("cluster").distinct()
     asks = tested.filter("NOT star").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(1).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
-    stores = tested.select("cluster", "block", F.lit(0).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
+    stores = tested.join(asked, "cluster", "left_semi").select(
+        "cluster", "block", F.lit(0).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
 
     @shared.trimmed
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,18 +434,29 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
             yield _batch(LINK, [u for u, _ in found], [v for _, v in found])
 
     units = small.unionByName(stores).unionByName(asks)
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = meeting_tasks(rows, F.col("size"))
     units = units.repartition(count, "cluster", "block").sortWithinPartitions("cluster", "block", "asks")
     return units.mapInArrow(multiply, LINK).unionByName(stars)
 
 
-def _is_linked(join: Join):
-    @F.udf("boolean", useArrow=False)
-    def linked(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-        n = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * n >= join.percent * (len(x) + len(y) - n)
-    return linked
+STARRED = "cluster long, block int, blocks int, row long, pivot long, columns binary, star boolean"
+
+
+def with_stars(rows: DataFrame, join: Join) -> DataFrame:
+    """Rows beside their cluster's pivot (``of``), and whether they are linked to it."""
+    names = [f.split(" ")[0] for f in STARRED.split(", ")]
+
+    @shared.trimmed
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            star = []
+            for x, y in zip(batch.column("columns"), batch.column("of")):
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                star.append(bool(join.linked(n, len(x), len(y))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(star, pa.bool_())], names)
+
+    return rows.select(*names[:-1], "of").mapInArrow(test, STARRED)
 
 
 # --- the join ----------------------------------------------------------------------------------
@@ -454,7 +484,8 @@ def text_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     least = F.ceil(F.lit(join.percent) * size / 100)
     needed = F.greatest(F.lit(1), F.floor(least / 20))
     # Copies share all their columns; that keeps a row they do not need, and loses none.
-    counts = shared_counts(wide.filter("size > 0"), "leading")
+    led = F.least(size, size - least + F.greatest(F.lit(1), F.floor(size / 20)))
+    counts = shared_counts(wide.filter("size > 0"), "leading", meeting_tasks(sets, led))
     rows = shared.written(sets.filter("size > 0").groupBy("row", "row2", "size").agg(
         F.min("doc_id").alias("first")), "classes")
     alive = rows.select("row", "first", "size").join(counts, "row").filter(F.col("n") >= needed)
@@ -476,7 +507,7 @@ def text_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
         _sent(alive.withColumnRenamed("first", "doc_id"), few), "doc_id").select("row", "text")
     full = shared.written(texts.mapInArrow(whole, ROWS), "whole")
-    counts = shared_counts(full, "columns").withColumnRenamed("n", "common")
+    counts = shared_counts(full, "columns", meeting_tasks(full, size)).withColumnRenamed("n", "common")
     full = full.join(_sent(counts, few), "row").filter(F.col("common") >= least)
     linked = components(shared.written(links(full, join), "links"))
     joined = rows.select("row", "row2", "first").join(
