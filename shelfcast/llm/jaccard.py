@@ -583,4 +583,5 @@ def _with_names(docs: DataFrame, join: Join, row: str, row2: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component; nulls, copies and repeated ids as ``text_components`` says."""
     return similar_documents(shared.table(spark, sf_dir, "documents"))

@@ -250,4 +250,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, capacity: int = C
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place in it.
+
+    A null or empty text is its end id alone; repeated rows are packed each; pieces of equal
+    length are alike to the packing and take their places as tasks met them; an empty table has
+    no pieces.
+    """
     return pack_documents(shared.table(spark, sf_dir, "documents"))

@@ -213,4 +213,5 @@ def quality_kept(docs: DataFrame, text: str = "text", rules: Rules = Rules()) ->
 
 
 def op4_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null, empty and repeated rows as ``repetition_report`` says."""
     return repetition_report(shared.table(spark, sf_dir, "documents")).drop("repeat_starts", "repeat_ends")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # A key with more than this share of all rows is hot; there are fewer such keys than its inverse.
 HOT_SHARE = 1 / 200
 
@@ -20,13 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
-
-    Both are folders that driver and executors share; no machine-local folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
-    return f"{root.rstrip('/')}/shelfcast-llm/{name}-{uuid.uuid4().hex}"
+    """A new path under the folder that driver and executors share, as ``shared_dir`` finds it."""
+    return f"{shared_dir(spark)}/shelfcast-llm/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
