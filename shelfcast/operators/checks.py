@@ -30,6 +30,11 @@ def require_none(violations: DataFrame) -> None:
         raise ValueError(f"Structural checks failed: {[r.asDict() for r in found]}")
 
 
+def invalid_units(units: Column) -> Column:
+    """Neither null nor negative nor anything but a finite number may stand for an amount."""
+    return units.isNull() | F.isnan(units) | (F.abs(units) == F.lit(float("inf"))) | (units < 0)
+
+
 def grid_preflight(grid: DataFrame, products: DataFrame, protocol: Protocol) -> DataFrame:
     """Everything that would make a backtest on this grid invalid.
 
@@ -43,8 +48,7 @@ def grid_preflight(grid: DataFrame, products: DataFrame, protocol: Protocol) ->
             raise ValueError(f"{start} has fewer days before it than the protocol asks for")
     per_day = grid.groupBy("product_id", "date").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("units").isNull() | F.isnan("units")
-                   | (F.abs("units") == F.lit(float("inf"))) | (F.col("units") < 0)).alias("bad"),
+        F.count_if(invalid_units(F.col("units"))).alias("bad"),
     )
     spans = [
         F.count_if(F.col("date").between(F.lit(first), F.lit(protocol.horizon_end(s)))).alias(f"d{i}")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -99,20 +99,28 @@ def stored_fact(rows: DataFrame, label: str, build: Callable[[], tuple[DataFrame
 
 def stored_by(
     spark: SparkSession, folder: str, parameters: object, name: str, build: Callable[[], DataFrame],
-    partitions: tuple[str, ...] = (), check: Callable[[DataFrame], None] | None = None,
+    partitions: tuple[str, ...] = (), faults: dict[str, Column] | None = None,
+    check: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """A result filed beside its fact by the parameters it depends on, built and checked once.
 
-    Only the partitions written are replaced. ``check`` reads the written rows and may stop
-    the run; the marker that lets others use them is written after it.
+    Only the partitions written are replaced. ``faults`` are conditions that no row may meet;
+    they are counted by the job that writes the rows. ``check`` reads the written rows. Either
+    may stop the run; the marker that lets others use the rows is written after both.
     """
     digest = hashlib.sha256(repr(parameters).encode()).hexdigest()[:24]
     path = os.path.join(folder, f"{name}-{digest}")
     marker = os.path.join(folder, f"{name}-{digest}-checked")
     if not exists(spark, os.path.join(marker, "_SUCCESS")):
-        rows = build()
+        rows, seen = build(), Observation(f"faults-{digest}")
+        if faults:
+            # A task that is run again may be counted twice, which changes no answer: any is a fault.
+            rows = rows.observe(seen, *[F.count_if(fault).alias(text) for text, fault in faults.items()])
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partitions else "static").partitionBy(
             *partitions).parquet(path)
+        found = {text: n for text, n in seen.get.items() if n} if faults else {}
+        if found:
+            raise ValueError(f"{name} holds faulty rows: {found}")
         saved = spark.read.schema(rows.schema).parquet(path)
         if check is not None:
             check(saved)

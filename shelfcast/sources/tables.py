@@ -198,8 +198,9 @@ class Shop:
     def saved_grid(self) -> DataFrame:
         """The cohort's grid, written once; a grid that no backtest can use stops the run."""
         protocol = self.protocol()
-        return self._stored("grid", protocol, self.grid, check=lambda grid: checks.require_none(
-            checks.grid_preflight(grid, self.chosen(), protocol)))
+        return self._stored("grid", protocol, self.grid, faults={
+            "units that are no amount": checks.invalid_units(F.col("units"))}, check=lambda grid: checks.require_none(
+                checks.grid_preflight(grid, self.chosen(), protocol)))
 
     def backtest(self) -> DataFrame:
         """Baseline predictions with thresholds and labels, saved by origin and method."""
@@ -209,7 +210,9 @@ class Shop:
             grid = self.saved_grid()
             return backtest.window_backtest_frame(grid, protocol, diagnostics.spike_thresholds(grid, protocol))
 
-        return self._stored("backtest", protocol, build, partitions=("forecast_start", "model"), check=lambda rows: (
+        return self._stored("backtest", protocol, build, partitions=("forecast_start", "model"), faults={
+            "predictions that are no amount": checks.invalid_units(F.col("prediction")),
+            "an actual without a threshold": F.col("spike_threshold").isNull()}, check=lambda rows: (
             checks.require_none(checks.support_validation(rows, self.chosen(), list(protocol.baselines), protocol))))
 
     def fits(self) -> DataFrame:
@@ -226,5 +229,6 @@ class Shop:
             return backtest.window_backtest_frame(
                 grid, protocol, diagnostics.spike_thresholds(grid, protocol), self.fits())
 
-        return self._stored("full-backtest", protocol, build, partitions=("forecast_start", "model"), check=lambda rows: (
+        return self._stored("full-backtest", protocol, build, partitions=("forecast_start", "model"), faults={
+            "predictions that are no amount": checks.invalid_units(F.col("prediction"))}, check=lambda rows: (
             checks.require_none(checks.support_validation(rows, self.chosen(), protocol.methods, protocol))))

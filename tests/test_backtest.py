@@ -10,6 +10,7 @@ from series import END, ONE_ORIGIN, ORIGIN, START, day_list, grid_of, repeating
 from shelfcast.functions import smoothing
 from shelfcast.operators import backtest, checks, diagnostics
 from shelfcast.session import written
+from shelfcast.sources import store
 
 N = len(day_list())
 HISTORY = (ORIGIN - START).days
@@ -268,3 +269,21 @@ def test_clipped_days_are_counted_before_the_floor(spark):
     counts = {r.model: r.negative_predictions_clipped for r in backtest.baseline_fit_records(frame).collect()}
     assert counts == dict.fromkeys(ONE_ORIGIN.baselines, 12)
     assert frame.filter("prediction < 0").count() == 0
+
+
+def test_faulty_rows_and_failed_checks_leave_no_saved_result(spark, tmp_path):
+    good = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model string, units double")
+    bad = {"a negative amount": F.col("units") < 0}
+
+    def saved(rows, parameters=1, **options):
+        return store.stored_by(spark, str(tmp_path), parameters, "rows", lambda: rows, faults=bad, **options)
+
+    with pytest.raises(ValueError, match="a negative amount"):
+        saved(good.withColumn("units", F.col("units") - 1.5))
+    with pytest.raises(ValueError, match="Structural checks failed"):
+        saved(good, check=lambda rows: checks.require_none(rows.filter("units > 1")))
+    assert {tuple(r) for r in saved(good, partitions=("model",)).select("model", "units").collect()} == {("a", 1.0), ("b", 2.0)}
+    # Found again without being built, and one partition alone is read.
+    again = store.stored_by(spark, str(tmp_path), 1, "rows", None, partitions=("model",)).filter("model = 'b'")
+    assert "PartitionFilters: [isnotnull(model" in again._jdf.queryExecution().executedPlan().toString()
+    assert [r.units for r in again.collect()] == [2.0]
