@@ -54,18 +54,16 @@ def cohort_eligibility(
 def selected_products(eligibility: DataFrame, rules: CohortRules) -> DataFrame:
     """The eligible products with the most units; fewer than N is fine, none is an error.
 
-    At most ``product_count`` rows. The outer join to a single row keeps that row
-    when nothing was selected, which raises the error.
+    At most ``product_count`` rows, which are gathered into one list to see that there are any.
     """
     top = (
         eligibility.filter("eligible")
         .orderBy(F.desc("initial_units"), "product_id").limit(rules.product_count)
     )
-    one = eligibility.sparkSession.range(1)
-    found = F.when(F.col("product_id").isNotNull(), F.col("product_id")).otherwise(
-        F.raise_error(F.lit(NO_PRODUCTS)).cast("string"))
-    return one.join(F.broadcast(top), F.lit(True), "left").select(
-        found.alias("product_id"), *[c for c in eligibility.columns if c != "product_id"])
+    listed = top.agg(F.collect_list(F.struct(*eligibility.columns)).alias("top"))
+    kind = listed.schema["top"].dataType.simpleString()
+    return listed.select(F.inline(F.when(F.size("top") > 0, F.col("top")).otherwise(
+        F.raise_error(F.lit(NO_PRODUCTS)).cast(kind))))
 
 
 def select_cohort(eligibility: DataFrame, rules: CohortRules) -> DataFrame:

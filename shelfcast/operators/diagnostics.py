@@ -191,7 +191,9 @@ def headline_summary(
     agree = by_error.isNull() | by_ratio.isNull() | (F.abs(by_error - by_ratio) <= 1e-10)
     checked = F.when(agree, by_error).otherwise(
         F.raise_error(F.lit("the two ways to compute the reduction differ")).cast("double"))
-    return scored.crossJoin(F.broadcast(size)).withColumns({
+    counts = size.select(F.struct(*size.columns)).scalar()
+    return scored.withColumns({
+        **{c: counts[c] for c in size.columns},
         "relative_error_reduction_pct": checked,
         "wape_difference_percentage_points": F.col("comparator_wape") - F.col("candidate_wape"),
     })

@@ -575,9 +575,9 @@ def f19(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct(
             F.col("wape").isNull().alias("undefined"), "wape", "model"))).alias("all")).select(
         F.posexplode("all").alias("at", "m"))
-    return placed.crossJoin(F.broadcast(best)).select(
+    return placed.select(
         "m.model", "m.wape", (F.col("at") + 1).alias("position"),
-        (F.col("m.model") == F.col("best_method")).alias("best"))
+        (F.col("m.model") == best.select("best_method").scalar()).alias("best"))
 
 
 @query("f20_headline_summary",
