@@ -35,7 +35,11 @@ WORDS = frozenset((
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert newsletter subscribe subscription signup login paywall popup modal overlay sidebar widget widgets "
     "related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation pagination "
-    "pager toolbar comment comments commentlist disqus reply replies footer skip").split())
+    "pager toolbar comment comments commentlist disqus reply replies footer skip copyright adsbygoogle taboola outbrain").split())
+# These tell wherever they stand in a class name; the others as its first or last part.
+ANYWHERE = frozenset((
+    "advert advertisement comment comments cookie cookies consent gdpr newsletter sidebar breadcrumb breadcrumbs sponsored "
+    "disqus navbar").split())
 OUTSIDE_WORDS = frozenset({"header", "masthead"})
 NEGATED = frozenset({"has", "no", "with", "without", "hide"})
 ROLES = frozenset("navigation banner complementary contentinfo search alert dialog menu menubar form".split())
@@ -89,7 +93,7 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) ->
                 if parts[0] in NEGATED:
                     continue
                 ends = {parts[0], parts[-1]}
-                if ends & WORDS or not inside and ends & OUTSIDE_WORDS:
+                if ends & WORDS or ANYWHERE.intersection(parts) or not inside and ends & OUTSIDE_WORDS:
                     return True
     return False
 

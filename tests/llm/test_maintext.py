@@ -49,6 +49,9 @@ CASES = {
     "no blocks": ("just  some\n text", "just some text"),
     "only boilerplate": (f"<nav>{LINKS}</nav><footer>x</footer>", ""),
     "hidden parts": (f'<article><p>{LONG}</p><p hidden>no</p><div style="display: none">no</div><p>yes</p></article>', f"{LONG.strip()}\nyes"),
+    "names of parts": (
+        f'<article><p>{LONG}</p><ul class="user-comments-list"><li>{LONG}</li></ul><div class="page_cookie_box">{LONG}</div>'
+        f'<div class="adapter">kept</div><div id="no-comments">kept too</div><p class="ADVERT">no</p></article>', f"{LONG.strip()}\nkept\nkept too"),
     "tables and lists": ("<article><table><tr><td>a<td>b</tr></table><ul><li>x<li>y</ul><pre>p  q</pre></article>", "a\nb\nx\ny\np q"),
     "truncated": ("<article><p>one &amp; two</p><p>three &am", "one & two\nthree &am"),
     "inside a comment": ("<article><p>a<!-- <p>no</p> -->b</p></article>", "ab"),
