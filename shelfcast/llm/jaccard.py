@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,10 @@ BLOCK_NGRAMS = 1 << 20
 # that every task may hold.
 STAR_ROWS = 1000
 PIVOT_BYTES = 32 << 20
+# Stars that the other rows of such a cluster are compared with as well, and rows of a block where
+# few rows ask.
+MORE_PIVOTS = 12
+BLOCK_ROWS = 256
 # Entries of columns that meet in one task, at 20 bytes each.
 ENTRIES = 1 << 20
 # Entries of a product that are added up at a time.
@@ -389,28 +393,37 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
         F.sum("size").alias("weight"), F.count(F.lit(1)).alias("members"),
         F.max(F.struct(F.col("common") / F.col("size"), "row")).alias("best"))
     weight = weight.select(
-        "cluster", F.ceil(F.col("weight") / BLOCK_NGRAMS).cast("int").alias("blocks"), F.col("best.row").alias("pivot"),
+        "cluster", F.ceil(F.col("weight") / BLOCK_NGRAMS).cast("int").alias("blocks"), "members", F.col("best.row").alias("pivot"),
         ((F.col("members") > STAR_ROWS) | (F.col("weight") > BLOCK_NGRAMS)).alias("wide"))
-    placed = grouped.join(weight, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    unit = ["cluster", "block", F.lit(0).alias("asks"), F.lit(False).alias("settled"), "row", "columns"]
-    small = placed.filter("NOT wide").select(*unit)
-
-    wide = placed.filter("wide").select("cluster", "block", "blocks", "row", "pivot", "columns")
-    pivots = wide.filter("row = pivot").groupBy("cluster").agg(F.first("columns").alias("of"))
-    pivots = shared.written(pivots, "pivots")
-    # The rows of a wide cluster stay where they are if its pivots are few enough to be sent.
-    sizes = pivots.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.octet_length("of")), F.lit(0)).alias("most")).first()
-    pivots = F.broadcast(pivots) if sizes["n"] * sizes["most"] <= PIVOT_BYTES else pivots
-    tested = shared.written(with_stars(wide.join(pivots, "cluster"), join), "stars")
-    stars = tested.filter("star").select(F.col("row").alias("u"), F.col("pivot").alias("v"))
-    # Rows that are no star ask every block of their cluster; one without any needs no product.
-    asked = tested.filter("NOT star").select("cluster").distinct()
-    asks = tested.filter("NOT star").select(
+    placed = grouped.join(weight, "cluster")
+    small = placed.filter("NOT wide").select(
+        "cluster", F.lit(0).alias("block"), F.lit(0).alias("asks"), F.lit(False).alias("settled"), "row", "columns")
+
+    wide = placed.filter("wide").select("cluster", "blocks", "members", "row", "pivot", "columns")
+    one = wide.filter("row = pivot").groupBy("cluster").agg(F.array(F.first(F.struct("row", "columns"))).alias("of"))
+    wide = wide.drop("pivot")
+    tested = shared.written(with_stars(wide, one, join), "stars")
+    # Rows that are no star of the first are compared with some of its stars, which are of one
+    # component with it.
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64("row"))
+    some = tested.filter("star IS NOT NULL").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MORE_PIVOTS)
+    some = some.groupBy("cluster").agg(F.collect_list(F.struct("row", "columns")).alias("of"))
+    rest = shared.written(with_stars(tested.filter("star IS NULL").drop("star"), some, join), "rest")
+    stars = tested.unionByName(rest).filter("star IS NOT NULL").select(F.col("row").alias("u"), F.col("star").alias("v"))
+    # What is left asks every block of its cluster; a cluster without any needs no product. Few
+    # rows that ask allow many blocks, as their copies stay fewer than the cluster's rows.
+    asking = rest.filter("star IS NULL").drop("star", "blocks", "members")
+    asked = rest.filter("star IS NULL").groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.max("members").alias("members"), F.max("blocks").alias("by_weight"))
+    blocks = F.greatest("by_weight", F.least(F.ceil(F.col("members") / BLOCK_ROWS), F.floor(F.col("members") / F.col("n"))).cast("int"))
+    asked = shared.written(asked.select("cluster", blocks.alias("blocks")), "asked")
+    asked = _sent(asked, asked.count() <= SENT_ROWS)
+    asks = asking.join(asked, "cluster").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(1).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
-    stores = tested.join(asked, "cluster", "left_semi").select(
-        "cluster", "block", F.lit(0).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
+    stores = tested.drop("blocks", "star").join(asked, "cluster").select(
+        "cluster", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"),
+        F.lit(0).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
 
     @shared.trimmed
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,24 +452,38 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
     return units.mapInArrow(multiply, LINK).unionByName(stars)
 
 
-STARRED = "cluster long, block int, blocks int, row long, pivot long, columns binary, star boolean"
+STARRED = "cluster long, blocks int, members long, row long, columns binary, star long"
+
 
+def with_stars(rows: DataFrame, pivots: DataFrame, join: Join) -> DataFrame:
+    """Rows with ``star``: the first of their cluster's pivots (``of``: row and columns) that they
+    are linked to, or null. A pivot is its own star.
 
-def with_stars(rows: DataFrame, join: Join) -> DataFrame:
-    """Rows beside their cluster's pivot (``of``), and whether they are linked to it."""
+    The rows stay where they are if the pivots are few enough to be sent to every task.
+    """
     names = [f.split(" ")[0] for f in STARRED.split(", ")]
+    pivots = shared.written(pivots, "pivots")
+    bytes_ = F.aggregate("of", F.lit(0), lambda n, p: n + F.octet_length(p["columns"]) + 16)
+    few = pivots.agg(F.coalesce(F.sum(bytes_.cast("long")), F.lit(0))).first()[0] <= PIVOT_BYTES
 
     @shared.trimmed
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             star = []
-            for x, y in zip(batch.column("columns"), batch.column("of")):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                star.append(bool(join.linked(n, len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(star, pa.bool_())], names)
-
-    return rows.select(*names[:-1], "of").mapInArrow(test, STARRED)
+            for x, of in zip(batch.column("columns"), batch.column("of").to_pylist()):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                found = None
+                for pivot in of or ():
+                    y = np.frombuffer(pivot["columns"], np.int64)
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    if join.linked(n, len(x), len(y)):
+                        found = pivot["row"]
+                        break
+                star.append(found)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(star, pa.int64())], names)
+
+    both = rows.join(F.broadcast(pivots) if few else pivots, "cluster", "left")
+    return both.select(*names[:-1], "of").mapInArrow(test, STARRED)
 
 
 # --- the join ----------------------------------------------------------------------------------
