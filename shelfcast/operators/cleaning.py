@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import count_true, money, number_or_null
+from ..functions.numbers import money, number_or_null
 from ..functions.text import PRODUCT_CODE, is_blank, normalized_code, strip
 from ..session import written
 
