@@ -30,3 +30,11 @@ def test_raw_lines_are_made_as_they_are_read(spark, monkeypatch):
 def test_the_days_that_the_lines_cover_are_looked_for_once(spark, monkeypatch, capsys):
     tables.audited_lines(spark, SF, "position", last=F.lit(date(2001, 11, 4))).explain()
     assert "min(" not in capsys.readouterr().out
+
+
+def test_lines_are_shuffled_once_for_the_fact(spark, capsys):
+    lines = spark.createDataFrame(
+        [("a", date(2020, 1, 1), 2.0, 10.0, "old", 1, 1)],
+        "product_id string, date date, units double, unit_price double, description string, last_position long, copies long")
+    facts.product_day_sales(lines).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
