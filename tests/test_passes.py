@@ -38,3 +38,22 @@ def test_lines_are_shuffled_once_for_the_fact(spark, capsys):
         "product_id string, date date, units double, unit_price double, description string, last_position long, copies long")
     facts.product_day_sales(lines).explain()
     assert capsys.readouterr().out.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("sent", [cleaning.HASHES_SENT, 0])
+def test_only_lines_of_several_sources_are_numbered(spark, monkeypatch, sent):
+    monkeypatch.setattr(cleaning, "HASHES_SENT", sent)
+    rng, numbered = random.Random(8), []
+    data = [(i, 1, rng.randrange(60), rng.choice([None, 1.0]), rng.choice("aab")) for i in range(200)]
+    data += [(i, 2, i, None, rng.choice("ab")) for i in range(200, 500)]
+
+    def numbering(lines, *rest, whole=cleaning.flag_replicas):
+        numbered.append(lines.count())
+        return whole(lines, *rest)
+
+    monkeypatch.setattr(cleaning, "flag_replicas", numbering)
+    found = cleaning.flag_shared_replicas(
+        replica_frame(spark, data), FIELDS, "source", ["a", "b"], ["row"], F.floor(F.col("row") / 50))
+    want = brute_replicas(data)
+    assert {r["row"]: r["is_replica"] for r in found.collect()} == {row: w[1] for row, w in want.items()}
+    assert any(w[1] for w in want.values()) and 0 < numbered[0] <= 200
