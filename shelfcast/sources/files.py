@@ -107,13 +107,13 @@ def read_source_folders(spark: SparkSession, root: str, fmt: str = "csv") -> Dat
                 F.col("_metadata.file_path"), F.lit(f" lacks the declared column {c}"))).cast("string"))
             .otherwise(F.col(f"`{c}`").cast("string")).alias(n) for c, n in SOURCE_COLUMNS.items()]
         block, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
-    path = F.col("_metadata.file_path")
+    path = F.col("source_file")
     below = re.escape(re.sub("^[a-zA-Z0-9+.-]+:/*", "/", root).rstrip("/"))
     folder = F.regexp_extract(path, rf"{below}/([^/]+)/", 1)
     source = F.when(folder != "", F.regexp_replace(folder, "^[^=]*=", "")).otherwise(
         F.raise_error(F.concat(path, F.lit(" lies in no source's folder"))).cast("string"))
     return _positioned(lines.select(
-        *fields, source.alias("source"), path.alias("source_file"), block.alias("_block"), row.alias("_row")))
+        *fields, F.col("_metadata.file_path").alias("source_file"), block.alias("_block"), row.alias("_row")), source)
 
 
 def _refuse_unless_declared(name: str, header: list[str]) -> None:
@@ -125,18 +125,19 @@ def _refuse_unless_declared(name: str, header: list[str]) -> None:
 OFFSETS_SENT = 500_000
 
 
-def _positioned(lines: DataFrame) -> DataFrame:
+def _positioned(lines: DataFrame, source: Column) -> DataFrame:
     """Numbers the lines of each source through from file to file and block to block.
 
     Only one row per block of a file is counted and summed up; the lines themselves are not
-    shuffled.
+    shuffled. ``source`` is cut from the file's name once a block.
     """
-    splits = lines.groupBy("source", "source_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    # Written: names and offsets both start from them, and counting reads every file.
+    splits = written(lines.groupBy("source_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")).withColumn("source", source), "splits")
     before = Window.partitionBy("source").orderBy("source_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     names = splits.select("source").distinct().agg(F.array_sort(F.collect_set("source"))).scalar()
     offsets = written(splits.select(
-        F.col("source_file").alias("_file"), F.col("_block").alias("_at"), "_first",
+        "source", F.col("source_file").alias("_file"), F.col("_block").alias("_at"), "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy("source")).alias("source_rows"),
         (F.array_position(names, F.col("source")) - 1).alias("source_order")), "offsets")

@@ -57,3 +57,19 @@ def test_only_lines_of_several_sources_are_numbered(spark, monkeypatch, sent):
     want = brute_replicas(data)
     assert {r["row"]: r["is_replica"] for r in found.collect()} == {row: w[1] for row, w in want.items()}
     assert any(w[1] for w in want.values()) and 0 < numbered[0] <= 200
+
+
+def test_source_files_are_counted_in_one_pass(spark, monkeypatch, tmp_path, capsys):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(",".join(files.SOURCE_COLUMNS) + "\n" + "1,2,3,4,5,6,7,8\n" * 3)
+
+    def listing(frame, name, write=files.written):
+        frame.explain()
+        return write(frame, name)
+
+    monkeypatch.setattr(files, "written", listing)
+    found = files.read_source_folders(spark, str(tmp_path))
+    assert capsys.readouterr().out.count("FileScan csv") == 1
+    assert sorted((r.source, r.source_order, r.source_rows, r.position) for r in found.collect()) == [
+        (s, i, 3, n) for i, s in enumerate("ab") for n in range(3)]
