@@ -201,16 +201,17 @@ def content_key(rows: DataFrame) -> str:
 
 
 def materialize_by_content(
-    source: DataFrame, label: str, build: Callable[[], DataFrame],
+    source: DataFrame, label: str, build: Callable[[], DataFrame], key: str | None = None,
 ) -> tuple[DataFrame, bool]:
     """Reuse the Parquet copy named after the input's rows, or build and write it.
 
-    ``label`` names what is built, so two results of one input do not collide.
+    ``label`` names what is built, so two results of one input do not collide. ``key`` is the
+    content key of the input's rows where the caller has it; else they are read for it.
     Returns the frame and whether it was reused. The write commits by its success
     marker, so a half-written copy is never taken for a finished one.
     """
     spark = source.sparkSession
-    target = os.path.join(shared_dir(spark), "shelfcast", f"{label}-{content_key(source)}")
+    target = os.path.join(shared_dir(spark), "shelfcast", f"{label}-{key or content_key(source)}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(target, "_SUCCESS"))
     reused = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if not reused:

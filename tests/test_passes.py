@@ -73,3 +73,9 @@ def test_source_files_are_counted_in_one_pass(spark, monkeypatch, tmp_path, caps
     assert capsys.readouterr().out.count("FileScan csv") == 1
     assert sorted((r.source, r.source_order, r.source_rows, r.position) for r in found.collect()) == [
         (s, i, 3, n) for i, s in enumerate("ab") for n in range(3)]
+
+
+@with_tables
+def test_the_copy_of_the_fact_uses_the_key_that_the_run_has(spark, monkeypatch):
+    monkeypatch.setattr(files, "content_key", refuse)
+    assert audit.a3(spark, SF).count() > 0
