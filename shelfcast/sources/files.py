@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import SOURCE_COLUMNS, SOURCE_SCHEMA
-from ..session import shared_dir, written
+from ..session import fresh_path, shared_dir, written
+from . import digests
 
 # Text as it is: white space at the ends, quotes and line breaks come back.
 EXACT_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -151,14 +152,81 @@ def _positioned(lines: DataFrame, source: Column) -> DataFrame:
 # --- checksums and content keys -------------------------------------------------
 
 
+# Larger files are digested in steps of this many bytes, one task for each step of a file.
+FILE_STEP = 128 << 20
+# A larger file with a longer line than this, so without a line feed for as long, is read whole.
+LINE_MOST = 16 << 20
+# Spark's text reader would unpack files of these names and read no part of them by itself.
+PACKED = r"(?i)\.(gz|gzip|bz2|deflate|snappy|lz4|lzo|lzo_deflate|zst|zstd|xz|br|passthrough)$"
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``length`` and SHA-256 of every file under a path that is not empty.
 
-    A file is one value here, so files of 2 GB and more stop the run; ``content_key`` is for
-    tables of any size.
+    A file of up to ``FILE_STEP`` bytes is one value; a larger one is digested step by step,
+    each step by a task that takes up the digest of the step before. Larger files that are
+    named as compressed ones or have lines over ``LINE_MOST`` cannot be read in parts: they
+    stay one value, and stop the run at 2 GB.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    uri = F.col("_metadata.file_path")
+    # Conditions on the metadata alone choose files before any is read.
+    large = (F.col("_metadata.file_size") > FILE_STEP) & ~uri.rlike(PACKED)
+    listed = found.filter(large).select("path", "length", uri.alias("uri"))
+    if not digests.can_be_stored() or listed.isEmpty():
+        return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    # Longest first, so the files that have a k-th step are those with the smallest numbers.
+    numbered = written(listed.withColumn(
+        "file", F.row_number().over(Window.orderBy(F.desc("length"), "path")) - 1), "large-files")
+    lines = spark.read.option("recursiveFileLookup", True).option(
+        "mapreduce.input.linerecordreader.line.maxlength", LINE_MOST).text(path, lineSep="\n").filter(large).select(
+        uri.alias("uri"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("value"))
+    done, unread = _digests_in_steps(numbered, lines)
+    return found.filter(~large | uri.isin(unread)).select(
+        "path", "length", F.sha2("content", 256).alias("sha256")
+    ).unionByName(numbered.join(done, "file").select("path", "length", "sha256"))
+
+
+def _digests_in_steps(numbered: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``file`` and ``sha256`` of numbered files, and the names of those that lines do not give whole.
+
+    The lines come without line feeds and are stored by step, so that a step reads its own only.
+    """
+    spark = numbered.sparkSession
+    target = fresh_path(spark, "file-steps")
+    stored = lines.join(numbered.select("uri", "file"), "uri").select(
+        "file", "block", "row", "value", F.octet_length("value").alias("size"),
+        F.floor(F.col("block") / FILE_STEP).cast("int").alias("step"))
+    stored.write.partitionBy("step").parquet(target)
+    stored = spark.read.schema(stored.schema).parquet(target)
+
+    # The reader drops a byte order mark at the start, drops lines over its limit or cuts them to
+    # it, and does not tell whether a line feed ends the file.
+    place = F.struct("block", "row")
+    read = stored.groupBy("file").agg(
+        (F.count(F.lit(1)) + F.sum("size")).alias("read"), F.max("size").alias("longest"),
+        F.min(place).alias("first"), F.max(place).alias("last"))
+    ends = written(numbered.join(read, "file", "left").select(
+        "uri", "file", "first", "last", "longest", (F.col("read") - F.col("length")).alias("over")), "file-ends")
+    whole = F.coalesce(F.col("over").isin(0, 1, -2, -3) & (F.col("longest") < LINE_MOST), F.lit(False))
+    unread = [r.uri for r in ends.filter(~whole).select("uri").collect()]
+    ends = ends.filter(whole).drop("uri", "longest")
+    nothing, feed, mark = (F.lit(bytearray(b)) for b in (b"", b"\n", b"\xef\xbb\xbf"))
+    exact = stored.join(ends, "file").select("step", "file", "block", "row", F.concat(
+        F.when((F.col("over") < 0) & (place == F.col("first")), mark).otherwise(nothing), "value",
+        F.when(F.col("over").isin(1, -2) & (place == F.col("last")), nothing).otherwise(feed)).alias("value"))
+
+    steps = {r.steps: r.files for r in numbered.groupBy(
+        F.ceil(F.col("length") / FILE_STEP).alias("steps")).agg(F.count(F.lit(1)).alias("files")).collect()}
+    done = ends.select("file", F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("row"),
+                       nothing.alias("value"), F.lit(None).cast("string").alias("sha256"))
+    for k in range(max(steps)):
+        having = sum(files for of, files in steps.items() if of > k)
+        done = written(done.drop("sha256").unionByName(exact.filter(F.col("step") == k).drop("step"))
+                       .repartitionById(having, "file").sortWithinPartitions("file", "block", "row")
+                       .mapInArrow(digests.advance, digests.DIGESTS), "file-digests")
+    return done.select("file", "sha256"), unread
 
 
 def relative_key(key: Column) -> Column:

@@ -108,6 +108,44 @@ def test_checksums_and_manifest(spark, tmp_path, rows):
             files.verify_manifest(bad, found).collect()
 
 
+@pytest.mark.parametrize("split", [100, 10_000])
+def test_checksums_of_files_read_in_steps(spark, tmp_path, rows, monkeypatch, split):
+    mark, mixed = b"\xef\xbb\xbf", bytes(range(256)) * 3
+    contents = {
+        "mixed": mixed, "feed at the end": mixed + b"\n", "feeds": b"\n" * 600, "returns": b"ab\r\n\r" * 90, "zeros": bytes(777),
+        "mark": mark + mixed, "mark and feed": mark + b"\n" + mixed + b"\n", "two marks": mark + mark + mixed,
+        "one line": b"x" * 700, "a long line": b"a\n" * 50 + b"y" * 600 + b"\nb\n", "many lines": b"0123456\n" * 320,
+        "one byte too long": b"a\n" * 50 + b"y" * 501 + b"\nb", "whole [blocks] {a,b}*%20": b"0123456\n" * 64 * 3, "named.gz": mixed, "named.txt.bz2": mixed,
+        "as much as a step": mixed[:200], "one more": mixed[:201], "empty": b"", "short": b"\n"}
+    for k, (name, content) in enumerate(contents.items()):
+        folder = tmp_path / f"k={k % 2}"
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(content)
+    for name, most in (("FILE_STEP", 200), ("LINE_MOST", 500)):
+        monkeypatch.setattr(files, name, most, raising=False)
+    settings = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.sources.binaryFile.maxLength": 800}  # 2 GB in small
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, str(value))
+        got = rows(files.file_checksums(spark, str(tmp_path)).withColumn(
+            "name", F.element_at(F.split("path", "/"), -1)), "name", "length", "sha256")
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert got == sorted(((n, len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if c), key=repr)
+
+
+def test_a_digest_goes_on_from_what_was_stored():
+    content = bytes(range(256)) * 5
+    for cut in (0, 1, 63, 64, 65, 1000):
+        digest = files.digests.Digest()
+        digest.update(content[:cut])
+        assert digest.hexdigest() == hashlib.sha256(content[:cut]).hexdigest()
+        again = files.digests.Digest(digest.stored())
+        again.update(content[cut:])
+        assert again.hexdigest() == hashlib.sha256(content).hexdigest()
+
+
 def test_content_cache_is_reused_until_the_input_changes(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(5).write.parquet(source)
