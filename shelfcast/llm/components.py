@@ -21,7 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path, and every round is written, so that a lost
     executor costs part of one round. Loops and repeated edges do no harm.
     """
-    now = shared.written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    with shared.shuffles_dropped(spark):
+        now = shared.written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = _with_least(down)
         then = small.select("u", F.col("m").alias("v")).unionByName(
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        then = shared.written(then, "edges")
+        with shared.shuffles_dropped(spark):
+            then = shared.written(then, "edges")
+        shared.removed(spark, now)
         state = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if state == seen:
             nodes = then.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -9,8 +9,9 @@ least ``percent`` of their union are linked. The product is never formed whole:
    first columns in a fixed order; later among all its columns. Rows below that bound
    can be in no link and are discarded, which removes nearly all documents, also those
    that merely quote a passage found in many others.
-3. The rows left fall into clusters that share leading columns. Each cluster is a block, or
-   several blocks of bounded size; within a block, a row's overlaps with all others are
+3. The rows left fall into clusters. Rows are in one if they share leading columns and may be
+   linked by the counts of their columns by a few bits of the hash, which keeps apart what only
+   shares a common passage. Each cluster is a block, or several blocks of bounded size; within a block, a row's overlaps with all others are
    accumulated column by column and compared with the bound of both sizes. Rows already
    linked to the block's first row are not multiplied with each other, since their
    component is settled, so a group of thousands of near copies costs one row of the product
@@ -40,6 +41,10 @@ PRODUCT_ENTRIES = 1 << 20
 # Counters of the column order; their number is fixed, whatever the number of columns.
 COUNTERS = 1 << 18
 COUNTER_PART = 1 << 12
+# Counts of a row's columns by their last bits, in one byte each; a power of two.
+MARKS = 512
+# Rows of one column that are compared with each other by their marks; more are tied together.
+MARKED_ROWS = 1 << 14
 # Up to so many rows of two numbers are sent to every task; beyond that both sides are shuffled.
 SENT_ROWS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +75,10 @@ class Join:
     def linked(self, overlap: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
         return 100 * overlap >= self.percent * (size + sizes - overlap)
 
+    def sizes(self, size: int) -> tuple[int, int]:
+        """Least and largest size of a partner."""
+        return self.least(size), 100 * size // self.percent
+
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -123,6 +132,12 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
         [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As ``shared.written``; what was shuffled to make the table goes when it is complete."""
+    with shared.shuffles_dropped(df.sparkSession):
+        return shared.written(df, name)
+
+
 SETS = "doc_id long, size long, row long, row2 long, leading binary"
 ROWS = "row long, size long, columns binary"
 LEADING = "row long, column long"
@@ -356,38 +371,127 @@ def leading_columns(rows: DataFrame, join: Join) -> DataFrame:
     return rows.select("row", "columns").mapInArrow(lead, LEADING)
 
 
-def clusters(rows: DataFrame, join: Join) -> DataFrame:
-    """``row`` and ``cluster``: rows that share leading columns, directly or by others."""
-    leading = shared.written(leading_columns(rows, join), "leading")
-    pivot = leading.groupBy("column").agg(F.min("row").alias("v"), F.max("row").alias("_last")).filter("v <> _last")
-    edges = leading.join(pivot.select("column", "v"), "column").select(F.col("row").alias("u"), "v").distinct()
-    return components(edges).select(F.col("id").alias("row"), F.col("root").alias("cluster"))
+def _marks(columns: np.ndarray) -> bytes:
+    return np.minimum(np.bincount(columns & (MARKS - 1), minlength=MARKS), 255).astype(np.uint8).tobytes()
+
+
+def close_pairs(rows: np.ndarray, sizes: np.ndarray, marks: np.ndarray, join: Join) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all rows which their sizes and marks allow to be linked, directly or by others.
+
+    Two rows differ in at least as many columns as their marks do, so no link is lost.
+    """
+    order = np.argsort(sizes, kind="stable")
+    rows, sizes, marks = rows[order], sizes[order], marks[order]
+    left = np.ones(len(rows), bool)
+    for first in range(len(rows)):
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo:
+            k = todo.pop()
+            least, most = join.sizes(int(sizes[k]))
+            begin, end = np.searchsorted(sizes, least), np.searchsorted(sizes, most, side="right")
+            asked = begin + np.flatnonzero(left[begin:end])
+            for part in np.split(asked, range(2048, len(asked), 2048)):
+                apart = np.abs(marks[part].astype(np.int16) - marks[k]).sum(axis=1, dtype=np.int64)
+                hit = part[join.linked((sizes[part] + sizes[k] - apart) // 2, int(sizes[k]), sizes[part])]
+                left[hit] = False
+                todo += hit.tolist()
+                yield from zip(rows[hit].tolist(), [int(rows[k])] * len(hit))
+
+
+def clusters(rows: DataFrame, leading: DataFrame, join: Join) -> DataFrame:
+    """``row`` and ``cluster``: rows that share leading columns and are close, directly or by others.
+
+    Columns that the same rows hold give the same pairs; one of them is looked at. Rows that are
+    close to no other are left out.
+    """
+    held = leading.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).filter("n > 1")
+    chosen = held.groupBy("n", "a", "b").agg(F.min("column").alias("column")).select("column")
+
+    @shared.trimmed
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_marks(np.frombuffer(x.as_buffer(), np.int64)) for x in batch.column(2)]
+            yield _batch("row long, size long, marks binary", batch.column(0), batch.column(1), found)
+
+    marked = rows.select("row", "size", "columns").mapInArrow(mark, "row long, size long, marks binary")
+    met = leading.join(chosen, "column").join(marked, "row").select("column", "row", "size", "marks")
+
+    @shared.trimmed
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tied = None, None
+
+        def pairs(column: np.ndarray, row: np.ndarray, size: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+            found: set[tuple[int, int]] = set()
+            start = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+            for a, b in zip(start, np.append(start[1:], len(column))):
+                if column[a] == tied or b - a > MARKED_ROWS:
+                    found.update((x, int(row[a])) for x in row[a + 1: b].tolist())
+                elif b - a > 1:
+                    found.update(close_pairs(row[a:b], size[a:b], marks[a:b], join))
+            return _batch(LINK, [u for u, _ in found], [v for _, v in found])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = [*[batch.column(k).to_numpy() for k in range(3)],
+                     np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, MARKS)]
+            table = table if held is None else [np.concatenate(x) for x in zip(held, table)]
+            # Sorted by column: the last column may go on in the next batch.
+            cut = np.searchsorted(table[0], table[0][-1])
+            if cut:
+                yield pairs(*[x[:cut] for x in table])
+            held = [x[cut:] for x in table]
+            if len(held[0]) > MARKED_ROWS or held[0][0] == tied:
+                tied = held[0][0]
+                yield pairs(*held)
+                held = [x[:1] for x in held]
+        if held is not None:
+            yield pairs(*held)
+
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.repartition(count, "column").sortWithinPartitions("column").mapInArrow(meet, LINK)
+    return components(_written(pairs, "pairs")).select(F.col("id").alias("row"), F.col("root").alias("cluster"))
+
+
+def placed_rows(rows: DataFrame, join: Join) -> DataFrame:
+    """``row``, ``cluster``, its number of ``blocks``, the row's ``block``, and ``best``, the row of
+    the cluster with the most common columns."""
+    leading = _written(leading_columns(rows, join), "leading")
+    placed = _written(rows.select("row", "size", "common").join(clusters(rows, leading, join), "row"), "clustered")
+    weight = placed.groupBy("cluster").agg(
+        F.ceil(F.sum("size") / BLOCK_NGRAMS).cast("int").alias("blocks"),
+        F.max(F.struct(F.col("common") / F.col("size"), "row")).alias("best"))
+    found = _written(placed.join(weight, "cluster").select(
+        "row", "cluster", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"),
+        F.col("best.row").alias("best")), "placed")
+    for table in (leading, placed):
+        shared.removed(rows.sparkSession, table)
+    return found
 
 
 def links(rows: DataFrame, join: Join) -> DataFrame:
-    """Links (u, v) that connect what is linked, from rows with their whole ``columns``.
+    """Links (u, v) that connect what is linked, from stored rows with their whole ``columns``,
+    each ``row`` once.
 
     A cluster of one block is multiplied in one task. A cluster of several is first compared
     with one of its rows, the one with the most common columns; rows linked to it are
     settled, and the others ask every block of the cluster.
     """
     spark = rows.sparkSession
-    rows = shared.written(rows, "rows")
-    grouped = shared.written(rows.join(clusters(rows, join), "row"), "clustered")
-    weight = grouped.groupBy("cluster").agg(
-        F.sum("size").alias("weight"), F.max(F.struct(F.col("common") / F.col("size"), "row")).alias("best"))
-    weight = weight.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_NGRAMS).cast("int"))
-    placed = grouped.join(weight, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    small = placed.filter("blocks = 1").select(
+    placed = placed_rows(rows, join)
+    grouped = _written(rows.select("row", "columns").join(placed, "row"), "grouped")
+    small = grouped.filter("blocks = 1").select(
         "cluster", "block", F.lit(0).alias("asks"), F.lit(False).alias("settled"), "row", "columns")
 
-    wide = placed.filter("blocks > 1")
-    pivots = wide.filter(F.col("row") == F.col("best.row")).select("cluster", F.col("columns").alias("_p")).groupBy(
+    wide = grouped.filter("blocks > 1")
+    pivots = wide.filter("row = best").select("cluster", F.col("columns").alias("_p")).groupBy(
         "cluster").agg(F.first("_p").alias("_p"))
-    tested = shared.written(wide.join(pivots, "cluster").withColumn(
+    tested = _written(wide.join(pivots, "cluster").withColumn(
         "star", _is_linked(join)(F.col("columns"), F.col("_p"))).drop("_p"), "stars")
-    stars = tested.filter("star").select(F.col("row").alias("u"), F.col("best.row").alias("v"))
+    stars = tested.filter("star").select(F.col("row").alias("u"), F.col("best").alias("v"))
     asks = tested.filter("NOT star").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(1).alias("asks"), F.lit(True).alias("settled"), "row", "columns")
@@ -417,7 +521,10 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
     units = small.unionByName(stores).unionByName(asks)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(count, "cluster", "block").sortWithinPartitions("cluster", "block", "asks")
-    return units.mapInArrow(multiply, LINK).unionByName(stars)
+    found = _written(units.mapInArrow(multiply, LINK).unionByName(stars), "links")
+    for table in (placed, grouped, tested):
+        shared.removed(spark, table)
+    return found
 
 
 def _is_linked(join: Join):
@@ -447,18 +554,18 @@ def text_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     set and is linked with nothing. Rows with the same id are one node of the graph if their
     texts are alike; a null id keeps a null component unless it has copies with an id.
     """
-    wide = shared.written(document_sets(docs, join), "sets")
+    wide = _written(document_sets(docs, join), "sets")
     spark = docs.sparkSession
-    sets = shared.written(wide.drop("leading"), "names")
+    sets = _written(wide.drop("leading"), "names")
     size = F.col("size")
     least = F.ceil(F.lit(join.percent) * size / 100)
     needed = F.greatest(F.lit(1), F.floor(least / 20))
     # Copies share all their columns; that keeps a row they do not need, and loses none.
     counts = shared_counts(wide.filter("size > 0"), "leading")
-    rows = shared.written(sets.filter("size > 0").groupBy("row", "row2", "size").agg(
+    rows = _written(sets.filter("size > 0").groupBy("row", "row2", "size").agg(
         F.min("doc_id").alias("first")), "classes")
     alive = rows.select("row", "first", "size").join(counts, "row").filter(F.col("n") >= needed)
-    alive = shared.written(alive.select("row", "first"), "alive")
+    alive = _written(alive.select("row", "first"), "alive")
     shared.removed(spark, wide)
 
     @shared.trimmed
@@ -475,16 +582,27 @@ def text_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     few = alive.count() <= SENT_ROWS
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(
         _sent(alive.withColumnRenamed("first", "doc_id"), few), "doc_id").select("row", "text")
-    full = shared.written(texts.mapInArrow(whole, ROWS), "whole")
-    counts = shared_counts(full, "columns").withColumnRenamed("n", "common")
-    full = full.join(_sent(counts, few), "row").filter(F.col("common") >= least)
-    linked = components(shared.written(links(full, join), "links"))
+    whole_sets = _written(texts.mapInArrow(whole, ROWS), "whole")
+    counts = shared_counts(whole_sets, "columns").withColumnRenamed("n", "common")
+    full = _written(whole_sets.join(_sent(counts, few), "row").filter(F.col("common") >= least), "rows")
+    for table in (alive, whole_sets):
+        shared.removed(spark, table)
+    if full.select("row").distinct().count() < full.count():
+        # Rows that repeat id and text.
+        before, full = full, _written(full.dropDuplicates(["row"]), "once")
+        shared.removed(spark, before)
+    found = links(full, join)
+    shared.removed(spark, full)
+    linked = components(found)
     joined = rows.select("row", "row2", "first").join(
         linked.withColumnRenamed("id", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     # A group of copies may hold any share of the documents; its row is found by a safe join.
     named = joined.join(smallest, "root").select("row", "row2", "component_id", "first")
-    return _back(sets, named)
+    named = _back(sets, named)
+    for table in (rows, found):
+        shared.removed(spark, table)
+    return named
 
 
 def _sent(rows: DataFrame, few: bool) -> DataFrame:
@@ -501,7 +619,7 @@ def _back(sets: DataFrame, named: DataFrame) -> DataFrame:
     """
     total = sets.count()
     news = named.join(sets.groupBy("row", "row2").agg(F.count(F.lit(1)).alias("_n")), ["row", "row2"])
-    news = shared.written(news.filter("_n > 1 OR component_id <> first").select("row", "row2", "component_id", "_n"), "news")
+    news = _written(news.filter("_n > 1 OR component_id <> first").select("row", "row2", "component_id", "_n"), "news")
     hot = news.filter(F.col("_n") > max(1, total // 200)).select("row", "row2", F.col("component_id").alias("_hot"))
     cold = news.filter(F.col("_n") <= max(1, total // 200)).select("row", "row2", "component_id")
     some = sets.select("doc_id", "size", "row", "row2").join(F.broadcast(hot), ["row", "row2"], "left")
@@ -518,10 +636,10 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
     Where rows share an id but not a text, each text stays or goes by its own component. A
     document without an id stays.
     """
-    found = shared.written(text_components(docs, join), "components")
-    gone = shared.written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "row", "row2").distinct(), "gone")
+    found = _written(text_components(docs, join), "components")
+    gone = _written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "row", "row2").distinct(), "gone")
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    again = shared.written(again, "again")
+    again = _written(again, "again")
     n = again.count()
     # Texts travel only if too many documents go for their ids to be sent to every task.
     once = docs.join(_sent(gone.select("doc_id").distinct(), gone.count() <= SENT_ROWS), "doc_id", "left_anti").select(*docs.columns)

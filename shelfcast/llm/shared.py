@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import uuid
@@ -40,6 +41,25 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here take their shuffle files with them.
+
+    Otherwise these stay until the driver happens to collect its garbage. Only for queries whose
+    result is stored; a Spark that does not know the setting keeps the files as before.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with marks behind it as long as a column is called so in any case."""
     while name.lower() in {c.lower() for c in taken}:
