@@ -136,3 +136,16 @@ def test_shuffles_go_with_their_query(spark, before, tmp_path):
     finally:
         spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_pipeline_keeps_one_stage_between_stages(spark, tables, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    def plain(spark, docs, sf_dir):
+        return docs.withColumn("n", F.col("n") + 1)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), plain) for k in range(4)])
+    spark.range(5).withColumn("n", F.lit(0)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert tables() == ["stage-2"]
+    assert {r.n for r in out.collect()} == {4} and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 5
